@@ -7,6 +7,9 @@ from importlib import import_module
 MODULES = (
     "media_jpeg",
     "chat_format",
+    "language_hd",
+    "decontaminate",
+    "secret_scan",
 )
 
 QUERIES: dict = {}
