@@ -10,6 +10,7 @@ MODULES = (
     "language_hd",
     "decontaminate",
     "secret_scan",
+    "piece_sampling",
 )
 
 QUERIES: dict = {}
