@@ -6,9 +6,12 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -51,3 +54,42 @@ def small_batches(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int
             held += n
         if batch.num_rows > start:
             yield batch.slice(start)
+
+
+SLOT_BITS = 22
+
+
+def slot(*keys: str) -> Column:
+    """A place in a table of 2**SLOT_BITS bits for a key."""
+    return F.shiftrightunsigned(F.xxhash64(*keys), 64 - SLOT_BITS)
+
+
+def bit_table(df: DataFrame, place: Column) -> np.ndarray:
+    """Which places occur, as words of 64 bits.  What the driver gathers is
+    2**(SLOT_BITS - 6) longs at most, however many rows there are; a table that
+    is too full only tells less."""
+    bits = np.zeros(1 << (SLOT_BITS - 6), np.uint64)
+    places = df.select(place.alias("p")).groupBy(F.shiftright("p", 6).cast("int").alias("at"))
+    for r in places.agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits")).collect():
+        bits[r["at"]] = np.uint64(r["bits"] & (1 << 64) - 1)
+    return bits
+
+
+def in_table(bits: np.ndarray, places: np.ndarray) -> np.ndarray:
+    return (bits[places >> 6] >> (places & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+
+
+def drop_listed(df: DataFrame, listed: DataFrame, key: str) -> DataFrame:
+    """``df`` without the rows whose ``key`` is in ``listed`` (unique, not null).
+
+    Most rows never leave their task: a bit table of fixed size, sent to all,
+    tells which rows can be listed at all, and only those are joined."""
+    spark = df.sparkSession
+    bits = bit_table(listed, slot(key))
+    at = np.flatnonzero(bits)
+    table = spark.createDataFrame(pd.DataFrame({"__at": at.astype("int32"), "__bits": bits[at].view(np.int64)}), "__at int, __bits long")
+    marked = df.withColumn("__slot", slot(key)).withColumn("__at", F.shiftright("__slot", 6).cast("int")).join(F.broadcast(table), "__at", "left")
+    maybe = F.coalesce(F.expr("(shiftrightunsigned(__bits, cast(__slot & 63 as int)) & 1) = 1"), F.lit(False))
+    far = marked.where(~maybe).select(*df.columns)
+    near = marked.where(maybe).select(*df.columns).join(listed.select(key), key, "left_anti").select(*df.columns)
+    return far.unionByName(near)

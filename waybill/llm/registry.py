@@ -11,6 +11,7 @@ MODULES = (
     "decontaminate",
     "secret_scan",
     "piece_sampling",
+    "jaccard_join",
 )
 
 QUERIES: dict = {}

@@ -56,3 +56,34 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
         have = np.minimum(have[:-span], have[span:])
         span *= 2
     return np.minimum(have[: len(x) - w + 1], have[w - span : w - span + len(x) - w + 1])
+
+
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BYTE = np.random.default_rng(7).integers(0, 1 << 63, 256, np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+_BASE = 0x9E3779B97F4A7C15
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def _powers_to(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse modulo 2**64, at least ``n``."""
+    if len(_powers[0]) < n:
+        for k, b in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            _powers[k] = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, b, np.uint64)]))
+    return _powers
+
+
+def hashed_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words (runs of bytes other than ASCII white space) of
+    all texts in order, and how many each text has.  The hash of a word is a
+    polynomial of its bytes, from one running sum over all texts, then mixed."""
+    data = np.frombuffer(b" ".join(texts), np.uint8)
+    if not len(data):
+        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+    power, inverse = _powers_to(len(data) + 1)
+    edge = np.diff(_SPACE[data].view(np.int8), prepend=np.int8(1), append=np.int8(1))
+    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE[data] * power[: len(data)])])
+    begins = np.cumsum([0, *[len(t) + 1 for t in texts[:-1]]])
+    counts = np.diff(np.append(np.searchsorted(start, begins), len(start)))
+    return mixed(mixed((sums[end] - sums[start]) * inverse[start])), counts
