@@ -12,6 +12,7 @@ MODULES = (
     "secret_scan",
     "piece_sampling",
     "jaccard_join",
+    "substring_dedup",
 )
 
 QUERIES: dict = {}
