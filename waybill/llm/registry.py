@@ -13,6 +13,7 @@ MODULES = (
     "piece_sampling",
     "jaccard_join",
     "substring_dedup",
+    "html_extract",
 )
 
 QUERIES: dict = {}
