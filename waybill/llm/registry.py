@@ -14,6 +14,7 @@ MODULES = (
     "jaccard_join",
     "substring_dedup",
     "html_extract",
+    "pii_weak",
 )
 
 QUERIES: dict = {}
