@@ -16,7 +16,7 @@ component.  The search is exact up to hash collisions.
 3. Lists are cut into blocks by component; size and position bounds let a pair
    of blocks, or of entries, be skipped unread.
 4. Answers are derived from those of a highly similar set: in the first round
-   the sets of a list meet only its smallest one, and those verified join its
+   the sets of a list meet only one of them, a hub, and those verified join its
    component and its answers.  In the second, only pairs across components are
    looked at, and a pair (x, z) is skipped if the overlap already known of x's
    neighbour r with z, enlarged by what x has beyond r, cannot reach the
@@ -50,8 +50,11 @@ from waybill.llm.words import hashed_words, window_hashes
 
 SHINGLE = 5
 PERCENT = 80
-SKETCH_BITS = 20
+#: The order sketch has about one counter to ``SHINGLES_PER_COUNTER`` shingles,
+#: within these bounds (at most 16 MB are sent to a task).
+SHINGLES_PER_COUNTER, LEAST_BITS, MOST_BITS = 8, 16, 24
 SLICE_BITS = 14
+CHARS_PER_WORD = 6
 BATCH_BYTES = 1 << 20
 
 
@@ -70,38 +73,52 @@ def set_key(s: np.ndarray) -> bytes | None:
     return hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None
 
 
-def _bucket(s: np.ndarray) -> np.ndarray:
-    return (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+def sketch_bits(documents: DataFrame) -> int:
+    chars = documents.agg(F.sum(F.length("text"))).first()[0] or 0
+    counters = chars / CHARS_PER_WORD / SHINGLES_PER_COUNTER
+    return min(MOST_BITS, max(LEAST_BITS, int(np.ceil(np.log2(counters + 1)))))
 
 
-def _summaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _bucket(s: np.ndarray, bits: int) -> np.ndarray:
+    return (s >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def summaries_of(documents: DataFrame, bits: int) -> DataFrame:
+    """A row for each document (doc_id, n, sid) and each task's shingle counts
+    by slice of the sketch (up to 255 each: they only rank)."""
     names = ["doc_id", "n", "sid", "slice", "counts"]
-    counts = np.zeros(1 << SKETCH_BITS, np.uint32)
-    for b in small_batches(batches, "text", BATCH_BYTES):
-        sets = shingle_sets(b.column(1).to_pylist())
-        counts += np.bincount(_bucket(np.concatenate([np.zeros(0, np.uint64), *sets])), minlength=len(counts)).astype(np.uint32)
-        none = pa.nulls(len(sets))
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())], names=names)
-    rows = [(i, zlib.compress(c.tobytes(), 1)) for i, c in enumerate(counts.reshape(-1, 1 << SLICE_BITS)) if c.any()]
-    none = pa.nulls(len(rows))
-    yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=names)
+
+    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << bits, np.uint8)
+        for b in small_batches(rows, "text", BATCH_BYTES):
+            sets = shingle_sets(b.column(1).to_pylist())
+            at, n = np.unique(_bucket(np.concatenate([np.zeros(0, np.uint64), *sets]), bits), return_counts=True)
+            counts[at] = np.minimum(counts[at] + n, 255)
+            none = pa.nulls(len(sets))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())], names=names)
+        for i, c in enumerate(counts.reshape(-1, 1 << SLICE_BITS)):
+            if c.any():
+                none = pa.nulls(1)
+                yield pa.RecordBatch.from_arrays([none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.binary()), pa.array([i], pa.int32()), pa.array([zlib.compress(c.tobytes(), 1)], pa.binary())], names=names)
+
+    return documents.mapInArrow(batches, "doc_id long, n long, sid binary, slice int, counts binary")
 
 
 def _slice_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for b in batches:
         for i, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            part = np.frombuffer(zlib.decompress(packed), np.uint32).astype(np.float64)
+            part = np.frombuffer(zlib.decompress(packed), np.uint8).astype(np.float32)
             sums[i] = sums[i] + part if i in sums else part
     rank = [(i, np.floor(8 * np.log2(1 + v)).astype(np.uint8).tobytes()) for i, v in sums.items()]
     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rank], pa.int32()), pa.array([r[1] for r in rank], pa.binary())], names=["slice", "rank"])
 
 
-def order_sketch(summaries: DataFrame) -> np.ndarray:
-    """Rank (eight per doubling of the count) by bucket: 2**SKETCH_BITS bytes."""
-    parts = summaries.where("slice IS NOT NULL").select("slice", "counts").repartition(1 << (SKETCH_BITS - SLICE_BITS), "slice")
-    rank = np.zeros((1 << (SKETCH_BITS - SLICE_BITS), 1 << SLICE_BITS), np.uint8)
-    for r in parts.mapInArrow(_slice_sums, "slice int, rank binary").collect():
+def order_sketch(summaries: DataFrame, bits: int) -> np.ndarray:
+    """Rank (eight per doubling of the count) by bucket: 2**bits bytes."""
+    parts = summaries.where("slice IS NOT NULL").select("slice", "counts").repartition(64, "slice")
+    rank = np.zeros((1 << (bits - SLICE_BITS), 1 << SLICE_BITS), np.uint8)
+    for r in parts.mapInArrow(_slice_sums, "slice int, rank binary").toLocalIterator():
         rank[r["slice"]] = np.frombuffer(r["rank"], np.uint8)
     return rank.ravel()
 
@@ -110,13 +127,20 @@ def prefix_length(n: int, percent: int = PERCENT) -> int:
     return n - -(-percent * n // 100) + 1
 
 
+def short(key: bytes) -> int:
+    """First 64 bits of a set's key: lists carry these; links are between whole keys."""
+    return int.from_bytes(key[:8], "big", signed=True)
+
+
 def prefix_entries(documents: DataFrame, rank: np.ndarray, percent: int) -> DataFrame:
-    """(tok, sid, n, pos): the prefix index, copies left out where a task sees them."""
+    """(tok, s, at): the prefix index, at = size << 32 | shingles from this one on.
+    Copies are left out where a task sees them."""
+    bits = len(rank).bit_length() - 1
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for b in small_batches(rows, "text", BATCH_BYTES):
-            toks, sids, sizes, places = [], [], [], []
+            toks, keys, places = [], [], []
             for s in shingle_sets(b.column(0).to_pylist()):
                 key = set_key(s)
                 if key is None or key in seen:
@@ -124,40 +148,40 @@ def prefix_entries(documents: DataFrame, rank: np.ndarray, percent: int) -> Data
                 if len(seen) >= 100_000:
                     seen.clear()
                 seen.add(key)
-                p = prefix_length(len(s), percent)
-                order = np.lexsort((s, rank[_bucket(s)]))[:p]
-                toks.append(s[order])
-                places.append(np.arange(p, dtype=np.int32))
-                sizes.append(np.full(p, len(s), np.int32))
-                sids += [key] * p
+                p, n = prefix_length(len(s), percent), len(s)
+                toks.append(s[np.lexsort((s, rank[_bucket(s, bits)]))[:p]])
+                places.append((n << 32) + n - np.arange(p))
+                keys.append(np.full(p, short(key)))
             if toks:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(toks).view(np.int64)), pa.array(sids, pa.binary()), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(places))], names=["tok", "sid", "n", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(toks).view(np.int64)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(places))], names=["tok", "s", "at"])
 
-    return documents.select("text").mapInArrow(batches, "tok long, sid binary, n int, pos int")
+    return documents.select("text").mapInArrow(batches, "tok long, s long, at long")
 
 
 def sets_of(documents: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(sid, shingles) of the wanted sids, from one document of each."""
-    ids = wanted.join(classes, "sid").select(F.col("min_id").alias("doc_id"))
+    """(s, sid, shingles) of the wanted sets, each from one document."""
+    ids = wanted.join(classes, "s").select(F.col("min_id").alias("doc_id"))
     bits = bit_table(ids, slot("doc_id"))
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in rows:
             near = whole.filter(pa.array(in_table(bits, whole.column(0).to_numpy())))
             for b in small_batches([near] if near.num_rows else [], "text", BATCH_BYTES):
-                sets = shingle_sets(b.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["sid", "shingles"])
+                found = [(short(k), k, x.view(np.int64)) for x in shingle_sets(b.column(1).to_pylist()) if (k := set_key(x))]
+                s, k, x = zip(*found, strict=True) if found else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(s, pa.int64()), pa.array(k, pa.binary()), pa.array(x, pa.list_(pa.int64()))], names=["s", "sid", "shingles"])
 
-    made = documents.select(slot("doc_id").alias("place"), "text").mapInArrow(batches, "sid binary, shingles array<long>")
-    return made.join(wanted, "sid", "left_semi").dropDuplicates(["sid"])
+    made = documents.select(slot("doc_id").alias("place"), "text").mapInArrow(batches, "s long, sid binary, shingles array<long>")
+    return made.join(wanted, "s", "left_semi").dropDuplicates(["sid"])
 
 
 def verified(pairs: DataFrame, documents: DataFrame, classes: DataFrame) -> DataFrame:
-    """pairs with na, nb and overlap."""
-    wanted = stored(pairs.select(F.col("a").alias("sid")).union(pairs.select("b")).distinct(), "wanted")
+    """(a, b, ka, kb, na, nb, overlap): the pairs with whole keys, sizes and overlap."""
+    wanted = stored(pairs.select(F.col("a").alias("s")).union(pairs.select("b")).distinct(), "wanted")
     sets = stored(sets_of(documents, classes, wanted), "sets")
-    both = pairs.join(sets.select(F.col("sid").alias("b"), F.col("shingles").alias("sb")), "b").join(sets.select(F.col("sid").alias("a"), F.col("shingles").alias("sa")), "a")
-    return both.select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("overlap"))
+    side = lambda x: sets.select(F.col("s").alias(x), F.col("sid").alias(f"k{x}"), F.col("shingles").alias(f"s{x}"))
+    both = pairs.join(side("b"), "b").join(side("a"), "a")
+    return both.select("a", "b", "ka", "kb", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("overlap"))
 
 
 def needed(na: Column, nb: Column, percent: int) -> Column:
@@ -171,25 +195,30 @@ def possible(na: Column, nb: Column, ta: Column, tb: Column, percent: int) -> Co
     return (F.least(na, nb) >= need) & (F.least(ta, tb) >= need)
 
 
-def links(documents: DataFrame, summaries: DataFrame, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
-    """(links between different sets that connect all components; their labels)."""
-    docs = documents.select("doc_id", F.col("text").cast("string").alias("text"))
-    classes = stored(summaries.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("min_id")), "classes")
-    entries = prefix_entries(docs, order_sketch(summaries), percent)
+def links(docs: DataFrame, summaries: DataFrame, bits: int, percent: int = PERCENT) -> DataFrame:
+    """(v, label): the component labels of all sets that have links, by whole key."""
+    classes = summaries.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("min_id"))
+    classes = stored(classes.withColumn("s", F.conv(F.hex(F.substring("sid", 1, 8)), 16, -10).cast("long")), "classes")
+    entries = prefix_entries(docs, order_sketch(summaries, bits), percent)
     by_tok = Window.partitionBy("tok")
-    entries = entries.withColumn("lo", F.min("sid").over(by_tok)).withColumn("hi", F.max("sid").over(by_tok))
-    lists = stored(entries.where("lo <> hi").select("tok", "sid", "n", "pos", (F.col("n") - F.col("pos")).alias("tail")), "lists")
-
-    # first round: each set of a list against the list's smallest
-    head = F.min(F.struct("sid", "n", "tail")).over(by_tok)
-    stars = lists.withColumn("h", head).where("sid <> h.sid").where(possible(F.col("n"), F.col("h.n"), F.col("tail"), F.col("h.tail"), percent))
-    pairs = stored(stars.select(F.col("h.sid").alias("a"), F.col("sid").alias("b")).distinct(), "pairs")
+    entries = entries.withColumn("lo", F.min("s").over(by_tok)).withColumn("hi", F.max("s").over(by_tok))
+    n, tail = F.shiftright("at", 32).cast("int").alias("n"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("tail")
+    lists = stored(entries.where("lo <> hi").select("tok", "s", n, tail).distinct(), "lists")
+
+    # first round: each set of a list against the one with the largest share of
+    # its prefix in lists, which is near the middle of its near copies
+    hubs = lists.groupBy("s").agg((F.count("*") / (F.first("n") - F.ceil(F.first("n") * percent / 100) + 1)).alias("share"))
+    ranked = lists.join(hubs, "s")
+    head = F.max(F.struct("share", "s", "n", "tail")).over(by_tok)
+    stars = ranked.withColumn("h", head).where("s <> h.s").where(possible(F.col("n"), F.col("h.n"), F.col("tail"), F.col("h.tail"), percent))
+    pairs = stored(stars.select(F.col("h.s").alias("a"), F.col("s").alias("b")).distinct(), "pairs")
     tested = stored(verified(pairs, docs, classes), "tested")
     linked = F.col("overlap") * (100 + percent) >= percent * (F.col("na") + F.col("nb"))
-    labels = component_labels(tested.where(linked))
+    labels = component_labels(tested.where(linked), "ka", "kb")
 
     # second round: pairs across components
-    lists = lists.join(labels.select(F.col("v").alias("sid"), "label"), "sid", "left").withColumn("comp", F.coalesce("label", "sid")).drop("label")
+    comps = classes.join(labels.select(F.col("v").alias("sid"), "label"), "sid", "left").select("s", F.coalesce("label", "sid").alias("comp"))
+    lists = lists.join(comps, "s")
     lists = lists.withColumn("lo", F.min("comp").over(by_tok)).withColumn("hi", F.max("comp").over(by_tok))
     lists = stored(lists.where("lo <> hi").drop("lo", "hi"), "lists")
     blocks = lists.groupBy("tok", "comp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("tail").alias("tail"))
@@ -198,14 +227,14 @@ def links(documents: DataFrame, summaries: DataFrame, percent: int = PERCENT) ->
     block_pairs = x.join(y, (F.col("x.tok") == F.col("y.tok")) & (F.col("x.comp") < F.col("y.comp"))).where(
         (F.least("x.tail", "y.tail") >= need) & (F.col("x.least") * percent <= F.col("y.most") * 100) & (F.col("y.least") * percent <= F.col("x.most") * 100)
     ).select(F.col("x.tok").alias("tok"), F.col("x.comp").alias("ca"), F.col("y.comp").alias("cb"))
-    side = lambda c, s: lists.select("tok", F.col("comp").alias(c), F.col("sid").alias(s), F.col("n").alias(f"n{s}"), F.col("tail").alias(f"t{s}"))
+    side = lambda c, s: lists.select("tok", F.col("comp").alias(c), F.col("s").alias(s), F.col("n").alias(f"n{s}"), F.col("tail").alias(f"t{s}"))
     met = block_pairs.join(side("ca", "a"), ["tok", "ca"]).join(side("cb", "b"), ["tok", "cb"]).where(possible(F.col("na"), F.col("nb"), F.col("ta"), F.col("tb"), percent))
     met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb")).distinct()
-    met = stored(met.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "met")
+    known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    met = stored(met.join(known, ["a", "b"], "left_anti"), "met")
     met = stored(_not_ruled_out(met, tested, linked, percent), "pairs")
     more = stored(verified(met.select("a", "b"), docs, classes), "tested")
-    found = stored(tested.where(linked).unionByName(more.where(linked)), "links")
-    return found, component_labels(found)
+    return component_labels(tested.where(linked).unionByName(more.where(linked)), "ka", "kb")
 
 
 def _not_ruled_out(met: DataFrame, tested: DataFrame, linked: Column, percent: int) -> DataFrame:
@@ -224,8 +253,9 @@ def _not_ruled_out(met: DataFrame, tested: DataFrame, linked: Column, percent: i
 def components(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every row."""
     docs = documents.select("doc_id", F.col("text").cast("string").alias("text"))
-    summaries = stored(docs.mapInArrow(_summaries, "doc_id long, n long, sid binary, slice int, counts binary"), "summaries")
-    _, labels = links(docs, summaries, percent)
+    bits = sketch_bits(docs)
+    summaries = stored(summaries_of(docs, bits), "summaries")
+    labels = links(docs, summaries, bits, percent)
     rows = summaries.where("slice IS NULL").select("doc_id", F.col("n").alias("n_shingles"), "sid")
     some, none = rows.where("sid IS NOT NULL"), rows.where("sid IS NULL")
     classes = some.groupBy("sid").agg(F.min("doc_id").alias("min_id"))
