@@ -47,10 +47,11 @@ def batch_matches(places: DataFrame, queries: DataFrame, most: int = 15) -> Data
     the dimension's names are few and short enough to list."""
     asked = queries.select("query_id", F.upper(strip(text(F.col("query")))).alias("q")).where("q <> ''")
     pieces = lambda c: F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.substring(c, 1, i))
-    some = lambda c: F.when(F.length(c) > 0, pieces(c))
+    none = F.array().cast("array<string>")
+    some = lambda c: F.when(F.length(c) > 0, pieces(c)).otherwise(none)
     inside = F.flatten(F.transform(F.sequence(F.lit(1), F.length("name")), lambda i: some(F.substring("name", i, F.length("name")))))
     keyed = places.withColumn("name", F.upper("airport")).withColumn(
-        "q", F.explode(F.array_distinct(F.concat(some(F.col("code")), some(F.upper("city")), F.when(F.length("name") > 0, inside))))
+        "q", F.explode(F.array_distinct(F.concat(some(F.col("code")), some(F.upper("city")), F.when(F.length("name") > 0, inside).otherwise(none))))
     )
     met = asked.join(keyed, "q").withColumn("priority", priority(F.col("code"), F.col("city"), F.col("airport"), F.col("q")))
     best = Window.partitionBy("query_id").orderBy("priority", "ord")
