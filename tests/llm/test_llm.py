@@ -1,0 +1,535 @@
+"""Each training-text operator against brute force or an exact round trip, and
+on the cases its docstring defines: nulls, empty and long texts, ties, repeated
+rows, empty tables, extra columns with clashing names."""
+
+import collections
+import hashlib
+import itertools
+import math
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from waybill.llm import (
+    chat_format,
+    components,
+    decontaminate,
+    html_extract,
+    jaccard_join,
+    language_hd,
+    media_jpeg,
+    pii_weak,
+    piece_sampling,
+    secret_scan,
+    substring_dedup,
+    words,
+)
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+ODD = ["", None, " ", "\n\t ", "é", "中文 字符", "a" * 70_000, "x\0y", "word " * 3000, "▁ <0x41> ▁▁", "😀 ok", "same", "same"]
+
+
+def docs(spark, texts, first=0, schema=DOCS, extra=""):
+    rows = [(i, t, "en", "s", len(t) if t is not None else None) for i, t in enumerate(texts, first)]
+    df = spark.createDataFrame(rows, schema)
+    for name in extra.split():
+        df = df.withColumn(name, F.lit("clash"))
+    return df
+
+
+def by_id(df, key="doc_id"):
+    return {r[key]: r.asDict(True) for r in df.collect()}
+
+
+# --- words -------------------------------------------------------------------
+
+
+def test_window_hashes_tell_windows_apart():
+    rng = np.random.default_rng(1)
+    for n, size in itertools.product((1, 2, 3, 5, 10, 25, 50), (0, 1, 9, 60, 130)):
+        h = rng.integers(0, 4, size).astype(np.uint64)
+        w = words.window_hashes(h, n)
+        assert len(w) == max(0, size - n + 1)
+        seen = {}
+        for i, x in enumerate(w.tolist()):
+            assert seen.setdefault(tuple(h[i : i + n].tolist()), x) == x
+        assert len(set(seen.values())) == len(seen)
+        assert words.sliding_min(h, n).tolist() == [int(h[i : i + n].min()) for i in range(max(0, size - n + 1))]
+
+
+def test_hashed_words_match_splitting():
+    texts = [(t or "").encode() for t in ODD] + [b" a  b\x0bc ", b"", b"\xc2\x85x\xc2\xa0y"]
+    hashes, counts = words.hashed_words(texts)
+    flat = [w for t in texts for w in t.split()]
+    assert counts.tolist() == [len(t.split()) for t in texts]
+    assert len(set(zip(flat, hashes.tolist(), strict=True))) == len(set(flat)) == len(set(hashes.tolist()))
+
+
+# --- 1 media -----------------------------------------------------------------
+
+
+def test_media_round_trip(spark):
+    texts = ODD + ["z" * (64 * 8191 * 2 + 5)]
+    got = by_id(media_jpeg.thumbnail_features(media_jpeg.with_media(docs(spark, texts, extra="media feature"))))
+    for i, t in enumerate(texts):
+        raw = (t or "").encode()
+        payload = raw + b"\0" * (-len(raw) % 64 or (0 if raw else 64))
+        r = got[i]
+        assert (r["n_bytes"], r["payload_bytes"]) == (len(raw), len(payload))
+        assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest()
+        assert r["tail_crc32"] == zlib.crc32(payload[-64:])
+        assert r["width"] == 512 and r["height"] % 8 == 0
+    assert got[0]["media_sha256"] == got[1]["media_sha256"] and got[11]["feature"] == got[12]["feature"]
+    assert media_jpeg.thumbnail_features(media_jpeg.with_media(docs(spark, []))).count() == 0
+
+
+def test_media_that_is_no_jpeg_has_null_features(spark):
+    df = spark.createDataFrame([(1, 5, b"no jpeg"), (2, 5, None), (3, 5, media_jpeg.encode_payloads([media_jpeg.pad(b"x" * 500)])[0][:200])], "doc_id long, n_bytes long, media binary")
+    got = by_id(media_jpeg.thumbnail_features(df))
+    assert all(r["feature"] is None for r in got.values())
+
+
+def _bits(pairs):
+    s = "".join(format(code, f"0{n}b") for n, code in pairs)
+    s += "1" * (-len(s) % 8)
+    return bytes(int(s[i : i + 8], 2) for i in range(0, len(s), 8)).replace(b"\xff", b"\xff\0")
+
+
+def test_reader_takes_subsampled_colour_with_ac():
+    """A 16x16 picture of 4:2:0 colour with AC coefficients, written by hand."""
+    dc = {s: (n, c) for s, n, c in media_jpeg.code_table(media_jpeg.DC_COUNTS, media_jpeg.DC_SYMBOLS)}
+    counts, symbols = (0, 2, 1) + (0,) * 13, (0x00, 0x01, 0xF0)
+    ac = {s: (n, c) for s, n, c in media_jpeg.code_table(counts, symbols)}
+
+    def block(diff, acs):
+        size = abs(diff).bit_length()
+        out = [dc[size]] + ([(size, diff if diff > 0 else diff + (1 << size) - 1)] if size else [])
+        for a in acs:
+            out += [ac[0x01], (1, 1)] if a else [ac[0xF0]]
+        return out + [ac[0x00]]
+
+    luma, pred, stream = [40, -30, 7, 0], 0, []
+    for v in luma:
+        stream += block(v - pred, [1, 0, 1])
+        pred = v
+    stream += block(5, [1]) + block(-9, [])
+    seg = media_jpeg._segment
+    media = b"\xff\xd8" + seg(0xDB, b"\0" + b"\x10" * 64) + seg(0xC0, b"\x08\0\x10\0\x10\x03\x01\x22\0\x02\x11\0\x03\x11\0")
+    media += seg(0xC4, b"\0" + bytes(media_jpeg.DC_COUNTS) + bytes(media_jpeg.DC_SYMBOLS)) + seg(0xC4, b"\x10" + bytes(counts) + bytes(symbols))
+    media += seg(0xDA, b"\x03\x01\0\x02\0\x03\0\0\x3f\0") + _bits(stream) + b"\xff\xd9"
+    ((w, h, thumb),) = media_jpeg.thumbnails([media])[0]
+    assert (w, h) == (16, 16)
+    assert thumb.ravel().tolist() == [min(255, max(0, v * 2 + 128)) for v in luma]
+
+
+# --- 2 Jaccard join ----------------------------------------------------------
+
+
+def brute_components(texts):
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append({tuple(w[i : i + min(5, len(w))]) for i in range(max(1, len(w) - 4))} if w else set())
+    label = list(range(len(texts)))
+    for _ in texts:
+        for i, j in itertools.combinations(range(len(texts)), 2):
+            if sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                label[i] = label[j] = min(label[i], label[j])
+    return [len(s) for s in sets], label
+
+
+def near_copies(seed=5):
+    rng = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(400)]
+    texts = list(ODD)
+    for n in (4, 5, 6, 30, 60, 120, 200):
+        base = [rng.choice(vocabulary) for _ in range(n)]
+        texts += [" ".join(base), " ".join(base).upper(), "  ".join(base)]
+        for edits in (1, 1, 2, 3, 4, 6):
+            copy = list(base)
+            for _ in range(edits):
+                copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
+            texts.append(" ".join(copy))
+    passage = " ".join(rng.choice(vocabulary) for _ in range(40))
+    texts += [passage + " " + " ".join(rng.choice(vocabulary) for _ in range(30)) for _ in range(8)]
+    rng.shuffle(texts)
+    return texts
+
+
+def test_jaccard_components_match_brute_force(spark):
+    texts = near_copies()
+    got = by_id(jaccard_join.components(docs(spark, texts, extra="n sid component_id").repartition(5)))
+    sizes, labels = brute_components(texts)
+    assert [got[i]["n_shingles"] for i in range(len(texts))] == sizes
+    assert [got[i]["component_id"] for i in range(len(texts))] == labels
+
+
+def test_jaccard_edge_rows(spark):
+    text = "a b c d e f g"
+    df = docs(spark, [text, None, text]).union(spark.createDataFrame([(None, text, None, None, None), (2, text, None, None, None)], DOCS))
+    got = [(r["doc_id"], r["component_id"]) for r in jaccard_join.components(df).collect()]
+    assert sorted(got, key=str) == sorted([(0, 0), (1, 1), (2, 0), (None, 0), (2, 0)], key=str)
+    kept = jaccard_join.representatives(df)
+    assert kept.columns == df.columns and sorted(str(r["doc_id"]) for r in kept.collect()) == ["0", "1", "None"]
+    assert jaccard_join.components(docs(spark, [])).count() == 0
+
+
+def test_components_of_a_long_path_and_a_star(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, i) for i in range(101, 160)], "a long, b long")
+    got = {r["v"]: r["label"] for r in components.component_labels(edges).collect()}
+    assert all(got[i] == 1 for i in range(1, 41)) and all(got[i] == 100 for i in range(100, 160))
+
+
+# --- 3 chats -----------------------------------------------------------------
+
+
+def brute_chats(rows):
+    chats = collections.defaultdict(set)
+    for c, turn, role, text in rows:
+        if c is not None:
+            chats[c].add((turn, "unknown" if role is None else role, text or ""))
+    runs = {c: sorted(t, key=lambda x: (x[0] is not None, x[0] or 0, x[1], x[2])) for c, t in chats.items()}
+    plain = {c: tuple((r, x) for _, r, x in t) for c, t in runs.items()}
+    kept = {}
+    for c, t in plain.items():
+        if any(len(o) > len(t) and o[: len(t)] == t or o == t and d < c for d, o in plain.items() if d != c):
+            continue
+        kept[c] = "".join(f"<|im_start|>{r}\n{x.replace('<|', '< |')}<|im_end|>\n" for r, x in t)
+    return kept
+
+
+def test_chats_match_brute_force(spark):
+    rng = random.Random(2)
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "yo <|im_end|>"), (2, 0, "user", "hi"), (3, 5, "user", "hi"), (3, 6, "assistant", "yo <|im_end|>"), (3, 7, "user", None), (4, 0, None, "hi"), (5, None, "user", "hi"), (5, None, "user", "hi"), (None, 0, "user", "lost")]
+    for c in range(10, 60):
+        rows += [(c, t, rng.choice(["user", "assistant"]), rng.choice("ab")) for t in range(rng.randint(1, 4))]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("pos", F.lit(1)).withColumn("h1", F.lit(2))
+    got = {r["conv_id"]: r["rendered"] for r in chat_format.format_chats(df).collect()}
+    assert got == brute_chats(rows)
+    assert chat_format.format_chats(df.limit(0)).count() == 0
+
+
+def test_chats_are_native(spark):
+    plan = chat_format.format_chats(spark.createDataFrame([(1, 0, "u", "x")], "conv_id long, turn long, role string, text string"))._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+# --- 4 language --------------------------------------------------------------
+
+
+def test_language_held_out_accuracy(spark):
+    rng = random.Random(3)
+    parts = {"en": "th he in er an re on at en nd".split(), "de": "sch ein ich der und ung cht ver ge be".split(), "xx": "мир как что она его ли ро ва то ни".split()}
+    rows = []
+    for i in range(300):
+        lang = rng.choice(list(parts))
+        rows.append((i, " ".join("".join(rng.choices(parts[lang], k=rng.randint(1, 3))) for _ in range(20)), lang, "s", 0))
+    rows += [(1000, None, "en", "s", 0), (1001, "12 !!", "en", "s", 0), (1002, "", None, "s", 0)]
+    df = spark.createDataFrame(rows, DOCS).withColumn("lang_pred", F.lit("clash"))
+    got = by_id(language_hd.with_language(df, language_hd.learn(df)).withColumn("held", language_hd.held_out()))
+    held = [r for r in rows[:300] if zlib.crc32(str(r[0]).encode()) % 4 == 2]
+    assert held and all(got[r[0]]["held"] for r in held)
+    assert sum(got[r[0]]["lang_pred"] == r[2] for r in held) >= 0.97 * len(held)
+    assert all((got[i]["lang_pred"], got[i]["score"]) == ("und", 0.0) for i in (1000, 1001, 1002))
+    assert all(0 <= r["score"] <= 1 for r in got.values())
+    kept = language_hd.identified(df)
+    assert kept.columns == [c for c in df.columns if c != "lang_pred"] or set(kept.columns) <= set(df.columns)
+    assert {r["doc_id"] for r in kept.collect()} == set(range(300))
+
+
+def test_language_without_training_or_rows(spark):
+    df = docs(spark, ["hello", None]).withColumn("lang", F.lit(None).cast("string"))
+    assert {r["lang_pred"] for r in language_hd.with_language(df, language_hd.learn(df)).collect()} == {"und"}
+    assert language_hd.with_language(df.limit(0), {}).count() == 0
+
+
+def test_language_bundles_are_sums_of_bound_vectors():
+    v = language_hd.letter_vectors().astype(int)
+    a, b, c = (ord(x) for x in "abc")
+    want = np.roll(v[a], 2) * np.roll(v[b], 1) * v[c]
+    assert (language_hd.trigram_vectors(np.array([a << 20 | b << 10 | c]))[0] == want).all()
+    assert len(language_hd.trigram_codes("Ab-c")) == 4 and len(language_hd.trigram_codes("1 2")) == 0
+
+
+# --- 5 pages -----------------------------------------------------------------
+
+PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{{}}</style></head><body><header><h1>Site</h1></header><nav><a href=/>Home</a></nav>
+<div class="cookie-notice">We use cookies</div>{layout}<article><h1>Title &eacute; {n}</h1><p>One<br>two &lt;b&gt; <b>bold</b>
+ text {n}<p>Second <!-- no --> {n}<div><span>Read all our news</span></div><ul><li>a{n}<li>b</ul><table><tr><td>x{n}<td>y{n}</table><form><p>mail</p></form>
+<section id="comments"><p>nice!</p></section><p title="a > b">last {n}</p></article><footer>f</footer><script>if (a<b) "</p>"</script></body></html>"""
+
+
+def test_pages_lose_fixed_parts_and_site_template(spark):
+    rows = [(i, f"http://Site.example/{i}", PAGE.format(n=i, layout="")) for i in range(8)]
+    rows += [(100, "http://other.example/", PAGE.format(n=100, layout="")), (101, None, None), (102, "nowhere", "")]
+    rows += [(200 + i, f"https://plain.example/{i}", f"<html><body><div><p>Always here</p></div><div><p>Own text {i}") for i in range(6)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash")).withColumn("host", F.lit("clash"))
+    got = by_id(html_extract.main_texts(df), "page_id")
+    body = lambda n: f"Title é {n}\nOne two <b> bold text {n}\nSecond {n}\n{{}}a{n}\nb\nx{n}\ny{n}\nlast {n}"
+    assert got[3]["text"] == body(3).format("").replace("\nb\n", "\n")  # the item that every page has goes too
+    assert got[100]["text"] == body(100).format("Read all our news\n")
+    assert got[101]["text"] == "" == got[102]["text"] and got[101]["n_chars"] == 0
+    assert got[203]["text"] == "Own text 3" and got[3]["n_chars"] == len(got[3]["text"])
+    assert html_extract.main_texts(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("source", ["<", "<p", "</p>", "<div><div", "<article>x", "a<b>c", "<!-- x", "<p a='", "<script>", "&amp", "<td>x</table>y", "<nav>a</article>b", "<" * 3000, "<div>" * 3000 + "x"])
+def test_pages_tolerate_broken_markup(source):
+    html_extract.page_blocks(source)
+
+
+# --- 6 pieces ----------------------------------------------------------------
+
+
+def test_pieces_round_trip_and_repeat(spark):
+    df = docs(spark, ODD, extra="pieces decoded").repartition(3)
+    both = piece_sampling.decoded(piece_sampling.encoded(df))
+    got = by_id(both)
+    assert all(got[i]["decoded"] == t for i, t in enumerate(ODD))
+    assert got[1]["pieces"] is None and got[0]["pieces"] == [] and got[0]["n_pieces"] == 0
+    again = by_id(piece_sampling.encoded(df.coalesce(1).orderBy(F.desc("doc_id"))))
+    assert all(again[i]["pieces"] == got[i]["pieces"] for i in got)
+    other = by_id(piece_sampling.encoded(df, seed=1))
+    assert other[8]["pieces"] != got[8]["pieces"]
+    assert piece_sampling.encoded(df.limit(0)).count() == 0
+
+
+def test_pieces_are_drawn_with_their_exact_shares():
+    v = piece_sampling.Vocabulary(piece_sampling.default_model())
+    lattices = piece_sampling.Lattices(v, 0.2)
+
+    def segmentations(rest):
+        if not rest:
+            yield (), 0.0
+        for j in range(1, len(rest) + 1):
+            if hit := v.pieces.get(rest[:j]):
+                for tail, w in segmentations(rest[j:]):
+                    yield (hit[0], *tail), 0.2 * hit[1] + w
+
+    share = {s: math.exp(w) for s, w in segmentations(" then")}
+    total, n = sum(share.values()), 20_000
+    drawn = collections.Counter(tuple(x.tolist()) for x in piece_sampling.encode_texts(["then"] * n, [str(i) for i in range(n)], lattices, 3))
+    assert set(drawn) <= set(share)
+    for s, w in share.items():
+        p = w / total
+        assert abs(drawn[s] / n - p) < 5 * math.sqrt(p * (1 - p) / n) + 1e-4
+
+
+# --- 7 personal data ---------------------------------------------------------
+
+
+def brute_pii(t):
+    out = [("email", m.start(), m.end()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [("ip", m.start(), m.end()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
+    for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t):
+        d = re.sub("[ -]", "", m[0])
+        if 16 <= len(d) <= 19 and pii_weak.luhn(d):
+            out.append(("card", m.start(), m.end()))
+    return out + [("phone", m.start(), m.end()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 8 <= sum(c.isdigit() for c in m[0]) <= 15]
+
+
+def test_pii_base_spans_match_the_plain_patterns():
+    rng = random.Random(1)
+    bits = ["a", "b.c", "@", ".", "-", "4111 1111 1111 1111", "4111111111111111", "1", "25", "256", "0", "+", "+1 (", "555", ") ", "%", " ", "é", "٣", "x@y", ".com", "@@", "1.2.3.4", "5-5"]
+    for _ in range(4000):
+        t = "".join(rng.choice(bits) for _ in range(rng.randint(0, 14)))
+        assert brute_pii(t) == pii_weak.base_spans(t)
+
+
+def test_pii_rows_and_added_spans(spark):
+    texts = [f"call me: (212) 555-{1000 + i} today or mail a{i}@b.org" for i in range(30)] + ["ssn 123-45-6789 here", "order 000-00-0000"] + ODD
+    got = by_id(pii_weak.personal_data(docs(spark, texts, extra="spans found")))
+    for i, t in enumerate(texts):
+        base = sorted(brute_pii(t or ""), key=lambda s: (pii_weak.BASE_KINDS.index(s[0]), s[1]))
+        joined = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
+        assert got[i]["base_sha256"] == hashlib.sha256(joined.encode()).hexdigest()
+        assert [got[i][f"n_{k}"] for k in pii_weak.BASE_KINDS] == [sum(s[0] == k for s in base) for k in pii_weak.BASE_KINDS]
+        assert set(joined.split(",")) - {""} <= set(got[i]["spans"].split(","))
+    assert "national_phone:9:23" in got[0]["spans"] and "national_id" not in got[31]["spans"]
+    assert pii_weak.personal_data(docs(spark, [])).count() == 0
+
+
+def test_em_finds_the_reliable_labeler():
+    rng = np.random.default_rng(0)
+    truth = rng.random(4000) < 0.5
+    vote = lambda accuracy: np.where(rng.random(4000) < accuracy, truth, ~truth)
+    votes = np.stack([np.where(vote(a), 1, 2) for a in (0.95, 0.8, 0.6)], axis=1)
+    p, rates, _ = pii_weak.reliabilities(votes, np.ones(4000))
+    assert ((p > 0.5) == truth).mean() > 0.93
+    assert rates[0, 1, 1] > rates[1, 1, 1] > rates[2, 1, 1]
+
+
+# --- 8 decontamination -------------------------------------------------------
+
+
+def brute_contamination(texts, items):
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+    windows = collections.defaultdict(set)
+    for item, t in items:
+        w = split(t)
+        n = min(10, len(w))
+        for i in range(len(w) - n + 1) if n else ():
+            windows[tuple(w[i : i + n])].add(str(item))
+    out = []
+    for t in texts:
+        w, hit, found = split(t), set(), set()
+        for n in {len(x) for x in windows}:
+            for i in range(len(w) - n + 1):
+                if tuple(w[i : i + n]) in windows:
+                    hit |= set(range(i, i + n))
+                    found |= windows[tuple(w[i : i + n])]
+        out.append((len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
+    return out
+
+
+def test_contamination_matches_brute_force(spark):
+    rng = random.Random(4)
+    word = lambda: rng.choice(["alpha", "Beta", "c3", "é", "d"]) + str(rng.randint(0, 9))
+    items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate((3, 1, 9, 10, 11, 30, 30))] + [(7, None), (8, "!!"), (5, "x y z"), (10, "Q1 q2")]
+    texts = list(ODD) + ["x, Y. z", "q1 q2 q1 q2"]
+    for _ in range(60):
+        w = [word() for _ in range(rng.randint(0, 40))]
+        source = rng.choice(items)[1] or ""
+        s = source.upper().split()
+        a = rng.randint(0, max(0, len(s) - 1))
+        texts.append(" ".join(w + s[a : a + rng.randint(1, 30)] + [word() for _ in range(rng.randint(0, 9))]))
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("n", F.lit(1))
+    df = docs(spark, texts, extra="n_words near row")
+    got = {}
+    for r in decontaminate.contamination(df, bench).withColumn("sha", F.sha2(F.array_join("items", ","), 256)).collect():
+        got[r["doc_id"]] = (r["n_words"], r["n_hit"], r["n_items"], r["sha"], r["contaminated"])
+    want = brute_contamination(texts, items)
+    assert [got[i] for i in range(len(texts))] == want
+    kept = decontaminate.uncontaminated(df, bench)
+    assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [i for i, w in enumerate(want) if not w[4]]
+    assert decontaminate.contamination(docs(spark, []), bench).count() == 0
+    assert not any(r["contaminated"] for r in decontaminate.contamination(df, bench.limit(0)).collect())
+
+
+# --- 9 secrets ---------------------------------------------------------------
+
+_ASSIGN = re.compile("(" + "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token")) + "|[aA][pP][iI]_?[kK][eE][yY])[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
+
+
+def brute_secrets(t):
+    out = [("assign", m.start(), m.end()) for m in _ASSIGN.finditer(t) if len(m[2]) >= 6]
+    out += [("access", m.start(), m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+    out += [("hex", m.start(), m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+    return sorted(out, key=lambda s: (s[1], secret_scan.KINDS.index(s[0])))
+
+
+def test_secret_base_spans_match_the_plain_patterns():
+    rng = random.Random(3)
+    bits = ["password", "PassWd", "secret", "token", "api_key", "apikey", ":", "=", " ", '"', "'", "abcdef123", "AKIA", "ABCDEFGHIJKLMNOP0123", "0123456789abcdef0123456789", "é", "İ", "ſecret", "x", "."]
+    for _ in range(4000):
+        t = "".join(rng.choice(bits) for _ in range(rng.randint(0, 14)))
+        assert brute_secrets(t) == [s for s in secret_scan.spans_of(t) if s[0] in secret_scan.BASE_KINDS]
+
+
+def test_secrets_with_embedded_checks():
+    body = "Zq" * 15
+    good = "ghp_" + body + secret_scan.base62(zlib.crc32(body.encode()), 6)
+    assert ("service", 4, 44) in secret_scan.spans_of(f"see {good} ok")
+    assert not secret_scan.spans_of(f"see {good[:-1]}_ ok")
+    token = "eyJhbGciOiJIUzI1NiJ9.eyJhIjoxfQ.c2ln"
+    assert [s[0] for s in secret_scan.spans_of("é " + token)] == ["web"] and not secret_scan.spans_of("eyJxxxx.yyyy.zzzz")
+    key = "-----BEGIN PRIVATE KEY-----\nMAMCAQA=\n-----END PRIVATE KEY-----"
+    assert [s[0] for s in secret_scan.spans_of(key)] == ["key"] and not secret_scan.spans_of(key.replace("MAMC", "MAQC"))
+
+
+def test_secret_rows_and_redaction(spark):
+    texts = ["token = abcdefgh", "a 0123456789abcdef01234567 b", "plain"] + ODD
+    df = docs(spark, texts, extra="spans")
+    got = by_id(secret_scan.secrets(df))
+    assert [got[0][f"n_{k}"] for k in secret_scan.BASE_KINDS] == [1, 0, 0] and got[1]["spans"] == "hex:2:26" and got[2]["spans"] == ""
+    red = by_id(secret_scan.redacted(df))
+    assert red[0]["text"] == "[assign]" and red[0]["n_chars"] == 8 and red[1]["text"] == "a [hex] b"
+    assert red[3 + ODD.index("a" * 70_000)]["text"] == "[hex]"
+    assert all(red[i]["text"] == t for i, t in enumerate(texts) if i > 1 and t != "a" * 70_000) and secret_scan.redacted(df).columns == df.columns
+    assert secret_scan.secrets(docs(spark, [])).count() == 0
+
+
+# --- 10 substrings -----------------------------------------------------------
+
+
+def brute_substrings(texts):
+    split = [(t or "").encode().split() for t in texts]
+    owner = {}
+    for d, w in enumerate(split):
+        for i in range(len(w) - 49):
+            owner.setdefault(tuple(w[i : i + 50]), d)
+    out = []
+    for d, w in enumerate(split):
+        gone = set()
+        for i in range(len(w) - 49):
+            if owner[tuple(w[i : i + 50])] < d:
+                gone |= set(range(i, i + 50))
+        out.append((len(w), len(gone), hashlib.sha256(b" ".join(x for i, x in enumerate(w) if i not in gone)).hexdigest()))
+    return out
+
+
+def test_substrings_match_brute_force(spark):
+    rng = random.Random(6)
+    word = lambda: f"w{rng.randint(0, 500)}"
+    passages = [[word() for _ in range(n)] for n in (49, 50, 51, 80, 200)]
+    texts = list(ODD) + ["r " * 60, "r " * 200, "r\n" * 55 + "s"]
+    for _ in range(60):
+        w = []
+        for _ in range(rng.randint(0, 4)):
+            p = rng.choice(passages)
+            a = rng.choice([0, 0, 0, rng.randint(0, len(p) - 1)])
+            w += p[a : a + rng.choice([len(p), 50, 60])] + [word() for _ in range(rng.randint(0, 30))]
+        texts.append(" ".join(w))
+    texts += texts[-5:]
+    df = docs(spark, texts, extra="window kept copies").repartition(6)
+    got = by_id(substring_dedup.deduplicated(df))
+    want = brute_substrings(texts)
+    assert [(got[i]["n_words"], got[i]["n_removed"], got[i]["kept_sha256"]) for i in range(len(texts))] == want
+    assert sum(w[1] > 0 for w in want) > 20
+    assert substring_dedup.deduplicated(docs(spark, [])).count() == 0
+
+
+def test_substrings_of_equal_and_missing_ids(spark):
+    text = " ".join(str(i) for i in range(70))
+    rows = [(5, text), (5, text), (None, text), (9, text), (9, "other " * 3)]
+    got = collections.Counter((r["doc_id"], r["n_removed"]) for r in substring_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == {(5, 0): 2, (None, 0): 1, (9, 70): 1, (9, 0): 1}
+
+
+def test_phrase_automata_find_every_occurrence(spark):
+    texts = ["abcabc", None, "xbcx", "", "aaaa"]
+    phrases = [(1, "bc"), (2, "abc"), (3, ""), (4, None), (5, "aa"), (6, "bc")]
+    found = substring_dedup.locate_phrases(docs(spark, texts), spark.createDataFrame(phrases, "phrase_id long, text string"), shard_chars=4)
+    want = [(d, p, i, i + len(w)) for d, t in enumerate(texts) for p, w in phrases if w and t for i in range(len(t)) if t.startswith(w, i)]
+    assert sorted((r[0], r[1], r[2], r[3]) for r in found.collect()) == sorted(want)
+
+
+# --- pipeline ----------------------------------------------------------------
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices(["th", "he", "in", "er", "an"], k=3))
+    text = lambda n=40: " ".join(word() for _ in range(n))
+    item, base = text(15), text(60)
+    texts = [text() for _ in range(30)] + [base, base, base + " end", "1234 !!", None, "so " + item + " it is", "token = abcdefgh and " + text(20)]
+    docs(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = by_id(corpus_pipeline.run(spark, str(tmp_path)))
+    kept = [i for i, t in enumerate(texts) if t and re.search("[a-z]", t)]
+    _, label = brute_components([texts[i] for i in kept])
+    kept = [d for k, d in enumerate(kept) if label[k] == k]
+    hit = brute_contamination([texts[i] for i in kept], [(1, item)])
+    kept = [d for d, h in zip(kept, hit, strict=True) if not h[4]]
+    assert sorted(got) == kept and 30 in kept and 31 not in kept and 35 not in kept
+    v = piece_sampling.Vocabulary(piece_sampling.default_model())
+    for d in kept:
+        clean = secret_scan.redact(texts[d])
+        assert got[d]["text"] == clean and piece_sampling.decode_ids(got[d]["pieces"], v.bytes) == clean
+    assert "abcdefgh" not in got[36]["text"]

@@ -2,8 +2,8 @@
 
 First pass: each page's block elements are hashed as subtrees (tag, class, id,
 texts, children), and Spark counts on how many pages of its host each hash
-occurs.  A subtree on at least ``MIN_PAGES`` pages and ``MIN_SHARE`` of its
-host's pages belongs to the site's template.  Second pass: template subtrees
+occurs (pages of equal text once).  A subtree on at least ``MIN_PAGES`` pages and
+``MIN_SHARE`` of its host's pages belongs to the site's template.  Second pass: template subtrees
 are deleted, and of what is left the article is taken: the longest ``article``
 element, else ``main``, else the body.  Elements that are never article text
 (menus, headers, footers, sidebars, forms, scripts, styles; by tag, role, or a
@@ -219,22 +219,28 @@ def host(url: Column) -> Column:
 
 
 def _hash_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(host, page, subtree) for each subtree, page naming the page's text, and
+    one row without subtree for the page itself."""
     for b in small_batches(batches, "html", BATCH_BYTES):
-        hosts, hashes = [], []
+        hosts, texts, hashes = [], [], []
         for h, source in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            found = page_blocks(source or "")[1]
-            hosts += [h] * len(found)
-            hashes += found
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64())], names=["host", "subtree"])
+            blocks, found = page_blocks(source or "")
+            hosts += [h] * (len(found) + 1)
+            texts += [xxhash.xxh64_intdigest("\n".join(blocks)) - (1 << 63)] * (len(found) + 1)
+            hashes += [*found, None]
+        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(texts, pa.int64()), pa.array(hashes, pa.int64())], names=["host", "page", "subtree"])
 
 
 def site_templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
-    """(host, template): the hashes of each host's recurring subtrees."""
+    """(host, template): the hashes of each host's recurring subtrees.
+
+    Pages of one text count once, so copies of an article do not make it a template."""
     hosted = pages.select(host(F.col("url")).alias("host"), F.col("html").cast("string").alias("html")).where("host IS NOT NULL")
-    sizes = hosted.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
-    counts = hosted.mapInArrow(_hash_batches, "host string, subtree long").groupBy("host", "subtree").agg(F.count("*").alias("n"))
-    often = stored(counts.where(F.col("n") >= min_pages), "subtrees")
-    return often.join(sizes, "host").where(F.col("n") >= min_share * F.col("pages")).groupBy("host").agg(F.collect_set("subtree").alias("template"))
+    seen = hosted.mapInArrow(_hash_batches, "host string, page long, subtree long").distinct()
+    often = stored(seen.groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages), "subtrees")
+    sizes = often.where("subtree IS NULL").select("host", F.col("n").alias("pages"))
+    common = often.where("subtree IS NOT NULL").join(sizes, "host").where(F.col("n") >= min_share * F.col("pages"))
+    return common.groupBy("host").agg(F.collect_set("subtree").alias("template"))
 
 
 def _text_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
