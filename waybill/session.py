@@ -8,14 +8,20 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
+#: Rows in an Arrow batch: whole documents are large rows, and a batch is held
+#: several times over on its way to Python.
+ARROW_ROWS = 2000
+_ARROW_CONF, _ARROW_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
 
 
-def workers_find_package(spark: SparkSession) -> SparkSession:
+def prepared(spark: SparkSession) -> SparkSession:
     """Let Python workers on this machine import this package from where the
-    driver has it.  On a cluster ship it with ``--py-files`` as usual; the
-    extra entry is harmless there."""
+    driver has it (on a cluster ship it with ``--py-files`` as usual; the extra
+    entry is harmless there), and keep Arrow batches small unless told otherwise."""
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([*paths, ROOT])
+    if spark.conf.get(_ARROW_CONF, _ARROW_DEFAULT) == _ARROW_DEFAULT:
+        spark.conf.set(_ARROW_CONF, str(ARROW_ROWS))
     return spark
