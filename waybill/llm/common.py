@@ -64,15 +64,15 @@ def slot(*keys: str) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*keys), 64 - SLOT_BITS)
 
 
-def bit_table(df: DataFrame, place: Column) -> np.ndarray:
-    """Which places occur, as words of 64 bits.  What the driver gathers is
-    2**(SLOT_BITS - 6) longs at most, however many rows there are; a table that
-    is too full only tells less."""
-    bits = np.zeros(1 << (SLOT_BITS - 6), np.uint64)
+def bit_table(df: DataFrame, place: Column, bits: int = SLOT_BITS) -> np.ndarray:
+    """Which places below 2**bits occur, as words of 64 bits.  What the driver
+    gathers is 2**(bits - 6) longs at most, however many rows there are; a table
+    that is too full only tells less."""
+    table = np.zeros(1 << (bits - 6), np.uint64)
     places = df.select(place.alias("p")).groupBy(F.shiftright("p", 6).cast("int").alias("at"))
-    for r in places.agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits")).collect():
-        bits[r["at"]] = np.uint64(r["bits"] & (1 << 64) - 1)
-    return bits
+    found = places.agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits")).where("at IS NOT NULL").toArrow()
+    table[found["at"].to_numpy()] = found["bits"].to_numpy().view(np.uint64)
+    return table
 
 
 def in_table(bits: np.ndarray, places: np.ndarray) -> np.ndarray:

@@ -36,12 +36,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waybill.llm.common import read_table, small_batches, stored
-from waybill.llm.words import WordHashes, sliding_min, window_hashes
+from waybill.llm.common import SLOT_BITS, bit_table, in_table, read_table, small_batches, stored
+from waybill.llm.words import ODD, WordHashes, mixed, sliding_min, window_hashes
 
 WINDOW = 10
 KGRAM = 5
-TABLE_BITS = 22
 
 _WORD_BYTES = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 
@@ -51,8 +50,9 @@ def _split(text: str | None) -> list[bytes]:
 
 
 def slots(fingerprints: np.ndarray, length: int) -> np.ndarray:
-    """Places in the bit table; spans of different length use different ones."""
-    return ((fingerprints ^ np.uint64(length * 0x5851F42D4C957F2D & (1 << 64) - 1)) >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+    """Places in the bit table; spans of different length use different ones.
+    Smallest hashes are small numbers, so they are mixed once more."""
+    return (mixed((fingerprints + np.uint64(length)) * ODD) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
 def window_fingerprints(h: np.ndarray) -> np.ndarray:
@@ -62,7 +62,7 @@ def window_fingerprints(h: np.ndarray) -> np.ndarray:
 
 def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
-    for b in small_batches(batches, "text", 1 << 20):
+    for b in small_batches(batches, "text", 1 << 19):
         rows = []
         for item, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             words = _split(text)
@@ -81,28 +81,24 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
     return benchmark.select(F.col("item_id").cast("string"), F.col("text").cast("string")).where("text IS NOT NULL").mapInArrow(_item_windows, "item_id string, n int, slot bigint, window string")
 
 
-def bit_table(windows: DataFrame) -> tuple[np.ndarray, list[int]]:
-    """The benchmark's fingerprints as a table of 2**TABLE_BITS bits (gathered as
-    2**(TABLE_BITS-6) longs at most), and the lengths of its short items."""
-    bits = np.zeros(1 << (TABLE_BITS - 6), np.uint64)
-    for r in windows.groupBy(F.shiftright("slot", 6).alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits")).collect():
-        bits[r["at"]] = np.uint64(r["bits"] & (1 << 64) - 1)
+def fingerprint_table(windows: DataFrame) -> tuple[np.ndarray, list[int]]:
+    """The benchmark's fingerprints as a bit table, and its short items' lengths."""
     short = sorted(r["n"] for r in windows.where(F.col("n") < WINDOW).select("n").distinct().collect())
-    return bits, short
+    return bit_table(windows, F.col("slot")), short
 
 
 def candidates(documents: DataFrame, bits: np.ndarray, short: list[int], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns, n_words and the document's windows whose fingerprint the
     bit table has: array of (at, n, window)."""
 
-    def listed(slot: np.ndarray) -> np.ndarray:
-        return np.flatnonzero(bits[slot >> 6] >> (slot & 63).astype(np.uint64) & np.uint64(1))
+    def listed(places: np.ndarray) -> np.ndarray:
+        return np.flatnonzero(in_table(bits, places))
 
     struct = pa.struct([("at", pa.int32()), ("n", pa.int32()), ("window", pa.string())])
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for b in small_batches(rows, "__text", 1 << 20):
+        for b in small_batches(rows, "__text", 1 << 19):
             counts, found = [], []
             for text in b.column(0).to_pylist():
                 words = _split(text)
@@ -122,7 +118,7 @@ def candidates(documents: DataFrame, bits: np.ndarray, short: list[int], keep: t
 def contamination(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items (array), contaminated by row."""
     windows = stored(benchmark_windows(benchmark), "bench-windows")
-    bits, short = bit_table(windows)
+    bits, short = fingerprint_table(windows)
     found = stored(candidates(documents, bits, short).withColumn("row", F.monotonically_increasing_id()), "candidates")
     near = found.where(F.size("near") > 0).select("row", F.explode("near").alias("w")).select("row", "w.at", "w.n", "w.window")
     hits = near.join(windows.select("window", "item_id").distinct(), "window")
@@ -150,7 +146,7 @@ def uncontaminated(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     Windows are joined by row number, so documents whose doc_id repeats are
     judged one by one."""
     windows = stored(benchmark_windows(benchmark), "bench-windows")
-    bits, short = bit_table(windows)
+    bits, short = fingerprint_table(windows)
     rows = stored(documents.withColumn("__row", F.monotonically_increasing_id()), "rows")
     found = candidates(rows, bits, short, ("__row",)).where(F.size("near") > 0)
     near = found.select("__row", F.explode("near").alias("w")).select("__row", "w.window")

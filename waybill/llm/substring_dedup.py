@@ -43,11 +43,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waybill.llm.common import bit_table, in_table, read_table, slot, small_batches, stored
-from waybill.llm.words import hashed_words, sliding_min, window_hashes
+from waybill.llm.words import ODD, hashed_words, mixed, sliding_min, window_hashes
 
 WINDOW = 50
 PHRASE = 25
-BATCH_BYTES = 1 << 20
+#: Bits of the table of recurring phrases (2 MB); a fuller table lets more windows through.
+PHRASE_BITS = 24
+BATCH_BYTES = 1 << 19
 
 
 def _hashes(texts: list[str | None]) -> list[np.ndarray]:
@@ -62,12 +64,13 @@ def sequence_key(h: np.ndarray) -> bytes:
 
 
 def chosen_phrases(h: np.ndarray) -> np.ndarray:
-    """The winnowed phrase hash of each window."""
-    return sliding_min(window_hashes(h, PHRASE), WINDOW - PHRASE + 1)
+    """The winnowed phrase of each window.  Smallest hashes are small numbers, so
+    they are mixed again before their leading bits choose a place in a table."""
+    return mixed(sliding_min(window_hashes(h, PHRASE), WINDOW - PHRASE + 1) * ODD)
 
 
 def _phrase_slot(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(42)).astype(np.int64)
+    return (hashes >> np.uint64(64 - PHRASE_BITS)).astype(np.int64)
 
 
 class _Seen(dict):
@@ -184,7 +187,7 @@ def deduplicated(documents: DataFrame, keep_text: bool = True) -> DataFrame:
     copies = keyed.join(firsts, "key").where("doc_id > first").groupBy("doc_id").agg(F.collect_set("key").alias("copies"))
 
     recurring = survey.where("phrase IS NOT NULL").groupBy("phrase").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo < hi")
-    bits = bit_table(recurring, F.shiftrightunsigned("phrase", 42))
+    bits = bit_table(recurring, F.shiftrightunsigned("phrase", 64 - PHRASE_BITS), PHRASE_BITS)
     windows = stored(_windows(known, bits), "windows")
     owners = stored(windows.groupBy("window").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").select("window", "owner"), "owners")
     foreign = stored(windows.join(owners, "window").where("doc_id > owner").select("doc_id", "window"), "foreign")
@@ -216,6 +219,8 @@ def locate_phrases(documents: DataFrame, phrases: DataFrame, shard_chars: int =
     out = None
     for shard in range(shards):
         words = [(r["phrase_id"], r["text"]) for r in sized.where(F.col("shard") == shard).collect()]
+        if not words:
+            continue
 
         def batches(rows: Iterator[pa.RecordBatch], words: list = words) -> Iterator[pa.RecordBatch]:
             by_text: dict[str, list] = {}
