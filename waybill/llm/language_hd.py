@@ -78,22 +78,41 @@ def trigram_vectors(codes: np.ndarray) -> np.ndarray:
 def bundle(counts: np.ndarray, codes: np.ndarray) -> np.ndarray:
     """Integer sum of the trigrams' vectors, in pieces of bounded memory."""
     total = np.zeros(DIMENSIONS, np.int64)
-    for i in range(0, len(codes), 4096):
-        total += counts[i : i + 4096] @ trigram_vectors(codes[i : i + 4096]).astype(np.int64)
+    for i in range(0, len(codes), 1024):
+        total += (counts[i : i + 1024].astype(np.float64) @ trigram_vectors(codes[i : i + 1024]).astype(np.float64)).astype(np.int64)
     return total
 
 
+class _Counts:
+    """Trigram counts of one language; bundled and forgotten when they are many."""
+
+    def __init__(self):
+        self.codes, self.counts, self.total = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(DIMENSIONS, np.int64)
+
+    def add(self, found: list[np.ndarray]) -> None:
+        codes, counts = np.unique(np.concatenate(found), return_counts=True)
+        merged, place = np.unique(np.concatenate([self.codes, codes]), return_inverse=True)
+        self.counts = np.bincount(place, weights=np.concatenate([self.counts, counts]), minlength=len(merged)).astype(np.int64)
+        self.codes = merged
+        if len(merged) > 100_000:
+            self.flush()
+
+    def flush(self) -> np.ndarray:
+        self.total += bundle(self.counts, self.codes)
+        self.codes, self.counts = self.codes[:0], self.counts[:0]
+        return self.total
+
+
 def _training_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sums: dict[str, np.ndarray] = {}
-    for b in small_batches(batches, "text", 8 << 20):
+    sums: dict[str, _Counts] = {}
+    for b in small_batches(batches, "text", BATCH_BYTES):
         by_lang: dict[str, list[np.ndarray]] = {}
         for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
             by_lang.setdefault(lang, []).append(trigram_codes(text))
         for lang, found in by_lang.items():
-            codes, counts = np.unique(np.concatenate(found), return_counts=True)
-            sums[lang] = sums.get(lang, 0) + bundle(counts, codes)
+            sums.setdefault(lang, _Counts()).add(found)
     if sums:
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.int64()))], names=["lang", "vector"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([v.flush().tolist() for v in sums.values()], pa.list_(pa.int64()))], names=["lang", "vector"])
 
 
 def prototypes(labelled: DataFrame) -> dict[str, np.ndarray]:
@@ -116,8 +135,8 @@ def predict_texts(texts: list[str | None], names: list[str], unit: np.ndarray) -
     vocabulary, place = np.unique(np.concatenate([codes[i] for i in some]), return_inverse=True)
     doc = np.repeat(np.arange(len(some)), [len(codes[i]) for i in some])
     bundles = np.zeros((len(some), DIMENSIONS), np.float32)
-    for lo in range(0, len(vocabulary), 4096):
-        n = min(4096, len(vocabulary) - lo)
+    for lo in range(0, len(vocabulary), 2048):
+        n = min(2048, len(vocabulary) - lo)
         inside = (place >= lo) & (place < lo + n)
         counts = np.bincount(doc[inside] * n + place[inside] - lo, minlength=len(some) * n).reshape(len(some), n)
         bundles += counts.astype(np.float32) @ trigram_vectors(vocabulary[lo : lo + n]).astype(np.float32)
@@ -129,19 +148,19 @@ def predict_texts(texts: list[str | None], names: list[str], unit: np.ndarray) -
     return langs, scores
 
 
-def with_language(documents: DataFrame, learnt: dict[str, np.ndarray], keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns and lang_pred, score; ``learnt`` comes from :func:`prototypes`."""
+def with_language(documents: DataFrame, learnt: dict[str, np.ndarray], keep: tuple[str, ...] = ("doc_id",), results: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``keep`` columns and the two ``results``; ``learnt`` comes from :func:`prototypes`."""
     names = [n for n, v in learnt.items() if np.linalg.norm(v)]
     unit = np.stack([learnt[n] / np.linalg.norm(learnt[n]) for n in names], axis=1) if names else np.zeros((DIMENSIONS, 0))
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(rows, "__text", BATCH_BYTES):
             langs, scores = predict_texts(b.column(0).to_pylist(), names, unit)
-            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*b.schema.names[1:], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*b.schema.names[1:], *results])
 
     given = documents.select(F.col("text").cast("string").alias("__text"), *[F.col(c) for c in keep])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[1:])
-    return given.mapInArrow(batches, f"{schema}, lang_pred string, score double")
+    return given.mapInArrow(batches, f"{schema}, {results[0]} string, {results[1]} double")
 
 
 def held_out() -> Column:
@@ -156,9 +175,8 @@ def identified(documents: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """The documents, all columns as they were, that are in one of the learnt
     languages: those without a letter go, and those whose best cosine is under
     ``min_score``."""
-    keep = [c for c in documents.columns if c not in ("lang_pred", "score")]
-    found = with_language(documents, learn(documents), tuple(keep))
-    return found.where((F.col("lang_pred") != UNDETERMINED) & (F.col("score") >= min_score)).select(*keep)
+    found = with_language(documents, learn(documents), tuple(documents.columns), ("__lang", "__score"))
+    return found.where((F.col("__lang") != UNDETERMINED) & (F.col("__score") >= min_score)).select(*documents.columns)
 
 
 def op4_language_hd(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,8 +44,8 @@ from waybill.llm.common import read_table, small_batches
 ALPHA = 0.5
 SEED = 17
 RANK_OFFSET = 20
-STORE_UNITS = 120_000
-BATCH_BYTES = 1 << 20
+STORE_UNITS = 100_000
+BATCH_BYTES = 1 << 19
 #: Units of the lattice: the finer cut serves vocabularies whose pieces do not cross it.
 _FINE = re.compile(r" ?[^\W\d_]+| ?(?:[^ \n\t\r\w]|_)+| ?\d+|[ \n\t\r]")
 _COARSE = re.compile(r" [^ \n\t\r]*|[\n\t\r]|[^ \n\t\r]+")
