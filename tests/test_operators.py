@@ -131,6 +131,22 @@ def test_batch_search_equals_single_searches(spark):
     assert [(r["query_id"], r["code"], r["priority"]) for r in got] == want
 
 
+def test_batch_search_reads_all_parts(spark):
+    from waybill.plans import catalogue
+
+    data = "/root/testdata/sf0.01"
+    parts = [(r["p_brand"].upper(), r["p_type"].upper(), r["p_name"].upper(), r["p_partkey"]) for r in catalogue.table(spark, data, "part").collect()]
+    want = {}
+    for q in {r["query"].upper() for r in catalogue._searches(spark, data).select("query").distinct().collect()}:
+        ranks = ((0 if c == q else 1 if c.startswith(q) else 2 if t.startswith(q) else 3 if q in n else None, k, c) for c, t, n, k in parts)
+        want[q] = [(i, p, c) for i, (p, _, c) in enumerate(sorted(x for x in ranks if x[0] is not None)[:15], 1)]
+    got = {}
+    for r in catalogue.search_batch_all(spark, data).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["priority"], r["code"]))
+    asked = {r["query_id"]: r["query"].upper() for r in catalogue._searches(spark, data).collect()}
+    assert len(parts) > 200 and got == {i: want[q] for i, q in asked.items() if want[q]}
+
+
 def test_airline_codes(spark):
     df = spark.createDataFrame([("AIX 123",), ("6E-201",), ("ZZ9",), ("",), (None,)], "flight_no string")
     got = {r[0]: r[1] for r in lookups.with_airline_code(df, spark).collect()}

@@ -42,21 +42,20 @@ def top_matches(places: DataFrame, query: str, most: int = 15, scan_limit: int |
 def batch_matches(places: DataFrame, queries: DataFrame, most: int = 15) -> DataFrame:
     """The same for a table of (query_id, query), without comparing all with all.
 
-    A code or city that begins with the query has it among its prefixes: those
-    are equi-joins.  A name that contains it has it among its substrings, which
-    the dimension's names are few and short enough to list."""
+    Each distinct query is searched once.  A code or city that begins with it has
+    it among its prefixes, a name that contains it among its substrings: those of
+    the lengths that are asked for are listed and met by an equi-join."""
     asked = queries.select("query_id", F.upper(strip(text(F.col("query")))).alias("q")).where("q <> ''")
-    pieces = lambda c: F.transform(F.sequence(F.lit(1), F.length(c)), lambda i: F.substring(c, 1, i))
-    none = F.array().cast("array<string>")
-    some = lambda c: F.when(F.length(c) > 0, pieces(c)).otherwise(none)
-    inside = F.flatten(F.transform(F.sequence(F.lit(1), F.length("name")), lambda i: some(F.substring("name", i, F.length("name")))))
-    keyed = places.withColumn("name", F.upper("airport")).withColumn(
-        "q", F.explode(F.array_distinct(F.concat(some(F.col("code")), some(F.upper("city")), F.when(F.length("name") > 0, inside).otherwise(none))))
-    )
-    met = asked.join(keyed, "q").withColumn("priority", priority(F.col("code"), F.col("city"), F.col("airport"), F.col("q")))
-    best = Window.partitionBy("query_id").orderBy("priority", "ord")
+    each = asked.select("q").distinct()
+    lengths = each.agg(F.collect_set(F.length("q")).alias("lengths"))
+    fits = lambda c: F.filter("lengths", lambda n: n <= F.length(c))
+    begins = lambda c: F.transform(fits(c), lambda n: F.substring(c, F.lit(1), n))
+    inside = lambda c: F.flatten(F.transform(fits(c), lambda n: F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, n))))
+    keyed = places.crossJoin(F.broadcast(lengths)).withColumn("q", F.explode(F.array_distinct(F.concat(begins(F.col("code")), begins(F.upper("city")), inside(F.upper("airport"))))))
+    met = each.join(keyed, "q").withColumn("priority", priority(F.col("code"), F.col("city"), F.col("airport"), F.col("q")))
+    best = Window.partitionBy("q").orderBy("priority", "ord")
     met = met.where(F.col("priority").isNotNull()).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most)
-    return met.select("query_id", "rank", "code", "city", "airport", "country", "priority")
+    return asked.join(met, "q").select("query_id", "rank", "code", "city", "airport", "country", "priority")
 
 
 def place_info(places: DataFrame, codes: DataFrame) -> DataFrame:
