@@ -319,6 +319,61 @@ def test_pieces_are_drawn_with_their_exact_shares():
         assert abs(drawn[s] / n - p) < 5 * math.sqrt(p * (1 - p) / n) + 1e-4
 
 
+def model_pieces(v):
+    """Every piece of the model that is not a byte, control or unknown one, read anew."""
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=piece_sampling.default_model())
+    ids = [i for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))]
+    return {sp.id_to_piece(i).replace("▁", " "): (i, -math.log(piece_sampling.RANK_OFFSET - sp.get_score(i))) for i in ids}
+
+
+@pytest.mark.parametrize("text", ["a   b", "();\r\n  x", "n² ².\r\r\n", "\t    \r\n", "x  "])
+def test_pieces_come_from_the_whole_model(text):
+    v = piece_sampling.Vocabulary(piece_sampling.default_model())
+    pieces = model_pieces(v)
+    lattices = piece_sampling.Lattices(v, 0.2)
+
+    def segmentations(rest):
+        if not rest:
+            yield (), 0.0
+        elif rest[0] not in pieces:
+            raw = rest[0].encode()
+            for tail, w in segmentations(rest[1:]):
+                yield (*v.byte_ids[list(raw)].tolist(), *tail), 0.2 * len(raw) * v.byte_weight + w
+        for j in range(1, len(rest) + 1):
+            if hit := pieces.get(rest[:j]):
+                for tail, w in segmentations(rest[j:]):
+                    yield (hit[0], *tail), 0.2 * hit[1] + w
+
+    share = {s: math.exp(w) for s, w in segmentations(" " + text)}
+    total, n = sum(share.values()), 20_000
+    drawn = collections.Counter(tuple(x.tolist()) for x in piece_sampling.encode_texts([text] * n, [str(i) for i in range(n)], lattices, 3))
+    assert set(drawn) <= set(share)
+    for s, w in share.items():
+        p = w / total
+        assert abs(drawn[s] / n - p) < 5 * math.sqrt(p * (1 - p) / n) + 1e-4
+
+
+def test_no_piece_crosses_a_cut():
+    v = piece_sampling.Vocabulary(piece_sampling.default_model())
+    pieces = model_pieces(v)
+    assert v.pieces.keys() == pieces.keys()
+    for x in pieces:
+        assert v.units.findall(x) == [x]
+    rng, some = random.Random(3), sorted(x for x in pieces if re.search(r"\r|  |\W", x))
+    for _ in range(2000):
+        text = "".join(rng.choice(some) for _ in range(5))
+        units = v.units.findall(text)
+        assert "".join(units) == text
+        at = 0
+        for u in units:
+            at += len(u)
+            assert not any(text[a:b] in pieces for a in range(max(0, at - 16), at) for b in range(at + 1, min(len(text), at + 16) + 1))
+    for c in "\r", " ", ";\r", " \r":
+        assert "".join(v.units.findall(c * 50_000)) == c * 50_000
+
+
 # --- 7 personal data ---------------------------------------------------------
 
 

@@ -7,16 +7,17 @@ probability proportional to the product of its pieces' weights, and the draws
 come from a hash of (seed, row key, place), so that the same row always gets
 the same segmentation, whichever task computes it and however rows are dealt.
 
-Pieces hold a space only at their start, never a line break or a tab, and (as
-is checked; a piece in a thousand that does is left out) never both a letter and
-a digit or mark, so the lattice falls apart at those borders: filtering is done once for each distinct
-unit between them (a bounded store per task) and sampling for all units of a
+Texts are cut into units at the borders of words, numbers, marks, space runs and
+line breaks, except where some piece holds the two characters beside a border
+(so no piece crosses a cut, and every piece of the model takes part): the lattice
+falls apart there, filtering is done once for each distinct
+unit (a bounded store per task) and sampling for all units of a
 batch together with numpy.  Nothing is shuffled.
 
 The vocabulary's merge ranks stand in for probabilities: the piece of rank r
 weighs (r + RANK_OFFSET) ** -alpha; alpha -> infinity gives the best
-segmentation.  Characters outside the vocabulary become byte pieces.  Pieces
-of several spaces, which the model's encoder never chooses by rank, are not used.
+segmentation.  Characters outside the vocabulary become byte pieces.  Lone
+spaces and space runs have one rank, the last.
 
 Decoding joins the pieces' bytes; ``decode(encode(x)) == x`` for every string,
 leading, trailing and repeated spaces, NUL and the piece marker included.
@@ -31,7 +32,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,9 +47,8 @@ SEED = 17
 RANK_OFFSET = 20
 STORE_UNITS = 100_000
 BATCH_BYTES = 1 << 19
-#: Units of the lattice: the finer cut serves vocabularies whose pieces do not cross it.
-_FINE = re.compile(r" ?[^\W\d_]+| ?(?:[^ \n\t\r\w]|_)+| ?\d+|[ \n\t\r]")
-_COARSE = re.compile(r" [^ \n\t\r]*|[\n\t\r]|[^ \n\t\r]+")
+#: Tokens that units are made of; each border is told by the two characters beside it.
+_TOKEN = r"(?: *+(?:[^\W\d_]++|(?:[^ \n\t\r\w]|_)++|\d++)| ++|[\n\t\r])"
 _GOLDEN, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -58,6 +58,23 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def units_of(pieces: Iterable[str]) -> re.Pattern:
+    """Units of a text: tokens, joined at the borders that a piece crosses."""
+    token, crossed = re.compile(_TOKEN), {}
+    for x in pieces:
+        for m in token.finditer(x):
+            if m.end() < len(x):
+                crossed.setdefault(x[m.end()], set()).add(x[m.end() - 1])
+    if not crossed:
+        return token
+    listed = lambda chars: "[" + "".join(map(re.escape, sorted(chars))) + "]"
+    alike: dict[str, set[str]] = {}  # characters by those that a piece has before them
+    for after, before in crossed.items():
+        alike.setdefault(listed(before), set()).add(after)
+    glue = "|".join(f"(?={listed(after)})(?<={before})" for before, after in alike.items())
+    return re.compile(f"{_TOKEN}(?:(?:{glue}){_TOKEN})*+")
+
+
 class Vocabulary:
     """Pieces of a SentencePiece model as plain data (a fixed size, a few MB):
     bytes by id, and the pieces as a trie in arrays.
@@ -80,14 +97,9 @@ class Vocabulary:
                 continue
             plain = piece.replace("▁", " ")
             self.bytes.append(b"" if sp.is_control(i) or sp.is_unknown(i) else plain.encode())
-            if self.bytes[-1] and " " not in plain[1:] and not re.search(r"[\n\t\r]", plain):
+            if self.bytes[-1]:
                 self.pieces[plain] = (i, -float(np.log(RANK_OFFSET - sp.get_score(i))))
-        crossing = [x for x in self.pieces if len(_FINE.findall(x)) > 1]
-        self.units = _COARSE
-        if len(crossing) * 1000 <= len(self.pieces):
-            self.units = _FINE
-            for x in crossing:
-                del self.pieces[x]
+        self.units = units_of(self.pieces)
         self.byte_weight = -float(np.log(RANK_OFFSET + size))
         edges: dict[int, int] = {}
         piece_at, weight_at = [-1], [0.0]
