@@ -168,6 +168,22 @@ def test_jaccard_components_match_brute_force(spark):
     assert [got[i]["component_id"] for i in range(len(texts))] == labels
 
 
+def test_jaccard_links_match_brute_force(spark):
+    texts = near_copies()
+    df = docs(spark, texts).repartition(5)
+    sets = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        sets.append(frozenset(tuple(w[i : i + min(5, len(w))]) for i in range(max(1, len(w) - 4))) if w else frozenset())
+    alike = lambda a, b: a and 100 * len(a & b) >= 80 * len(a | b)
+    want = {i: sum(bool(alike(a, b)) for j, b in enumerate(sets) if i != j) for i, a in enumerate(sets)}
+    assert {i: r["n_links"] for i, r in by_id(jaccard_join.link_counts(df)).items()} == want
+    copies = collections.Counter(sets)
+    pairs = collections.Counter(tuple(sorted([(len(a), copies[a]), (len(b), copies[b])])) + (len(a & b),) for a, b in itertools.combinations(copies, 2) if alike(a, b))
+    got = collections.Counter(tuple(sorted([(r["n_a"], r["copies_a"]), (r["n_b"], r["copies_b"])])) + (r["overlap"],) for r in jaccard_join.linked_sets(df).collect())
+    assert got == pairs and max(want.values()) > 3
+
+
 def test_jaccard_edge_rows(spark):
     text = "a b c d e f g"
     df = docs(spark, [text, None, text]).union(spark.createDataFrame([(None, text, None, None, None), (2, text, None, None, None)], DOCS))

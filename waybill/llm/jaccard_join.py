@@ -195,15 +195,21 @@ def possible(na: Column, nb: Column, ta: Column, tb: Column, percent: int) -> Co
     return (F.least(na, nb) >= need) & (F.least(ta, tb) >= need)
 
 
-def links(docs: DataFrame, summaries: DataFrame, bits: int, percent: int = PERCENT) -> DataFrame:
-    """(v, label): the component labels of all sets that have links, by whole key."""
+def prefix_lists(docs: DataFrame, summaries: DataFrame, bits: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(sid, min_id, s) of all sets, and (tok, s, n, tail) of the lists that hold more than one."""
     classes = summaries.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("min_id"))
     classes = stored(classes.withColumn("s", F.conv(F.hex(F.substring("sid", 1, 8)), 16, -10).cast("long")), "classes")
     entries = prefix_entries(docs, order_sketch(summaries, bits), percent)
     by_tok = Window.partitionBy("tok")
     entries = entries.withColumn("lo", F.min("s").over(by_tok)).withColumn("hi", F.max("s").over(by_tok))
     n, tail = F.shiftright("at", 32).cast("int").alias("n"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("tail")
-    lists = stored(entries.where("lo <> hi").select("tok", "s", n, tail).distinct(), "lists")
+    return classes, stored(entries.where("lo <> hi").select("tok", "s", n, tail).distinct(), "lists")
+
+
+def links(docs: DataFrame, summaries: DataFrame, bits: int, percent: int = PERCENT) -> DataFrame:
+    """(v, label): the component labels of all sets that have links, by whole key."""
+    classes, lists = prefix_lists(docs, summaries, bits, percent)
+    by_tok = Window.partitionBy("tok")
 
     # first round: each set of a list against the one with the largest share of
     # its prefix in lists, which is near the middle of its near copies
@@ -266,6 +272,42 @@ def components(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     return some.join(classes, "sid").select("doc_id", "n_shingles", "component_id").unionByName(none.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
+def _all_links(docs: DataFrame, summaries: DataFrame, bits: int, percent: int) -> DataFrame:
+    classes, lists = prefix_lists(docs, summaries, bits, percent)
+    side = lambda x: lists.select("tok", F.col("s").alias(x), F.col("n").alias(f"n{x}"), F.col("tail").alias(f"t{x}"))
+    met = side("a").join(side("b"), "tok").where("a < b").where(possible(F.col("na"), F.col("nb"), F.col("ta"), F.col("tb"), percent))
+    tested = verified(stored(met.select("a", "b").distinct(), "pairs"), docs, classes)
+    linked = F.col("overlap") * (100 + percent) >= percent * (F.col("na") + F.col("nb"))
+    return tested.where(linked).select(F.col("ka").alias("sid_a"), F.col("kb").alias("sid_b"), F.col("na").alias("n_a"), F.col("nb").alias("n_b"), "overlap")
+
+
+def _copies(summaries: DataFrame, side: str) -> DataFrame:
+    return summaries.where("sid IS NOT NULL").groupBy(F.col("sid").alias(f"sid_{side}")).agg(F.count("*").alias(f"copies_{side}"))
+
+
+def linked_sets(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """sid_a, sid_b, n_a, n_b, overlap, copies_a, copies_b: every link between two
+    different sets, once, with the number of rows that have each set.
+
+    There are as many rows as links: the square of a group of different near copies."""
+    docs = documents.select("doc_id", F.col("text").cast("string").alias("text"))
+    bits = sketch_bits(docs)
+    summaries = stored(summaries_of(docs, bits), "summaries")
+    return _all_links(docs, summaries, bits, percent).join(_copies(summaries, "a"), "sid_a").join(_copies(summaries, "b"), "sid_b")
+
+
+def link_counts(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_links of every row: how many other rows it links with, copies included."""
+    docs = documents.select("doc_id", F.col("text").cast("string").alias("text"))
+    bits = sketch_bits(docs)
+    summaries = stored(summaries_of(docs, bits), "summaries")
+    found = stored(_all_links(docs, summaries, bits, percent).select("sid_a", "sid_b"), "links")
+    both = found.union(found.select("sid_b", "sid_a")).join(_copies(summaries, "b"), "sid_b")
+    others = both.groupBy("sid_a").agg(F.sum("copies_b").alias("others"))
+    counts = _copies(summaries, "a").join(others, "sid_a", "left").select(F.col("sid_a").alias("sid"), (F.col("copies_a") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+    return summaries.where("slice IS NULL").join(counts, "sid", "left").select("doc_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+
+
 def representatives(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The documents, all columns as they were, less those whose component has
     a smaller doc_id.  Rows of one doc_id are one document and stay or go together."""
