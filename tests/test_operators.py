@@ -4,9 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from waybill.operators import extract, fares, itinerary, ledger, lookups, search
+from waybill.session import stored
 from waybill.sources import dims, readers
 
-TICKET = """MakeMyTrip E-Ticket
+PAPER = """MakeMyTrip E-Ticket
 Booking ID: AB12CD34EF56, (Booked on 6 May 2026)
 PNR: QX7K2M
 Mr Test Person
@@ -20,8 +21,8 @@ def record(spark, text, filename="t.pdf", **more):
     return extract.records(spark.createDataFrame([(filename, text)], "filename string, text string"), ["HYD", "DEL", "BOM"], **more).first().asDict(True)
 
 
-def test_extracts_a_ticket(spark):
-    r = record(spark, TICKET)
+def test_extracts_a_paper(spark):
+    r = record(spark, PAPER)
     assert (r["booking_platform"], r["pnr"], r["booking_id"], r["booking_date"]) == ("MakeMyTrip", "QX7K2M", "AB12CD34EF56", "2026-05-06")
     assert (r["total_fare"], r["base_fare"], r["taxes_fees"]) == ("27138.50", "20000", "7138.50")
     assert [p["name"] for p in r["passengers"]] == ["Test Person"]
@@ -177,6 +178,60 @@ def test_numbering_over_many_partitions(spark):
     assert all(r["sno"] == r["id"] + 1 for r in n.collect())
 
 
+def test_numbering_of_wide_rows_over_coalesced_partitions(spark):
+    """Range partitions that adaptive execution puts together, and rows much wider than their order."""
+    names = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "400k"}
+    before = {k: spark.conf.get(k) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        rows = spark.range(60_000).select((F.col("id") * 7919 % 60_000).alias("id"), F.sha2(F.col("id").cast("string"), 512).alias("wide"))
+        tables = []
+        got = ledger.numbered(rows, ["id"], start=5, put=lambda df, name: tables.append(stored(df, name)) or tables[0])
+        assert got.count() == got.select("sno").distinct().count() == 60_000
+        assert got.where("sno <> id + 6").isEmpty() and got.columns == ["id", "wide", "sno"]
+        assert tables[0].select(F.shiftright(tables[0].columns[-1], 33)).distinct().count() > 3
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_stream_numbers_go_on_through_batches(spark, tmp_path):
+    from waybill.streaming.ledger_stream import append_stream
+
+    for i in range(3):
+        spark.createDataFrame([(f"{i}{x}", False) for x in "abc"], "booking_id string, is_dummy boolean").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        source = spark.readStream.schema("booking_id string, is_dummy boolean").parquet(str(tmp_path / "in"))
+        append_stream(source, str(tmp_path / "out"), str(tmp_path / "ck"), ["booking_id"]).awaitTermination(60)
+    got = spark.read.parquet(str(tmp_path / "out")).orderBy("sno").collect()
+    assert [(r["booking_id"], r["sno"]) for r in got] == [(f"{i}{x}", 3 * i + k + 1) for i in range(3) for k, x in enumerate("abc")]
+
+
+def test_first_of_a_repeated_key_counts(spark):
+    rows = [("r", 1, "flight_0_flight_no", "B 2"), ("r", 0, "flight_0_flight_no", "A 1"), ("r", 2, "pax_0_name", None), ("r", 3, None, "x"), (None, 0, "flight_1_flight_no", "C")]
+    kv = spark.createDataFrame(rows, "request_id string, ord int, key string, value string")
+    got = {r["request_id"]: r["flight_no"] for r in itinerary.wide(kv, "flight", itinerary.FLIGHT_FIELDS, "flight_no", "flight_count").collect()}
+    assert got == {"r": "A 1", None: "C"}
+    assert itinerary.bookings(kv.limit(0), spark, dims.airports(spark), F.current_timestamp()).count() == 0
+
+
+def test_own_paper_of_a_known_platform_is_blank(spark):
+    assert record(spark, PAPER + "Acme Travel", always_own=("Acme Travel",))["pnr"] == ""
+    assert record(spark, PAPER + "Acme Travel", own_names=("Acme Travel",))["pnr"] == "QX7K2M"
+
+
+def test_fallback_names_and_overflowing_routes(spark):
+    r = record(spark, "Cleartrip\nGuest list\nANNA PLAIN\nANNA PLAIN\nthe way home\nA B C D E\n")
+    assert [p["name"] for p in r["passengers"]] == ["Cleartrip", "Anna Plain", "Anna Plain"]
+    seven = "BOARDING\n" + "\n".join(f"ROUTE HYD-DEL {h:02d}:00" for h in range(7))
+    assert record(spark, seven)["flights"] == [] and len(record(spark, seven[: seven.rindex("\n")])["flights"]) == 6
+
+
+def test_settings_of_the_environment_win(spark, tmp_path):
+    (tmp_path / "env").write_text("A=1\nB=2\n")
+    assert {r["key"]: r["value"] for r in readers.settings(spark, str(tmp_path / "env"), {"B": "set", "C": "x"}).collect()} == {"A": "1", "B": "set"}
+
+
 def test_settings_and_uploads(spark, tmp_path):
     (tmp_path / "env").write_text("# no\nA = '1=2'\n\nB=x\nA=3\nnothing\n")
     assert {r["key"]: r["value"] for r in readers.settings(spark, str(tmp_path / "env")).collect()} == {"A": "1=2", "B": "x"}
@@ -185,9 +240,9 @@ def test_settings_and_uploads(spark, tmp_path):
     assert [r[0] for r in df.select(readers.upload_error(F.col("filename"), F.col("length"), F.col("content"))).collect()] == ["no file", "no file name", "not a pdf", "too large", "not a pdf inside", None]
 
 
-def test_ticket_texts(spark, tmp_path):
-    (tmp_path / "t.txt").write_text(TICKET)
-    r = extract.records(readers.ticket_texts(spark, str(tmp_path)), ["HYD", "DEL"]).first()
+def test_document_texts(spark, tmp_path):
+    (tmp_path / "t.txt").write_text(PAPER)
+    r = extract.records(readers.document_texts(spark, str(tmp_path)), ["HYD", "DEL"]).first()
     assert (r["filename"], r["pnr"]) == ("t.txt", "QX7K2M")
 
 

@@ -48,8 +48,8 @@ def test_booking_numbers_beyond_four_digits_are_whole(spark):
     assert values(spark, lambda n: S.booking_id(F.lit("AT"), day, n), [1, 12345], "long") == ["AT-20260506-0001", "AT-20260506-12345"]
 
 
-def test_ticket_number_repeats_for_its_key(spark):
-    a = values(spark, lambda k: S.ticket_number(F.lit("098"), k), ["x", "x", "y"])
+def test_document_number_repeats_for_its_key(spark):
+    a = values(spark, lambda k: S.document_number(F.lit("098"), k), ["x", "x", "y"])
     assert a[0] == a[1] != a[2] and len(a[0]) == 14 and a[0].startswith("098-")
 
 

@@ -12,15 +12,24 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Month names as tickets print them, in calendar order.
+# Month names as travel papers print them, in calendar order.
 MONTHS = ("JAN", "FEB", "MAR", "APR", "MAY", "JUN", "JUL", "AUG", "SEP", "OCT", "NOV", "DEC")
 
-# Patterns of dates and times in ticket text.
+# Patterns of dates and times in the text of travel papers.
 NUMERIC_DATE = r"(?U)\b(\d{1,2})[/-](\d{1,2})[/-](\d{2,4})\b"
 WORD_DATE = r"(?U)\b(\d{1,2})\s*(JAN|FEB|MAR|APR|MAY|JUN|JUL|AUG|SEP|OCT|NOV|DEC)\s*(\d{2,4})\b"
 CLOCK = r"(?U)\b([01]?\d|2[0-3])[:.]([0-5]\d)\b"
 
 
+# How many characters of a text are kept where it is shown.
+CUTS = {"excerpt": 1200, "caption": 1024, "error": 200, "summary": 24, "label": 28, "city": 24, "code": 2953}
+
+
+def cut(c: Column, what: str) -> Column:
+    """The beginning of a text, as long as ``CUTS`` says."""
+    return F.substring(c, 1, CUTS[what])
+
+
 def text(c: Column) -> Column:
     """The text, empty where null."""
     return F.coalesce(c.cast("string"), F.lit(""))
@@ -42,9 +51,9 @@ def first_filled(*cs: Column) -> Column:
 def time_token(c: Column) -> Column:
     """``9.05`` -> ``09:05``; empty unless hour and minute are valid."""
     t = strip(F.replace(text(c), F.lit("."), F.lit(":")))
-    hour = F.regexp_extract(t, r"^(\d{1,9})\s*:\s*(\d{1,9})$", 1).try_cast("int")
-    minute = F.regexp_extract(t, r"^(\d{1,9})\s*:\s*(\d{1,9})$", 2).try_cast("int")
-    return F.when((hour <= 23) & (minute <= 59), F.format_string("%02d:%02d", hour, minute)).otherwise("")
+    shape = r"^(\d{1,9})\s*:\s*(\d{1,9})$"
+    part = lambda i: F.when(t.rlike(shape), F.regexp_extract(t, shape, i)).try_cast("int")
+    return F.when((part(1) <= 23) & (part(2) <= 59), F.format_string("%02d:%02d", part(1), part(2))).otherwise("")
 
 
 def times_in(c: Column) -> Column:
@@ -56,16 +65,16 @@ def date_iso(c: Column) -> Column:
     """First date of a text: day/month/year before ``D MON YYYY``.  The first
     kind that occurs decides, even if it is no real date; ISO is not read."""
     t = strip(text(c))
-    part = lambda pattern, source, i: F.regexp_extract(source, pattern, i)
     upper = F.upper(t)
-    month_no = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), part(WORD_DATE, upper, 2)).cast("string")
-    numeric = t.rlike(NUMERIC_DATE)
-    day = F.when(numeric, part(NUMERIC_DATE, t, 1)).otherwise(part(WORD_DATE, upper, 1)).try_cast("int")
-    month = F.when(numeric, part(NUMERIC_DATE, t, 2)).otherwise(month_no).try_cast("int")
-    year = F.when(numeric, part(NUMERIC_DATE, t, 3)).otherwise(part(WORD_DATE, upper, 3)).try_cast("int")
+    numeric, worded = t.rlike(NUMERIC_DATE), upper.rlike(WORD_DATE)
+    part = lambda i, other: F.when(numeric, F.regexp_extract(t, NUMERIC_DATE, i)).when(worded, other).try_cast("int")
+    word = lambda i: F.regexp_extract(upper, WORD_DATE, i)
+    month_no = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), word(2)).cast("string")
+    day, month, year = part(1, word(1)), part(2, month_no), part(3, word(3))
     full = F.when(year < 100, year + 2000).otherwise(year)
-    made = F.try_to_date(F.format_string("%04d-%02d-%02d", full, month, day), "yyyy-MM-dd")
-    return F.when(numeric | upper.rlike(WORD_DATE), text(F.date_format(made, "yyyy-MM-dd"))).otherwise("")
+    real = month.between(1, 12) & day.between(1, 31)
+    made = F.when(real, F.try_to_date(F.format_string("%04d-%02d-%02d", full, month, day), "yyyy-MM-dd"))
+    return F.when(numeric | worded, text(F.date_format(made, "yyyy-MM-dd"))).otherwise("")
 
 
 def messaging_number(c: Column) -> Column:
@@ -78,13 +87,13 @@ def messaging_number(c: Column) -> Column:
 
 def minutes_before(c: Column, minutes: int = 60) -> Column:
     """Check-in cutoff: hh:mm so many minutes earlier, past midnight backwards."""
-    at = F.try_to_timestamp(text(c), F.lit("H:m"))
+    at = F.try_to_timestamp(blank_to_null(c), F.lit("H:m"))
     return text(F.date_format(at - F.expr(f"interval {int(minutes)} minutes"), "HH:mm"))
 
 
 def date_display(c: Column) -> Column:
     """``2026-5-6`` -> ``Wed, 06 May 2026``; what is no date stays as it is."""
-    return F.coalesce(F.date_format(F.try_to_date(text(c), "yyyy-M-d"), "EEE, dd MMM yyyy"), text(c))
+    return F.coalesce(F.date_format(F.try_to_date(blank_to_null(c), "yyyy-M-d"), "EEE, dd MMM yyyy"), text(c))
 
 
 def booking_date_display(c: Column, as_of: Column) -> Column:
@@ -121,7 +130,7 @@ def booking_id(code: Column, day: Column, number: Column) -> Column:
     return F.format_string("%s-%s-%04d", code, F.date_format(day, "yyyyMMdd"), number)
 
 
-def ticket_number(prefix: Column, *key: Column) -> Column:
+def document_number(prefix: Column, *key: Column) -> Column:
     """Airline prefix and ten digits drawn from a hash of ``key``."""
     return F.concat(F.coalesce(prefix, F.lit("000")), F.lit("-"), F.lpad(F.pmod(F.xxhash64(*key), F.lit(10_000_000_000)).cast("string"), 10, "0"))
 
@@ -146,9 +155,9 @@ def payment_text(method: Column, last_digits: Column) -> Column:
 
 
 def code_text(pnr: Column, booking: Column, route: Column, travellers: Column) -> Column:
-    """Content of a ticket's square code, cut at what such a code can hold."""
+    """Content of a paper's square code, cut at what such a code can hold."""
     whole = F.concat(F.lit("PNR:"), text(pnr), F.lit("|BOOKING:"), text(booking), F.lit("|ROUTE:"), text(route), F.lit("|PAX:"), travellers.cast("string"))
-    return F.substring(whole, 1, 2953)
+    return cut(whole, "code")
 
 
 def file_stem(pnr: Column, booking: Column) -> Column:
@@ -157,3 +166,43 @@ def file_stem(pnr: Column, booking: Column) -> Column:
 
 def logo_url(iata: Column, template: str = "https://example.com/airlines/64/%s.png") -> Column:
     return F.format_string(template, iata)
+
+
+def segments_badge(n: Column) -> Column:
+    """``1 SEGMENT``, ``2 SEGMENTS``; none is a plural here."""
+    return F.concat(n.cast("string"), F.when(n == 1, F.lit(" SEGMENT")).otherwise(" SEGMENTS"))
+
+
+def segments_heading(n: Column) -> Column:
+    """``1 Segment``, ``2 Segments``; none is a singular here."""
+    return F.concat(n.cast("string"), F.when(n > 1, F.lit(" Segments")).otherwise(" Segment"))
+
+
+def by_segment(values: Column, default: str, separator: str = "\n") -> Column:
+    """``Flight k: v`` for each value, the default where it is blank."""
+    return F.array_join(F.transform(values, lambda v, i: F.concat(F.lit("Flight "), (i + 1).cast("string"), F.lit(": "), first_filled(v, F.lit(default)))), separator)
+
+
+def grid_place(i: Column, width: int = 3) -> Column:
+    """Row and column of the i-th field (from 0) of a grid, as a struct."""
+    return F.struct(F.floor(i / width).cast("int").alias("row"), (i % width).cast("int").alias("col"))
+
+
+def no_refund(status: Column) -> Column:
+    """Whether a refund status has to stand out."""
+    return F.coalesce(F.contains(status, F.lit("Non-Refundable")), F.lit(False))
+
+
+def message_id(response: Column) -> Column:
+    """Id of the first message of a JSON answer, empty if there is none."""
+    return first_filled(F.get_json_object(response, "$.messages[0].id"))
+
+
+def error_text(body: Column) -> Column:
+    """What a JSON error says, else the beginning of the body."""
+    return F.coalesce(F.get_json_object(body, "$.error.message"), F.get_json_object(body, "$.error"), cut(text(body), "error"))
+
+
+def as_json(*columns: str) -> Column:
+    """The row's columns, nested ones too, as one JSON object."""
+    return F.to_json(F.struct(*columns))

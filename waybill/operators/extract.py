@@ -1,7 +1,11 @@
-"""Ticket text to a typed record, as column expressions in one projection.
+"""Text of a travel paper to a typed record, as column expressions in one projection.
 
 Lines are an array, so the whole record of a document is computed in its own
 row without a shuffle.  ``\\b``, ``\\d`` and ``\\s`` are Unicode in the patterns.
+
+Expressions inside lambdas are evaluated as often as they are written, so the
+segments of lines come from a chain of small transforms: each finds one thing
+and hands it on as a field, and later ones look at the few lines that are left.
 """
 
 from __future__ import annotations
@@ -11,11 +15,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waybill.functions.scalars import amount_text, blank_to_null, collapse_spaces, contains_any, date_iso, first_filled, strip, text, time_token, times_in, title_case
+from waybill.functions.scalars import amount_text, blank_to_null, collapse_spaces, contains_any, cut, date_iso, first_filled, strip, text, time_token, times_in, title_case
 from waybill.operators.lookups import first_keyword
 from waybill.sources import dims
 
-# What ticket fields look like in upper-cased text.
+# What fields look like in upper-cased text.
 PNR = (r"(?U)\bPNR\b\s*[:\-]?\s*([A-Z0-9]{5,8})", r"(?U)\bBOOKING\s*REF(?:ERENCE)?\b\s*[:\-]?\s*([A-Z0-9]{5,10})")
 BOOKING_ID = tuple(rf"(?U)\b{word}\s*ID\b\s*[:\-]?\s*([A-Z0-9\-]{{5,20}})" for word in ("BOOKING", "TRIP", "ORDER", "TRANSACTION"))
 BOOKING_DATE = r"(?U)(?:BOOKING DATE|BOOKED ON|DATE OF BOOKING|ISSUE DATE)\s*[:\-]?\s*([0-9A-Za-z /-]{6,})"
@@ -49,6 +53,18 @@ def lines_of(c: Column) -> Column:
     return F.filter(F.transform(F.split(text(c), r"\R|[\x1c\x1d\x1e]"), strip), lambda x: x != "")
 
 
+def adjacent(lines: Column) -> Column:
+    """Array of (u, next, line): each line in upper case, what follows it, and as it is."""
+    return F.transform(lines, lambda x, i: F.struct(F.upper(x).alias("u"), F.upper(F.coalesce(F.get(lines, i + 1), F.lit(""))).alias("next"), x.alias("line")))
+
+
+def first_phone(c: Column) -> Column:
+    """The first run that has ten to thirteen digits, empty if none has."""
+    digits = lambda x: F.length(F.regexp_replace(x, r"(?U)\D", ""))
+    found = F.filter(F.regexp_extract_all(c, F.lit(PHONE), F.lit(0)), lambda x: digits(x).between(10, 13))
+    return F.coalesce(strip(F.get(found, 0)), F.lit(""))
+
+
 def capture(c: Column, pattern: str, group: int = 1) -> Column:
     return F.regexp_extract(c, pattern, group)
 
@@ -83,27 +99,25 @@ def _no_stop(words: Column) -> Column:
     return ~F.exists(words, lambda w: w.isin(*STOP))
 
 
-def records(tickets: DataFrame, airport_codes: list[str] | None = None, own_names: tuple[str, ...] = ()) -> DataFrame:
-    """The columns of ``tickets`` (filename, text, ...) and the record's fields.
+def records(texts: DataFrame, airport_codes: list[str] | None = None, own_names: tuple[str, ...] = (), always_own: tuple[str, ...] = ()) -> DataFrame:
+    """The columns of ``texts`` (filename, text, ...) and the record's fields.
 
     ``airport_codes`` is the known airports' code list (an airport dimension is
     some thousands of rows); without it no bare code counts as an airport.
-    ``own_names``: a text with one of them, and no platform, is our own paper and
-    gives a blank record, as does a text that has no platform and no word of
-    ``RELEVANT``."""
-    known = F.array(*[F.lit(c) for c in airport_codes or []]).cast("array<string>")
-    df = tickets.withColumn("__text", text(F.col("text"))).withColumn("__up", F.upper("__text"))
+    A text with one of ``own_names`` and no platform is our own paper and gives a
+    blank record, and so do a text with one of ``always_own``, whatever its
+    platform, and one that has no platform and no word of ``RELEVANT``."""
+    df = texts.withColumn("__text", text(F.col("text"))).withColumn("__up", F.upper("__text"))
     df = df.withColumn("__lines", lines_of(F.col("text")))
     up, lines = F.col("__up"), F.col("__lines")
     haystack = F.concat(up, F.lit(" "), F.upper(text(F.col("filename"))))
     df = df.withColumn("booking_platform", first_keyword(haystack))
-    own = contains_any(up, tuple(n.upper() for n in own_names)) if own_names else F.lit(False)
+    named = lambda names: contains_any(up, tuple(n.upper() for n in names)) if names else F.lit(False)
     platform = F.col("booking_platform")
-    df = df.withColumn("__blank", (platform == "") & (own | ~contains_any(up, RELEVANT)))
+    df = df.withColumn("__blank", (platform == "") & (named(own_names) | ~contains_any(up, RELEVANT)) | named(always_own))
 
     uppers = F.transform(lines, F.upper)
-    after = F.transform(lines, lambda x, i: F.struct(F.upper(x).alias("u"), F.upper(F.coalesce(F.get(lines, i + 1), F.lit(""))).alias("next"), x.alias("line")))
-    df = df.withColumn("__after", after)
+    df = df.withColumn("__after", adjacent(lines))
     paytm_pnr = F.transform(
         F.filter("__after", lambda x: F.contains(x["u"], F.lit("FLIGHT PNR")) & (F.size(F.regexp_extract_all(x["next"], F.lit("[A-Z0-9]{5,8}"), F.lit(0))) > 0)),
         lambda x: F.try_element_at(F.regexp_extract_all(x["next"], F.lit("[A-Z0-9]{5,8}"), F.lit(0)), F.lit(-1)),
@@ -113,11 +127,9 @@ def records(tickets: DataFrame, airport_codes: list[str] | None = None, own_name
     labelled = date_iso(capture(up, BOOKING_DATE))
     booked_lines = F.filter(F.transform(F.filter("__after", lambda x: F.contains(x["u"], F.lit("BOOKED ON"))), lambda x: date_iso(x["line"])), lambda d: d != "")
     df = df.withColumn("booking_date", first_filled(labelled, F.when(platform == "Paytm", F.get(booked_lines, 0)).when(platform == "MakeMyTrip", date_iso(capture(up, BOOKED_ON)))))
-    digits = lambda x: F.length(F.regexp_replace(x, r"(?U)\D", ""))
-    phones = F.filter(F.regexp_extract_all("__text", F.lit(PHONE), F.lit(0)), lambda x: digits(x).between(10, 13))
     df = df.withColumns({
         "customer_email": capture(up, EMAIL, 0),
-        "customer_phone": F.coalesce(strip(F.get(phones, 0)), F.lit("")),
+        "customer_phone": first_phone(F.col("__text")),
         "total_fare": amount_text(capture(up, TOTAL)),
         "base_fare": amount_text(capture(up, BASE)),
         "taxes_fees": amount_text(capture(up, TAXES)),
@@ -125,7 +137,7 @@ def records(tickets: DataFrame, airport_codes: list[str] | None = None, own_name
 
     # travellers
     identity = (platform != "") | (F.col("pnr") != "") | (F.col("booking_id") != "")
-    own_words = tuple(w for n in own_names for w in n.upper().split())
+    own_words = tuple(w for n in (*own_names, *always_own) for w in n.upper().split())
     plain = F.filter(uppers, lambda u: ~contains_any(u, NO_NAME_LINE + own_words) & ~u.rlike(r"(?U)\d"))
     names = F.filter(F.transform(plain, lambda u: strip(collapse_spaces(capture(u, TITLED)))), lambda n: n != "")
     words = lambda n: F.filter(F.split(n, r"(?U)\s+"), lambda w: w != "")
@@ -140,7 +152,7 @@ def records(tickets: DataFrame, airport_codes: list[str] | None = None, own_name
     alias, airline = _map(dims.alias_rows()), [k for k, _ in dims.airline_rows()]
     hits = F.transform(F.regexp_extract_all("__up", F.lit(FLIGHT_NUMBER), F.lit(0)), lambda x: F.struct(F.coalesce(_get(alias, capture(x, FLIGHT_NUMBER, 1)), capture(x, FLIGHT_NUMBER, 1)).alias("c"), capture(x, FLIGHT_NUMBER, 2).alias("n")))
     df = df.withColumn("__numbers", F.array_distinct(F.transform(F.filter(hits, lambda h: h["c"].isin(*airline)), lambda h: F.concat(h["c"], F.lit(" "), h["n"]))))
-    df = df.withColumn("__segments", F.filter(F.transform("__after", lambda x: _segment(x, known)), lambda s: s.isNotNull()))
+    df = _segments(df, airport_codes or [])
     df = df.withColumn("__segments", F.when(~identity & (F.size("__segments") > 6), F.array().cast(f"array<{SEGMENT}>")).otherwise(F.col("__segments")))
     key = lambda s: F.struct(*[text(s[f]) for f in ("from_code", "to_code", "dep_time_raw", "arr_time_raw", "flight_no")])
     keys = F.transform("__segments", key)
@@ -158,34 +170,63 @@ def records(tickets: DataFrame, airport_codes: list[str] | None = None, own_name
     blank = F.col("__blank")
     out = [F.when(blank, F.lit("")).otherwise(F.col(f)).alias(f) for f in fields]
     out += [F.when(blank, F.array().cast(df.schema[c].dataType)).otherwise(F.col(c)).alias(c) for c in ("flights", "passengers")]
-    return df.select(*[c for c in tickets.columns if c not in (*fields, "flights", "passengers")], *out, F.substring("__text", 1, 1200).alias("raw_excerpt"))
-
-
-def _segment(x: Column, known: Column) -> Column:
-    """The segment that a line (with its next one) tells of, or null."""
-    u = x["u"]
-    both = F.when(x["next"] != "", F.concat(u, F.lit(" "), x["next"])).otherwise(u)
-    at = lambda p, i: F.when(u.rlike(p), capture(u, p, i)).otherwise(capture(both, p, i))
-    number, first, last = at(FLIGHT_IN_LINE, 2), at(ROUTE_TIMES, 1), at(ROUTE_TIMES, 4)
-    flight_no = F.concat(at(FLIGHT_IN_LINE, 1), F.lit(" "), number)
-    timed = (number != "") & (first != "")
-    possible = lambda c: ~c.isin(*STOP)
-    valid = lambda c: F.array_contains(known, c) & ~c.isin(*STOP)
+    return df.select(*[c for c in texts.columns if c not in (*fields, "flights", "passengers")], *out, cut(F.col("__text"), "excerpt").alias("raw_excerpt"))
+
+
+def _segments(df: DataFrame, known: list[str]) -> DataFrame:
+    """``__segments``: what the lines of ``__after`` tell, in order."""
+    u = lambda x: x["u"]
+    keep = lambda x, *names: [x[n].alias(n) for n in names]
+
+    # a flight number and a route with its times, in the line or across it and the next
+    df = df.withColumn("__hits", F.transform("__after", lambda x: F.struct(
+        *keep(x, "u"), F.when(x["next"] != "", F.concat(u(x), F.lit(" "), x["next"])).otherwise(u(x)).alias("both"),
+        capture(u(x), ROUTE_TIMES, 0).alias("route"),
+    )))
+    df = df.withColumn("__hits", F.transform("__hits", lambda x: F.struct(
+        *keep(x, "u", "both"), F.when(x["route"] != "", x["route"]).otherwise(capture(x["both"], ROUTE_TIMES, 0)).alias("route"),
+    )))
+    df = df.withColumn("__hits", F.transform("__hits", lambda x: F.struct(
+        *keep(x, "u", "both", "route"), F.when(x["route"] != "", capture(u(x), FLIGHT_IN_LINE, 0)).otherwise("").alias("flight"),
+    )))
+    df = df.withColumn("__hits", F.transform("__hits", lambda x: F.struct(
+        *keep(x, "u", "route"), F.when((x["route"] != "") & (x["flight"] == ""), capture(x["both"], FLIGHT_IN_LINE, 0)).otherwise(x["flight"]).alias("flight"),
+    )))
+    df = df.withColumn("__hits", F.transform("__hits", lambda x: F.struct(
+        *keep(x, "u", "route"), F.when(x["flight"] != "", F.struct(
+            capture(x["flight"], FLIGHT_IN_LINE, 2).alias("number"), F.concat(capture(x["flight"], FLIGHT_IN_LINE, 1), F.lit(" "), capture(x["flight"], FLIGHT_IN_LINE, 2)).alias("flight_no"),
+            capture(x["route"], ROUTE_TIMES, 1).alias("first"), capture(x["route"], ROUTE_TIMES, 4).alias("last"),
+        )).alias("timed"),
+    )))
+    timed = lambda x: x["timed"].isNotNull()
+    zero = lambda x: timed(x) & F.startswith(x["timed"]["number"], F.lit("0"))
+    by_time = lambda x: F.coalesce(timed(x) & ~x["timed"]["first"].isin(*STOP) & ~x["timed"]["last"].isin(*STOP), F.lit(False))
+    gate = lambda x: contains_any(u(x), SEGMENT_LINE) | u(x).rlike(CODE_NUMBER)
+    df = df.withColumn("__hits", F.filter("__hits", lambda x: ~F.coalesce(zero(x), F.lit(False)) & (by_time(x) | gate(x))))
+
+    # other lines: a named route, or the first two known codes
+    valid = [c for c in known if c not in STOP]
+    is_valid = lambda c: c.isin(*valid) if valid else F.lit(False)
+    df = df.withColumn("__hits", F.transform("__hits", lambda x: F.struct(*keep(x, "u", "route", "timed"), by_time(x).alias("by_time"), F.when(~by_time(x), capture(u(x), ROUTE, 0)).alias("named"))))
+    df = df.withColumn("__hits", F.transform("__hits", lambda x: F.struct(
+        *keep(x, "u", "route", "timed", "by_time"), F.when(x["named"] != "", F.array(capture(x["named"], ROUTE, 1), capture(x["named"], ROUTE, 2)))
+        .when(x["named"] == "", F.array(capture(u(x), FROM_TO, 1), capture(u(x), FROM_TO, 2))).alias("pair"),
+    )))
+    df = df.withColumn("__hits", F.transform("__hits", lambda x: F.struct(
+        *keep(x, "u", "route", "timed", "by_time"), F.when(x["by_time"], F.array().cast("array<string>")).when(is_valid(F.get(x["pair"], 0)) & is_valid(F.get(x["pair"], 1)), x["pair"])
+        .otherwise(F.filter(F.regexp_extract_all(u(x), F.lit(THREE_LETTERS), F.lit(0)), is_valid)).alias("pair"),
+    )))
+    df = df.withColumn("__hits", F.filter("__hits", lambda x: x["by_time"] | (F.size(x["pair"]) >= 2)))
+
     nothing = F.lit(None).cast("string")
-    make = lambda *v: F.struct(*[F.coalesce(a.cast("string"), nothing).alias(n) for a, n in zip(v, ("from_code", "to_code", "date", "dep_time_raw", "arr_time_raw", "flight_no", "airline"), strict=True)])
-    by_time = make(first, last, nothing, time_token(at(ROUTE_TIMES, 2)), time_token(at(ROUTE_TIMES, 3)), flight_no, airline_name(flight_no))
-    gate = contains_any(u, SEGMENT_LINE) | u.rlike(CODE_NUMBER)
-    named = lambda i: F.when(u.rlike(ROUTE), capture(u, ROUTE, i)).otherwise(capture(u, FROM_TO, i))
-    codes = F.filter(F.regexp_extract_all(u, F.lit(THREE_LETTERS), F.lit(0)), valid)
-    direct = valid(named(1)) & valid(named(2))
-    a = F.when(direct, named(1)).otherwise(F.get(codes, 0))
-    b = F.when(direct, named(2)).otherwise(F.get(codes, 1))
-    times = times_in(u)
-    by_code = make(a, b, blank_to_null(date_iso(u)), F.get(times, 0), F.get(times, 1), nothing, nothing)
-    return F.when(timed & number.startswith("0"), F.lit(None)).when(timed & possible(first) & possible(last), by_time).when(gate & a.isNotNull() & b.isNotNull(), by_code)
-
-
-def ticket_status(text_: Column, pnr: Column, booking: Column, platform: Column) -> Column:
+    make = lambda *v: F.struct(*[a.cast("string").alias(n) for a, n in zip(v, ("from_code", "to_code", "date", "dep_time_raw", "arr_time_raw", "flight_no", "airline"), strict=True)])
+    df = df.withColumn("__hits", F.transform("__hits", lambda x: F.struct(*keep(x, "u", "route", "timed", "by_time", "pair"), F.when(~x["by_time"], times_in(u(x))).alias("times"))))
+    return df.withColumn("__segments", F.transform("__hits", lambda x: F.when(x["by_time"], make(
+        x["timed"]["first"], x["timed"]["last"], nothing, time_token(capture(x["route"], ROUTE_TIMES, 2)), time_token(capture(x["route"], ROUTE_TIMES, 3)), x["timed"]["flight_no"], airline_name(x["timed"]["flight_no"]),
+    )).otherwise(make(F.get(x["pair"], 0), F.get(x["pair"], 1), blank_to_null(date_iso(u(x))), F.get(x["times"], 0), F.get(x["times"], 1), nothing, nothing))))
+
+
+def text_status(text_: Column, pnr: Column, booking: Column, platform: Column) -> Column:
     """Why a text cannot be used, null if it can."""
     blank = reduce(lambda a, b: a & b, [text(c) == "" for c in (pnr, booking, platform)])
-    return F.when(strip(text(text_)) == "", "empty").when(F.length(strip(text(text_))) < 50, "too short").when(blank, "not a ticket")
+    return F.when(strip(text(text_)) == "", "empty").when(F.length(strip(text(text_))) < 50, "too short").when(blank, "not a booking")

@@ -30,9 +30,13 @@ def total_fare(*, of: dict[str, Column] | None = None) -> Column:
     return reduce(lambda a, b: a + b, [c[p] for p in PARTS[:-1]]) - c[PARTS[-1]]
 
 
+def printed_lines() -> Column:
+    """Array of (position, label, amount, shown): the lines that are printed."""
+    signed = [F.col(p) if p != "discount" else -F.col(p) for p in PARTS]
+    lines = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(label).alias("label"), v.alias("amount"), money(v).alias("shown")) for i, (label, v) in enumerate(zip(LABELS, signed, strict=True))])
+    return F.filter(lines, lambda x: (x["amount"] != 0) | x["label"].isin(*ALWAYS))
+
+
 def fare_lines(df: DataFrame, *keys: str) -> DataFrame:
     """keys, position, label, amount, shown: a row for each line that is printed."""
-    signed = [F.col(p) if p != "discount" else -F.col(p) for p in PARTS]
-    lines = F.array(*[F.struct(F.lit(i).alias("position"), F.lit(label).alias("label"), v.alias("amount")) for i, (label, v) in enumerate(zip(LABELS, signed, strict=True))])
-    kept = F.filter(lines, lambda x: (x["amount"] != 0) | x["label"].isin(*ALWAYS))
-    return df.select(*keys, F.explode(kept).alias("line")).select(*keys, "line.*").withColumn("shown", money(F.col("amount")))
+    return df.select(*keys, F.explode(printed_lines()).alias("line")).select(*keys, "line.*")

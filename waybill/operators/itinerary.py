@@ -5,31 +5,56 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from waybill.functions.scalars import blank_to_null, date_display, first_filled, minutes_before, place, span_text, strip, text
+from waybill.functions.scalars import blank_to_null, booking_date_display, date_display, document_number, first_filled, minutes_before, no_refund, place, span_text, strip, text
+from waybill.operators import fares
 from waybill.operators.lookups import fill_blank, with_airline_code
 from waybill.sources import dims
 
+# The fields of a flight and of a traveller, as forms name them.
 FLIGHT_FIELDS = ("flight_no", "layover", "airline", "from_code", "from_city", "to_code", "to_city", "date", "dep_time_raw", "arr_time_raw", "dep_time", "arr_time", "duration", "class", "seat", "meal", "checkin_bag", "hand_bag", "segment_pnr")
 TRAVELLER_FIELDS = ("name", "ticket_no", "passport", "dob", "doe", "seat", "meal", "checkin_bag", "hand_bag")
+# Keys of a form that are sent once, with what counts where one is not sent.
+FORM_FIELDS = {
+    "booking_id": "", "booking_date": "", "pnr": "", "customer_phone": "", "customer_email": "", "refund_status": "Refundable",
+    "fare_type": "REGULAR", "payment_method": "UPI", "card_last_4": "", "booking_platform": "Direct", "is_dummy": "",
+}
 SHARED = ("seat", "meal", "checkin_bag", "hand_bag")
 DEFAULTS = {"seat": "", "meal": "Not selected", "checkin_bag": "Airline Default", "hand_bag": "Airline Default"}
 
 
+def forms(kv: DataFrame) -> DataFrame:
+    """request_id, form: what was sent, as one map.  Of a repeated key the first
+    counts (by ``ord`` where the table has it, else the smallest value, so that
+    it never depends on how rows are dealt).
+
+    The only exchange of itineraries; a map is as large as one submitted form."""
+    order = ["key", "ord", "value"] if "ord" in kv.columns else ["key", "value"]
+    entries = F.sort_array(F.collect_list(F.when(F.col("key").isNotNull(), F.struct(*order))))
+    grouped = kv.groupBy("request_id").agg(entries.alias("e"))
+    first = F.filter("e", lambda x, i: (i == 0) | (F.get("e", i - 1)["key"] != x["key"]))
+    return grouped.select("request_id", F.map_from_entries(F.transform(first, lambda x: F.struct(x["key"], x["value"]))).alias("form"))
+
+
+def _sent(family: str, i: Column, field: str, form: str = "form") -> Column:
+    return F.try_element_at(form, F.concat(F.lit(f"{family}_"), i.cast("string"), F.lit(f"_{field}")))
+
+
+def indices(family: str, anchor: str, count_key: str) -> Column:
+    """Indices for which ``<family>_<idx>_<anchor>`` was sent, in order; where there
+    are none, 0 to the ``count_key`` less one (one if absent)."""
+    pattern = rf"^{family}_(\d+)_{anchor}$"
+    found = F.transform(F.filter(F.map_keys("form"), lambda k: k.rlike(pattern)), lambda k: F.regexp_extract(k, pattern, 1).try_cast("int"))
+    found = F.sort_array(F.array_distinct(F.filter(found, lambda i: i.isNotNull())))
+    n = F.coalesce(blank_to_null(F.try_element_at("form", F.lit(count_key))).try_cast("int"), F.lit(1))
+    counted = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    return F.when(F.size(found) > 0, found).otherwise(counted)
+
+
 def wide(kv: DataFrame, family: str, fields: tuple[str, ...], anchor: str, count_key: str) -> DataFrame:
-    """request_id, idx (as in the keys), position, and a column for each field.
-
-    Indices are those for which ``<family>_<idx>_<anchor>`` was sent; a request
-    without any has indices 0 to its ``count_key`` less one (one if absent)."""
-    pattern = rf"^{family}_(\d+)_({'|'.join(fields)})$"
-    hits = kv.select("request_id", F.regexp_extract("key", pattern, 1).try_cast("int").alias("idx"), F.regexp_extract("key", pattern, 2).alias("field"), "value").where("field <> ''")
-    table = hits.groupBy("request_id", "idx").pivot("field", list(fields)).agg(F.first("value"))
-    anchored = hits.where(F.col("field") == anchor).select("request_id", "idx").distinct()
-    n = F.coalesce(F.max(F.when(F.col("key") == count_key, blank_to_null(F.col("value")).try_cast("int"))), F.lit(1))
-    counted = kv.groupBy("request_id").agg(n.alias("n")).join(anchored, "request_id", "left_anti")
-    counted = counted.where("n > 0").select("request_id", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("idx"))
-    rows = anchored.unionByName(counted).join(table, ["request_id", "idx"], "left")
-    order = Window.partitionBy("request_id").orderBy("idx")
-    return rows.withColumn("position", F.row_number().over(order) - 1)
+    """request_id, idx (as in the keys), position, and a column for each field, a
+    row for each of the :func:`indices`."""
+    rows = forms(kv).select("request_id", "form", F.posexplode(indices(family, anchor, count_key)).alias("position", "idx"))
+    return rows.select("request_id", "idx", "position", *[_sent(family, F.col("idx"), f).alias(f) for f in fields])
 
 
 def flights(kv: DataFrame, spark: SparkSession, airports: DataFrame) -> DataFrame:
@@ -58,7 +83,7 @@ def layover(key: str = "request_id", order: str = "position") -> Column:
     times, where arrival counts on the departure's day or, if it would be
     earlier, on the next; null where times are missing or the wait is not positive."""
     w = Window.partitionBy(key).orderBy(order)
-    stamp = lambda d, t: F.try_to_timestamp(F.concat_ws(" ", blank_to_null(d), blank_to_null(t)), F.lit("y-M-d H:m"))
+    stamp = lambda d, t: F.try_to_timestamp(F.concat(blank_to_null(d), F.lit(" "), blank_to_null(t)), F.lit("y-M-d H:m"))
     dep = stamp(F.lag("date_raw").over(w), F.lag("dep_time_raw").over(w))
     arr = stamp(F.lag("date_raw").over(w), F.lag("arr_time_raw").over(w))
     arr = F.when(arr < dep, arr + F.expr("interval 1 day")).otherwise(arr)
@@ -68,6 +93,24 @@ def layover(key: str = "request_id", order: str = "position") -> Column:
     return F.when(first, F.lit(None)).when(F.col("manual_layover") != "", F.col("manual_layover")).when(dep.isNotNull() & (wait > 0), span_text(wait))
 
 
+def _with_shared(rows: DataFrame) -> DataFrame:
+    """With the few keys that every cell of a grid looks up, as a map of their own."""
+    pattern = rf"_({'|'.join(SHARED)})(_\d+)?$"
+    return rows.withColumn("shared", F.map_filter("form", lambda k, v: k.rlike(pattern) & (v != "")))
+
+
+def _travellers(order: Column) -> Column:
+    """Array of traveller structs of ``form`` and its ``shared`` keys
+    (:func:`_with_shared`); ``order`` has (position, at) of its flights."""
+    own = lambda i, c, f: F.try_element_at("shared", F.concat(F.lit("pax_"), i.cast("string"), F.lit(f"_{c}_"), f["position"].cast("string")))
+    cell = lambda i, c: lambda f: first_filled(own(i, c, f), _sent("flight", f["at"], c, "shared"), F.lit(DEFAULTS[c]))
+    names = {"ticket_no": "document_no"}
+    return F.transform(indices("pax", "name", "pax_count"), lambda i, n: F.struct(
+        n.alias("pax"), i.alias("idx"), *[text(_sent("pax", i, f)).alias(names.get(f, f)) for f in TRAVELLER_FIELDS],
+        *[F.transform(order, cell(i, c)).alias(f"{c}_by_flight") for c in SHARED],
+    ))
+
+
 def travellers(kv: DataFrame, flights_: DataFrame, positional: bool = False) -> DataFrame:
     """One row per traveller with arrays of seats, meals and bags by flight.
 
@@ -75,27 +118,16 @@ def travellers(kv: DataFrame, flights_: DataFrame, positional: bool = False) ->
     default.  Cells are the flights of the same request only, so the grid is as
     large as the booking.  ``positional`` looks the flight's value up under its
     position instead of under the index in its keys."""
-    p = wide(kv, "pax", TRAVELLER_FIELDS, "name", "pax_count")
-    p = p.withColumns({c: text(F.col(c)) for c in TRAVELLER_FIELDS}).withColumnRenamed("position", "pax")
-    own = kv.select("request_id", F.regexp_extract("key", r"^pax_(\d+)_(seat|meal|checkin_bag|hand_bag)_(\d+)$", 1).try_cast("int").alias("idx"), F.regexp_extract("key", r"^pax_(\d+)_(seat|meal|checkin_bag|hand_bag)_(\d+)$", 2).alias("field"), F.regexp_extract("key", r"^pax_(\d+)_(seat|meal|checkin_bag|hand_bag)_(\d+)$", 3).try_cast("int").alias("position"), "value").where("field <> ''")
-    own = own.groupBy("request_id", "idx", "position").pivot("field", list(SHARED)).agg(F.first("value"))
-    own = own.select("request_id", "idx", "position", *[F.col(c).alias(f"own_{c}") for c in SHARED])
-    sent = kv.select("request_id", F.regexp_extract("key", r"^flight_(\d+)_(seat|meal|checkin_bag|hand_bag)$", 1).try_cast("int").alias("at"), F.regexp_extract("key", r"^flight_(\d+)_(seat|meal|checkin_bag|hand_bag)$", 2).alias("field"), "value").where("field <> ''")
-    sent = sent.groupBy("request_id", "at").pivot("field", list(SHARED)).agg(F.first("value"))
-    sent = sent.select("request_id", "at", *[F.col(c).alias(f"flight_{c}") for c in SHARED])
-    cells = p.select("request_id", "idx", "pax").join(flights_.select("request_id", "position", F.col("position" if positional else "idx").alias("at")), "request_id")
-    cells = cells.join(own, ["request_id", "idx", "position"], "left").join(sent, ["request_id", "at"], "left")
-    value = lambda c: first_filled(F.col(f"own_{c}"), F.col(f"flight_{c}"), F.lit(DEFAULTS[c])).alias(c)
-    in_order = F.array_sort(F.collect_list(F.struct("position", *[value(c) for c in SHARED])))
-    grid = cells.groupBy("request_id", "idx").agg(in_order.alias("g"))
-    grid = grid.select("request_id", "idx", *[F.col(f"g.{c}").alias(f"{c}_by_flight") for c in SHARED])
-    out = p.join(grid, ["request_id", "idx"], "left")
-    return out.withColumns({f"{c}_by_flight": F.coalesce(f"{c}_by_flight", F.array().cast("array<string>")) for c in SHARED})
+    order = flights_.select("request_id", "position", F.col("position" if positional else "idx").alias("at"))
+    order = order.groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct("position", "at"))).alias("order"))
+    rows = _with_shared(forms(kv)).join(order, "request_id", "left")
+    none = F.array().cast("array<struct<position:int,at:int>>")
+    return rows.select("request_id", F.explode(_travellers(F.coalesce("order", none))).alias("t")).select("request_id", "t.*")
 
 
 def route_summary(flights_: DataFrame) -> DataFrame:
     """request_id, route, flight_nos, segments."""
-    in_order = F.array_sort(F.collect_list(F.struct("position", "from_code", "to_code", "flight_no")))
+    in_order = F.sort_array(F.collect_list(F.struct("position", "from_code", "to_code", "flight_no")))
     g = flights_.groupBy("request_id").agg(in_order.alias("g"))
     return g.select(
         "request_id",
@@ -105,6 +137,36 @@ def route_summary(flights_: DataFrame) -> DataFrame:
     )
 
 
+def bookings(kv: DataFrame, spark: SparkSession, airports: DataFrame, as_of: Column) -> DataFrame:
+    """One nested record for each request: the form's own fields, ``flights`` and
+    ``travellers`` as arrays of structs in their order, ``route``, the fare parts
+    with ``total_fare`` and ``fare_lines``: all that printing a booking needs.
+
+    A traveller without a document number gets one from the first flight's
+    airline and a hash of request and place.  A request is one form, so its
+    record is as large as what was sent for it."""
+    f = flights(kv, spark, airports)
+    rest = [c for c in f.columns if c not in ("request_id", "position")]
+    flown = f.groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct("position", *rest))).alias("flights"))
+    form = _with_shared(forms(kv)).join(flown, "request_id", "left")
+    form = form.withColumn("flights", F.coalesce("flights", F.array().cast(flown.schema["flights"].dataType)))
+    order = F.transform("flights", lambda x: F.struct(x["position"].alias("position"), x["idx"].alias("at")))
+    one = lambda k: F.try_element_at("form", F.lit(k))
+    form = form.withColumns({**{k: F.coalesce(one(k), F.lit(v)) for k, v in FORM_FIELDS.items()}, **{k: one(k) for k in fares.PARTS}, "travellers": _travellers(order)}).drop("form", "shared")
+    form = form.withColumns({
+        "customer_phone": strip(F.col("customer_phone")), "customer_email": strip(F.col("customer_email")), "is_dummy": F.col("is_dummy") == "true",
+        "booking_date": booking_date_display(F.col("booking_date"), as_of), "refund_alert": no_refund(F.col("refund_status")),
+    })
+    form = fares.parsed_fares(form)
+    out = form.withColumns({"total_fare": fares.total_fare(), "fare_lines": fares.printed_lines()})
+    prefix = F.try_element_at(F.create_map(*[F.lit(x) for row in dims.prefix_rows() for x in row]), text(F.get("flights", 0)["airline_code"]))
+    out = out.withColumn("prefix", prefix)
+    number = lambda x: first_filled(strip(x["document_no"]), document_number(F.col("prefix"), F.col("request_id"), x["pax"]))
+    out = out.withColumn("travellers", F.transform("travellers", lambda x: x.withField("document_no", number(x)))).drop("prefix")
+    first, last = F.get("flights", 0)["from_code"], F.try_element_at("flights", F.lit(-1))["to_code"]
+    return out.withColumn("route", F.coalesce(F.concat(first, F.lit(" → "), last), F.lit("N/A")))
+
+
 def segment_pnrs(pnrs: Column) -> Column:
     """``Flight i: pnr`` for each that is given, joined by `` | ``."""
     lines = F.transform(pnrs, lambda x, i: F.when(text(x) != "", F.concat(F.lit("Flight "), (i + 1).cast("string"), F.lit(": "), x)))

@@ -2,23 +2,35 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from waybill.functions.scalars import booking_id, platform_code
+from waybill.functions.scalars import booking_id, cut, first_filled, platform_code, text
+from waybill.session import Tables, stored
+
+#: Partition number and place in it, as ``monotonically_increasing_id`` packs them.
+_PLACE_BITS = 33
 
 
-def numbered(df: DataFrame, order: list[str], start: int = 0, column: str = "sno") -> DataFrame:
+def numbered(df: DataFrame, order: list[str], start: int = 0, column: str = "sno", put: Callable[[DataFrame, str], DataFrame] = stored) -> DataFrame:
     """Running numbers start + 1, start + 2, ... in the order of ``order``.
 
-    Rows are range-partitioned and numbered within partitions; what meets in one
-    place is one count per partition, not the rows."""
-    ranged = df.repartitionByRange(*[F.col(c) for c in order]).withColumn("__part", F.spark_partition_id())
-    inside = ranged.withColumn("__row", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
-    counts = inside.groupBy("__part").agg(F.count("*").alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("__part", before.alias("__before"))
-    return inside.join(F.broadcast(offsets), "__part").withColumn(column, F.lit(start) + F.col("__before") + F.col("__row")).drop("__part", "__row", "__before")
+    Rows are range-partitioned and sorted in their partitions, and written once
+    with partition and place: both are then facts of that table, however it is
+    read again.  What meets in one place is one count per partition, not the rows."""
+    names = set(df.columns)
+    place = next(n for n in ("__place", "__place_", "__place__") if n not in names)
+    ranged = df.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order)
+    rows = put(ranged.withColumn(place, F.monotonically_increasing_id()), "numbered")
+    part, within = F.shiftright(place, _PLACE_BITS), F.col(place).bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))
+    counts = rows.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select(F.col("part").alias("__part"), before.alias("__before"))
+    # one row for each partition of the range exchange
+    out = rows.join(F.broadcast(offsets), part == F.col("__part"))
+    return out.select(*df.columns, (F.lit(start) + F.col("__before") + within + 1).alias(column))
 
 
 def next_booking_id(ledger: DataFrame, platform: Column, day: Column) -> DataFrame:
@@ -27,6 +39,37 @@ def next_booking_id(ledger: DataFrame, platform: Column, day: Column) -> DataFra
     return ledger.agg(F.count("*").alias("n")).select(booking_id(platform_code(platform), day, F.col("n") + 1).alias("booking_id"))
 
 
+def real(bookings: DataFrame) -> DataFrame:
+    """Without dummies."""
+    return bookings.where(~F.coalesce(F.col("is_dummy"), F.lit(False))) if "is_dummy" in bookings.columns else bookings
+
+
+def ledger_rows(bookings: DataFrame, as_of: Column) -> DataFrame:
+    """The ledger's fields, all but the number, from nested bookings
+    (:func:`waybill.operators.itinerary.bookings`); ``is_dummy`` goes along."""
+    first = F.get("flights", 0)
+    return bookings.select(
+        F.date_format(as_of, "yyyy-MM-dd HH:mm:ss").alias("generated_on"),
+        "booking_platform", "pnr", "booking_id",
+        F.when(F.size("travellers") > 0, text(F.get("travellers", 0)["name"])).otherwise("Unknown").alias("lead_passenger"),
+        F.size("travellers").alias("total_pax"), "customer_phone", "route",
+        text(first["date"]).alias("travel_date"), text(first["dep_time"]).alias("departure_time"),
+        F.array_join(F.transform("flights", lambda f: text(f["flight_no"])), ", ").alias("flight_nos"),
+        F.col("total_fare").alias("total_amount"), F.col("payment_method").alias("payment_mode"),
+        "fare_type", "refund_status", F.lit("Confirmed").alias("flight_status"), F.lit("").alias("notes"), "is_dummy",
+    )
+
+
+# Wording of the message.
+CAPTION = ("Dear ", ", your e-ticket is attached.\nPNR: ", "\nRoute: ", "\nTravel Date: ", "\n\nRegards,\n")
+
+
+def caption(lead: Column, pnr: Column, route: Column, day: Column, company: str) -> Column:
+    """Text that goes with a delivered document, cut at what a message can hold."""
+    values = (text(lead), first_filled(pnr, F.lit("-")), text(route), first_filled(day, F.lit("-")), F.lit(company))
+    return cut(F.concat(*[x for label, value in zip(CAPTION, values, strict=True) for x in (F.lit(label), value)]), "caption")
+
+
 def append(spark: SparkSession, bookings: DataFrame, path: str, order: list[str]) -> None:
     """Append real bookings (dummies stay out), numbered after what is there.
 
@@ -34,11 +77,10 @@ def append(spark: SparkSession, bookings: DataFrame, path: str, order: list[str]
     taken from the count that this writer reads."""
     from waybill.sources.readers import LEDGER_SCHEMA, ledger
 
-    start = ledger(spark, path).count()
-    real = bookings.where(~F.coalesce(F.col("is_dummy"), F.lit(False))) if "is_dummy" in bookings.columns else bookings
-    rows = numbered(real, order, start)
     names = [f.name for f in spark.createDataFrame([], LEDGER_SCHEMA).schema.fields]
-    rows.select(*names).write.mode("append").parquet(path)
+    with Tables(spark, "ledger") as tables:
+        rows = numbered(real(bookings), order, ledger(spark, path).count(), put=tables.put)
+        rows.select(*names).write.mode("append").parquet(path)
 
 
 def column_widths(df: DataFrame, most: int = 50) -> DataFrame:

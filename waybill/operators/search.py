@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from waybill.functions.scalars import strip, text
 
+#: Characters of a query that find its candidates.
+GRAM = 3
+
 
 def priority(code: Column, city: Column, name: Column, query: Column) -> Column:
     """0 exact code, 1 code begins, 2 city begins, 3 name contains, else null.
@@ -31,28 +34,30 @@ def top_matches(places: DataFrame, query: str, most: int = 15, scan_limit: int |
     found = places.withColumn("priority", priority(F.col("code"), F.col("city"), F.col("airport"), F.lit(wanted)))
     found = found.where(F.col("priority").isNotNull() & F.lit(wanted != ""))
     if scan_limit is not None:
-        # matches of one query; a dimension's worth at most
-        order = Window.orderBy("ord")
-        found = found.withColumn("n", F.row_number().over(order))
-        stop = F.min(F.when((F.col("n") >= scan_limit) & (F.col("priority") > 1), F.col("ord"))).over(Window.partitionBy(F.lit(1)))
-        found = found.withColumn("stop", stop).where(F.col("stop").isNull() | (F.col("ord") <= F.col("stop")))
+        # the place where the scan may stop comes from the first matches, then from a minimum
+        head = found.select("ord").orderBy("ord").limit(scan_limit).agg(F.count("*").alias("n"), F.max("ord").alias("ord")).first()
+        if head["n"] >= scan_limit:
+            stop = found.where((F.col("ord") >= head["ord"]) & (F.col("priority") > 1)).agg(F.min("ord")).first()[0]
+            if stop is not None:
+                found = found.where(F.col("ord") <= stop)
     return found.orderBy("priority", "ord").limit(most).select("code", "city", "airport", "country", "priority")
 
 
 def batch_matches(places: DataFrame, queries: DataFrame, most: int = 15) -> DataFrame:
     """The same for a table of (query_id, query), without comparing all with all.
 
-    Each distinct query is searched once.  A code or city that begins with it has
-    it among its prefixes, a name that contains it among its substrings: those of
-    the lengths that are asked for are listed and met by an equi-join."""
+    Each distinct query is searched once.  Its first ``GRAM`` characters (a
+    shorter one: all) are among the first characters of a code or city that
+    begins with it, and among the grams of a name that contains it: a place lists
+    those, as many as its name is long, and an equi-join finds the candidates,
+    which are then ranked by the whole query."""
     asked = queries.select("query_id", F.upper(strip(text(F.col("query")))).alias("q")).where("q <> ''")
-    each = asked.select("q").distinct()
-    lengths = each.agg(F.collect_set(F.length("q")).alias("lengths"))
-    fits = lambda c: F.filter("lengths", lambda n: n <= F.length(c))
-    begins = lambda c: F.transform(fits(c), lambda n: F.substring(c, F.lit(1), n))
-    inside = lambda c: F.flatten(F.transform(fits(c), lambda n: F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, n))))
-    keyed = places.crossJoin(F.broadcast(lengths)).withColumn("q", F.explode(F.array_distinct(F.concat(begins(F.col("code")), begins(F.upper("city")), inside(F.upper("airport"))))))
-    met = each.join(keyed, "q").withColumn("priority", priority(F.col("code"), F.col("city"), F.col("airport"), F.col("q")))
+    each = asked.select("q").distinct().withColumn("gram", F.substring("q", 1, GRAM))
+    begins = lambda c: F.array(*[F.substring(c, 1, n) for n in range(1, GRAM + 1)])
+    grams = lambda c, n: F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    code, city, name = (F.coalesce(F.upper(c), F.lit("")) for c in ("code", "city", "airport"))
+    keyed = places.withColumn("gram", F.explode(F.array_distinct(F.concat(begins(code), begins(city), *[grams(name, n) for n in range(1, GRAM + 1)]))))
+    met = each.join(keyed, "gram").withColumn("priority", priority(F.col("code"), F.col("city"), F.col("airport"), F.col("q")))
     best = Window.partitionBy("q").orderBy("priority", "ord")
     met = met.where(F.col("priority").isNotNull()).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most)
     return asked.join(met, "q").select("query_id", "rank", "code", "city", "airport", "country", "priority")

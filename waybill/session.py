@@ -1,27 +1,101 @@
-"""Session helpers."""
+"""Session helpers: settings, and tables in the folder that all machines share."""
 
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
-#: Rows in an Arrow batch: whole documents are large rows, and a batch is held
-#: several times over on its way to Python.
-ARROW_ROWS = 2000
-_ARROW_CONF, _ARROW_DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+#: Settings that :func:`prepared` makes where the session still has Spark's own
+#: value.  Whole documents are large rows, held several times over on their way
+#: to Python, so an Arrow batch is bounded by rows and by bytes; and shuffle
+#: files go when the query that made them has ended.
+SETTINGS = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"),
+    "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864", str(4 << 20)),
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": ("false", "true"),
+}
 
 
 def prepared(spark: SparkSession) -> SparkSession:
     """Let Python workers on this machine import this package from where the
     driver has it (on a cluster ship it with ``--py-files`` as usual; the extra
-    entry is harmless there), and keep Arrow batches small unless told otherwise."""
+    entry is harmless there), and make ``SETTINGS``."""
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([*paths, ROOT])
-    if spark.conf.get(_ARROW_CONF, _ARROW_DEFAULT) == _ARROW_DEFAULT:
-        spark.conf.set(_ARROW_CONF, str(ARROW_ROWS))
+    for name, (usual, wanted) in SETTINGS.items():
+        now = spark.conf.get(name, usual)
+        if now in (usual, f"{usual}b"):
+            spark.conf.set(name, wanted)
     return spark
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deal a table anew that has fewer splits than there are cores, for work
+    that costs much more than reading.  A split is at most
+    ``spark.sql.files.maxPartitionBytes``, so what this moves is bounded by that
+    for each core; a larger table stays as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Only where the session has none and everything runs in one process (as in
+    local tests) a temporary folder is made and set as the session's checkpoint
+    folder; elsewhere executors would not see it, so that is an error."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("name a shared folder in spark.checkpoint.dir")
+        found = "file://" + tempfile.mkdtemp(prefix="waybill-shared-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _written(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write ``df`` into the shared folder and read it back: lineage ends here
+    and a lost executor costs no recomputation of what came before."""
+    return _written(df, f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}")
+
+
+class Tables:
+    """Intermediate tables of one job in the shared folder; they go when the
+    ``with`` block ends, and earlier where :meth:`drop` says so."""
+
+    def __init__(self, spark: SparkSession, label: str):
+        self.spark, self.folder, self.paths = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}", {}
+
+    def __enter__(self) -> Tables:
+        return self
+
+    def __exit__(self, *_) -> None:
+        delete(self.spark, self.folder)
+
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.folder}/{name}-{len(self.paths)}"
+        table = _written(df, path)
+        self.paths[id(table)] = (path, table)
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        for table in tables:
+            delete(self.spark, self.paths[id(table)][0])

@@ -118,8 +118,8 @@ UAL=UA DAL=DL SWA=WN JBU=B6 ASA=AS NKS=NK FFT=F9 HAL=HA ACA=AC AMX=AM LAN=LA AVA
 ETH=ET SAA=SA MSR=MS KQA=KQ RAM=AT RWD=WB
 """
 
-# Leading digits of ticket numbers by airline.
-TICKET_PREFIXES = "6E=890 AI=098 UK=228 SG=902 EK=176 QR=157 QP=141 IX=018 SQ=618 BA=125 LH=220 EY=607"
+# Leading digits of document numbers by airline.
+NUMBER_PREFIXES = "6E=890 AI=098 UK=228 SG=902 EK=176 QR=157 QP=141 IX=018 SQ=618 BA=125 LH=220 EY=607"
 
 # Three-letter words that are no airport codes, and some longer ones that are no names.
 STOPWORDS = """
@@ -128,7 +128,7 @@ THU FRI SAT SUN NON ANY OUT DUE AIR PNR GST BAG PAY REF TAX FEE NET SRV MRN HRS
 OLD NEW WAY MMT FTI HAS WON END
 """
 
-# Words by which a ticket shows where it was booked, first match first.
+# Words by which a text shows where it was booked, first match first.
 PLATFORMS = (("MAKEMYTRIP", "MakeMyTrip"), ("CLEARTRIP", "Cleartrip"), ("GOIBIBO", "Goibibo"), ("PAYTM", "Paytm"))
 
 AIRPORT_SCHEMA = "code string, city string, airport string, country string, ord int"
@@ -152,9 +152,13 @@ def airline_aliases(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(alias_rows(), "alias string, iata string")
 
 
-def ticket_prefixes(spark: SparkSession) -> DataFrame:
+def prefix_rows() -> list[tuple[str, str]]:
+    return [tuple(x.split("=")) for x in NUMBER_PREFIXES.split()]
+
+
+def number_prefixes(spark: SparkSession) -> DataFrame:
     """iata, prefix; prefixes keep their leading zeros."""
-    return spark.createDataFrame([tuple(x.split("=")) for x in TICKET_PREFIXES.split()], "iata string, prefix string")
+    return spark.createDataFrame(prefix_rows(), "iata string, prefix string")
 
 
 def airline_payload(spark: SparkSession) -> DataFrame:

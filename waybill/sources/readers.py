@@ -1,4 +1,4 @@
-"""Readers: ticket texts, uploads, form values, settings and the ledger."""
+"""Readers: texts of travel papers, uploads, form values, settings and the ledger."""
 
 from __future__ import annotations
 
@@ -13,8 +13,8 @@ total_pax int, customer_phone string, route string, travel_date string, departur
 total_amount double, payment_mode string, fare_type string, refund_status string, flight_status string, notes string"""
 
 
-def ticket_texts(spark: SparkSession, path: str) -> DataFrame:
-    """filename, text of whole text files (text layers of tickets)."""
+def document_texts(spark: SparkSession, path: str) -> DataFrame:
+    """filename, text of whole text files (text layers of travel papers)."""
     read = spark.read.text(path, wholetext=True)
     return read.select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)$", 1).alias("filename"), F.col("value").alias("text"))
 
@@ -37,18 +37,23 @@ def upload_error(filename: Column, length: Column, content: Column) -> Column:
 
 
 def form_values(submissions: DataFrame) -> DataFrame:
-    """request_id, key, value from (request_id, form map)."""
-    return submissions.select("request_id", F.explode("form").alias("key", "value"))
+    """request_id, ord, key, value from (request_id, form map)."""
+    return submissions.select("request_id", F.posexplode("form").alias("ord", "key", "value"))
 
 
-def settings(spark: SparkSession, path: str) -> DataFrame:
+def settings(spark: SparkSession, path: str, environment: dict[str, str] | None = None) -> DataFrame:
     """key, value of a KEY=VALUE file: blank lines, # lines and lines without =
-    are skipped, quotes go, and of equal keys the first counts."""
+    are skipped, quotes go, and of equal keys the first counts.  What
+    ``environment`` has already wins."""
     lines = spark.read.text(path).select(strip(F.col("value")).alias("line"), F.monotonically_increasing_id().alias("ord"))
     kept = lines.where((F.col("line") != "") & ~F.col("line").startswith("#") & F.contains("line", F.lit("=")))
     parts = F.split("line", "=", 2)
     pairs = kept.select(strip(parts[0]).alias("key"), F.regexp_replace(F.regexp_replace(strip(parts[1]), '^"+|"+$', ""), "^'+|'+$", "").alias("value"), "ord")
-    return pairs.where("key <> ''").groupBy("key").agg(F.min_by("value", "ord").alias("value"))
+    found = pairs.where("key <> ''").groupBy("key").agg(F.min_by("value", "ord").alias("value"))
+    if not environment:
+        return found
+    already = F.create_map(*[F.lit(x) for pair in environment.items() for x in pair])
+    return found.select("key", F.coalesce(F.try_element_at(already, F.col("key")), "value").alias("value"))
 
 
 def ledger(spark: SparkSession, path: str) -> DataFrame:

@@ -1,7 +1,9 @@
 """The ledger fed by a stream: each micro-batch is appended with running numbers.
 
 A batch that is run again after a failure must not be appended twice, so each
-batch carries its number in the path; reading takes all of them together."""
+batch carries its number in the path; reading takes all of them together.  Its
+numbers go on from the rows of the batches before it, so a batch that is run
+again gets the numbers it had."""
 
 from __future__ import annotations
 
@@ -9,15 +11,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from waybill.operators.ledger import numbered
+from waybill.operators.ledger import numbered, real
+from waybill.session import Tables
+
+
+def _rows_before(batch: DataFrame, path: str, number: int) -> int:
+    spark = batch.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if number == 0 or not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return 0
+    return spark.read.schema("sno long, batch long").parquet(path).where(F.col("batch") < number).count()
 
 
 def append_stream(bookings: DataFrame, path: str, checkpoint: str, order: list[str]) -> StreamingQuery:
-    """Append a stream of bookings (see ``ledger``) below ``path``; ``sno`` counts
-    within and ``batch`` names the micro-batch."""
+    """Append a stream of bookings (see ``ledger``) below ``path``; ``sno`` runs
+    through all micro-batches and ``batch`` names each."""
 
     def write(batch: DataFrame, number: int) -> None:
-        real = batch.where(~F.coalesce(F.col("is_dummy"), F.lit(False))) if "is_dummy" in batch.columns else batch
-        numbered(real, order).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        with Tables(batch.sparkSession, "ledger") as tables:
+            rows = numbered(real(batch), order, _rows_before(batch, path, number), put=tables.put)
+            rows.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
     return bookings.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
