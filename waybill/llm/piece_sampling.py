@@ -31,21 +31,27 @@ kept by :func:`encoded` unless they have the names of its results.
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waybill.llm.common import read_table, small_batches
+from waybill.llm.common import dealt_table, small_batches, unused
 
 ALPHA = 0.5
 SEED = 17
 RANK_OFFSET = 20
-STORE_UNITS = 100_000
+#: Units whose filtered lattices a task keeps (some 300 bytes each).
+STORE_UNITS = 300_000
+#: Positions of a unit that are filtered together with those of other units;
+#: the few longer units go on one position at a time.
+TOGETHER = 48
 BATCH_BYTES = 1 << 19
 #: Tokens that units are made of; each border is told by the two characters beside it.
 _TOKEN = r"(?: *+(?:[^\W\d_]++|(?:[^ \n\t\r\w]|_)++|\d++)| ++|[\n\t\r])"
@@ -79,7 +85,8 @@ class Vocabulary:
     """Pieces of a SentencePiece model as plain data (a fixed size, a few MB):
     bytes by id, and the pieces as a trie in arrays.
 
-    Trie edges are sorted keys ``node << 21 | code point``; node 0 is the root."""
+    Trie edges are keys ``node << 21 | code point`` in an open hash table; node 0
+    is the root."""
 
     def __init__(self, model_file: str):
         import sentencepiece
@@ -113,18 +120,60 @@ class Vocabulary:
                     weight_at.append(0.0)
                 node = edges[key]
             piece_at[node], weight_at[node] = i, weight
-        self.keys = np.array(sorted(edges), np.int64)
-        self.to = np.array([edges[k] for k in self.keys.tolist()], np.int64)
         self.piece_at, self.weight_at = np.array(piece_at, np.int32), np.array(weight_at)
-        firsts = self.keys[self.keys < 1 << 21]
-        self.root = np.full(int(firsts[-1]) + 2, -1, np.int64)  # the first step; its last place is for what is beyond
-        self.root[firsts] = self.to[: len(firsts)]
+        self._hash(np.array(list(edges), np.int64), np.array(list(edges.values()), np.int32))
+        firsts = sorted(k for k in edges if k < 1 << 21)
+        self.root = np.full(firsts[-1] + 2, -1, np.int64)  # the first step; its last place is for what is beyond
+        self.root[firsts] = [edges[k] for k in firsts]
+        self.sizes = np.array([len(b) for b in self.bytes], np.int64)
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        self.joined = np.frombuffer(b"".join(self.bytes), np.uint8)
+
+    def _hash(self, keys: np.ndarray, to: np.ndarray) -> None:
+        self.bits = int(len(keys)).bit_length() + 2
+        self.keys, self.to = np.full((1 << self.bits) + 64, -1, np.int64), np.full((1 << self.bits) + 64, -1, np.int32)
+        left = np.arange(len(keys))
+        at = self._slot(keys)
+        while len(left):  # each round the first key of every free place takes it, the others move on
+            free = self.keys[at] < 0
+            _, first = np.unique(np.where(free, at, -1 - np.arange(len(at))), return_index=True)
+            first = first[free[first]]
+            self.keys[at[first]], self.to[at[first]] = keys[left[first]], to[left[first]]
+            rest = np.ones(len(left), bool)
+            rest[first] = False
+            left, at = left[rest], at[rest] + 1
+            if len(at) and at.max() >= len(self.keys):
+                raise ValueError("hash table too small")
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * _GOLDEN >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def step(self, node: np.ndarray, char: np.ndarray) -> np.ndarray:
         """Trie node after each char, -1 where there is none."""
         key = node << 21 | char
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.to[at], -1)
+        at = self._slot(key)
+        found = self.keys[at]
+        out = np.where(found == key, self.to[at], -1).astype(np.int64)
+        on = np.flatnonzero((found != key) & (found >= 0))
+        while len(on):
+            at[on] += 1
+            found = self.keys[at[on]]
+            hit = found == key[on]
+            out[on[hit]] = self.to[at[on[hit]]]
+            on = on[~hit & (found >= 0)]
+        return out
+
+
+class _Units(dict):
+    """A number for each unit; new ones are listed."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, unit: str) -> int:
+        self.new.append(unit)
+        n = self[unit] = len(self)
+        return n
 
 
 class Lattices:
@@ -136,7 +185,8 @@ class Lattices:
         self.clear()
 
     def clear(self) -> None:
-        self.units: dict[str, int] = {}  # end node of each unit
+        self.units = _Units()
+        self.end_of = np.zeros(0, np.int64)  # end node of each unit
         self.nodes = 0
         self.first, self.piece, self.previous = (np.zeros(0, np.int32) for _ in range(3))
         self.share = np.zeros(0, np.float32)
@@ -190,7 +240,8 @@ class Lattices:
         order = np.lexsort((end, end - first[end]))
         start, end, piece, weight, before, previous = (x[order] for x in (start, end, piece, weight, before, previous))
         level = end - first[end]
-        cuts = np.flatnonzero(np.diff(level, prepend=-1, append=-1))
+        together = int(np.searchsorted(level, TOGETHER))
+        cuts = np.append(np.flatnonzero(np.diff(level[:together], prepend=-1)), together)
         filtered = np.zeros(total + 1)  # at -1 (the last) the start's weight, 0
         chance = np.empty(len(start))
         for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
@@ -203,6 +254,8 @@ class Lattices:
             mass = np.add.reduceat(part, group)
             filtered[e[group]] = top + np.log(mass)
             chance[a:b] = part / mass[which]
+        if together < len(start):
+            chance[together:] = _one_by_one(filtered, end[together:].tolist(), before[together:].tolist(), weight[together:].tolist())
 
         order = np.argsort(end, kind="stable")
         end, piece, previous, chance = end[order], piece[order], previous[order], chance[order]
@@ -221,14 +274,15 @@ class Lattices:
         self.share = np.concatenate([self.share, run.astype(np.float32), np.ones(len(chain_piece), np.float32)])
         self.piece = np.concatenate([self.piece, piece, chain_piece])
         self.previous = np.concatenate([self.previous, previous.astype(np.int32), chain_previous.astype(np.int32)])
-        self.units.update(zip(units, (self.nodes + stops - 1).tolist(), strict=True))
+        self.end_of = np.concatenate([self.end_of, self.nodes + stops - 1])
         self.nodes += total + len(chain_piece)
 
     def ends(self, units: list[str]) -> np.ndarray:
-        new = [u for u in dict.fromkeys(units) if u not in self.units]
+        at = np.fromiter(map(self.units.__getitem__, units), np.int64, len(units))
+        new, self.units.new = self.units.new, []
         for i in range(0, len(new), 20_000):
             self.add(new[i : i + 20_000])
-        return np.fromiter(map(self.units.__getitem__, units), np.int64, len(units))
+        return self.end_of[at]
 
     def sample(self, ends: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pieces of all units in order, and how many each has."""
@@ -257,12 +311,32 @@ class Lattices:
         return out, counts
 
 
+def _one_by_one(filtered: np.ndarray, end: list[int], before: list[int], weight: list[float]) -> list[float]:
+    """Chances of edges in order of their ends, where few units are left."""
+    known: dict[int, float] = {}
+    chance, i = [], 0
+    while i < len(end):
+        j = i
+        terms = []
+        while j < len(end) and end[j] == end[i]:
+            at = before[j]
+            terms.append((known[at] if at in known else float(filtered[at])) + weight[j])
+            j += 1
+        top = max(terms)
+        parts = [math.exp(t - top) for t in terms]
+        mass = sum(parts)
+        known[end[i]] = top + math.log(mass)
+        chance += [p / mass for p in parts]
+        i = j
+    return chance
+
+
 def row_seed(key: str, seed: int) -> int:
     return xxhash.xxh64_intdigest(key, seed)
 
 
-def encode_texts(texts: list[str | None], keys: list[str], lattices: Lattices, seed: int) -> list[np.ndarray | None]:
-    """Sampled piece ids of each text."""
+def encode_batch(texts: list[str | None], keys: list[str], lattices: Lattices, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """(sampled piece ids of all texts, where each text's begin and end)."""
     units = [lattices.v.units.findall(" " + t) if t else [] for t in texts]
     sizes = np.array([len(u) for u in units], np.int64)
     if len(lattices.units) > STORE_UNITS:
@@ -272,8 +346,14 @@ def encode_texts(texts: list[str | None], keys: list[str], lattices: Lattices, s
     row = np.repeat(np.array([row_seed(k, seed) for k in keys], np.uint64), sizes)
     seeds = (row ^ (place.astype(np.uint64) + np.uint64(1)) * _M2) * _M1
     pieces, counts = lattices.sample(ends, seeds)
-    stop = np.cumsum(np.bincount(np.repeat(np.arange(len(texts)), sizes), weights=counts, minlength=len(texts)).astype(np.int64))
-    return [None if t is None else pieces[b - n : b] for t, b, n in zip(texts, stop.tolist(), np.diff(stop, prepend=0).tolist(), strict=True)]
+    total = np.concatenate([np.zeros(1, np.int64), np.cumsum(counts)])
+    return pieces, total[np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])]
+
+
+def encode_texts(texts: list[str | None], keys: list[str], lattices: Lattices, seed: int) -> list[np.ndarray | None]:
+    """Sampled piece ids of each text."""
+    pieces, at = encode_batch(texts, keys, lattices, seed)
+    return [None if t is None else pieces[a:b] for t, a, b in zip(texts, at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
 def decode_ids(ids: list[int] | None, pieces: list[bytes]) -> str | None:
@@ -282,60 +362,97 @@ def decode_ids(ids: list[int] | None, pieces: list[bytes]) -> str | None:
     return b"".join([pieces[i] for i in ids]).decode("utf-8", "surrogatepass")[1:]
 
 
+def decode_batch(ids: np.ndarray, at: np.ndarray, valid: np.ndarray, v: Vocabulary) -> pa.Array:
+    """The texts of all rows; row r has the ids from ``at[r]`` to ``at[r + 1]``.
+
+    The bytes of a row's pieces are gathered, less the space that every text
+    begins with, in parts of a bounded number of pieces."""
+    sizes = v.sizes[ids]
+    first = at[:-1][at[1:] > at[:-1]]  # the piece that a row begins with
+    skip = np.zeros(len(ids), np.int64)
+    skip[first] = np.minimum(sizes[first], 1)
+    sizes -= skip
+    ends = np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)])
+    data = np.empty(int(ends[-1]), np.uint8)
+    for i in range(0, len(ids), 1 << 17):
+        j = min(len(ids), i + (1 << 17))
+        shift = np.repeat(v.begins[ids[i:j]] + skip[i:j] - ends[i:j], sizes[i:j])
+        data[ends[i] : ends[j]] = v.joined[shift + np.arange(ends[i], ends[j])]
+    bitmap = pa.py_buffer(np.packbits(valid, bitorder="little").tobytes())
+    return pa.Array.from_buffers(pa.binary(), len(valid), [bitmap, pa.py_buffer(ends[at].astype(np.int32).tobytes()), pa.py_buffer(data)]).cast(pa.string())
+
+
 def _schema(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
 
+def _sampled(rows: Iterator[pa.RecordBatch], v: Vocabulary, alpha: float, seed: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+    """Small batches of (text, key, ...) with their ids, where each row's begin, and which texts are not null."""
+    lattices = Lattices(v, alpha)
+    for b in small_batches(rows, 0, BATCH_BYTES):
+        texts = b.column(0).to_pylist()
+        ids, at = encode_batch(texts, [x or "\0null" for x in b.column(1).to_pylist()], lattices, seed)
+        yield b, ids, at, np.array([t is not None for t in texts])
+
+
+def _given(documents: DataFrame, key: str, kept: list[str]) -> DataFrame:
+    text, name = unused(documents, "text_", "key_")
+    return documents.select(F.col("text").cast("string").alias(text), F.col(key).cast("string").alias(name), *[F.col(c) for c in kept])
+
+
 def encoded(documents: DataFrame, key: str = "doc_id", alpha: float = ALPHA, seed: int = SEED, model_file: str | None = None) -> DataFrame:
     """The columns of ``documents`` and ``pieces`` (array of ids), ``n_pieces``."""
     vocabulary = Vocabulary(model_file or default_model())
     kept = [c for c in documents.columns if c not in ("pieces", "n_pieces")]
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattices = Lattices(vocabulary, alpha)
-        for b in small_batches(rows, "__text", BATCH_BYTES):
-            found = encode_texts(b.column(0).to_pylist(), [x or "\0null" for x in b.column(1).to_pylist()], lattices, seed)
-            sizes = np.array([0 if x is None else len(x) for x in found])
-            offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(
-                pa.array(offsets, pa.int32()), pa.array(np.concatenate([x for x in found if x is not None] or [np.zeros(0, np.int32)]), pa.int32()),
-                mask=pa.array([x is None for x in found]),
-            )
-            yield pa.RecordBatch.from_arrays([*b.columns[2:], ids, pa.array(sizes, pa.int64())], names=[*b.schema.names[2:], "pieces", "n_pieces"])
+        for b, ids, at, valid in _sampled(rows, vocabulary, alpha, seed):
+            lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(ids), mask=pa.array(~valid))
+            yield pa.RecordBatch.from_arrays([*b.columns[2:], lists, pa.array(np.diff(at))], names=[*b.schema.names[2:], "pieces", "n_pieces"])
 
-    given = documents.select(F.col("text").cast("string").alias("__text"), F.col(key).cast("string").alias("__key"), *[F.col(c) for c in kept])
-    return given.mapInArrow(batches, f"{_schema(documents.select(*kept))}, pieces array<int>, n_pieces long")
+    return _given(documents, key, kept).mapInArrow(batches, f"{_schema(documents.select(*kept))}, pieces array<int>, n_pieces long")
 
 
 def decoded(pieces: DataFrame, model_file: str | None = None) -> DataFrame:
     """The columns of ``pieces`` and ``decoded``, the text of its ids."""
-    table = Vocabulary(model_file or default_model()).bytes
+    vocabulary = Vocabulary(model_file or default_model())
     kept = [c for c in pieces.columns if c != "decoded"]
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in rows:
-            ids = b.column(0)
             for i in range(0, b.num_rows, 256):
                 part = b.slice(i, 256)
-                texts = [decode_ids(x, table) for x in ids.slice(i, 256).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(texts, pa.string())], names=[*b.schema.names[1:], "decoded"])
-
-    given = pieces.select(F.col("pieces").alias("__pieces"), *[F.col(c) for c in kept])
+                lists = part.column(0)
+                sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+                ids = lists.flatten().to_numpy(zero_copy_only=False)
+                texts = decode_batch(ids, np.concatenate([np.zeros(1, np.int64), np.cumsum(sizes)]), ~lists.is_null().to_numpy(zero_copy_only=False), vocabulary)
+                yield pa.RecordBatch.from_arrays([*part.columns[1:], texts], names=[*b.schema.names[1:], "decoded"])
+
+    (name,) = unused(pieces, "pieces_")
+    given = pieces.select(F.col("pieces").alias(name), *[F.col(c) for c in kept])
     return given.mapInArrow(batches, f"{_schema(pieces.select(*kept))}, decoded string")
 
 
-def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        lists = b.column(0)
-        sums = [hashlib.sha256(np.asarray(x.values, np.int32).tobytes()).hexdigest() if x.is_valid else None for x in lists]
-        yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(sums, pa.string())], names=[*b.schema.names[1:], "pieces_sha256"])
+def round_trips(documents: DataFrame, key: str = "doc_id", alpha: float = ALPHA, seed: int = SEED, model_file: str | None = None) -> DataFrame:
+    """``key``, n_pieces, lossless, pieces_sha256 (of the ids as little-endian
+    int32, null for a null text): each row encoded and decoded again where it is,
+    for checks that do not need the pieces themselves."""
+    vocabulary = Vocabulary(model_file or default_model())
+
+    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, ids, at, valid in _sampled(rows, vocabulary, alpha, seed):
+            back = decode_batch(ids, at, valid, vocabulary)
+            same = pc.fill_null(pc.equal(back, b.column(0)), pa.scalar(False))
+            same = pc.or_(same, pc.and_(pc.is_null(back), pc.is_null(b.column(0))))
+            little = ids.astype("<i4", copy=False)
+            sums = [hashlib.sha256(little[i:j]).hexdigest() if ok else None for i, j, ok in zip(at[:-1].tolist(), at[1:].tolist(), valid.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(2), pa.array(np.diff(at)), same, pa.array(sums, pa.string())], names=[key, "n_pieces", "lossless", "pieces_sha256"])
+
+    return _given(documents, key, [key]).mapInArrow(batches, f"{_schema(documents.select(key))}, n_pieces long, lossless boolean, pieces_sha256 string")
 
 
 def op6_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, n_pieces, pieces_sha256 (ids as little-endian int32), lossless."""
-    both = decoded(encoded(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
-    checked = both.select(F.col("pieces").alias("__pieces"), "doc_id", "n_pieces", F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
-    return checked.mapInArrow(_digest, "doc_id long, n_pieces long, lossless boolean, pieces_sha256 string")
+    return round_trips(dealt_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {"op6_piece_sampling": op6_piece_sampling}
