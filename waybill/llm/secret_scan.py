@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waybill.llm.common import read_table, small_batches
+from waybill.llm.common import dealt_table, small_batches, unused
 
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "service", "web", "key")
@@ -57,6 +57,7 @@ KEYWORDS = {
     "akia": "access", "ghp_": "service", "gho_": "service", "ghu_": "service", "ghs_": "service", "ghr_": "service",
     "npm_": "service", "eyj": "web", "-----begin ": "key",
 }
+_WEB_RUN = re.compile(rb"[A-Za-z0-9_-]+")
 _HEX_MAP = bytes(49 if c in b"0123456789abcdef" else 48 for c in range(256))
 _HEX_RUN = b"1" * HEX_LEAST
 _BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
@@ -118,10 +119,16 @@ def byte_spans(raw: bytes) -> list[tuple[str, int, int]]:
     spans, done = [], dict.fromkeys(_PATTERN, 0)
     near = [(end + 1 - n, kind) for end, (n, kind) in automaton().iter(raw.lower().decode("latin-1"))]
     for at, kind in sorted(set(near)):
-        if at >= done[kind] and (m := _PATTERN[kind].match(raw, at)):
+        if at < done[kind]:
+            continue
+        m = _PATTERN[kind].match(raw, at)
+        if m:
             done[kind] = m.end()
             if _HOLDS[kind](m):
                 spans.append((kind, at, m.end()))
+        elif kind == "web":
+            # what follows a run decides, so other beginnings in the same run fail as well
+            done[kind] = _WEB_RUN.match(raw, at).end()
     run = raw.translate(_HEX_MAP)
     at = run.find(_HEX_RUN)
     while at >= 0:
@@ -176,24 +183,25 @@ def redacted(documents: DataFrame) -> DataFrame:
     """The documents, all columns, with secrets cut out of ``text`` and n_chars
     counted anew where it changed."""
     names = documents.columns
+    text, changed_ = unused(documents, "text_", "changed")
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in small_batches(rows, "__text", BATCH_BYTES):
+        for b in small_batches(rows, 0, BATCH_BYTES):
             before = b.column(0).to_pylist()
             after = [redact(t) for t in before]
             changed = pa.array([x is not y for x, y in zip(before, after, strict=True)])
-            yield pa.RecordBatch.from_arrays([pa.array(after, pa.string()), changed, *b.columns[1:]], names=["__text", "__changed", *b.schema.names[1:]])
+            yield pa.RecordBatch.from_arrays([pa.array(after, pa.string()), changed, *b.columns[1:]], names=[text, changed_, *b.schema.names[1:]])
 
     others = [c for c in names if c != "text"]
-    given = documents.select(F.col("text").cast("string").alias("__text"), *[F.col(c) for c in others])
+    given = documents.select(F.col("text").cast("string").alias(text), *[F.col(c) for c in others])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[1:])
-    out = given.mapInArrow(batches, f"__text string, __changed boolean{', ' + schema if schema else ''}")
-    n_chars = F.when(F.col("__changed"), F.length("__text").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in names else None
-    return out.select(*[F.col("__text").alias(c) if c == "text" else n_chars.alias(c) if c == "n_chars" else F.col(c) for c in names])
+    out = given.mapInArrow(batches, f"{text} string, {changed_} boolean{', ' + schema if schema else ''}")
+    n_chars = F.when(F.col(changed_), F.length(text).cast("long")).otherwise(F.col("n_chars")) if "n_chars" in names else None
+    return out.select(*[F.col(text).alias(c) if c == "text" else n_chars.alias(c) if c == "n_chars" else F.col(c) for c in names])
 
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets(read_table(spark, sf_dir, "documents"))
+    return secrets(dealt_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {"op9_secret_scan": op9_secret_scan}
