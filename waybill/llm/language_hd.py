@@ -7,9 +7,10 @@ and so is a language over all its training texts.  A text gets the language
 whose prototype has the largest cosine with it.
 
 Training sums are integers, so they do not depend on how rows are dealt.  One
-task keeps one vector per language; what reaches the driver is one vector per
-language (``DIMENSIONS`` longs each), whatever the number of documents.  The
-number of languages is a property of the labels, and is checked.
+task keeps one vector per language; what reaches the driver and each task is one
+vector per language (``DIMENSIONS`` longs, 8 KB), whatever the number of documents.
+The number of languages is a property of the labels; texts meet prototypes in
+blocks of ``BLOCK``.
 
 Defined results: a null text or one without a letter is ``und`` with score 0,
 as is every text when nothing could be learnt; labels that are null are not
@@ -28,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waybill.llm.common import read_table, small_batches
+from waybill.llm.common import dealt_table, small_batches, unused
 
 DIMENSIONS = 1024
 SEED = 20240229
 SYMBOLS = 1024
-MAX_LANGUAGES = 10_000
+BLOCK = 1024
 UNDETERMINED = "und"
 #: A text this near to orthogonal to every prototype is in no learnt language: the
 #: cosine of unrelated vectors has a standard deviation of 1 over 32.
@@ -119,9 +120,7 @@ def prototypes(labelled: DataFrame) -> dict[str, np.ndarray]:
     """Prototype of each language from all rows of (lang, text)."""
     parts = labelled.where("lang IS NOT NULL AND text IS NOT NULL").select("lang", "text").mapInArrow(_training_sums, "lang string, vector array<bigint>")
     sums = parts.select("lang", F.posexplode("vector").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
-    rows = sums.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("i", "x")))["x"].alias("v")).limit(MAX_LANGUAGES + 1).collect()
-    if len(rows) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} language labels")
+    rows = sums.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("i", "x")))["x"].alias("v")).collect()
     return {r["lang"]: np.array(r["v"], np.int64) for r in sorted(rows, key=lambda r: r["lang"])}
 
 
@@ -141,10 +140,15 @@ def predict_texts(texts: list[str | None], names: list[str], unit: np.ndarray) -
         counts = np.bincount(doc[inside] * n + place[inside] - lo, minlength=len(some) * n).reshape(len(some), n)
         bundles += counts.astype(np.float32) @ trigram_vectors(vocabulary[lo : lo + n]).astype(np.float32)
     norm = np.linalg.norm(bundles, axis=1)
-    cosine = (bundles @ unit.astype(np.float32)) / np.maximum(norm, 1e-9)[:, None]
-    best = cosine.argmax(axis=1)
-    for i, k, row in zip(some, best.tolist(), cosine, strict=True):
-        langs[i], scores[i] = names[k], float(min(1.0, max(0.0, row[k])))
+    bundles /= np.maximum(norm, 1e-9)[:, None]
+    best, score = np.zeros(len(some), np.int64), np.full(len(some), -np.inf, np.float32)
+    for lo in range(0, len(names), BLOCK):
+        cosine = bundles @ unit[:, lo : lo + BLOCK].astype(np.float32)
+        k = cosine.argmax(axis=1)
+        found = cosine[np.arange(len(some)), k]
+        best, score = np.where(found > score, lo + k, best), np.maximum(score, found)
+    for i, k, x in zip(some, best.tolist(), score.tolist(), strict=True):
+        langs[i], scores[i] = names[k], min(1.0, max(0.0, x))
     return langs, scores
 
 
@@ -154,11 +158,12 @@ def with_language(documents: DataFrame, learnt: dict[str, np.ndarray], keep: tup
     unit = np.stack([learnt[n] / np.linalg.norm(learnt[n]) for n in names], axis=1) if names else np.zeros((DIMENSIONS, 0))
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in small_batches(rows, "__text", BATCH_BYTES):
+        for b in small_batches(rows, 0, BATCH_BYTES):
             langs, scores = predict_texts(b.column(0).to_pylist(), names, unit)
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*b.schema.names[1:], *results])
 
-    given = documents.select(F.col("text").cast("string").alias("__text"), *[F.col(c) for c in keep])
+    (name,) = unused(documents, "text_")
+    given = documents.select(F.col("text").cast("string").alias(name), *[F.col(c) for c in keep])
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.schema.fields[1:])
     return given.mapInArrow(batches, f"{schema}, {results[0]} string, {results[1]} double")
 
@@ -175,12 +180,13 @@ def identified(documents: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """The documents, all columns as they were, that are in one of the learnt
     languages: those without a letter go, and those whose best cosine is under
     ``min_score``."""
-    found = with_language(documents, learn(documents), tuple(documents.columns), ("__lang", "__score"))
-    return found.where((F.col("__lang") != UNDETERMINED) & (F.col("__score") >= min_score)).select(*documents.columns)
+    lang, score = unused(documents, "lang_found", "score_found")
+    found = with_language(documents, learn(documents), tuple(documents.columns), (lang, score))
+    return found.where((F.col(lang) != UNDETERMINED) & (F.col(score) >= min_score)).select(*documents.columns)
 
 
 def op4_language_hd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = read_table(spark, sf_dir, "documents")
+    documents = dealt_table(spark, sf_dir, "documents")
     return with_language(documents, learn(documents)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 

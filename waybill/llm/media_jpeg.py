@@ -8,6 +8,10 @@ thumbnail, which for such files is the payload again.  The reader is general:
 any baseline file (several components, subsampling, restart intervals, AC
 coefficients, several scans) gives its luminance thumbnail.
 
+The stored form is the ``media`` column of :func:`with_media`; whoever keeps it
+writes that table.  The query hands the column from the one Python step to the
+other through Spark and does not write it, as it holds every text once more.
+
 Restart intervals are byte-aligned and independent, so the reader advances
 all intervals of many images in step, one block at a time, with numpy.
 
@@ -32,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waybill.llm.common import read_table, small_batches
+from waybill.llm.common import dealt_table, small_batches
 
 UNIT = 64
 ROWS_PER_IMAGE = 8191  # 8 * 8191 lines is the most that a JPEG frame header can say
@@ -460,7 +464,7 @@ def thumbnail_features(media: DataFrame) -> DataFrame:
 
 
 def op1_media_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = read_table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("string"))
+    documents = dealt_table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("string"))
     return thumbnail_features(with_media(documents))
 
 
