@@ -21,11 +21,17 @@ SETTINGS = {
 }
 
 
+#: Python workers live through many tasks: arrays of 256 KB and more go back to the
+#: system as soon as they are freed, instead of staying with the worker.
+WORKER_MEMORY = {"MALLOC_MMAP_THRESHOLD_": str(1 << 18), "MALLOC_TRIM_THRESHOLD_": str(1 << 20), "MALLOC_ARENA_MAX": "2"}
+
+
 def prepared(spark: SparkSession) -> SparkSession:
     """Let Python workers on this machine import this package from where the
     driver has it (on a cluster ship it with ``--py-files`` as usual; the extra
     entry is harmless there), and make ``SETTINGS``."""
     env = spark.sparkContext.environment
+    env.update({k: v for k, v in WORKER_MEMORY.items() if k not in env})
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([*paths, ROOT])
