@@ -9,21 +9,24 @@ component.  The search is exact up to hash collisions.
    copies share its answers.
 2. Prefix index: under one global order, linked sets share one of their first
    ``n - ceil(n * PERCENT / 100) + 1`` shingles.  The order is rare first, by a
-   count sketch over the shingles of all documents (a fixed number of counters,
+   count sketch over the shingles of all documents (a bounded number of counters,
    so it can be sent to all tasks; any order gives the same results, this one
    keeps index lists short).  Each list entry has the set's size and the
-   shingle's position in it.
-3. Lists are cut into blocks by component; size and position bounds let a pair
-   of blocks, or of entries, be skipped unread.
+   shingle's position in it.  Lists that the sketch counts as long are dealt over
+   several groups, so no shingle's entries have to meet in one task.
+3. Lists are cut into blocks by size and component; size and position bounds let
+   a pair of blocks, or of entries, be skipped unread.
 4. Answers are derived from those of a highly similar set: in the first round
-   the sets of a list meet only one of them, a hub, and those verified join its
-   component and its answers.  In the second, only pairs across components are
-   looked at, and a pair (x, z) is skipped if the overlap already known of x's
+   the sets of a list meet only one of them, a hub (the set that has the fewest
+   rarer shingles, as an original beside its edited copies), and those verified
+   join its component and its answers.  In the second, only pairs across components
+   are looked at, and a pair (x, z) is skipped if the overlap already known of x's
    neighbour r with z, enlarged by what x has beyond r, cannot reach the
    threshold.  So large groups of near copies never meet all against all.
 
 Pairs are verified by the sizes of their sets' intersections.  Sets are made
-again from the texts of the documents in question instead of being kept.
+again from the texts of the documents in question instead of being kept, and go
+to the hubs that they are compared with, a few hundred to a task's group.
 
 Defined results: null, empty and white-space texts have no shingles and are
 alone; a component's id is its smallest doc_id; every input row gives one row,
@@ -36,6 +39,7 @@ each component the document with the smallest doc_id stays.
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -44,7 +48,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from waybill.llm.common import bit_table, drop_listed, in_table, read_table, slot, small_batches, stored
+from waybill.llm.common import Tables, dealt_table, drop_rows, listed_rows, small_batches, stored
 from waybill.llm.components import component_labels
 from waybill.llm.words import hashed_words, window_hashes
 
@@ -54,6 +58,10 @@ PERCENT = 80
 #: within these bounds (at most 16 MB are sent to a task).
 SHINGLES_PER_COUNTER, LEAST_BITS, MOST_BITS = 8, 16, 24
 SLICE_BITS = 14
+#: A list is long if the sketch counts 4,096 sets or more (as a rank: eight a doubling).
+LONG_RANK = 8 * 12
+#: Sets that are compared with one hub in one group.
+SETS_PER_GROUP = 128
 CHARS_PER_WORD = 6
 BATCH_BYTES = 1 << 19
 
@@ -85,15 +93,15 @@ def _bucket(s: np.ndarray, bits: int) -> np.ndarray:
 
 def summaries_of(documents: DataFrame, bits: int) -> DataFrame:
     """A row for each document (doc_id, n, sid) and each task's shingle counts
-    by slice of the sketch (up to 255 each: they only rank)."""
+    by slice of the sketch (up to 65,535 each: they only rank)."""
     names = ["doc_id", "n", "sid", "slice", "counts"]
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << bits, np.uint8)
+        counts = np.zeros(1 << bits, np.uint16)
         for b in small_batches(rows, "text", BATCH_BYTES):
             sets = shingle_sets(b.column(1).to_pylist())
             at, n = np.unique(_bucket(np.concatenate([np.zeros(0, np.uint64), *sets]), bits), return_counts=True)
-            counts[at] = np.minimum(counts[at] + n, 255)
+            counts[at] = np.minimum(counts[at] + n, 65_535)
             none = pa.nulls(len(sets))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_key(s) for s in sets], pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())], names=names)
         for i, c in enumerate(counts.reshape(-1, 1 << SLICE_BITS)):
@@ -108,17 +116,17 @@ def _slice_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sums: dict[int, np.ndarray] = {}
     for b in batches:
         for i, packed in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            part = np.frombuffer(zlib.decompress(packed), np.uint8).astype(np.float32)
+            part = np.frombuffer(zlib.decompress(packed), np.uint16).astype(np.float32)
             sums[i] = sums[i] + part if i in sums else part
     rank = [(i, np.floor(8 * np.log2(1 + v)).astype(np.uint8).tobytes()) for i, v in sums.items()]
     yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rank], pa.int32()), pa.array([r[1] for r in rank], pa.binary())], names=["slice", "rank"])
 
 
-def order_sketch(summaries: DataFrame, bits: int) -> np.ndarray:
+def order_sketch(summaries: DataFrame, bits: int, tables: Tables) -> np.ndarray:
     """Rank (eight per doubling of the count) by bucket: 2**bits bytes."""
     parts = summaries.where("slice IS NOT NULL").select("slice", "counts").repartition(64, "slice")
     rank = np.zeros((1 << (bits - SLICE_BITS), 1 << SLICE_BITS), np.uint8)
-    for r in parts.mapInArrow(_slice_sums, "slice int, rank binary").toLocalIterator():
+    for r in tables.put(parts.mapInArrow(_slice_sums, "slice int, rank binary"), "ranks").toLocalIterator():
         rank[r["slice"]] = np.frombuffer(r["rank"], np.uint8)
     return rank.ravel()
 
@@ -132,9 +140,30 @@ def short(key: bytes) -> int:
     return int.from_bytes(key[:8], "big", signed=True)
 
 
+#: An index entry's numbers in one long, from high to low: the set's size, in how
+#: many groups (4 to that power) the shingle's list is dealt, and the set's shingles
+#: from this one on.
+_TAIL, _GROUPS = 29, 3
+
+
+def _size(at: Column) -> Column:
+    return F.shiftright(at, _TAIL + _GROUPS).cast("int")
+
+
+def _tail(at: Column) -> Column:
+    return at.bitwiseAND(F.lit((1 << _TAIL) - 1)).cast("int")
+
+
+def _group(s: Column, at: Column) -> Column:
+    """0, or the group that a set's entry in a long list is dealt to (in the exchange
+    it is folded into the shingle, so that it takes no room there)."""
+    power = F.shiftright(at, _TAIL).bitwiseAND(F.lit((1 << _GROUPS) - 1))
+    return F.when(power == 0, F.lit(0)).otherwise(1 + F.pmod(F.xxhash64(s), F.pow(F.lit(4), power).cast("long"))).cast("int")
+
+
 def prefix_entries(documents: DataFrame, rank: np.ndarray, percent: int) -> DataFrame:
-    """(tok, s, at): the prefix index, at = size << 32 | shingles from this one on.
-    Copies are left out where a task sees them."""
+    """(tok, s, at): the prefix index, ``at`` as told above.  Copies are left out
+    where a task sees them."""
     bits = len(rank).bit_length() - 1
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,8 +178,12 @@ def prefix_entries(documents: DataFrame, rank: np.ndarray, percent: int) -> Data
                     seen.clear()
                 seen.add(key)
                 p, n = prefix_length(len(s), percent), len(s)
-                toks.append(s[np.lexsort((s, rank[_bucket(s, bits)]))[:p]])
-                places.append((n << 32) + n - np.arange(p))
+                ranks = rank[_bucket(s, bits)]
+                order = np.lexsort((s, ranks))[:p]
+                ranks = ranks[order].astype(np.int64)
+                groups = np.clip(-(-(ranks - LONG_RANK + 1) // 16), 0, (1 << _GROUPS) - 1)  # sixteen ranks are a factor of four
+                toks.append(s[order])
+                places.append((n << _GROUPS | groups) << _TAIL | n - np.arange(p))
                 keys.append(np.full(p, short(key)))
             if toks:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(toks).view(np.int64)), pa.array(np.concatenate(keys)), pa.array(np.concatenate(places))], names=["tok", "s", "at"])
@@ -159,29 +192,37 @@ def prefix_entries(documents: DataFrame, rank: np.ndarray, percent: int) -> Data
 
 
 def sets_of(documents: DataFrame, classes: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(s, sid, shingles) of the wanted sets, each from one document."""
-    ids = wanted.join(classes, "s").select(F.col("min_id").alias("doc_id"))
-    bits = bit_table(ids, slot("doc_id"))
+    """(s, sid, shingles) of the wanted sets, each from one document at least."""
+    ids = wanted.join(classes, "s").select(F.col("min_id").alias("doc_id")).distinct()
+    rows, near = listed_rows(documents.select("doc_id", "text"), ids, "doc_id")
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in rows:
-            near = whole.filter(pa.array(in_table(bits, whole.column(0).to_numpy())))
-            for b in small_batches([near] if near.num_rows else [], "text", BATCH_BYTES):
-                found = [(short(k), k, x.view(np.int64)) for x in shingle_sets(b.column(1).to_pylist()) if (k := set_key(x))]
+            some = whole.filter(pa.array(near(whole.column(0).to_numpy()))) if near else whole
+            for b in small_batches([some] if some.num_rows else [], "text", BATCH_BYTES):
+                found = [(short(k), k, x.view(np.int64)) for x in shingle_sets(b.column(2).to_pylist()) if (k := set_key(x))]
                 s, k, x = zip(*found, strict=True) if found else ((), (), ())
                 yield pa.RecordBatch.from_arrays([pa.array(s, pa.int64()), pa.array(k, pa.binary()), pa.array(x, pa.list_(pa.int64()))], names=["s", "sid", "shingles"])
 
-    made = documents.select(slot("doc_id").alias("place"), "text").mapInArrow(batches, "s long, sid binary, shingles array<long>")
-    return made.join(wanted, "s", "left_semi").dropDuplicates(["sid"])
+    return rows.mapInArrow(batches, "s long, sid binary, shingles array<long>")
+
 
+def verified(pairs: DataFrame, documents: DataFrame, classes: DataFrame, tables: Tables) -> DataFrame:
+    """(a, b, ka, kb, na, nb, overlap): the pairs with whole keys, sizes and overlap.
 
-def verified(pairs: DataFrame, documents: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b, ka, kb, na, nb, overlap): the pairs with whole keys, sizes and overlap."""
-    wanted = stored(pairs.select(F.col("a").alias("s")).union(pairs.select("b")).distinct(), "wanted")
-    sets = stored(sets_of(documents, classes, wanted), "sets")
-    side = lambda x: sets.select(F.col("s").alias(x), F.col("sid").alias(f"k{x}"), F.col("shingles").alias(f"s{x}"))
-    both = pairs.join(side("b"), "b").join(side("a"), "a")
-    return both.select("a", "b", "ka", "kb", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("overlap"))
+    Each set b goes to the groups of its hubs a, and a hub to all of its own, so
+    sets are dealt once, by group."""
+    groups = pairs.groupBy("a").agg((F.floor(F.count("*") / SETS_PER_GROUP) + 1).alias("groups"))
+    dealt = pairs.join(groups, "a").select("a", F.pmod(F.xxhash64("b"), "groups").alias("g"), "b")
+    routes = dealt.select(F.col("b").alias("s"), "a", "g", F.lit(False).alias("hub")).union(dealt.select(F.col("a"), "a", "g", F.lit(True)).distinct())
+    routes = tables.put(routes, "routes")
+    sets = sets_of(documents, classes, routes.select("s").distinct())
+    met = sets.join(routes, "s").repartition("a", "g").dropDuplicates(["a", "g", "hub", "s", "sid"])
+    group = Window.partitionBy("a", "g")
+    hubs = F.collect_list(F.when(F.col("hub"), F.struct("sid", "shingles"))).over(group)  # one, but for equal 64-bit keys
+    met = met.withColumn("hubs", hubs).where(~F.col("hub")).select("a", F.col("s").alias("b"), F.col("sid").alias("kb"), "shingles", F.explode("hubs").alias("h"))
+    overlap = F.size(F.array_intersect("h.shingles", "shingles"))
+    return tables.put(met.select("a", "b", F.col("h.sid").alias("ka"), "kb", F.size("h.shingles").alias("na"), F.size("shingles").alias("nb"), overlap.alias("overlap")), "tested")
 
 
 def needed(na: Column, nb: Column, percent: int) -> Column:
@@ -195,52 +236,71 @@ def possible(na: Column, nb: Column, ta: Column, tb: Column, percent: int) -> Co
     return (F.least(na, nb) >= need) & (F.least(ta, tb) >= need)
 
 
-def prefix_lists(docs: DataFrame, summaries: DataFrame, bits: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(sid, min_id, s) of all sets, and (tok, s, n, tail) of the lists that hold more than one."""
+def prefix_lists(docs: DataFrame, summaries: DataFrame, bits: int, percent: int, tables: Tables) -> tuple[DataFrame, DataFrame]:
+    """(sid, min_id, s) of all sets, and (tok, s, n, tail, hub) of the lists that
+    hold more than one; ``hub`` is the list's hub where it and s can be linked."""
     classes = summaries.where("sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("min_id"))
-    classes = stored(classes.withColumn("s", F.conv(F.hex(F.substring("sid", 1, 8)), 16, -10).cast("long")), "classes")
-    entries = prefix_entries(docs, order_sketch(summaries, bits), percent)
-    by_tok = Window.partitionBy("tok")
-    entries = entries.withColumn("lo", F.min("s").over(by_tok)).withColumn("hi", F.max("s").over(by_tok))
-    n, tail = F.shiftright("at", 32).cast("int").alias("n"), F.col("at").bitwiseAND(F.lit((1 << 32) - 1)).cast("int").alias("tail")
-    return classes, stored(entries.where("lo <> hi").select("tok", "s", n, tail).distinct(), "lists")
-
-
-def links(docs: DataFrame, summaries: DataFrame, bits: int, percent: int = PERCENT) -> DataFrame:
+    classes = tables.put(classes.withColumn("s", F.conv(F.hex(F.substring("sid", 1, 8)), 16, -10).cast("long")), "classes")
+    entries = prefix_entries(docs, order_sketch(summaries, bits, tables), percent)
+    dealt = _group(F.col("s"), F.col("at"))
+    folded = lambda: F.when(dealt == 0, F.col("tok")).otherwise(F.col("tok").bitwiseXOR(F.xxhash64(dealt)))
+    group = Window.partitionBy("tok")
+    place = (_size(F.col("at")) - _tail(F.col("at"))).alias("place")
+    # dealt before the window, or what the window computes of a row would be shuffled with it
+    entries = entries.withColumn("tok", folded()).repartition("tok").withColumns({"lo": F.min("s").over(group), "hi": F.max("s").over(group), "head": F.min(F.struct(place, "s", "at")).over(group)})
+    at, head = F.col("at"), F.col("head.at")
+    near = (F.col("head.s") != F.col("s")) & possible(_size(at), _size(head), _tail(at), _tail(head), percent)
+    kept = entries.where((dealt > 0) | (F.col("lo") != F.col("hi"))).select("tok", "s", "at", F.when(near, F.col("head.s")).alias("hub")).distinct()
+    return classes, tables.put(kept.select(folded().alias("tok"), "s", _size(at).alias("n"), _tail(at).alias("tail"), "hub"), "lists")
+
+
+def links(docs: DataFrame, summaries: DataFrame, bits: int, percent: int, tables: Tables) -> DataFrame:
     """(v, label): the component labels of all sets that have links, by whole key."""
-    classes, lists = prefix_lists(docs, summaries, bits, percent)
-    by_tok = Window.partitionBy("tok")
-
-    # first round: each set of a list against the one with the largest share of
-    # its prefix in lists, which is near the middle of its near copies
-    hubs = lists.groupBy("s").agg((F.count("*") / (F.first("n") - F.ceil(F.first("n") * percent / 100) + 1)).alias("share"))
-    ranked = lists.join(hubs, "s")
-    head = F.max(F.struct("share", "s", "n", "tail")).over(by_tok)
-    stars = ranked.withColumn("h", head).where("s <> h.s").where(possible(F.col("n"), F.col("h.n"), F.col("tail"), F.col("h.tail"), percent))
-    pairs = stored(stars.select(F.col("h.s").alias("a"), F.col("s").alias("b")).distinct(), "pairs")
-    tested = stored(verified(pairs, docs, classes), "tested")
+    classes, lists = prefix_lists(docs, summaries, bits, percent, tables)
+
+    # first round: each set of a list against its hub
+    pairs = tables.put(lists.where("hub IS NOT NULL").select(F.col("hub").alias("a"), F.col("s").alias("b")).distinct(), "pairs")
+    tested = verified(pairs, docs, classes, tables)
     linked = F.col("overlap") * (100 + percent) >= percent * (F.col("na") + F.col("nb"))
-    labels = component_labels(tested.where(linked), "ka", "kb")
-
-    # second round: pairs across components
-    comps = classes.join(labels.select(F.col("v").alias("sid"), "label"), "sid", "left").select("s", F.coalesce("label", "sid").alias("comp"))
-    lists = lists.join(comps, "s")
-    lists = lists.withColumn("lo", F.min("comp").over(by_tok)).withColumn("hi", F.max("comp").over(by_tok))
-    lists = stored(lists.where("lo <> hi").drop("lo", "hi"), "lists")
-    blocks = lists.groupBy("tok", "comp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("tail").alias("tail"))
-    x, y = blocks.alias("x"), blocks.alias("y")
-    need = needed(F.col("x.least"), F.col("y.least"), percent)
-    block_pairs = x.join(y, (F.col("x.tok") == F.col("y.tok")) & (F.col("x.comp") < F.col("y.comp"))).where(
-        (F.least("x.tail", "y.tail") >= need) & (F.col("x.least") * percent <= F.col("y.most") * 100) & (F.col("y.least") * percent <= F.col("x.most") * 100)
-    ).select(F.col("x.tok").alias("tok"), F.col("x.comp").alias("ca"), F.col("y.comp").alias("cb"))
-    side = lambda c, s: lists.select("tok", F.col("comp").alias(c), F.col("s").alias(s), F.col("n").alias(f"n{s}"), F.col("tail").alias(f"t{s}"))
-    met = block_pairs.join(side("ca", "a"), ["tok", "ca"]).join(side("cb", "b"), ["tok", "cb"]).where(possible(F.col("na"), F.col("nb"), F.col("ta"), F.col("tb"), percent))
-    met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("na")).otherwise(F.col("nb")).alias("na"), F.when(F.col("a") < F.col("b"), F.col("nb")).otherwise(F.col("na")).alias("nb")).distinct()
-    known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    met = stored(met.join(known, ["a", "b"], "left_anti"), "met")
-    met = stored(_not_ruled_out(met, tested, linked, percent), "pairs")
-    more = stored(verified(met.select("a", "b"), docs, classes), "tested")
-    return component_labels(tested.where(linked).unionByName(more.where(linked)), "ka", "kb")
+    labels = component_labels(tested.where(linked), "ka", "kb", tables)
+
+    # second round: pairs across components (64 bits of a component's label name it)
+    comps = tables.put(classes.join(labels.select(F.col("v").alias("sid"), "label"), "sid").select("s", F.xxhash64("label").alias("comp")), "comps")
+    placed = tables.put(lists.drop("hub").join(comps, "s", "left").withColumn("comp", F.coalesce("comp", "s")), "lists")
+    tables.drop(lists)
+    met = _met_in_blocks(placed, percent).distinct()
+    known = tested.select("a", "b").union(tested.select("b", "a"))
+    met = tables.put(met.join(known, ["a", "b"], "left_anti"), "met")
+    met = tables.put(_not_ruled_out(met, tested, linked, percent), "pairs")
+    more = verified(met.select("a", "b"), docs, classes, tables)
+    return component_labels(tested.where(linked).unionByName(more.where(linked)), "ka", "kb", tables)
+
+
+def _met_in_blocks(lists: DataFrame, percent: int) -> DataFrame:
+    """(a, b, na, nb) with a < b: pairs across components.
+
+    A pair's smaller set meets sets of its own size class and of the next; its
+    shingle must be early enough for one of its own size.  Blocks (a list's sets of
+    one size class and component) are paired first, by their bounds."""
+    lists = lists.withColumn("k", _size_class(F.col("n"), percent))
+    early = F.col("tail") >= needed(F.col("n"), F.col("n"), percent)
+    smaller = lists.where(early).withColumn("k", F.explode(F.array(F.col("k"), F.col("k") + 1)))
+    block = lambda df: df.groupBy("tok", "k", "comp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("tail").alias("tail"))
+    x, y = block(smaller).alias("x"), block(lists).alias("y")
+    low = F.greatest("x.least", F.ceil(F.col("y.least") * percent / 100))
+    block_pairs = x.join(y, (F.col("x.tok") == F.col("y.tok")) & (F.col("x.k") == F.col("y.k")) & (F.col("x.comp") != F.col("y.comp"))).where(
+        (F.least("x.tail", "y.tail") >= needed(low, F.greatest(low, "y.least"), percent)) & (F.col("x.least") <= F.col("y.most")) & (F.col("y.least") * percent <= F.col("x.most") * 100)
+    ).select(F.col("x.tok").alias("tok"), F.col("x.k").alias("k"), F.col("x.comp").alias("ca"), F.col("y.comp").alias("cb"))
+    side = lambda df, c, s: df.select("tok", "k", F.col("comp").alias(c), F.col("s").alias(s), F.col("n").alias(f"n{s}"), F.col("tail").alias(f"t{s}"))
+    met = block_pairs.join(side(smaller, "ca", "a"), ["tok", "k", "ca"]).join(side(lists, "cb", "b"), ["tok", "k", "cb"])
+    met = met.where(((F.col("na") < F.col("nb")) | (F.col("na") == F.col("nb")) & (F.col("a") < F.col("b"))) & possible(F.col("na"), F.col("nb"), F.col("ta"), F.col("tb"), percent))
+    swap = F.col("a") > F.col("b")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(swap, F.col("nb")).otherwise(F.col("na")).alias("na"), F.when(swap, F.col("na")).otherwise(F.col("nb")).alias("nb"))
+
+
+def _size_class(n: Column, percent: int) -> Column:
+    """Sets of linked sizes are in the same class or in neighbouring ones."""
+    return n if percent >= 100 else F.floor(F.log(n.cast("double")) / math.log(100 / percent) + 1e-9).cast("int")
 
 
 def _not_ruled_out(met: DataFrame, tested: DataFrame, linked: Column, percent: int) -> DataFrame:
@@ -256,27 +316,33 @@ def _not_ruled_out(met: DataFrame, tested: DataFrame, linked: Column, percent: i
     return out
 
 
-def components(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id of every row."""
+def _surveyed(documents: DataFrame, tables: Tables) -> tuple[DataFrame, DataFrame, int]:
     docs = documents.select("doc_id", F.col("text").cast("string").alias("text"))
     bits = sketch_bits(docs)
-    summaries = stored(summaries_of(docs, bits), "summaries")
-    labels = links(docs, summaries, bits, percent)
-    rows = summaries.where("slice IS NULL").select("doc_id", F.col("n").alias("n_shingles"), "sid")
-    some, none = rows.where("sid IS NOT NULL"), rows.where("sid IS NULL")
-    classes = some.groupBy("sid").agg(F.min("doc_id").alias("min_id"))
-    classes = classes.join(labels.select(F.col("v").alias("sid"), "label"), "sid", "left").select("sid", F.coalesce("label", "sid").alias("label"), "min_id")
-    classes = stored(classes, "classes")
-    smallest = stored(classes.groupBy("label").agg(F.min("min_id").alias("component_id")), "smallest")
-    classes = stored(classes.join(smallest, "label").select("sid", "component_id"), "classes")
-    return some.join(classes, "sid").select("doc_id", "n_shingles", "component_id").unionByName(none.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
-
-
-def _all_links(docs: DataFrame, summaries: DataFrame, bits: int, percent: int) -> DataFrame:
-    classes, lists = prefix_lists(docs, summaries, bits, percent)
+    return docs, tables.put(summaries_of(docs, bits), "summaries"), bits
+
+
+def components(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id of every row."""
+    with Tables(documents.sparkSession, "jaccard") as tables:
+        docs, summaries, bits = _surveyed(documents, tables)
+        labels = links(docs, summaries, bits, percent, tables)
+        rows = summaries.where("slice IS NULL").select("doc_id", F.col("n").alias("n_shingles"), "sid")
+        some, none = rows.where("sid IS NOT NULL"), rows.where("sid IS NULL")
+        classes = some.groupBy("sid").agg(F.min("doc_id").alias("min_id"))
+        classes = classes.join(labels.select(F.col("v").alias("sid"), "label"), "sid", "left").select("sid", F.coalesce("label", "sid").alias("label"), "min_id")
+        classes = tables.put(classes, "classes")
+        smallest = tables.put(classes.groupBy("label").agg(F.min("min_id").alias("component_id")), "smallest")
+        classes = tables.put(classes.join(smallest, "label").select("sid", "component_id"), "classes")
+        found = some.join(classes, "sid").select("doc_id", "n_shingles", "component_id")
+        return stored(found.unionByName(none.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))), "components")
+
+
+def _all_links(docs: DataFrame, summaries: DataFrame, bits: int, percent: int, tables: Tables) -> DataFrame:
+    classes, lists = prefix_lists(docs, summaries, bits, percent, tables)
     side = lambda x: lists.select("tok", F.col("s").alias(x), F.col("n").alias(f"n{x}"), F.col("tail").alias(f"t{x}"))
     met = side("a").join(side("b"), "tok").where("a < b").where(possible(F.col("na"), F.col("nb"), F.col("ta"), F.col("tb"), percent))
-    tested = verified(stored(met.select("a", "b").distinct(), "pairs"), docs, classes)
+    tested = verified(tables.put(met.select("a", "b").distinct(), "pairs"), docs, classes, tables)
     linked = F.col("overlap") * (100 + percent) >= percent * (F.col("na") + F.col("nb"))
     return tested.where(linked).select(F.col("ka").alias("sid_a"), F.col("kb").alias("sid_b"), F.col("na").alias("n_a"), F.col("nb").alias("n_b"), "overlap")
 
@@ -290,34 +356,33 @@ def linked_sets(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     different sets, once, with the number of rows that have each set.
 
     There are as many rows as links: the square of a group of different near copies."""
-    docs = documents.select("doc_id", F.col("text").cast("string").alias("text"))
-    bits = sketch_bits(docs)
-    summaries = stored(summaries_of(docs, bits), "summaries")
-    return _all_links(docs, summaries, bits, percent).join(_copies(summaries, "a"), "sid_a").join(_copies(summaries, "b"), "sid_b")
+    with Tables(documents.sparkSession, "jaccard") as tables:
+        docs, summaries, bits = _surveyed(documents, tables)
+        found = _all_links(docs, summaries, bits, percent, tables)
+        return stored(found.join(_copies(summaries, "a"), "sid_a").join(_copies(summaries, "b"), "sid_b"), "links")
 
 
 def link_counts(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_links of every row: how many other rows it links with, copies included."""
-    docs = documents.select("doc_id", F.col("text").cast("string").alias("text"))
-    bits = sketch_bits(docs)
-    summaries = stored(summaries_of(docs, bits), "summaries")
-    found = stored(_all_links(docs, summaries, bits, percent).select("sid_a", "sid_b"), "links")
-    both = found.union(found.select("sid_b", "sid_a")).join(_copies(summaries, "b"), "sid_b")
-    others = both.groupBy("sid_a").agg(F.sum("copies_b").alias("others"))
-    counts = _copies(summaries, "a").join(others, "sid_a", "left").select(F.col("sid_a").alias("sid"), (F.col("copies_a") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
-    return summaries.where("slice IS NULL").join(counts, "sid", "left").select("doc_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    with Tables(documents.sparkSession, "jaccard") as tables:
+        docs, summaries, bits = _surveyed(documents, tables)
+        found = tables.put(_all_links(docs, summaries, bits, percent, tables).select("sid_a", "sid_b"), "links")
+        both = found.union(found.select("sid_b", "sid_a")).join(_copies(summaries, "b"), "sid_b")
+        others = both.groupBy("sid_a").agg(F.sum("copies_b").alias("others"))
+        counts = _copies(summaries, "a").join(others, "sid_a", "left").select(F.col("sid_a").alias("sid"), (F.col("copies_a") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+        return stored(summaries.where("slice IS NULL").join(counts, "sid", "left").select("doc_id", F.coalesce("n_links", F.lit(0)).alias("n_links")), "counts")
 
 
 def representatives(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The documents, all columns as they were, less those whose component has
     a smaller doc_id.  Rows of one doc_id are one document and stay or go together."""
-    found = stored(components(documents, percent), "components")
-    gone = found.where("doc_id > component_id").select("doc_id").distinct()
-    return drop_listed(documents, gone, "doc_id")
+    found = components(documents, percent)
+    gone = stored(found.where("doc_id > component_id").select("doc_id").distinct(), "copies")
+    return drop_rows(documents, F.col("doc_id"), gone)
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return components(read_table(spark, sf_dir, "documents"))
+    return components(dealt_table(spark, sf_dir, "documents"))
 
 
 ORACLE = r"""
