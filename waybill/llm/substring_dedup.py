@@ -6,24 +6,28 @@ doc_id.
 
 1. Equal word sequences: each document but the one with the smallest doc_id is
    covered wholly by repeated windows and needs no further search.
-2. Candidate passages: winnowing chooses, in each window, the smallest hash of
-   its ``PHRASE``-word phrases; equal windows choose equal phrases.  A phrase
-   that two different texts choose is a recurring phrase.  A bit table of fixed
-   size tells all tasks of them.
-3. Confirming: only windows whose chosen phrase recurs are hashed whole and
-   grouped; the group's smallest doc_id owns the window.  What is shuffled
-   follows the repeated text, once per window and document.
-4. Locating: each document gets the windows that others own and streams its
-   words once more to find every occurrence.
-
-Step 4 uses window hashes where sharded Aho-Corasick automata were meant: the
-phrases of step 2 grow with the corpus, so every document would have to pass
-every shard, which is quadratic (the README has figures).
-:func:`locate_phrases` is that operator, for phrase tables that stay small.
-
-Hot windows: groups are aggregated map-side, and the join that brings owners
-back to documents is between two written tables, so that adaptive execution
-can split a window that a third of all documents contain.
+2. Candidates: winnowing chooses, in each window, the smallest hash of its
+   ``PHRASE``-word phrases; equal windows choose equal phrases.  A phrase that
+   two different texts choose recurs.  A bit table sized by their number tells all
+   tasks of them; beyond its bound they are joined with the documents that chose
+   them.
+3. Confirming: only windows whose chosen phrase recurs are hashed whole and grouped;
+   the group's smallest doc_id owns the window, and the words that its owned windows
+   cover are an owner's recurring passages.  What is shuffled follows the repeated
+   text, once per window and document.
+4. Locating: passages are dealt to shards; a shard's automaton (Aho-Corasick, of
+   the passages' phrases at every ``STRIDE``-th word, one of which lies in each
+   window) takes the documents that have windows of its owners, and only those:
+   every document through every shard would be quadratic.  An occurrence is
+   extended word by word as far as it agrees with the passage, and is good for
+   ``WINDOW`` words or more; so hashes only choose what is compared.
+5. The covered words of a document's occurrences go.
+
+Hot passages: owners come from an aggregate, combined before the exchange, and meet
+windows in a join of two written tables, which adaptive execution can split.  A
+shard that many documents are routed to is copied, ``DOCS_PER_GROUP`` documents to
+a copy, and its documents stream through it, so no group is held.  A long owner's
+passages are dealt in pieces of ``PIECE_WORDS`` words.
 
 Defined results: null, empty and shorter texts lose nothing; every input row
 gives one row; rows of one doc_id never remove from one another; a null doc_id
@@ -34,21 +38,27 @@ nothing; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waybill.llm.common import bit_table, in_table, read_table, slot, small_batches, stored
+from waybill.llm.common import MOST_TABLE, Tables, bit_table, dealt_table, flagged, in_table, small_batches, stored, table_bits
 from waybill.llm.words import ODD, hashed_words, mixed, sliding_min, window_hashes
 
 WINDOW = 50
 PHRASE = 25
-#: Bits of the table of recurring phrases (2 MB); a fuller table lets more windows through.
-PHRASE_BITS = 24
+#: Phrases at every so many words of a passage: each window has one within it.
+STRIDE = WINDOW - PHRASE + 1
+#: Words of a document whose windows begin in one piece, as a power of two.
+PIECE_BITS = 12
+PIECE_WORDS = 1 << PIECE_BITS
+#: Words of passages in a shard, about; an automaton takes some 100 bytes for each.
+SHARD_WORDS = 1 << 18
+DOCS_PER_GROUP = 2000
 BATCH_BYTES = 1 << 19
 
 
@@ -69,10 +79,6 @@ def chosen_phrases(h: np.ndarray) -> np.ndarray:
     return mixed(sliding_min(window_hashes(h, PHRASE), WINDOW - PHRASE + 1) * ODD)
 
 
-def _phrase_slot(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - PHRASE_BITS)).astype(np.int64)
-
-
 class _Seen(dict):
     """The smallest doc_id met for each word sequence; bounded."""
 
@@ -108,60 +114,221 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.nulls(len(x), pa.int64()), pa.nulls(len(x), pa.binary()), pa.array(x), pa.array(y)], names=names)
 
 
-def _windows(documents: DataFrame, bits: np.ndarray) -> DataFrame:
-    """(window, doc_id): distinct windows of each document whose phrase recurs."""
+def with_phrases(documents: DataFrame, keyed: DataFrame, phrases: DataFrame, recurring: DataFrame) -> DataFrame:
+    """(doc_id, text, phrases): the documents that chose recurring phrases, with
+    those, for when there are too many for a bit table.  ``keyed`` has (doc_id,
+    key), ``phrases`` (phrase, of)."""
+    lists = phrases.join(recurring, "phrase").groupBy("of").agg(F.collect_set("phrase").alias("phrases"))
+    short = F.conv(F.hex(F.substring("key", 1, 8)), 16, -10).cast("long")
+    of = keyed.select("doc_id", short.alias("of")).distinct().join(lists, "of")
+    per_doc = of.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("phrases"))).alias("phrases"))
+    return documents.join(per_doc, "doc_id").select("doc_id", "text", "phrases")
+
+
+def windows_of(documents: DataFrame, table: np.ndarray | None, bits: int) -> DataFrame:
+    """(w, doc_id, at): distinct windows of each document whose phrase recurs, by
+    bit ``table`` or, without one, by the document's own list."""
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = _Seen()
         for b in small_batches(rows, "text", BATCH_BYTES):
-            found, docs = [], []
-            for doc, h in zip(b.column(0).to_pylist(), _hashes(b.column(1).to_pylist()), strict=True):
+            found: list[list[np.ndarray]] = [[], [], []]
+            for r, (doc, h) in enumerate(zip(b.column(0).to_pylist(), _hashes(b.column(1).to_pylist()), strict=True)):
                 if len(h) < WINDOW:
                     continue
-                near = in_table(bits, _phrase_slot(chosen_phrases(h)))
+                chosen = chosen_phrases(h)
+                near = in_table(table, (chosen >> np.uint64(64 - bits)).astype(np.int64)) if table is not None else np.isin(chosen.view(np.int64), b.column(2)[r].values.to_numpy())
                 if not near.any() or seen.again(sequence_key(h), doc):
                     continue
-                windows = np.unique(window_hashes(h, WINDOW)[near])
-                found.append(windows)
-                docs.append(np.full(len(windows), doc))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(docs))], names=["window", "doc_id"])
+                starts, w = np.flatnonzero(near), window_hashes(h, WINDOW)
+                _, first = np.unique(w[starts], return_index=True)
+                starts = starts[first]
+                for column, x in zip(found, (w[starts].view(np.int64), np.full(len(starts), doc), starts.astype(np.int32)), strict=True):
+                    column.append(x)
+            if found[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in found], names=["w", "doc_id", "at"])
+
+    return documents.mapInArrow(batches, "w long, doc_id long, at int")
+
+
+def passages(documents: DataFrame, owners: DataFrame) -> DataFrame:
+    """(id, piece, n, text): the words that owned windows cover, by owner and piece
+    of where they begin.  ``owners`` has (owner, at, w)."""
+    owned = owners.groupBy("owner").agg(F.sort_array(F.collect_list(F.struct("at", "w"))).alias("owned"))  # as long as the owner's text
+    some = flagged(documents.select("doc_id", "text"), F.col("doc_id"), owners.select("owner").distinct(), "hit").where("hit")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in small_batches(batches, "text", BATCH_BYTES):
+            out: list[tuple[int, int, int, str]] = []
+            texts = b.column(1).to_pylist()
+            for r, (doc, text, h) in enumerate(zip(b.column(0).to_pylist(), texts, _hashes(texts), strict=True)):
+                at, w = (b.column(2)[r].values.field(i).to_numpy() for i in range(2))
+                there = at + WINDOW <= len(h)  # rows of one doc_id: each has the windows that it has
+                at, w = at[there], w[there]
+                at = at[window_hashes(h, WINDOW)[at].view(np.int64) == w] if len(at) else at
+                if not len(at):
+                    continue
+                words = text.encode("utf-8", "surrogatepass").split()
+                new = np.flatnonzero((np.diff(at, prepend=-WINDOW - 1) > WINDOW) | (np.diff(at >> PIECE_BITS, prepend=-1) > 0))
+                for i, j in zip(new.tolist(), np.append(new[1:], len(at)).tolist(), strict=True):
+                    run = words[at[i] : at[j - 1] + WINDOW]
+                    out.append((doc, int(at[i]) >> PIECE_BITS, len(run), b" ".join(run).decode("utf-8", "surrogatepass")))
+            ids, pieces, n, runs = zip(*out, strict=True) if out else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(pieces, pa.int32()), pa.array(n, pa.int64()), pa.array(runs, pa.string())], names=["id", "piece", "n", "text"])
+
+    joined = some.join(owned, some["doc_id"] == owned["owner"]).select("doc_id", "text", "owned")
+    return joined.mapInArrow(cut, "id long, piece int, n long, text string")
+
+
+class Automaton:
+    """Phrases of passages (sequences of words), as Aho-Corasick over letters.
+
+    A word is a few letters, each from an alphabet of its own place, so that
+    matches begin and end with words and no node has many children."""
+
+    BASE = 64
+
+    def __init__(self, given: list[tuple[int, list[bytes]]]):
+        self.passages = given
+        number: dict[bytes, int] = {}
+        for _, words in given:
+            for w in words:
+                number.setdefault(w, len(number))
+        self.width = 1
+        while self.BASE**self.width < len(number):
+            self.width += 1
+        self.unknown = chr(self.BASE * self.width) * self.width
+        self.letters = {w: "".join(chr(i // self.BASE**k % self.BASE + self.BASE * k) for k in range(self.width)) for w, i in number.items()}
+        phrases: dict[str, list[tuple[int, int]]] = {}
+        for p, (_, words) in enumerate(given):
+            for o in range(0, len(words) - PHRASE + 1, STRIDE):
+                phrases.setdefault("".join([self.letters[w] for w in words[o : o + PHRASE]]), []).append((p, o))
+        self.found = ahocorasick.Automaton()
+        for phrase, where in phrases.items():
+            self.found.add_word(phrase, where)
+        if phrases:
+            self.found.make_automaton()
+        self.empty = not phrases
+
+    def spans(self, doc: int, words: list[bytes]) -> list[tuple[int, int]]:
+        """Disjoint spans of words that occurrences in passages of smaller ids cover."""
+        if self.empty:
+            return []
+        letters, unknown, width = self.letters, self.unknown, self.width
+        spans: list[list[int]] = []
+        tried: set[tuple[int, int]] = set()
+        for end, where in self.found.iter("".join([letters.get(w, unknown) for w in words])):
+            j = (end + 1) // width - PHRASE
+            for p, o in where:
+                if spans and spans[-1][0] <= max(0, j - STRIDE + 1) and min(len(words), j + WINDOW) <= spans[-1][1]:
+                    break  # all that this phrase can add is covered
+                owner, passage = self.passages[p]
+                if owner >= doc or (p, j - o) in tried:
+                    continue
+                tried.add((p, j - o))
+                a, b = j, j + PHRASE
+                lo, hi = j - min(j, o), j + min(len(words) - j, len(passage) - o)
+                shift = o - j
+                while a > lo and words[a - 1] == passage[a - 1 + shift]:
+                    a -= 1
+                while b < hi and words[b] == passage[b + shift]:
+                    b += 1
+                if b - a < WINDOW:
+                    continue
+                while spans and spans[-1][1] >= a:
+                    a, b = min(a, spans[-1][0]), max(b, spans[-1][1])
+                    spans.pop()
+                spans.append([a, b])
+        return [(a, b) for a, b in spans]
+
+
+SHARDED = "shard int, copy int, kind int, id long, text_key long, text string"
+
+
+def streamed(patterns: DataFrame, documents: DataFrame, search: Callable[[list[tuple[int, str]]], Callable[[int, str], list]], out: pa.Schema, ddl: str) -> DataFrame:
+    """Both tables have the columns of ``SHARDED`` (patterns of kind 0, documents
+    of kind 1).  In each (shard, copy) the patterns come first: ``search`` makes of
+    all of them what then takes (id, text) of one document after the other and
+    gives rows of ``out`` without its first two fields, the id and text_key."""
+
+    def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, given, found = None, [], None
+        for b in small_batches(rows, "text", BATCH_BYTES):
+            result: list[tuple] = []
+            for shard, copy, kind, id_, key, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if (shard, copy) != group:
+                    group, given, found = (shard, copy), [], None
+                if kind == 0:
+                    given.append((id_, text))
+                    continue
+                if found is None:
+                    found, given = search(given), []
+                result += [(id_, key, *x) for x in found(id_, text)]
+            if result:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*result, strict=True), out, strict=True)], schema=out)
+
+    dealt = patterns.unionByName(documents).repartition("shard", "copy").sortWithinPartitions("shard", "copy", "kind")
+    return dealt.mapInArrow(batches, ddl)
+
+
+def _text_key() -> Column:
+    return F.xxhash64("text")
+
 
-    return documents.mapInArrow(batches, "window long, doc_id long")
+def occurrences(documents: DataFrame, pieces: DataFrame, routes: DataFrame, tables: Tables) -> DataFrame:
+    """(doc_id, text_key, start, end): spans of words of a document that occur in
+    passages of smaller ids.  ``routes`` has (doc_id, owner, piece)."""
+    words = pieces.agg(F.sum("n")).first()[0] or 0
+    shard = F.pmod(F.xxhash64("id", "piece"), F.lit(max(1, -(-words // SHARD_WORDS)))).cast("int")
+    visits = routes.select("doc_id", F.col("owner").alias("id"), "piece").withColumn("shard", shard).select("doc_id", "shard").distinct()
+    visits = tables.put(visits, "visits")
+    copies = visits.groupBy("shard").agg((F.floor(F.count("*") / DOCS_PER_GROUP) + 1).cast("int").alias("copies"))
+    copy = F.pmod(F.xxhash64("doc_id"), "copies").cast("int")
+    visits = visits.join(copies, "shard").select("doc_id", "shard", copy.alias("copy"))
 
+    patterns = pieces.withColumn("shard", shard).join(copies, "shard").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+    patterns = patterns.select("shard", "copy", F.lit(0).alias("kind"), "id", F.lit(0).cast("long").alias("text_key"), "text")
+    some = flagged(documents.select("doc_id", "text"), F.col("doc_id"), visits.select("doc_id").distinct(), "hit").where("hit")
+    texts = some.join(visits, "doc_id")
+    texts = texts.select("shard", "copy", F.lit(1).alias("kind"), F.col("doc_id").alias("id"), _text_key().alias("text_key"), "text")
 
-def kept_words(text: str | None, h: np.ndarray, foreign: np.ndarray | None) -> tuple[int, bytes]:
-    """(how many words go, the others joined) given the windows others own."""
-    words = (text or "").encode("utf-8", "surrogatepass").split()
-    if foreign is None or not len(foreign) or len(h) < WINDOW:
-        return 0, b" ".join(words)
-    starts = np.flatnonzero(np.isin(window_hashes(h, WINDOW), foreign))
-    edge = np.zeros(len(h) + 1, np.int32)
-    edge[starts] += 1
-    edge[starts + WINDOW] -= 1
-    covered = np.cumsum(edge[:-1]) > 0
-    return int(covered.sum()), b" ".join([w for w, c in zip(words, covered.tolist(), strict=True) if not c])
+    def search(given: list[tuple[int, str]]) -> Callable[[int, str], list]:
+        automaton = Automaton([(i, t.encode("utf-8", "surrogatepass").split()) for i, t in given])
+        return lambda doc, text: automaton.spans(doc, text.encode("utf-8", "surrogatepass").split())
+
+    out = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("start", pa.int32()), ("end", pa.int32())])
+    return streamed(patterns, texts, search, out, "doc_id long, text_key long, start int, end int")
+
+
+def kept_words(words: list[bytes], spans: list[tuple[int, int]]) -> tuple[int, list[bytes]]:
+    """(how many words go, the others); spans may overlap."""
+    kept, at = [], 0
+    for a, b in sorted(spans):
+        if a > at:
+            kept += words[at:a]
+        at = max(at, b)
+    kept += words[at:]
+    return len(words) - len(kept), kept
 
 
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
 
 
 def _removing(keep_text: bool):
+    """Of rows (doc_id, text, spans, copies), or (doc_id, text) that lose nothing."""
+
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(rows, "text", BATCH_BYTES):
             out = []
             texts = b.column(1).to_pylist()
-            listed = b.num_columns > 2
-            hashes = _hashes(texts) if listed else [None] * len(texts)
-            foreign = b.column(2) if listed else [None] * len(texts)
-            copies = b.column(3).to_pylist() if listed else [None] * len(texts)
-            for doc, text, h, f, keys in zip(b.column(0).to_pylist(), texts, hashes, foreign, copies, strict=True):
-                if keys and len(h) >= WINDOW and sequence_key(h) in keys:
-                    out.append((doc, len(h), len(h), b""))
-                    continue
-                f = f.values.to_numpy(zero_copy_only=False).view(np.uint64) if listed and f.is_valid else None
-                gone, kept = kept_words(text, h if h is not None else np.zeros(0, np.uint64), f)
-                out.append((doc, len(h) if h is not None else kept.count(b" ") + 1 if kept else 0, gone, kept))
+            spans, copies = (b.column(i).to_pylist() if b.num_columns > 2 else [None] * len(texts) for i in (2, 3))
+            for doc, text, gone, keys in zip(b.column(0).to_pylist(), texts, spans, copies, strict=True):
+                words = (text or "").encode("utf-8", "surrogatepass").split()
+                if keys and len(words) >= WINDOW and sequence_key(_hashes([text])[0]) in keys:
+                    n, kept = len(words), []
+                else:
+                    n, kept = kept_words(words, [(s["start"], s["end"]) for s in gone or ()])
+                out.append((doc, len(words), n, b" ".join(kept)))
             ids, n, gone, kept = zip(*out, strict=True)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -175,34 +342,48 @@ def _removing(keep_text: bool):
     return batches
 
 
+def _recurring_windows(known: DataFrame, survey: DataFrame, tables: Tables) -> DataFrame:
+    phrases = survey.where("phrase IS NOT NULL").select("phrase", "of")
+    recurring = phrases.groupBy("phrase").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo < hi").select("phrase")
+    recurring = tables.put(recurring, "recurring")
+    n = recurring.count()
+    if n > 1 << (MOST_TABLE - 1):
+        return windows_of(with_phrases(known, survey.where("key IS NOT NULL").select("doc_id", "key"), phrases, recurring), None, 0)
+    bits = table_bits(n)
+    return windows_of(known, bit_table(recurring, F.shiftrightunsigned("phrase", 64 - bits), bits), bits)
+
+
 def deduplicated(documents: DataFrame, keep_text: bool = True) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256, kept (null unless ``keep_text``)."""
-    spark = documents.sparkSession
     docs = documents.select("doc_id", F.col("text").cast("string").alias("text"))
     known = docs.where("doc_id IS NOT NULL")
-    survey = stored(known.mapInArrow(_survey, "doc_id long, key binary, phrase long, of long"), "survey")
-
-    keyed = survey.where("key IS NOT NULL").select("doc_id", "key")
-    firsts = stored(keyed.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("key", "first"), "firsts")
-    copies = keyed.join(firsts, "key").where("doc_id > first").groupBy("doc_id").agg(F.collect_set("key").alias("copies"))
-
-    recurring = survey.where("phrase IS NOT NULL").groupBy("phrase").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo < hi")
-    bits = bit_table(recurring, F.shiftrightunsigned("phrase", 64 - PHRASE_BITS), PHRASE_BITS)
-    windows = stored(_windows(known, bits), "windows")
-    owners = stored(windows.groupBy("window").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").select("window", "owner"), "owners")
-    foreign = stored(windows.join(owners, "window").where("doc_id > owner").select("doc_id", "window"), "foreign")
-    lists = foreign.groupBy("doc_id").agg(F.collect_set("window").alias("foreign"))
-    listed = stored(lists.join(copies, "doc_id", "full").select("doc_id", "foreign", "copies"), "listed")
-
-    # most documents have nothing to lose: they stay in their task
-    spots = bit_table(listed, slot("doc_id"))
-    at = np.flatnonzero(spots)
-    table = spark.createDataFrame([(int(i), int(spots[i].astype(np.int64))) for i in at], "at int, bits long")
-    marked = docs.withColumn("slot", slot("doc_id")).withColumn("at", F.shiftright("slot", 6).cast("int")).join(F.broadcast(table), "at", "left")
-    maybe = F.coalesce(F.expr("(shiftrightunsigned(bits, cast(slot & 63 as int)) & 1) = 1"), F.lit(False))
-    far = marked.where(~maybe).select("doc_id", "text").mapInArrow(_removing(keep_text), RESULT)
-    near = marked.where(maybe).select("doc_id", "text").join(listed, "doc_id", "left").select("doc_id", "text", "foreign", "copies").mapInArrow(_removing(keep_text), RESULT)
-    return far.unionByName(near)
+    with Tables(documents.sparkSession, "substrings") as tables:
+        survey = tables.put(known.mapInArrow(_survey, "doc_id long, key binary, phrase long, of long"), "survey")
+        keyed = survey.where("key IS NOT NULL").select("doc_id", "key")
+        firsts = tables.put(keyed.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("key", "first"), "firsts")
+        copies = keyed.join(firsts, "key").where("doc_id > first").groupBy("doc_id").agg(F.collect_set("key").alias("copies"))
+        copies = tables.put(copies, "copies")
+
+        windows = tables.put(_recurring_windows(known, survey, tables), "windows")
+        tables.drop(survey)
+        owners = windows.groupBy("w").agg(F.min("doc_id").alias("owner"), F.min_by("at", "doc_id").alias("at"), F.max("doc_id").alias("last"))
+        owners = tables.put(owners.where("owner < last").drop("last"), "owners")
+        routes = windows.select("w", "doc_id").join(owners, "w").where("doc_id > owner")
+        routes = tables.put(routes.select("doc_id", "owner", F.shiftright("at", PIECE_BITS).alias("piece")).distinct(), "routes")
+        tables.drop(windows)
+        pieces = tables.put(passages(known, owners), "passages")
+        tables.drop(owners)
+        found = tables.put(occurrences(known, pieces, routes, tables), "occurrences")
+
+        spans = found.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+        spans = tables.put(spans, "spans")
+        listed = tables.put(spans.select("doc_id").union(copies.select("doc_id")).distinct(), "listed")
+        # most documents have nothing to lose: they stay in their task
+        marked, hit = flagged(docs, F.col("doc_id"), listed, "hit"), F.col("hit")
+        far = marked.where(~hit).select("doc_id", "text").mapInArrow(_removing(keep_text), RESULT)
+        mine = marked.where(hit).select("doc_id", "text", _text_key().alias("text_key"))
+        mine = mine.join(spans, ["doc_id", "text_key"], "left").join(copies, "doc_id", "left").select("doc_id", "text", "spans", "copies")
+        return stored(far.unionByName(mine.mapInArrow(_removing(keep_text), RESULT)), "deduplicated")
 
 
 def locate_phrases(documents: DataFrame, phrases: DataFrame, shard_chars: int = 1 << 20) -> DataFrame:
@@ -210,38 +391,38 @@ def locate_phrases(documents: DataFrame, phrases: DataFrame, shard_chars: int =
     Aho-Corasick automata over (phrase_id, text) rows, cut into shards of about
     ``shard_chars``; positions count code points, ends are exclusive.
 
-    Each shard is one automaton that all documents stream through.  Overlapping
-    occurrences are all reported; empty and null phrases have none."""
-    sized = phrases.where("text IS NOT NULL AND text <> ''").select("phrase_id", F.col("text").cast("string"))
+    Every document visits every shard, so this is for phrase tables that stay
+    small (:func:`deduplicated` routes documents instead).  Shards and documents
+    meet in tasks; the driver holds the number of shards.  Overlapping occurrences
+    are all reported; empty and null phrases have none."""
+    sized = phrases.where("text IS NOT NULL AND text <> '' AND phrase_id IS NOT NULL").select(F.col("phrase_id").alias("id"), F.col("text").cast("string"))
     total = sized.agg(F.sum(F.length("text"))).first()[0] or 0
-    shards = -(-total // shard_chars)
-    sized = stored(sized.withColumn("shard", F.pmod(F.xxhash64("text"), F.lit(max(1, shards)))), "phrases")
-    out = None
-    for shard in range(shards):
-        words = [(r["phrase_id"], r["text"]) for r in sized.where(F.col("shard") == shard).collect()]
-        if not words:
-            continue
-
-        def batches(rows: Iterator[pa.RecordBatch], words: list = words) -> Iterator[pa.RecordBatch]:
-            by_text: dict[str, list] = {}
-            for i, w in words:
-                by_text.setdefault(w, []).append(i)
-            automaton = ahocorasick.Automaton()
-            for w, ids in by_text.items():
-                automaton.add_word(w, (len(w), ids))
+    shards = max(1, -(-total // shard_chars))
+    docs = documents.select(F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
+    copies = docs.sparkSession.sparkContext.defaultParallelism
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    patterns = sized.withColumn("shard", F.pmod(F.xxhash64("text"), F.lit(shards)).cast("int")).withColumn("copy", every(copies))
+    texts = docs.withColumn("shard", every(shards)).withColumn("copy", F.pmod(F.xxhash64("id", "text"), F.lit(copies)).cast("int"))
+    columns = lambda df, kind: df.select("shard", "copy", F.lit(kind).alias("kind"), "id", F.lit(0).cast("long").alias("text_key"), "text")
+
+    def search(given: list[tuple[int, str]]) -> Callable[[int, str], list]:
+        by_text: dict[str, list] = {}
+        for i, w in given:
+            by_text.setdefault(w, []).append(i)
+        automaton = ahocorasick.Automaton()
+        for w, ids in by_text.items():
+            automaton.add_word(w, (len(w), ids))
+        if by_text:
             automaton.make_automaton()
-            for b in small_batches(rows, "text", BATCH_BYTES):
-                hits = [(d, i, e + 1 - n, e + 1) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if t for e, (n, ids) in automaton.iter(t) for i in ids]
-                cols = list(zip(*hits, strict=True)) or [[]] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "phrase_id", "start", "end"])
+        return lambda _, text: [(i, e + 1 - n, e + 1) for e, (n, ids) in automaton.iter(text) for i in ids] if by_text else []
 
-        found = documents.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(batches, "doc_id long, phrase_id long, start long, end long")
-        out = found if out is None else out.unionByName(found)
-    return out if out is not None else documents.sparkSession.createDataFrame([], "doc_id long, phrase_id long, start long, end long")
+    out = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("phrase_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64())])
+    found = streamed(columns(patterns, 0), columns(texts, 1), search, out, "doc_id long, text_key long, phrase_id long, start long, end long")
+    return found.drop("text_key")
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deduplicated(read_table(spark, sf_dir, "documents"), keep_text=False).drop("kept")
+    return deduplicated(dealt_table(spark, sf_dir, "documents"), keep_text=False).drop("kept")
 
 
 ORACLE = r"""
