@@ -15,6 +15,9 @@ MODULES = (
     "substring_dedup",
     "html_extract",
     "pii_weak",
+    "bottom_k",
+    "source_divergence",
+    "block_norms",
 )
 
 QUERIES: dict = {}
