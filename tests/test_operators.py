@@ -1,13 +1,17 @@
 """Operators on small bookings, checked by hand."""
 
+from concurrent.futures import ThreadPoolExecutor
+
 import pytest
 from pyspark.sql import functions as F
 
-from waybill.operators import extract, fares, itinerary, ledger, lookups, search
+from waybill import session
+from waybill.functions import scalars
+from waybill.operators import claims, extract, fares, itinerary, ledger, lookups, search
 from waybill.session import stored
-from waybill.sources import dims, readers
+from waybill.sources import dims, heads, readers
 
-PAPER = """MakeMyTrip E-Ticket
+PAPER = """MakeMyTrip Itinerary
 Booking ID: AB12CD34EF56, (Booked on 6 May 2026)
 PNR: QX7K2M
 Mr Test Person
@@ -254,3 +258,123 @@ def test_stream_appends_each_batch_once(spark, tmp_path):
     for _ in range(2):
         append_stream(source, str(tmp_path / "out"), str(tmp_path / "ck"), ["booking_id"]).awaitTermination(60)
     assert sorted((r["booking_id"], r["sno"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [("a", 1), ("c", 2)]
+
+
+# --- the ledger with several writers ------------------------------------------
+
+
+def bookings_of(spark, n, tag):
+    rest = [F.lit(None).cast(f.dataType).alias(f.name) for f in spark.createDataFrame([], readers.LEDGER_SCHEMA).schema.fields if f.name not in ("sno", "booking_id")]
+    return spark.range(n).select(*rest, F.concat(F.lit(tag), F.format_string("%04d", "id")).alias("booking_id"), F.lit(False).alias("is_dummy"))
+
+
+def test_writers_at_the_same_time_leave_no_gap_and_no_repeat(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    sizes = {"a": 7, "b": 1, "c": 12, "d": 5}
+    with ThreadPoolExecutor(4) as pool:
+        firsts = dict(zip(sizes, pool.map(lambda tag: ledger.append(spark, bookings_of(spark, sizes[tag], tag), path, ["booking_id"]), sizes), strict=True))
+    got = {r["booking_id"]: r["sno"] for r in readers.ledger(spark, path).collect()}
+    assert sorted(got.values()) == list(range(1, 26))
+    assert all(got[f"{tag}{i:04d}"] == firsts[tag] + i for tag, n in sizes.items() for i in range(n))
+    assert ledger.open_ranges(spark, path).count() == 0
+    assert ledger.append(spark, bookings_of(spark, 0, "e"), path, ["booking_id"]) is None
+    ids = [r["booking_id"] for r in ledger.reserved_booking_ids(spark, path, 2, F.lit("mmt"), F.lit("2026-05-06").cast("date")).orderBy("number").collect()]
+    assert ids == ["MMT-20260506-0026", "MMT-20260506-0027"] and claims.next_number(spark, path) == 28
+    assert [(r["first"], r["last"], r["rows"]) for r in ledger.open_ranges(spark, path).collect()] == [(26, 27, 0)]
+
+
+def test_claims_by_many_threads_do_not_overlap(spark, tmp_path):
+    path = str(tmp_path / "ledger")
+    with ThreadPoolExecutor(8) as pool:
+        got = list(pool.map(lambda n: (claims.claim(spark, path, n), n), [1 + i % 3 for i in range(40)]))
+    assert sorted(x for first, n in got for x in range(first, first + n)) == list(range(1, sum(n for _, n in got) + 1))
+
+
+def test_a_claim_that_was_never_filled_is_an_error(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(claims, "PATIENCE", 0.1)
+    assert claims.claim(spark, str(tmp_path), 3) == 1
+    (tmp_path / "_claims" / f"{4:019d}").write_text("")
+    with pytest.raises(RuntimeError, match="never filled"):
+        claims.claim(spark, str(tmp_path), 1)
+
+
+def test_damaged_files_are_quarantined_and_numbering_goes_on(spark, tmp_path):
+    path = tmp_path / "ledger"
+    for tag in "abcd":
+        ledger.append(spark, bookings_of(spark, 4, tag).coalesce(1), str(path), ["booking_id"])
+    parts = {f: sorted(path.glob(f"rows-{4 * i + 1:019d}/part-*"))[0] for i, f in enumerate("abcd")}
+    whole = parts["b"].read_bytes()
+    parts["b"].write_bytes(whole[: len(whole) // 2])
+    parts["c"].write_bytes(b"")
+    parts["d"].write_bytes(b"XXXX" + parts["d"].read_bytes()[4:])
+    moved = ledger.quarantine(spark, str(path))
+    assert sorted(reason for _, reason in moved) == ["empty", "no beginning", "no end"]
+    assert len(list((path / "_quarantine").glob("*.parquet"))) == 3 and ledger.quarantine(spark, str(path)) == []
+    assert sorted(r["sno"] for r in readers.ledger(spark, str(path)).collect()) == [1, 2, 3, 4]
+    assert [(r["first"], r["rows"]) for r in ledger.open_ranges(spark, str(path)).orderBy("first").collect()] == [(5, 0), (9, 0), (13, 0)]
+    assert ledger.append(spark, bookings_of(spark, 2, "e"), str(path), ["booking_id"]) == 17
+    assert sorted(r["sno"] for r in readers.ledger(spark, str(path)).collect()) == [1, 2, 3, 4, 17, 18]
+
+
+def test_a_footer_longer_than_its_file_is_damage(spark):
+    whole = lambda n: n.to_bytes(4, "little") + b"PAR1"
+    rows = [(100, b"PAR1....", whole(88)), (100, b"PAR1....", whole(89)), (8, b"PAR1PAR1", b"PAR1PAR1"), (0, b"", b"")]
+    df = spark.createDataFrame(rows, "length long, head binary, tail binary")
+    assert [r[0] for r in df.select(ledger.damage(F.col("length"), F.col("head"), F.col("tail"))).collect()] == [None, "footer longer than the file", "no end", "empty"]
+
+
+# --- files by their first bytes -----------------------------------------------
+
+
+def test_uploads_read_heads_only(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "a.pdf").write_bytes(b"%PDF-1.7 and more")
+    (tmp_path / "in" / "b.PDF").write_bytes(b"PK..")
+    (tmp_path / "c.txt").write_bytes(b"")
+    (tmp_path / "_hidden.pdf").write_bytes(b"%PDF")
+    with (tmp_path / "large.pdf").open("wb") as f:
+        f.truncate(readers.MOST_UPLOAD_BYTES + 1)
+    got = {r["filename"]: (r["length"], None if r["content"] is None else bytes(r["content"])) for r in readers.uploads(spark, str(tmp_path)).collect()}
+    assert got == {"a.pdf": (17, b"%PDF-1.7"), "b.PDF": (4, b"PK.."), "c.txt": (0, b""), "large.pdf": (readers.MOST_UPLOAD_BYTES + 1, None)}
+    checked = readers.uploads(spark, str(tmp_path)).select("filename", readers.upload_error(F.col("filename"), F.col("length"), F.col("content")))
+    assert {r[0]: r[1] for r in checked.collect()} == {"a.pdf": None, "b.PDF": "not a pdf inside", "c.txt": "not a pdf", "large.pdf": "too large"}
+    whole = {r["filename"]: bytes(r["tail"]) for r in heads.file_heads(spark, f"file://{tmp_path}", 4, 100).where("tail IS NOT NULL").collect()}
+    assert whole == {"a.pdf": b"more", "b.PDF": b"PK..", "c.txt": b""}
+
+
+def test_filters_on_names_and_lengths_reach_the_listing(spark, tmp_path):
+    session.prepared(spark)
+    for i in range(4):
+        (tmp_path / f"f{i}.pdf").write_bytes(b"x" * i)
+    some = heads.file_heads(spark, str(tmp_path)).where((F.col("length") > 1) & F.col("filename").endswith(".pdf") & (F.col("length") <= 2))
+    assert [r["filename"] for r in some.collect()] == ["f2.pdf"]
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "BatchScan" in plan and "Filter (" not in plan
+
+
+# --- document numbers ----------------------------------------------------------
+
+
+def test_scrambled_numbers_are_a_permutation(spark):
+    n = spark.range(50_000).select((F.col("id") * 199_999).alias("n"))
+    out = n.select("n", scalars.scrambled(F.col("n"), "k").alias("x")).withColumn("back", scalars.unscrambled(F.col("x"), "k"))
+    assert out.where("n <> back OR x < 0 OR x >= 10000000000").isEmpty() and out.select("x").distinct().count() == 50_000
+    edge = spark.createDataFrame([(0,), (10**10 - 1,), (10**10,), (-1,), (None,)], "n long")
+    got = [r[0] for r in edge.select(scalars.unscrambled(scalars.scrambled(F.col("n"), "k"), "k")).collect()]
+    assert got == [0, 10**10 - 1, None, None, None]
+
+
+# --- columns of callers --------------------------------------------------------
+
+
+def test_helpers_do_not_clash_with_the_callers_columns(spark):
+    extra = {c: F.lit(f"mine {c}") for c in ("key", "value", "_key", "three", "two", "of_three", "of_two", "alias", "target", "place", "part", "before", "row", "__key", "__3", "airline_name")}
+    df = spark.createDataFrame([("AIX 1", "IGO", "")], "flight_no string, code string, airline string").withColumns(extra)
+    kept = lambda out: all(out.first()[c] == f"mine {c}" for c in extra)
+    coded = lookups.with_airline_code(df, spark)
+    assert kept(coded) and coded.first()["airline_code"] == "IX" and coded.columns == [*df.columns, "airline_code"]
+    filled = lookups.fill_blank(coded, "airline", "airline_code", dims.airlines(spark), "iata", "name")
+    assert kept(filled) and filled.first()["airline"] == "Air India Express" and filled.columns == coded.columns
+    named = lookups.canonical(df, "code", dims.airline_aliases(spark))
+    assert kept(named) and named.first()["code"] == "6E"
+    assert kept(ledger.numbered(df, ["code"])) and kept(ledger.keep_first(df, ["code"], ["flight_no"]))

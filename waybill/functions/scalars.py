@@ -7,6 +7,8 @@ white space, not only spaces.
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -135,6 +137,45 @@ def document_number(prefix: Column, *key: Column) -> Column:
     return F.concat(F.coalesce(prefix, F.lit("000")), F.lit("-"), F.lpad(F.pmod(F.xxhash64(*key), F.lit(10_000_000_000)).cast("string"), 10, "0"))
 
 
+_HALF, _ROUNDS, _PRIME = 100_000, 6, 2_147_483_647
+
+
+def round_keys(key: str) -> list[int]:
+    """A number below a million for each round of :func:`scrambled`."""
+    return [int.from_bytes(hashlib.sha256(f"{key}:{i}".encode()).digest()[:8], "big") % 1_000_000 for i in range(_ROUNDS)]
+
+
+def _rounds(number: Column, keys: list[int], step: Callable[[Column, Column, Column], tuple[Column, Column]]) -> Column:
+    """A Feistel network on the two halves of a number of ten digits; ``step`` has
+    (left, right, what the round's key makes of the one that stays)."""
+    n = F.when(number.between(0, _HALF * _HALF - 1), number.cast("long"))
+    halves = F.struct(F.floor(n / _HALF).cast("long").alias("l"), (n % _HALF).alias("r"))
+    stirred = lambda half, key: (half + key) * (half + key) % _PRIME * (half + key) % _PRIME % _HALF
+
+    def once(at: Column, key: Column) -> Column:
+        left, right = step(at["l"], at["r"], lambda half: stirred(half, key))
+        return F.struct(left.alias("l"), right.alias("r"))
+
+    return F.aggregate(F.array(*[F.lit(k).cast("long") for k in keys]), halves, once, lambda at: at["l"] * _HALF + at["r"])
+
+
+def scrambled(number: Column, key: str) -> Column:
+    """Another number of ten digits, by a keyed permutation: different numbers from 0 to
+    10**10 - 1 never meet.  Null beyond.  It hides the order from a reader, not from an
+    attacker."""
+    return _rounds(number, round_keys(key), lambda left, right, stir: (right, (left + stir(right)) % _HALF))
+
+
+def unscrambled(number: Column, key: str) -> Column:
+    """The number that :func:`scrambled` made this one of."""
+    return _rounds(number, round_keys(key)[::-1], lambda left, right, stir: (F.pmod(right - stir(left), F.lit(_HALF)), left))
+
+
+def numbered_document(prefix: Column, number: Column, key: str) -> Column:
+    """Airline prefix and ten digits that belong to this number alone (null beyond ten digits)."""
+    return F.concat(F.coalesce(prefix, F.lit("000")), F.lit("-"), F.lpad(scrambled(number, key).cast("string"), 10, "0"))
+
+
 def span_text(seconds: Column) -> Column:
     """``Hh Mm (Long layover)`` from three hours on, else ``(Short layover)``."""
     hours, minutes = F.floor(seconds / 3600).cast("long"), F.floor(seconds % 3600 / 60).cast("long")

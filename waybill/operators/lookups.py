@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waybill.functions.scalars import first_filled, text
+from waybill.session import unused
 from waybill.sources import dims
 
 
@@ -13,9 +14,9 @@ def fill_blank(df: DataFrame, column: str, key: str, dim: DataFrame, dim_key: st
     """``column`` filled from ``dim`` where it is null or empty.
 
     The join is left to Spark: a small dimension is broadcast, a large one not."""
-    side = dim.select(F.col(dim_key).alias("__key"), F.col(dim_value).alias("__value"))
-    out = df.join(side, df[key] == F.col("__key"), "left")
-    return out.withColumn(column, first_filled(F.col(column), F.col("__value"))).drop("__key", "__value")
+    at, value = unused(df, "key", "value")
+    out = df.join(dim.select(F.col(dim_key).alias(at), F.col(dim_value).alias(value)), F.col(key) == F.col(at), "left")
+    return out.select(*[first_filled(F.col(c), F.col(value)).alias(c) if c == column else c for c in df.columns])
 
 
 def compact_code(flight_no: Column) -> Column:
@@ -25,18 +26,20 @@ def compact_code(flight_no: Column) -> Column:
 def with_airline_code(df: DataFrame, spark: SparkSession, flight_no: str = "flight_no") -> DataFrame:
     """airline_code: what the first three characters stand for, else the first
     two, else those two themselves.  The payload is a fixed table under 200 rows."""
-    payload = F.broadcast(dims.airline_payload(spark).select(F.col("code").alias("__code"), F.col("iata").alias("__iata")))
+    three, two, of_three, of_two = unused(df, "three", "two", "of_three", "of_two")
+    payload = lambda code, iata: F.broadcast(dims.airline_payload(spark).select(F.col("code").alias(code), F.col("iata").alias(iata)))
     c = compact_code(F.col(flight_no))
-    out = df.withColumn("__3", F.substring(c, 1, 3)).withColumn("__2", F.substring(c, 1, 2))
-    out = out.join(payload.select(F.col("__code").alias("__3"), F.col("__iata").alias("__i3")), "__3", "left")
-    out = out.join(payload.select(F.col("__code").alias("__2"), F.col("__iata").alias("__i2")), "__2", "left")
-    return out.withColumn("airline_code", F.coalesce("__i3", "__i2", "__2")).select(*df.columns, "airline_code")
+    out = df.withColumns({three: F.substring(c, 1, 3), two: F.substring(c, 1, 2)})
+    out = out.join(payload(three, of_three), three, "left").join(payload(two, of_two), two, "left")
+    rest = [x for x in df.columns if x != "airline_code"]
+    return out.select(*rest, F.coalesce(of_three, of_two, two).alias("airline_code"))
 
 
 def canonical(df: DataFrame, code: str, aliases: DataFrame, alias: str = "alias", target: str = "iata") -> DataFrame:
     """``code`` replaced by what it is an alias of."""
-    side = aliases.select(F.col(alias).alias("__alias"), F.col(target).alias("__target"))
-    return df.join(side, df[code] == F.col("__alias"), "left").withColumn(code, F.coalesce("__target", code)).drop("__alias", "__target")
+    from_, to = unused(df, "alias", "target")
+    out = df.join(aliases.select(F.col(alias).alias(from_), F.col(target).alias(to)), F.col(code) == F.col(from_), "left")
+    return out.select(*[F.coalesce(to, code).alias(code) if c == code else c for c in df.columns])
 
 
 def known_only(df: DataFrame, dim: DataFrame, key: str, dim_key: str) -> DataFrame:

@@ -6,15 +6,17 @@ lines, or use an operator on what there is.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from waybill.functions import scalars as S
 from waybill.operators import extract, fares, itinerary, ledger, lookups, search
-from waybill.session import spread
-from waybill.sources import dims
+from waybill.session import shared_dir, spread
+from waybill.sources import dims, readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -372,12 +374,8 @@ def json_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("event_id", S.message_id(S.as_json("event_id", "messages")).alias("message"), S.error_text(F.col("error")).alias("error"))
 
 
-_CAPTION = " || ".join(
-    f"'{label}' || {value}"
-    for label, value in zip(
-        (x.replace("\n", "' || chr(10) || '") for x in ledger.CAPTION), ("'P' || o_orderkey", "CASE WHEN o_orderkey % 3 = 0 THEN '-' ELSE 'X' || o_orderkey END", "'A → B'", "'-'", "'Waybill'"), strict=True
-    )
-)
+_CAPTION = """'Hello P' || o_orderkey || ',' || chr(10) || 'your travel document is attached.' || chr(10) || chr(10) || 'Record ' ||
+  CASE WHEN o_orderkey % 3 = 0 THEN '-' ELSE 'X' || o_orderkey END || ', A → B' || chr(10) || 'First day: -' || chr(10) || chr(10) || 'Waybill'"""
 
 
 @query(f"""SELECT o_orderkey, n || ' SEGMENT' || CASE WHEN n = 1 THEN '' ELSE 'S' END AS badge, n || ' Segment' || CASE WHEN n > 1 THEN 's' ELSE '' END AS heading,
@@ -403,6 +401,58 @@ def next_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.next_booking_id(table(spark, sf_dir, "orders"), F.lit(" mmt-x "), F.lit("2026-05-06").cast("date"))
 
 
+_HALVES = "SELECT o_orderkey, o_orderkey % 2 AS half, row_number() OVER (PARTITION BY o_orderkey % 2 ORDER BY o_orderkey) AS place, (SELECT count(*) FROM orders) AS numbers FROM orders"
+
+
+@query(f"SELECT 'B' || printf('%09d', o_orderkey) AS booking_id, half, place, numbers, numbers AS most FROM ({_HALVES})")
+def two_writers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two halves of the orders appended to one ledger at the same time: each half's
+    numbers follow one another, and all together are 1, 2, ... without gap or repeat."""
+    path = f"{shared_dir(spark)}/two-writers-{uuid.uuid4().hex}"
+    o = table(spark, sf_dir, "orders")
+    values = {"booking_id": F.format_string("B%09d", "o_orderkey"), "total_amount": F.col("o_totalprice"), "notes": (F.col("o_orderkey") % 2).cast("string")}
+    blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in spark.createDataFrame([], readers.LEDGER_SCHEMA).schema.fields if f.name not in values]
+    rows = o.select(*blank, *[v.alias(k) for k, v in values.items()])
+    with ThreadPoolExecutor(2) as writers:
+        list(writers.map(lambda half: ledger.append(spark, rows.where(F.col("notes") == half), path, ["booking_id"]), ("0", "1")))
+    got = readers.ledger(spark, path).select("booking_id", F.col("notes").cast("long").alias("half"), "sno")
+    of_half = got.groupBy("half").agg(F.min("sno").alias("first"))
+    whole = got.agg(F.countDistinct("sno").alias("numbers"), F.max("sno").alias("most"))
+    # two rows, and one
+    return got.join(F.broadcast(of_half), "half").join(F.broadcast(whole)).select("booking_id", "half", (F.col("sno") - F.col("first") + 1).alias("place"), "numbers", "most")
+
+
+def _round(i: int, key: int) -> str:
+    stirred = f"(r + {key}) * (r + {key}) % 2147483647 * (r + {key}) % 2147483647 % 100000"
+    return f"f{i + 1} AS (SELECT o_orderkey, sno, r AS l, (l + {stirred}) % 100000 AS r FROM f{i})"
+
+
+_ROUNDS = ", ".join(_round(i, k) for i, k in enumerate(S.round_keys("books")))
+
+
+@query(f"""WITH n AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderdate, o_orderkey) AS sno FROM orders), f0 AS (SELECT o_orderkey, sno, sno // 100000 AS l, sno % 100000 AS r FROM n), {_ROUNDS}
+SELECT o_orderkey, sno, '098-' || printf('%010d', l * 100000 + r) AS document_no, sno AS back, 1 AS bearers FROM f6""")
+def document_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Document numbers made of ledger numbers: no two alike, and the ledger number comes back."""
+    n = ledger.numbered(table(spark, sf_dir, "orders").select("o_orderdate", "o_orderkey"), ["o_orderdate", "o_orderkey"])
+    n = n.withColumn("document_no", S.numbered_document(F.lit("098"), F.col("sno"), "books"))
+    back = S.unscrambled(F.substring("document_no", 5, 10).cast("long"), "books")
+    return n.select("o_orderkey", F.col("sno").cast("long").alias("sno"), "document_no", back.alias("back"), F.count("*").over(Window.partitionBy("document_no")).alias("bearers"))
+
+
+@query("""SELECT page_id, CASE WHEN filename IS NULL THEN 'no file' WHEN filename = '' THEN 'no file name' WHEN NOT ends_with(lower(filename), '.pdf') THEN 'not a pdf'
+  WHEN bytes > 15728640 THEN 'too large' WHEN page_id % 7 = 6 THEN 'not a pdf inside' END AS refused
+FROM (SELECT page_id, CASE page_id % 7 WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN url ELSE url || (CASE WHEN page_id % 2 = 0 THEN '.PDF' ELSE '.pdf' END) END AS filename,
+  CASE WHEN page_id % 7 = 5 THEN 15728640 + length(html) ELSE length(html) END AS bytes FROM pages)""")
+def upload_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as uploads: why each is refused, if it is."""
+    k, url = F.col("page_id") % 7, F.col("url")
+    name = F.when(k == 0, None).when(k == 1, "").when(k == 2, url).otherwise(F.concat(url, F.when(F.col("page_id") % 2 == 0, ".PDF").otherwise(".pdf")))
+    length = F.length("html").cast("long") + F.when(k == 5, readers.MOST_UPLOAD_BYTES).otherwise(0)
+    inside = F.when(k == 6, F.lit(b"<html>")).otherwise(F.lit(b"%PDF-1.7"))
+    return table(spark, sf_dir, "pages").select("page_id", readers.upload_error(name, length, inside).alias("refused"))
+
+
 _HEADS = ("AI ", "6E-", "AIX ", "ZZ ", "BAW")
 _AS_OF = "2026-01-02 03:04:05"
 

@@ -12,12 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 ROOT = str(Path(__file__).resolve().parent.parent)
 #: Settings that :func:`prepared` makes where the session still has Spark's own
 #: value.  Whole documents are large rows, held several times over on their way
-#: to Python, so an Arrow batch is bounded by rows and by bytes; and shuffle
-#: files go when the query that made them has ended.
+#: to Python, so an Arrow batch is bounded by rows and by bytes; shuffle files go
+#: when the query that made them has ended; and filters reach sources in Python.
 SETTINGS = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "2000"),
     "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864", str(4 << 20)),
     "spark.sql.classic.shuffleDependency.fileCleanup.enabled": ("false", "true"),
+    "spark.sql.python.filterPushdown.enabled": ("false", "true"),
 }
 
 
@@ -27,9 +28,11 @@ WORKER_MEMORY = {"MALLOC_MMAP_THRESHOLD_": str(1 << 18), "MALLOC_TRIM_THRESHOLD_
 
 
 def prepared(spark: SparkSession) -> SparkSession:
-    """Let Python workers on this machine import this package from where the
+    """Make ``SETTINGS`` in the caller's session, for good.
+
+    And let Python workers on this machine import this package from where the
     driver has it (on a cluster ship it with ``--py-files`` as usual; the extra
-    entry is harmless there), and make ``SETTINGS``."""
+    entry is harmless there)."""
     env = spark.sparkContext.environment
     env.update({k: v for k, v in WORKER_MEMORY.items() if k not in env})
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
@@ -67,9 +70,27 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def delete(spark: SparkSession, path: str) -> None:
+def located(spark: SparkSession, path: str) -> tuple:
+    """(file system, path) as Hadoop has them, whatever store the path names."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    store, at = located(spark, path)
+    store.delete(at, True)
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with as many underscores put before it as it takes not to
+    be a column of ``df`` (in any case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def _written(df: DataFrame, path: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waybill.functions.scalars import strip
+from waybill.sources.heads import file_heads
 
 MOST_UPLOAD_BYTES = 15 << 20
 LEDGER_SCHEMA = """sno long, generated_on string, booking_platform string, pnr string, booking_id string, lead_passenger string,
@@ -20,9 +21,10 @@ def document_texts(spark: SparkSession, path: str) -> DataFrame:
 
 
 def uploads(spark: SparkSession, path: str) -> DataFrame:
-    """filename, length, content of files, for :func:`upload_error`."""
-    read = spark.read.format("binaryFile").load(path)
-    return read.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("filename"), "length", "content")
+    """filename, length, content of files, for :func:`upload_error`; ``content`` is
+    the first bytes only, and null where the file is too large, which is not opened."""
+    read = file_heads(spark, path, open_up_to=MOST_UPLOAD_BYTES)
+    return read.select("filename", "length", F.col("head").alias("content"))
 
 
 def upload_error(filename: Column, length: Column, content: Column) -> Column:
@@ -57,4 +59,5 @@ def settings(spark: SparkSession, path: str, environment: dict[str, str] | None
 
 
 def ledger(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(LEDGER_SCHEMA).parquet(path)
+    """All rows below a ledger's folder, each append's in a folder of its own."""
+    return spark.read.schema(LEDGER_SCHEMA).option("recursiveFileLookup", True).parquet(path)
