@@ -17,9 +17,11 @@ labels a logistic classifier is trained that never sees a vote: its features are
 the kind, the span's shape, its neighbours and hashed words beside it.  It decides
 on the added kinds; a span is taken at ``ACCEPT`` or more.
 
-Both work on counts of distinct (votes, features) patterns, of which there are a
-bounded number (kinds, votes, shapes, sides and ``WORD_BUCKETS`` squared), so all
-documents take part and the driver holds a table whose size does not grow with them.
+Expectation-maximisation works on counts of vote patterns, 27 at most, over all
+documents.  The classifier is fitted on a bounded sample, the ``FIT_PATTERNS`` most
+frequent feature patterns with their counts, and its weights go to the tasks, which
+judge every span by its own features.  So what the driver and a task hold of either does
+not grow with the documents; patterns stay a table.
 
 A text is read once; what later steps need (spans and patterns) is written to
 the shared folder.  All patterns run in linear time on whole texts, and no part
@@ -38,6 +40,7 @@ import re
 import zlib
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +56,8 @@ BATCH_BYTES = 1 << 20
 ACCEPT = 0.5
 #: Words on each side of a span that the context labeler looks at.
 CONTEXT_WORDS = 4
+#: Feature patterns that the classifier is fitted on, at most.
+FIT_PATTERNS = 20_000
 #: Buckets of the words beside a span, as the classifier sees them.
 WORD_BUCKETS = 16
 
@@ -298,53 +303,76 @@ def reliabilities(votes: np.ndarray, weight: np.ndarray, rounds: int = 50) -> tu
     return p, rates, prior
 
 
-def features(patterns_: list[str]) -> tuple[np.ndarray, int]:
-    """(numbers of each pattern's features, how many there are): what surrounds and
-    shapes a span, all crossed with its kind; votes are left out."""
-    listed = []
-    for p in patterns_:
-        kind, _, shape, left, right, before, after = p.split("|")
-        listed.append(["", kind, *(f"{kind} {name}={x}" for name, x in (("shape", shape), ("left", left), ("right", right), ("before", before), ("after", after)))])
-    at = {n: i for i, n in enumerate(sorted({n for row in listed for n in row}))}
-    return np.array([[at[n] for n in row] for row in listed], np.int64), len(at)
+def features(pattern: str) -> list[str]:
+    """A pattern's features: what surrounds and shapes a span, all crossed with its
+    kind; votes are left out."""
+    kind, _, shape, left, right, before, after = pattern.split("|")
+    return ["", kind, *(f"{kind} {name}={x}" for name, x in (("shape", shape), ("left", left), ("right", right), ("before", before), ("after", after)))]
 
 
 def fit_logistic(x: np.ndarray, size: int, y: np.ndarray, weight: np.ndarray, rounds: int = 30, penalty: float = 1.0) -> np.ndarray:
-    """Newton steps for weighted soft labels; ``x`` lists each row's features."""
+    """Newton steps for weighted soft labels; ``x`` lists each row's features.  Each
+    step is solved by conjugate gradients, so no matrix of features by features is made."""
+    sums = lambda v: np.bincount(x.ravel(), weights=np.broadcast_to(v[:, None], x.shape).ravel(), minlength=size)
     w = np.zeros(size)
-    sums = lambda at, v, n: np.bincount(at.ravel(), weights=np.broadcast_to(v, at.shape).ravel(), minlength=n)
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(w[x].sum(axis=1), -30, 30)))
-        gradient = sums(x, (weight * (y - p))[:, None], size) - penalty * w
         curve = weight * p * (1 - p)
-        hessian = np.zeros(size * size)
-        for i in range(x.shape[1]):
-            hessian += sums(x[:, i : i + 1] * size + x, curve[:, None], size * size)
-        step = np.linalg.solve(hessian.reshape(size, size) + penalty * np.eye(size), gradient)
+        rest = sums(weight * (y - p)) - penalty * w
+        step, way, left = np.zeros(size), rest.copy(), float(rest @ rest)
+        enough = 1e-16 * max(left, 1e-300)
+        for _ in range(4 * size):
+            if left <= enough:
+                break
+            curved = sums(curve * way[x].sum(axis=1)) + penalty * way
+            size_of_step = left / float(way @ curved)
+            step += size_of_step * way
+            rest = rest - size_of_step * curved
+            before, left = left, float(rest @ rest)
+            way = rest + left / before * way
         w += step
         if np.abs(step).max() < 1e-6:
             break
     return w
 
 
-def judged_patterns(counts: dict[str, int]) -> dict[str, float]:
-    """Probability of each pattern to be personal data, by the final classifier."""
+def weights_of(counts: dict[str, int], soft: dict[str, float]) -> dict[str, float]:
+    """The classifier's weight of each feature, from patterns with their counts and the
+    probability of each vote pattern."""
     if not counts:
         return {}
     listed = sorted(counts)
     weight = np.array([counts[p] for p in listed], float)
     weight = weight / weight.max() * 1e4  # the scale of the counts does not change the fit
-    votes = np.array([[int(c) for c in p.split("|")[1]] for p in listed])
-    soft, _, _ = reliabilities(votes, weight)
-    x, size = features(listed)
-    w = fit_logistic(x, size, soft, weight)
-    chance = 1 / (1 + np.exp(-np.clip(w[x].sum(axis=1), -30, 30)))
-    return dict(zip(listed, chance.tolist(), strict=True))
+    rows = [features(p) for p in listed]
+    at = {n: i for i, n in enumerate(sorted({n for row in rows for n in row}))}
+    x = np.array([[at[n] for n in row] for row in rows], np.int64)
+    w = fit_logistic(x, len(at), np.array([soft[p.split("|")[1]] for p in listed]), weight)
+    return {n: float(w[i]) for n, i in at.items()}
+
 
+def chance(pattern: str, weights: dict[str, float]) -> float:
+    """Probability of a span to be personal data, by its features that the fit has seen."""
+    return float(1 / (1 + np.exp(-np.clip(sum(weights.get(n, 0.0) for n in features(pattern)), -30, 30))))
 
-def accepted_patterns(counts: dict[str, int]) -> set[str]:
-    """Patterns of added kinds that the final classifier takes for personal data."""
-    return {p for p, c in judged_patterns(counts).items() if c >= ACCEPT and p.split("|")[0] in ADDED_KINDS}
+
+def soft_labels(counts: dict[str, int]) -> dict[str, float]:
+    """Probability of each vote pattern, by the labelers' estimated reliabilities."""
+    if not counts:
+        return {}
+    listed = sorted(counts)
+    weight = np.array([counts[v] for v in listed], float)
+    p, _, _ = reliabilities(np.array([[int(c) for c in v] for v in listed]), weight / weight.max() * 1e4)
+    return dict(zip(listed, p.tolist(), strict=True))
+
+
+def judged_patterns(counts: dict[str, int]) -> dict[str, float]:
+    """Probability of each pattern to be personal data, by the final classifier."""
+    votes: dict[str, int] = {}
+    for p, n in counts.items():
+        votes[p.split("|")[1]] = votes.get(p.split("|")[1], 0) + n
+    weights = weights_of(counts, soft_labels(votes))
+    return {p: chance(p, weights) for p in counts}
 
 
 def with_added(base: list[dict], added: list[dict]) -> list[dict]:
@@ -366,15 +394,16 @@ def with_added(base: list[dict], added: list[dict]) -> list[dict]:
     return sorted(out, key=lambda s: (KINDS.index(s["kind"]), s["start"]))
 
 
-def _write(accepted: set[str]):
+def _write(weights: dict[str, float]):
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        accepted = lru_cache(maxsize=100_000)(lambda pattern: chance(pattern, weights) >= ACCEPT)
         for whole in rows:
             for lo in range(0, whole.num_rows, 256):
                 b = whole.slice(lo, 256)
                 counts, sums, spans = [], [], []
                 for found in b.column(1).to_pylist():
                     base = [s for s in found if s["kind"] in BASE_KINDS]
-                    everything = with_added(base, [s for s in found if s["pattern"] in accepted])
+                    everything = with_added(base, [s for s in found if s["kind"] in ADDED_KINDS and accepted(s["pattern"])])
                     text = lambda x: ",".join(f"{s['kind']}:{s['start']}:{s['end']}" for s in x)
                     counts.append([sum(s["kind"] == k for s in base) for k in BASE_KINDS])
                     sums.append(hashlib.sha256(text(base).encode()).hexdigest())
@@ -392,9 +421,11 @@ def personal_data(documents: DataFrame) -> DataFrame:
     with Tables(documents.sparkSession, "personal") as tables:
         found = documents.select("doc_id", F.col("text").cast("string")).mapInArrow(_find, "doc_id long, found array<struct<kind:string,start:long,end:long,pattern:string>>")
         found = tables.put(found, "spans")
-        counts = found.select(F.explode("found.pattern").alias("p")).groupBy("p").count()
-        accepted = accepted_patterns({r["p"]: r["count"] for r in counts.collect()})
-        out = found.mapInArrow(_write(accepted), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+        counts = tables.put(found.select(F.explode("found.pattern").alias("p")).groupBy("p").agg(F.count("*").alias("n")), "patterns")
+        votes = counts.groupBy(F.split("p", r"\|")[1].alias("votes")).agg(F.sum("n").alias("n")).collect()  # 27 at most
+        sample = counts.orderBy(F.desc("n"), "p").limit(FIT_PATTERNS).collect()
+        weights = weights_of({r["p"]: r["n"] for r in sample}, soft_labels({r["votes"]: r["n"] for r in votes}))
+        out = found.mapInArrow(_write(weights), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
         return stored(out, "personal")
 
 
