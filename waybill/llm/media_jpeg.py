@@ -13,7 +13,8 @@ writes that table.  The query hands the column from the one Python step to the
 other through Spark and does not write it, as it holds every text once more.
 
 Restart intervals are byte-aligned and independent, so the reader advances
-all intervals of many images in step, one block at a time, with numpy.
+all intervals of many images in step, one block at a time, with numpy.  A long
+text is many images: both ways take a few of them at a time.
 
 Defined results: a null or empty text is the payload of 64 zero bytes; equal
 texts give equal values; rows are neither dropped nor merged (repeated
@@ -179,9 +180,9 @@ class NotBaseline(ValueError):
     pass
 
 
-def parse(media: bytes) -> tuple[list[Picture], list[Scan]]:
-    """Markers of one or more concatenated baseline images."""
-    pictures, scans, at, end = [], [], 0, len(media)
+def parse(media: bytes) -> Iterator[tuple[Picture, list[Scan]]]:
+    """Markers of one or more concatenated baseline images, one after the other."""
+    scans, at, end = [], 0, len(media)
     picture, huffman, interval = None, {}, 0
     while at < end:
         if media[at] != 0xFF or at + 1 >= end:
@@ -192,8 +193,9 @@ def parse(media: bytes) -> tuple[list[Picture], list[Scan]]:
             continue
         at += 2
         if marker == 0xD8:
-            picture, huffman, interval = Picture(), {}, 0
-            pictures.append(picture)
+            if picture is not None:
+                yield picture, scans
+            picture, scans, huffman, interval = Picture(), [], {}, 0
             continue
         if marker == 0xD9:
             continue
@@ -248,18 +250,22 @@ def parse(media: bytes) -> tuple[list[Picture], list[Scan]]:
                 break
             scans.append(Scan(tables, layout, across * down, interval or across * down, media[at:stop], picture, members))
             at = stop
-    if not pictures:
+    if picture is None:
         raise NotBaseline("empty")
-    return pictures, scans
+    yield picture, scans
 
 
 def _next_marker(media: bytes, at: int) -> int:
     """First marker from ``at`` on that is neither stuffing nor a restart."""
-    data = np.frombuffer(media, np.uint8, offset=at)
-    ff = np.flatnonzero(data[:-1] == 255)
-    after = data[ff + 1]
-    stop = ff[(after != 0) & (after != 255) & ((after < 0xD0) | (after > 0xD7))]
-    return at + int(stop[0]) if len(stop) else len(media)
+    while at + 1 < len(media):
+        data = np.frombuffer(media, np.uint8, count=min(len(media) - at, CHUNK_BYTES), offset=at)
+        ff = np.flatnonzero(data[:-1] == 255)
+        after = data[ff + 1]
+        stop = ff[(after != 0) & (after != 255) & ((after < 0xD0) | (after > 0xD7))]
+        if len(stop):
+            return at + int(stop[0])
+        at += len(data) - 1
+    return len(media)
 
 
 def _intervals(data: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -381,27 +387,52 @@ def thumbnail(picture: Picture) -> np.ndarray:
     return np.clip(samples, 0, 255).astype(np.uint8)[:tall, :wide]
 
 
+def _long_thumbnails(media: bytes) -> list[tuple[int, int, np.ndarray]] | None:
+    """The same for a long value: a few images at a time, so what is held besides the
+    value and its thumbnails does not grow with it."""
+    out: list[tuple[int, int, np.ndarray]] = []
+    some, held = [], 0
+
+    def read() -> None:
+        decode_scans([s for _, scans in some for s in scans])
+        out.extend((p.width, p.height, thumbnail(p)) for p, _ in some)
+
+    try:
+        for picture, scans in parse(media):
+            size = sum(len(s.data) for s in scans)
+            if some and held + size > CHUNK_BYTES:
+                read()
+                some, held = [], 0
+            some.append((picture, scans))
+            held += size
+        read()
+    except (NotBaseline, KeyError, ValueError, IndexError, struct.error):
+        return None
+    return out
+
+
 def thumbnails(media: list[bytes | None]) -> list[list[tuple[int, int, np.ndarray]] | None]:
     """(width, height, thumbnail) of each image in each value; None if unreadable."""
     parsed = []
     for m in media:
         try:
-            parsed.append(parse(m) if m else None)
+            parsed.append(list(parse(m)) if m and len(m) <= CHUNK_BYTES else None)
         except (NotBaseline, KeyError, IndexError, struct.error):
             parsed.append(None)
+    scans_of = lambda x: [s for _, scans in x for s in scans]
     try:
-        decode_scans([s for x in parsed if x for s in x[1]])
+        decode_scans([s for x in parsed if x for s in scans_of(x)])
     except (NotBaseline, IndexError):  # find the bad one: each by itself
         for i, x in enumerate(parsed):
             try:
                 if x:
-                    decode_scans(x[1])
+                    decode_scans(scans_of(x))
             except (NotBaseline, IndexError):
                 parsed[i] = None
     out = []
-    for x in parsed:
+    for m, x in zip(media, parsed, strict=True):
         try:
-            out.append([(p.width, p.height, thumbnail(p)) for p in x[0]] if x else None)
+            out.append([(p.width, p.height, thumbnail(p)) for p, _ in x] if x else _long_thumbnails(m) if m and len(m) > CHUNK_BYTES else None)
         except (KeyError, ValueError, IndexError):
             out.append(None)
     return out
@@ -412,7 +443,8 @@ def thumbnail_hashes(thumb: np.ndarray) -> tuple[str, str]:
     def reduce(rows: int, cols: int) -> np.ndarray:
         r = np.arange(rows) * thumb.shape[0] // rows
         c = np.arange(cols) * thumb.shape[1] // cols
-        cell = np.add.reduceat(np.add.reduceat(thumb.astype(np.int64), r, axis=0), c, axis=1)
+        bands = zip(r.tolist(), np.append(r[1:], thumb.shape[0]).tolist(), strict=True)
+        cell = np.add.reduceat(np.stack([thumb[a : max(b, a + 1)].sum(axis=0, dtype=np.int64) for a, b in bands]), c, axis=1)
         span = lambda x, end: np.maximum(np.diff(np.append(x, end)), 1)
         return cell * 1024 // (span(r, thumb.shape[0])[:, None] * span(c, thumb.shape[1])[None, :])
 
@@ -420,11 +452,20 @@ def thumbnail_hashes(thumb: np.ndarray) -> tuple[str, str]:
     return np.packbits(a > a.mean()).tobytes().hex(), np.packbits(d[:, 1:] > d[:, :-1]).tobytes().hex()
 
 
+def encoded(payloads: list[bytes]) -> list[bytes]:
+    """As :func:`encode_payloads`; long ones an image after the other, so what a step
+    holds does not grow with them."""
+    size = UNIT * ROWS_PER_IMAGE
+    if all(len(p) <= CHUNK_BYTES for p in payloads):
+        return encode_payloads(payloads)
+    return [b"".join(encode_payloads([p[i : i + size]])[0] for i in range(0, len(p), size)) for p in payloads]
+
+
 def _encode_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in small_batches(batches, "text", CHUNK_BYTES):
         raw = [x or b"" for x in b.column(1).cast(pa.binary()).to_pylist()]
         yield pa.RecordBatch.from_arrays(
-            [b.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array(encode_payloads([pad(x) for x in raw]), pa.binary())],
+            [b.column(0), pa.array([len(x) for x in raw], pa.int64()), pa.array(encoded([pad(x) for x in raw]), pa.binary())],
             names=["doc_id", "n_bytes", "media"],
         )
 
@@ -448,9 +489,9 @@ def _feature_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             if images is None:
                 rows.append((None,) * 4 + (len(m) if m is not None else None, hashlib.sha256(m).hexdigest() if m is not None else None) + (None,) * 5)
                 continue
-            payload = b"".join(t.tobytes() for _, _, t in images)
             width, height = images[0][0], sum(h for _, h, _ in images)
             thumb = images[0][2] if len(images) == 1 else np.concatenate([t for _, _, t in images])
+            payload = memoryview(np.ascontiguousarray(thumb)).cast("B")
             ah, dh = thumbnail_hashes(thumb)
             rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), f"{width}x{height}:{ah}:{dh}", len(m), hashlib.sha256(m).hexdigest(), width, height, ah, dh, None))
         order = (0, 1, 2, 4, 5, 3, 6, 7, 8, 9)
