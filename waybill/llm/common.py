@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waybill.session import Tables, spread, stored
+from waybill.session import Tables, spread, stored, unused
 
 __all__ = ["Tables", "bit_table", "dealt_table", "drop_rows", "flagged", "in_table", "listed_rows", "place", "read_table", "small_batches", "stored", "table_bits", "unused"]
 
@@ -25,18 +25,6 @@ def dealt_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(read_table(spark, sf_dir, name))
 
 
-def unused(df: DataFrame, *names: str) -> list[str]:
-    """The names, each with as many underscores put before it as it takes not to
-    be a column of ``df`` (in any case)."""
-    taken, out = {c.lower() for c in df.columns}, []
-    for name in names:
-        while name.lower() in taken:
-            name = f"_{name}"
-        taken.add(name.lower())
-        out.append(name)
-    return out
-
-
 def small_batches(batches: Iterator[pa.RecordBatch], column: str | int, max_bytes: int) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that ``column`` holds about ``max_bytes`` in each
     piece (one row at least), which bounds what a task holds at a time."""

@@ -21,6 +21,7 @@ stay repeated rows; other columns are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -71,6 +72,30 @@ def trigram_codes(text: str) -> np.ndarray:
     return s[:-2] << 20 | s[1:-1] << 10 | s[2:]
 
 
+#: Characters of a text that are looked at together.
+PIECE = 1 << 18
+_BREAK = re.compile(r"\s")
+
+
+def code_pieces(text: str) -> Iterator[np.ndarray]:
+    """The codes of :func:`trigram_codes`, a piece of a long text after the other."""
+    if len(text) <= PIECE:
+        yield trigram_codes(text)
+        return
+    held, before, lo = np.zeros(1, np.int64), 0, 0  # symbols kept so far (the last two), and the symbol before
+    while lo < len(text):
+        # small letters can depend on their neighbours: cut at white space if there is some nearby
+        cut = _BREAK.search(text, lo + PIECE, lo + PIECE + 1000)
+        hi = cut.start() if cut else min(len(text), lo + PIECE)
+        s = letter_symbols()[np.frombuffer(text[lo:hi].lower().encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int64)
+        kept = s[(s != 0) | (np.concatenate([[before], s[:-1]]) != 0)]
+        held = np.concatenate([held, kept])
+        yield held[:-2] << 20 | held[1:-1] << 10 | held[2:]
+        held, before, lo = held[-2:], int(s[-1]) if len(s) else before, hi
+    if before and len(held) == 2:
+        yield held[:1] << 20 | held[1:] << 10
+
+
 def trigram_vectors(codes: np.ndarray) -> np.ndarray:
     letters = letter_vectors()
     return np.roll(letters, 2, axis=1)[codes >> 20] * np.roll(letters, 1, axis=1)[codes >> 10 & 1023] * letters[codes & 1023]
@@ -109,7 +134,10 @@ def _training_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for b in small_batches(batches, "text", BATCH_BYTES):
         by_lang: dict[str, list[np.ndarray]] = {}
         for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            by_lang.setdefault(lang, []).append(trigram_codes(text))
+            for codes in code_pieces(text):
+                by_lang.setdefault(lang, []).append(codes)
+                if len(text) > PIECE:
+                    sums.setdefault(lang, _Counts()).add(by_lang.pop(lang))
         for lang, found in by_lang.items():
             sums.setdefault(lang, _Counts()).add(found)
     if sums:
@@ -124,21 +152,38 @@ def prototypes(labelled: DataFrame) -> dict[str, np.ndarray]:
     return {r["lang"]: np.array(r["v"], np.int64) for r in sorted(rows, key=lambda r: r["lang"])}
 
 
+def _bundled(text: str) -> np.ndarray | None:
+    """A long text's bundle of length 1; None if it has no letter."""
+    counts, any_ = _Counts(), False
+    for codes in code_pieces(text):
+        if len(codes):
+            any_ = True
+            counts.add([codes])
+    total = counts.flush().astype(np.float64)
+    return (total / max(np.linalg.norm(total), 1e-9)).astype(np.float32) if any_ else None
+
+
 def predict_texts(texts: list[str | None], names: list[str], unit: np.ndarray) -> tuple[list[str], list[float]]:
     """unit: [dimension, language] prototypes of length 1."""
-    codes = [trigram_codes(t) if t else np.zeros(0, np.int64) for t in texts]
+    long = {i: _bundled(t) for i, t in enumerate(texts) if t and len(t) > PIECE}
+    codes = [trigram_codes(t) if t and i not in long else np.zeros(0, np.int64) for i, t in enumerate(texts)]
     langs, scores = [UNDETERMINED] * len(texts), [0.0] * len(texts)
     some = [i for i, c in enumerate(codes) if len(c)]
-    if not some or not names:
+    if not some and not long or not names:
         return langs, scores
-    vocabulary, place = np.unique(np.concatenate([codes[i] for i in some]), return_inverse=True)
-    doc = np.repeat(np.arange(len(some)), [len(codes[i]) for i in some])
+    vocabulary, place = np.unique(np.concatenate([np.zeros(0, np.int64), *(codes[i] for i in some)]), return_inverse=True)
+    doc = np.repeat(np.arange(len(some)), np.array([len(codes[i]) for i in some], np.int64))
     bundles = np.zeros((len(some), DIMENSIONS), np.float32)
     for lo in range(0, len(vocabulary), 2048):
         n = min(2048, len(vocabulary) - lo)
         inside = (place >= lo) & (place < lo + n)
         counts = np.bincount(doc[inside] * n + place[inside] - lo, minlength=len(some) * n).reshape(len(some), n)
         bundles += counts.astype(np.float32) @ trigram_vectors(vocabulary[lo : lo + n]).astype(np.float32)
+    lettered = [i for i, v in long.items() if v is not None]
+    some += lettered
+    bundles = np.concatenate([bundles, *(long[i][None] for i in lettered)])
+    if not some:
+        return langs, scores
     norm = np.linalg.norm(bundles, axis=1)
     bundles /= np.maximum(norm, 1e-9)[:, None]
     best, score = np.zeros(len(some), np.int64), np.full(len(some), -np.inf, np.float32)
