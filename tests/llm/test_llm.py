@@ -1011,6 +1011,29 @@ def test_substrings_match_brute_force(spark):
     assert substring_dedup.deduplicated(docs(spark, [])).count() == 0
 
 
+def test_substrings_by_other_sizes(spark, monkeypatch):
+    """Tables so small that they filter nothing."""
+    rng = random.Random(16)
+    passages = [[f"w{rng.randint(0, 30 if k else 3)}" for _ in range(n)] for k, n in enumerate((400, 130, 90, 60))]
+    texts = []
+    for _ in range(50):
+        w = []
+        for _ in range(rng.randint(1, 4)):
+            p = rng.choice(passages)
+            a = rng.randint(0, len(p) - 50)
+            w += p[a : a + rng.choice([50, 51, 75, 400])] + [f"v{rng.randint(0, 9)}" for _ in range(rng.randint(0, 5))]
+        texts.append(" ".join(w))
+    texts += ["r " * n for n in (49, 50, 120, 500)] + ["q r " * 80, ("r " * 60 + "z ") * 5]
+    want = brute_substrings(texts)
+    df = docs(spark, texts).repartition(3)
+    for bits in (16, 6):
+        monkeypatch.setattr(substring_dedup, "table_bits", lambda n, bits=bits: bits)
+        monkeypatch.setattr(common, "MOST_ROWS_TABLE", bits + 1)
+        got = by_id(substring_dedup.deduplicated(df))
+        assert [(got[i]["n_words"], got[i]["n_removed"], got[i]["kept_sha256"]) for i in range(len(texts))] == want
+    assert sum(w[1] > 0 for w in want) > 30
+
+
 def test_substrings_of_equal_and_missing_ids(spark):
     text = " ".join(str(i) for i in range(70))
     rows = [(5, text), (5, text), (None, text), (9, text), (9, "other " * 3)]

@@ -8,11 +8,11 @@ doc_id.
    covered wholly by repeated windows and needs no further search.
 2. Candidate passages: winnowing chooses, in each window, the smallest hash of
    its ``PHRASE``-word phrases; equal windows choose equal phrases.  A phrase
-   that two different texts choose is a recurring phrase.  A bit table of fixed
-   size tells all tasks of them.
-3. Confirming: only windows whose chosen phrase recurs are hashed whole and
-   grouped; the group's smallest doc_id owns the window.  What is shuffled
-   follows the repeated text, once per window and document.
+   that two different texts choose is a recurring phrase.  A bit table sized by
+   their number tells all tasks of them (beyond its bound it lets more through).
+3. Confirming: only windows whose chosen phrase recurs are hashed whole, in 128
+   bits, and grouped; the group's smallest doc_id owns the window.  What is
+   shuffled follows the repeated text, once per window and document.
 4. Locating: each document gets the windows that others own and streams its
    words once more to find every occurrence.
 
@@ -42,21 +42,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waybill.llm.common import bit_table, in_table, place, read_table, small_batches, stored
-from waybill.llm.words import ODD, hashed_words, mixed, sliding_min, window_hashes
+from waybill.llm.common import Tables, bit_table, flagged, in_table, read_table, small_batches, stored, table_bits
+from waybill.llm.words import MIX, ODD, hashed_words, mixed, sliding_min, window_hashes
 
 WINDOW = 50
 PHRASE = 25
-#: Bits of the table of recurring phrases (2 MB); a fuller table lets more windows through.
-PHRASE_BITS = 24
 BATCH_BYTES = 1 << 19
-#: Bits of the table of documents that lose words (512 KB); a fuller one sends more documents to the join.
-SLOT_BITS = 22
-
-
-def slot(key: str):
-    return place(SLOT_BITS, key)
-
 
 
 def _hashes(texts: list[str | None]) -> list[np.ndarray]:
@@ -76,8 +67,9 @@ def chosen_phrases(h: np.ndarray) -> np.ndarray:
     return mixed(sliding_min(window_hashes(h, PHRASE), WINDOW - PHRASE + 1) * ODD)
 
 
-def _phrase_slot(hashes: np.ndarray) -> np.ndarray:
-    return (hashes >> np.uint64(64 - PHRASE_BITS)).astype(np.int64)
+def window_checks(h: np.ndarray) -> np.ndarray:
+    """64 more bits of each window, of other values for the words."""
+    return window_hashes(mixed(h ^ MIX), WINDOW)
 
 
 class _Seen(dict):
@@ -115,26 +107,30 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.nulls(len(x), pa.int64()), pa.nulls(len(x), pa.binary()), pa.array(x), pa.array(y)], names=names)
 
 
-def _windows(documents: DataFrame, bits: np.ndarray) -> DataFrame:
-    """(window, doc_id): distinct windows of each document whose phrase recurs."""
+def _windows(documents: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(window, more, doc_id): distinct windows of each document whose phrase is one of
+    ``phrases``, by their 128 bits."""
+    bits = table_bits(phrases.count())
+    table = bit_table(phrases, F.shiftrightunsigned("phrase", 64 - bits), bits)
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = _Seen()
         for b in small_batches(rows, "text", BATCH_BYTES):
-            found, docs = [], []
+            found: list[list[np.ndarray]] = [[], [], []]
             for doc, h in zip(b.column(0).to_pylist(), _hashes(b.column(1).to_pylist()), strict=True):
                 if len(h) < WINDOW:
                     continue
-                near = in_table(bits, _phrase_slot(chosen_phrases(h)))
+                near = in_table(table, (chosen_phrases(h) >> np.uint64(64 - bits)).astype(np.int64))
                 if not near.any() or seen.again(sequence_key(h), doc):
                     continue
-                windows = np.unique(window_hashes(h, WINDOW)[near])
-                found.append(windows)
-                docs.append(np.full(len(windows), doc))
-            if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(docs))], names=["window", "doc_id"])
+                windows, first = np.unique(window_hashes(h, WINDOW)[near], return_index=True)
+                for column, x in zip(found, (windows, window_checks(h)[near][first], np.full(len(windows), doc)), strict=True):
+                    column.append(x)
+            if found[0]:
+                columns = [np.concatenate(c) for c in found]
+                yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns], names=["window", "more", "doc_id"])
 
-    return documents.mapInArrow(batches, "window long, doc_id long")
+    return documents.mapInArrow(batches, "window long, more long, doc_id long")
 
 
 def kept_words(text: str | None, h: np.ndarray, foreign: np.ndarray | None) -> tuple[int, bytes]:
@@ -183,32 +179,33 @@ def _removing(keep_text: bool):
 
 
 def deduplicated(documents: DataFrame, keep_text: bool = True) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256, kept (null unless ``keep_text``)."""
-    spark = documents.sparkSession
+    """doc_id, n_words, n_removed, kept_sha256, kept (null unless ``keep_text``).
+
+    What it returns reads one table of the shared folder (what documents lose)."""
     docs = documents.select("doc_id", F.col("text").cast("string").alias("text"))
     known = docs.where("doc_id IS NOT NULL")
-    survey = stored(known.mapInArrow(_survey, "doc_id long, key binary, phrase long, of long"), "survey")
-
-    keyed = survey.where("key IS NOT NULL").select("doc_id", "key")
-    firsts = stored(keyed.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("key", "first"), "firsts")
-    copies = keyed.join(firsts, "key").where("doc_id > first").groupBy("doc_id").agg(F.collect_set("key").alias("copies"))
-
-    recurring = survey.where("phrase IS NOT NULL").groupBy("phrase").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo < hi")
-    bits = bit_table(recurring, F.shiftrightunsigned("phrase", 64 - PHRASE_BITS), PHRASE_BITS)
-    windows = stored(_windows(known, bits), "windows")
-    owners = stored(windows.groupBy("window").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last").select("window", "owner"), "owners")
-    foreign = stored(windows.join(owners, "window").where("doc_id > owner").select("doc_id", "window"), "foreign")
-    lists = foreign.groupBy("doc_id").agg(F.collect_set("window").alias("foreign"))
-    listed = stored(lists.join(copies, "doc_id", "full").select("doc_id", "foreign", "copies"), "listed")
+    with Tables(documents.sparkSession, "substrings") as tables:
+        survey = tables.put(known.mapInArrow(_survey, "doc_id long, key binary, phrase long, of long"), "survey")
+        recurring = survey.where("phrase IS NOT NULL").groupBy("phrase").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo < hi")
+        recurring = tables.put(recurring.select("phrase"), "recurring")
+        keyed = tables.put(survey.where("key IS NOT NULL").select("doc_id", "key"), "keyed")
+        tables.drop(survey)
+        firsts = keyed.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+        firsts = tables.put(firsts.select("key", "first"), "firsts")
+        copies = keyed.join(firsts, "key").where("doc_id > first").groupBy("doc_id").agg(F.collect_set("key").alias("copies"))
+
+        windows = tables.put(_windows(known, recurring), "windows")
+        owners = windows.groupBy("window", "more").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last")
+        owners = tables.put(owners.select("window", "more", "owner"), "owners")
+        foreign = tables.put(windows.join(owners, ["window", "more"]).where("doc_id > owner").select("doc_id", "window"), "foreign")
+        tables.drop(windows, owners)
+        lists = foreign.groupBy("doc_id").agg(F.collect_set("window").alias("foreign"))
+        listed = stored(lists.join(copies, "doc_id", "full").select("doc_id", "foreign", "copies"), "losses")
 
     # most documents have nothing to lose: they stay in their task
-    spots = bit_table(listed, slot("doc_id"), SLOT_BITS)
-    at = np.flatnonzero(spots)
-    table = spark.createDataFrame([(int(i), int(spots[i].astype(np.int64))) for i in at], "at int, bits long")
-    marked = docs.withColumn("slot", slot("doc_id")).withColumn("at", F.shiftright("slot", 6).cast("int")).join(F.broadcast(table), "at", "left")
-    maybe = F.coalesce(F.expr("(shiftrightunsigned(bits, cast(slot & 63 as int)) & 1) = 1"), F.lit(False))
-    far = marked.where(~maybe).select("doc_id", "text").mapInArrow(_removing(keep_text), RESULT)
-    near = marked.where(maybe).select("doc_id", "text").join(listed, "doc_id", "left").select("doc_id", "text", "foreign", "copies").mapInArrow(_removing(keep_text), RESULT)
+    marked = flagged(docs, F.col("doc_id"), listed.select("doc_id"), "loses")
+    far = marked.where("NOT loses").select("doc_id", "text").mapInArrow(_removing(keep_text), RESULT)
+    near = marked.where("loses").join(listed, "doc_id", "left").select("doc_id", "text", "foreign", "copies").mapInArrow(_removing(keep_text), RESULT)
     return far.unionByName(near)
 
 
