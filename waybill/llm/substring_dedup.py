@@ -10,9 +10,9 @@ doc_id.
    its ``PHRASE``-word phrases; equal windows choose equal phrases.  A phrase
    that two different texts choose is a recurring phrase.  A bit table sized by
    their number tells all tasks of them (beyond its bound it lets more through).
-3. Confirming: only windows whose chosen phrase recurs are hashed whole, in 128
-   bits, and grouped; the group's smallest doc_id owns the window.  What is
-   shuffled follows the repeated text, once per window and document.
+3. Confirming: only windows whose chosen phrase recurs are hashed whole and
+   grouped; the group's smallest doc_id owns the window.  What is shuffled
+   follows the repeated text, once per window and document.
 4. Locating: each document gets the windows that others own and streams its
    words once more to find every occurrence.
 
@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waybill.llm.common import Tables, bit_table, flagged, in_table, read_table, small_batches, stored, table_bits
-from waybill.llm.words import MIX, ODD, hashed_words, mixed, sliding_min, window_hashes
+from waybill.llm.words import ODD, hashed_words, mixed, sliding_min, window_hashes
 
 WINDOW = 50
 PHRASE = 25
@@ -67,11 +67,6 @@ def chosen_phrases(h: np.ndarray) -> np.ndarray:
     return mixed(sliding_min(window_hashes(h, PHRASE), WINDOW - PHRASE + 1) * ODD)
 
 
-def window_checks(h: np.ndarray) -> np.ndarray:
-    """64 more bits of each window, of other values for the words."""
-    return window_hashes(mixed(h ^ MIX), WINDOW)
-
-
 class _Seen(dict):
     """The smallest doc_id met for each word sequence; bounded."""
 
@@ -108,29 +103,27 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _windows(documents: DataFrame, phrases: DataFrame) -> DataFrame:
-    """(window, more, doc_id): distinct windows of each document whose phrase is one of
-    ``phrases``, by their 128 bits."""
+    """(window, doc_id): distinct windows of each document whose phrase is one of ``phrases``."""
     bits = table_bits(phrases.count())
     table = bit_table(phrases, F.shiftrightunsigned("phrase", 64 - bits), bits)
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = _Seen()
         for b in small_batches(rows, "text", BATCH_BYTES):
-            found: list[list[np.ndarray]] = [[], [], []]
+            found, docs = [], []
             for doc, h in zip(b.column(0).to_pylist(), _hashes(b.column(1).to_pylist()), strict=True):
                 if len(h) < WINDOW:
                     continue
                 near = in_table(table, (chosen_phrases(h) >> np.uint64(64 - bits)).astype(np.int64))
                 if not near.any() or seen.again(sequence_key(h), doc):
                     continue
-                windows, first = np.unique(window_hashes(h, WINDOW)[near], return_index=True)
-                for column, x in zip(found, (windows, window_checks(h)[near][first], np.full(len(windows), doc)), strict=True):
-                    column.append(x)
-            if found[0]:
-                columns = [np.concatenate(c) for c in found]
-                yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns], names=["window", "more", "doc_id"])
+                windows = np.unique(window_hashes(h, WINDOW)[near])
+                found.append(windows)
+                docs.append(np.full(len(windows), doc))
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(docs))], names=["window", "doc_id"])
 
-    return documents.mapInArrow(batches, "window long, more long, doc_id long")
+    return documents.mapInArrow(batches, "window long, doc_id long")
 
 
 def kept_words(text: str | None, h: np.ndarray, foreign: np.ndarray | None) -> tuple[int, bytes]:
@@ -188,16 +181,15 @@ def deduplicated(documents: DataFrame, keep_text: bool = True) -> DataFrame:
         survey = tables.put(known.mapInArrow(_survey, "doc_id long, key binary, phrase long, of long"), "survey")
         recurring = survey.where("phrase IS NOT NULL").groupBy("phrase").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo < hi")
         recurring = tables.put(recurring.select("phrase"), "recurring")
-        keyed = tables.put(survey.where("key IS NOT NULL").select("doc_id", "key"), "keyed")
-        tables.drop(survey)
+        keyed = survey.where("key IS NOT NULL").select("doc_id", "key")
         firsts = keyed.groupBy("key").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
         firsts = tables.put(firsts.select("key", "first"), "firsts")
         copies = keyed.join(firsts, "key").where("doc_id > first").groupBy("doc_id").agg(F.collect_set("key").alias("copies"))
 
         windows = tables.put(_windows(known, recurring), "windows")
-        owners = windows.groupBy("window", "more").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last")
-        owners = tables.put(owners.select("window", "more", "owner"), "owners")
-        foreign = tables.put(windows.join(owners, ["window", "more"]).where("doc_id > owner").select("doc_id", "window"), "foreign")
+        owners = windows.groupBy("window").agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).where("owner < last")
+        owners = tables.put(owners.select("window", "owner"), "owners")
+        foreign = tables.put(windows.join(owners, "window").where("doc_id > owner").select("doc_id", "window"), "foreign")
         tables.drop(windows, owners)
         lists = foreign.groupBy("doc_id").agg(F.collect_set("window").alias("foreign"))
         listed = stored(lists.join(copies, "doc_id", "full").select("doc_id", "foreign", "copies"), "losses")
