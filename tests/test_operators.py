@@ -1,13 +1,16 @@
 """Operators on small bookings, checked by hand."""
 
+import datetime
+import random
 from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from waybill import session
 from waybill.functions import scalars
-from waybill.operators import claims, extract, fares, itinerary, ledger, lookups, search
+from waybill.operators import claims, extract, fares, itinerary, keywords, ledger, lookups, place_index, search
 from waybill.session import stored
 from waybill.sources import dims, heads, readers
 
@@ -378,3 +381,161 @@ def test_helpers_do_not_clash_with_the_callers_columns(spark):
     named = lookups.canonical(df, "code", dims.airline_aliases(spark))
     assert kept(named) and named.first()["code"] == "6E"
     assert kept(ledger.numbered(df, ["code"])) and kept(ledger.keep_first(df, ["code"], ["flight_no"]))
+
+
+def test_records_keep_whatever_columns_a_caller_has(spark):
+    extra = ("__up", "__text", "__lines", "__after", "__hits", "__caller", "__blank", "raw")
+    df = spark.createDataFrame([("t.pdf", PAPER)], "filename string, text string").withColumns({c: F.lit(f"mine {c}") for c in extra})
+    r = extract.records(df, ["HYD", "DEL"]).first()
+    assert r["pnr"] == "QX7K2M" and all(r[c] == f"mine {c}" for c in extra)
+
+
+# --- forms of any size ---------------------------------------------------------
+
+
+def test_a_count_of_twenty_million_makes_its_rows(spark):
+    n = 20_000_000
+    kv = spark.createDataFrame([("big", "flight_count", str(n)), ("big", "flight_3_date", "2026-01-02"), ("two", "flight_count", "2"), ("none", "flight_count", "0"), ("word", "flight_count", "x"), ("other", "pnr", "P")], "request_id string, key string, value string")
+    w = itinerary.wide(kv, "flight", ("flight_no", "date"), "flight_no", "flight_count")
+    got = {r[0]: r[1:] for r in w.groupBy("request_id").agg(F.count("*"), F.min("idx"), F.max("position"), F.sum("idx"), F.count("date"), F.max(F.when(F.col("date").isNotNull(), F.col("idx")))).collect()}
+    assert got == {"big": (n, 0, n - 1, (n - 1) * n // 2, 1, 3), "two": (2, 0, 1, 1, 0, None), "word": (1, 0, 0, 0, 0, None), "other": (1, 0, 0, 0, 0, None)}
+
+
+def test_a_request_of_a_million_keys(spark):
+    kv = spark.range(250_000).select(F.lit("r").alias("request_id"), F.explode(F.array(*[F.struct(F.concat(F.lit("flight_"), (F.col("id") * 3).cast("string"), F.lit(f"_{f}")).alias("key"), F.col("id").cast("string").alias("value")) for f in ("flight_no", "date", "seat", "meal")])).alias("x")).select("request_id", "x.*")
+    w = itinerary.wide(kv, "flight", ("flight_no", "date", "seat"), "flight_no", "flight_count")
+    assert w.count() == 250_000 and w.where("idx <> 3 * position OR flight_no <> cast(position as string) OR date IS NULL OR seat IS NULL").isEmpty()
+
+
+def test_odd_spellings_of_an_index_name_it_once(spark):
+    rows = [("r", "flight_01_flight_no", "A"), ("r", "flight_1_date", "d"), ("r", "flight_99999999999_flight_no", "B"), ("r", "flight_5_date", "e"), ("r", "flight_2_flight_no", None), ("r", "xflight_7_flight_no", "C"), ("r", None, "D")]
+    w = itinerary.wide(spark.createDataFrame(rows, "request_id string, key string, value string"), "flight", ("flight_no", "date"), "flight_no", "flight_count")
+    assert [(r["idx"], r["position"], r["flight_no"], r["date"]) for r in w.orderBy("idx").collect()] == [(1, 0, None, "d"), (2, 1, None, None)]
+
+
+# --- written indexes -----------------------------------------------------------
+
+
+def test_indexed_search_equals_single_searches(spark, tmp_path, monkeypatch):
+    rows = [("AAB", "Bcity", "an aab"), ("BAA", "Aab", ""), ("ABA", "", "aaa"), ("ZED", "Ünd", "100%_ field"), *((f"X{i:03d}", f"city {i % 7}", f"common name {i}") for i in range(120))]
+    p = places(spark, rows)
+    for block in (4096, 10):
+        monkeypatch.setattr(place_index, "BLOCK", block)
+        place_index.write_index(p, str(tmp_path / str(block)))
+        listed = spark.read.parquet(str(tmp_path / str(block) / "postings")).groupBy("gram", "block").count().agg(F.max("count")).first()[0]
+        assert listed == 121 if block > 200 else listed < 4 * block
+        asked = ["a", "aab", "b", "ba", "zz", "", "aa", "common", "common name 11", "city 3", "x01", "%_", "100%", "ünd", "aaab", None, "common"]
+        got = place_index.indexed_matches(spark, str(tmp_path / str(block)), spark.createDataFrame(list(enumerate(asked)), "query_id int, query string")).orderBy("query_id", "rank").collect()
+        want = [(i, n, r["code"], r["priority"]) for i, q in enumerate(asked) for n, r in enumerate(search.top_matches(p, q or "").collect(), 1)]
+        assert [(r["query_id"], r["rank"], r["code"], r["priority"]) for r in got] == want
+
+
+def scanned_rows(df):
+    """Rows that the scan of a plan put out when it was run."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    plan = plan.finalPhysicalPlan() if "Adaptive" in plan.nodeName() else plan
+    todo, found = [plan], []
+    while todo:
+        node = todo.pop()
+        if node.nodeName().startswith("Scan parquet"):
+            found.append(node.metrics().apply("numOutputRows").value())
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName().endswith("QueryStage"):
+            todo.append(node.plan())
+    return sum(found)
+
+
+def test_lookups_skip_row_groups(spark, tmp_path):
+    p = spark.range(100_000).select(F.format_string("C%06d", F.col("id") * 2).alias("code"), F.sha2(F.col("id").cast("string"), 256).alias("city"), F.lit("a").alias("airport"), F.lit("").alias("country"), F.col("id").cast("int").alias("ord"))
+    place_index.write_lookup(p, str(tmp_path / "dim"), 5000)
+    got = place_index.looked_up(spark, str(tmp_path / "dim"), [" c000002", "C000003", "C000002", "nowhere"])
+    assert sorted((r["code"], r["found"], r["airport"]) for r in got.collect()) == [("C000002", True, "a"), ("C000003", False, None), ("NOWHERE", False, None)]
+    stored_ = spark.read.parquet(str(tmp_path / "dim"))
+    assert 0 < scanned_rows(stored_.where("code = 'C000002'").select("city")) < 20_000
+    assert scanned_rows(stored_.where("code = 'C000003'").select("city")) == 0  # between two codes of a row group: its Bloom filter
+
+
+# --- a table of keywords -------------------------------------------------------
+
+
+def test_first_keywords_match_brute_force(spark, monkeypatch):
+    rng = random.Random(1)
+    letters = "abé中 .%"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(300)] + ["", None, "x" * 5000 + "needle" + "y" * 5000]
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 7))) for _ in range(200)] + ["needle", "", None, "absent words", "a", "a", "é中"]
+    order = list(range(len(words)))
+    rng.shuffle(order)
+    table = [(w, o, f"l{o}") for w, o in zip(words, order, strict=True)]
+    want = {}
+    for i, t in enumerate(texts):
+        found = [(o, w, label) for w, o, label in table if w and t is not None and w in t]
+        if found:
+            want[i] = min(found)
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, t string").withColumns({c: F.lit("clash") for c in ("gram", "around", "keyword", "ord")})
+    got = keywords.first_keywords(df.repartition(3), spark.createDataFrame(table, "keyword string, ord int, label string"), "id", "t")
+    assert {r["id"]: (r["ord"], r["keyword"], r["label"]) for r in got.collect()} == want and len(want) > 100
+    plan = got._jdf.queryExecution().toString()
+    assert "needle" not in plan
+    none = spark.createDataFrame([], "keyword string, ord int, label string")
+    assert keywords.first_keywords(df, none, "id", "t").count() == 0
+
+
+def test_grams_are_found_across_pieces(monkeypatch):
+    data = bytes(range(97, 117)) * 3
+    whole = lambda: [(p, g) for at, gram in keywords._places(data, lambda h: np.ones(len(h), bool), [2, 4]) for p, g in zip(at.tolist(), gram.tolist(), strict=True)]
+    want = sorted(whole())
+    for piece in (1, 3, 10):
+        monkeypatch.setattr(keywords, "PIECE", piece)
+        assert sorted(whole()) == want
+
+
+# --- bodies as submitted ---------------------------------------------------------
+
+
+def test_bodies_are_split_and_decoded(spark):
+    bodies = [("r", "a=1&b=x+y%20z&&c&=v&a=2&d=%C3%A9%3D%26&e=100%&f=a=b"), ("s", ""), ("t", None)]
+    got = [(r["request_id"], r["key"], r["value"]) for r in readers.form_bodies(spark.createDataFrame(bodies, "request_id string, body string")).orderBy("request_id", "ord").collect()]
+    assert got == [("r", "a", "1"), ("r", "b", "x y z"), ("r", "c", ""), ("r", "", "v"), ("r", "a", "2"), ("r", "d", "é=&"), ("r", "e", "100%"), ("r", "f", "a=b")]
+    pairs = [("r", 2, "k &=", "é 中"), ("r", 1, "k", None), ("r", 3, None, "x")]
+    body = readers.form_body(spark.createDataFrame(pairs, "request_id string, n int, key string, value string"), ["n"])
+    back = readers.form_bodies(body).orderBy("ord").collect()
+    assert [(r["key"], r["value"]) for r in back] == [("k", ""), ("k &=", "é 中")]
+
+
+# --- streams -----------------------------------------------------------------------
+
+
+def test_a_submission_sent_again_gets_no_second_row(spark, tmp_path):
+    from waybill.streaming.ledger_stream import append_stream, once
+
+    schema = "booking_id string, is_dummy boolean, sent timestamp"
+    batches = [[("a", 0), ("b", 1)], [("a", 2), ("c", 3)], [("c", 4), ("b", 5), ("d", 6)]]
+    for i, rows in enumerate(batches):
+        data = [(b, False, datetime.datetime(2026, 1, 1, 0, m)) for b, m in rows]
+        spark.createDataFrame(data, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        source = once(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), "booking_id", "sent")
+        append_stream(source, str(tmp_path / "out"), str(tmp_path / "ck"), ["booking_id"]).awaitTermination(120)
+        if i == 1:  # another writer's numbers in between
+            assert claims.claim(spark, str(tmp_path / "out"), 10) == 4
+    got = spark.read.parquet(str(tmp_path / "out")).orderBy("sno").collect()
+    assert [(r["booking_id"], r["sno"]) for r in got] == [("a", 1), ("b", 2), ("c", 3), ("d", 14)]
+
+
+def test_a_batch_that_is_run_again_gets_its_numbers(spark, tmp_path):
+    path = str(tmp_path)
+    assert [claims.claim_of_batch(spark, path, n, "stream", b) for b, n in ((0, 5), (1, 2))] == [1, 6]
+    assert claims.claim(spark, path, 3) == 8
+    assert [claims.claim_of_batch(spark, path, 2, "stream", 1), claims.claim_of_batch(spark, path, 1, "other", 1), claims.claim_of_batch(spark, path, 1, "stream", 2)] == [6, 11, 12]
+    with pytest.raises(RuntimeError, match="claimed"):
+        claims.claim_of_batch(spark, path, 4, "stream", 1)
+
+
+def test_cells_are_the_travellers_grid(spark, form):
+    f = itinerary.flights(form, spark, dims.airports(spark))
+    for positional in (False, True):
+        want = {(r["request_id"], r["idx"], i): (s, m) for r in itinerary.travellers(form, f, positional).collect() for i, (s, m) in enumerate(zip(r["seat_by_flight"], r["meal_by_flight"], strict=True))}
+        got = {(r["request_id"], r["idx"], r["position"]): (r["seat"], r["meal"]) for r in itinerary.cells(form, positional).collect()}
+        assert got == want and len(want) == 6
+    big = spark.createDataFrame([("b", "flight_count", "100000"), ("b", "pax_count", "2"), ("b", "pax_1_seat_7", "1A")], "request_id string, key string, value string")
+    assert [(r["seat"], r["n"]) for r in itinerary.cells(big).groupBy("seat").agg(F.count("*").alias("n")).orderBy("seat").collect()] == [("", 199_999), ("1A", 1)]

@@ -74,21 +74,36 @@ def next_number(spark: SparkSession, path: str) -> int | None:
         if time.monotonic() > until:
             raise RuntimeError(f"claim {firsts[-1]} of {path} was never filled: write how many numbers it takes, one at least, into it")
         time.sleep(0.05)
-    return int(firsts[-1]) + int(size)
+    return int(firsts[-1]) + int(size.split()[0])
 
 
-def claim(spark: SparkSession, path: str, n: int, existing: int = 0) -> int:
+def claim(spark: SparkSession, path: str, n: int, existing: int = 0, label: str = "") -> int:
     """The first of ``n`` numbers (one at least) that no other writer gets.  The first
-    claim goes on from ``existing`` rows."""
+    claim goes on from ``existing`` rows; a ``label`` stays with it."""
     while True:
         first = next_number(spark, path) or existing + 1
-        if _created(spark, f"{path}/{FOLDER}/{first:019d}", str(n)):
+        if _created(spark, f"{path}/{FOLDER}/{first:019d}", f"{n} {label}"):
             return first
 
 
+def claim_of_batch(spark: SparkSession, path: str, n: int, stream: str, batch: int) -> int:
+    """As :func:`claim` for a stream's batch, which gets the numbers it had when it is
+    run again.  Claims are read backwards, up to the stream's batch before."""
+    for name in reversed(_firsts(spark, path)):
+        size, _, label = _content(spark, f"{path}/{FOLDER}/{name}").partition(" ")
+        of, _, number = label.rpartition(" ")
+        if of == stream and int(number) <= batch:
+            if int(number) < batch:
+                break
+            if int(size) != n:
+                raise RuntimeError(f"batch {batch} has {n} rows now and claimed {size} numbers before")
+            return int(name)
+    return claim(spark, path, n, label=f"{stream} {batch}")
+
+
 def claims(spark: SparkSession, path: str) -> DataFrame:
     """first, last of every claimed range."""
-    read = spark.read.text(f"{path}/{FOLDER}", wholetext=True).select(F.regexp_extract("_metadata.file_name", r"(\d+)$", 1).cast("long").alias("first"), F.col("value").cast("long").alias("n"))
+    read = spark.read.text(f"{path}/{FOLDER}", wholetext=True).select(F.regexp_extract("_metadata.file_name", r"(\d+)$", 1).cast("long").alias("first"), F.substring_index("value", " ", 1).cast("long").alias("n"))
     return read.select("first", (F.col("first") + F.col("n") - 1).alias("last"))
 
 

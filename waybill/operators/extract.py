@@ -21,7 +21,12 @@ from waybill.sources import dims
 
 # What fields look like in upper-cased text.
 PNR = (r"(?U)\bPNR\b\s*[:\-]?\s*([A-Z0-9]{5,8})", r"(?U)\bBOOKING\s*REF(?:ERENCE)?\b\s*[:\-]?\s*([A-Z0-9]{5,10})")
-BOOKING_ID = tuple(rf"(?U)\b{word}\s*ID\b\s*[:\-]?\s*([A-Z0-9\-]{{5,20}})" for word in ("BOOKING", "TRIP", "ORDER", "TRANSACTION"))
+BOOKING_ID = (
+    r"(?U)\bBOOKING\s*ID\b\s*[:\-]?\s*([A-Z0-9\-]{5,20})",
+    r"(?U)\bTRIP\s*ID\b\s*[:\-]?\s*([A-Z0-9\-]{5,20})",
+    r"(?U)\bORDER\s*ID\b\s*[:\-]?\s*([A-Z0-9\-]{5,20})",
+    r"(?U)\bTRANSACTION\s*ID\b\s*[:\-]?\s*([A-Z0-9\-]{5,20})",
+)
 BOOKING_DATE = r"(?U)(?:BOOKING DATE|BOOKED ON|DATE OF BOOKING|ISSUE DATE)\s*[:\-]?\s*([0-9A-Za-z /-]{6,})"
 BOOKED_ON = r"(?U)BOOKED ON\s+(\d{1,2}\s+[A-Z]{3}\s+\d{4})"
 EMAIL = r"[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}"
@@ -38,12 +43,6 @@ ROUTE = r"(?U)\b([A-Z]{3})\s*[-–]\s*([A-Z]{3})\b"
 FROM_TO = r"(?U)\bFROM\b[^A-Z]{0,10}([A-Z]{3})\b.*\bTO\b[^A-Z]{0,10}([A-Z]{3})\b"
 THREE_LETTERS = r"(?U)\b[A-Z]{3}\b"
 
-# Words that decide which lines and texts count.
-RELEVANT = ("BOOKING", "TICKET", "PNR", "TRAVELLER", "TRAVELER", "BOARDING")
-NO_NAME_LINE = ("IMPORTANT", "PLEASE", "CARRY", "SECURITY", "CHECK-IN", "BOOKING", "ITINERARY", "E-TICKET", "TRIP", "ROUTE", "SEGMENT", "FARE", "PAYMENT", "AMOUNT")
-HEAD_LINE = ("PASSENGER", "TRAVELLER", "TRAVELER", "GUEST")
-SEGMENT_LINE = ("FROM", "TO", "DEPART", "ARRIV", "FLIGHT", "SECTOR", "ROUTE", "PNR")
-
 STOP = tuple(dims.STOPWORDS.split())
 SEGMENT = "struct<from_code:string,to_code:string,date:string,dep_time_raw:string,arr_time_raw:string,flight_no:string,airline:string>"
 
@@ -106,15 +105,16 @@ def records(texts: DataFrame, airport_codes: list[str] | None = None, own_names:
     some thousands of rows); without it no bare code counts as an airport.
     A text with one of ``own_names`` and no platform is our own paper and gives a
     blank record, and so do a text with one of ``always_own``, whatever its
-    platform, and one that has no platform and no word of ``RELEVANT``."""
-    df = texts.withColumn("__text", text(F.col("text"))).withColumn("__up", F.upper("__text"))
+    platform, and one that has no platform and no word of ``dims.RELEVANT``."""
+    df = texts.select("filename", "text", F.struct(*texts.columns).alias("__caller"))  # whatever it holds, no name of its columns matters here
+    df = df.withColumn("__text", text(F.col("text"))).withColumn("__up", F.upper("__text"))
     df = df.withColumn("__lines", lines_of(F.col("text")))
     up, lines = F.col("__up"), F.col("__lines")
     haystack = F.concat(up, F.lit(" "), F.upper(text(F.col("filename"))))
     df = df.withColumn("booking_platform", first_keyword(haystack))
     named = lambda names: contains_any(up, tuple(n.upper() for n in names)) if names else F.lit(False)
     platform = F.col("booking_platform")
-    df = df.withColumn("__blank", (platform == "") & (named(own_names) | ~contains_any(up, RELEVANT)) | named(always_own))
+    df = df.withColumn("__blank", (platform == "") & (named(own_names) | ~contains_any(up, dims.RELEVANT)) | named(always_own))
 
     uppers = F.transform(lines, F.upper)
     df = df.withColumn("__after", adjacent(lines))
@@ -138,12 +138,12 @@ def records(texts: DataFrame, airport_codes: list[str] | None = None, own_names:
     # travellers
     identity = (platform != "") | (F.col("pnr") != "") | (F.col("booking_id") != "")
     own_words = tuple(w for n in (*own_names, *always_own) for w in n.upper().split())
-    plain = F.filter(uppers, lambda u: ~contains_any(u, NO_NAME_LINE + own_words) & ~u.rlike(r"(?U)\d"))
+    plain = F.filter(uppers, lambda u: ~contains_any(u, dims.NO_NAME_LINE + own_words) & ~u.rlike(r"(?U)\d"))
     names = F.filter(F.transform(plain, lambda u: strip(collapse_spaces(capture(u, TITLED)))), lambda n: n != "")
     words = lambda n: F.filter(F.split(n, r"(?U)\s+"), lambda w: w != "")
     names = F.array_distinct(F.transform(F.filter(names, lambda n: (F.size(words(n)) >= 2) & _no_stop(words(n))), title_case))
     titled = F.when(identity | contains_any(up, ("TRAVELLER", "PASSENGER")), names).otherwise(F.array().cast("array<string>"))
-    loose = F.filter(lines, lambda x: ~contains_any(F.upper(x), HEAD_LINE) & F.upper(x).rlike(r"(?U)\b[A-Z]{2,}\b") & (F.size(words(F.upper(x))) <= 4) & _no_stop(words(F.upper(x))))
+    loose = F.filter(lines, lambda x: ~contains_any(F.upper(x), dims.HEAD_LINE) & F.upper(x).rlike(r"(?U)\b[A-Z]{2,}\b") & (F.size(words(F.upper(x))) <= 4) & _no_stop(words(F.upper(x))))
     df = df.withColumn("__titled", titled)
     found = F.when(F.size("__titled") > 0, F.col("__titled")).when(identity, F.transform(loose, title_case)).otherwise(F.array().cast("array<string>"))
     df = df.withColumn("passengers", F.transform(found, lambda n: F.struct(n.alias("name"))))
@@ -170,7 +170,7 @@ def records(texts: DataFrame, airport_codes: list[str] | None = None, own_names:
     blank = F.col("__blank")
     out = [F.when(blank, F.lit("")).otherwise(F.col(f)).alias(f) for f in fields]
     out += [F.when(blank, F.array().cast(df.schema[c].dataType)).otherwise(F.col(c)).alias(c) for c in ("flights", "passengers")]
-    return df.select(*[c for c in texts.columns if c not in (*fields, "flights", "passengers")], *out, cut(F.col("__text"), "excerpt").alias("raw_excerpt"))
+    return df.select(*[F.col("__caller")[c].alias(c) for c in texts.columns if c not in (*fields, "flights", "passengers", "raw_excerpt")], *out, cut(F.col("__text"), "excerpt").alias("raw_excerpt"))
 
 
 def _segments(df: DataFrame, known: list[str]) -> DataFrame:
@@ -201,7 +201,7 @@ def _segments(df: DataFrame, known: list[str]) -> DataFrame:
     timed = lambda x: x["timed"].isNotNull()
     zero = lambda x: timed(x) & F.startswith(x["timed"]["number"], F.lit("0"))
     by_time = lambda x: F.coalesce(timed(x) & ~x["timed"]["first"].isin(*STOP) & ~x["timed"]["last"].isin(*STOP), F.lit(False))
-    gate = lambda x: contains_any(u(x), SEGMENT_LINE) | u(x).rlike(CODE_NUMBER)
+    gate = lambda x: contains_any(u(x), dims.SEGMENT_LINE) | u(x).rlike(CODE_NUMBER)
     df = df.withColumn("__hits", F.filter("__hits", lambda x: ~F.coalesce(zero(x), F.lit(False)) & (by_time(x) | gate(x))))
 
     # other lines: a named route, or the first two known codes

@@ -10,9 +10,8 @@ from waybill.operators import fares
 from waybill.operators.lookups import fill_blank, with_airline_code
 from waybill.sources import dims
 
-# The fields of a flight and of a traveller, as forms name them.
+# The fields of a flight, as forms name them (a traveller's are in ``dims``).
 FLIGHT_FIELDS = ("flight_no", "layover", "airline", "from_code", "from_city", "to_code", "to_city", "date", "dep_time_raw", "arr_time_raw", "dep_time", "arr_time", "duration", "class", "seat", "meal", "checkin_bag", "hand_bag", "segment_pnr")
-TRAVELLER_FIELDS = ("name", "ticket_no", "passport", "dob", "doe", "seat", "meal", "checkin_bag", "hand_bag")
 # Keys of a form that are sent once, with what counts where one is not sent.
 FORM_FIELDS = {
     "booking_id": "", "booking_date": "", "pnr": "", "customer_phone": "", "customer_email": "", "refund_status": "Refundable",
@@ -50,11 +49,70 @@ def indices(family: str, anchor: str, count_key: str) -> Column:
     return F.when(F.size(found) > 0, found).otherwise(counted)
 
 
+#: Counted indices are made in steps of so many, so that no row holds them all.
+STEP = 2048
+
+
+def _family(kv: DataFrame, family: str, fields: tuple[str, ...], anchor: str, count_key: str) -> DataFrame:
+    """request_id, idx, field, value of a family's keys, the first of a repeated key;
+    field is also ``#`` for an index that its anchor names (however it is spelt), and
+    ``?`` (idx -1) for what a request has besides, with its count.
+
+    A row of what is returned is one key: nothing here is as large as a request."""
+    pattern = rf"^{family}_(\d+)_({'|'.join(fields)})$"
+    key = F.col("key")
+    idx = F.regexp_extract(key, pattern, 1)
+    number = F.when(idx != "", idx).try_cast("int")
+    plain = idx == number.cast("string")  # 01 names index 1, and is no key of its own
+    none = F.lit(None).cast("string")
+    own = F.struct(F.when(plain, number).alias("idx"), F.regexp_extract(key, pattern, 2).alias("field"), F.col("value").alias("value"))
+    named = F.struct(F.when(key.endswith(f"_{anchor}"), number).alias("idx"), F.lit("#").alias("field"), none.alias("value"))
+    rest = F.struct(F.lit(-1).alias("idx"), F.lit("?").alias("field"), F.when(key == count_key, F.col("value")).alias("value"))
+    sent = F.when(number.isNull(), F.array(rest)).otherwise(F.filter(F.array(own, named), lambda x: x["idx"].isNotNull()))
+    first = ["ord"] if "ord" in kv.columns else []
+    rows = kv.select("request_id", *first, F.explode(sent).alias("x")).select("request_id", *first, "x.*").repartition("request_id", "idx")
+    # what is no count must not hide one
+    best = F.min(F.struct(((F.col("field") == "?") & F.col("value").isNull()).alias("none"), *first, "value"))["value"].alias("value")
+    return rows.groupBy("request_id", "idx", "field").agg(best)
+
+
+def _steps(requests: DataFrame) -> DataFrame:
+    """request_id, step, size: 0 to n - 1 of each request of (request_id, n), in steps of ``STEP``."""
+    rows = requests.where("n > 0").select("request_id", "n", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / (STEP * STEP)).cast("int"))).alias("a"))
+    left = rows.withColumn("left", F.col("n") - F.col("a") * STEP * STEP)
+    rows = left.select("request_id", "n", "a", F.explode(F.sequence(F.lit(0), F.least(F.lit(STEP - 1), F.floor((F.col("left") - 1) / STEP).cast("int")))).alias("b"))
+    rows = rows.withColumn("step", F.col("a") * STEP + F.col("b"))
+    return rows.select("request_id", "step", F.least(F.lit(STEP), F.col("n") - F.col("step") * STEP).cast("int").alias("size"))
+
+
 def wide(kv: DataFrame, family: str, fields: tuple[str, ...], anchor: str, count_key: str) -> DataFrame:
-    """request_id, idx (as in the keys), position, and a column for each field, a
-    row for each of the :func:`indices`."""
-    rows = forms(kv).select("request_id", "form", F.posexplode(indices(family, anchor, count_key)).alias("position", "idx"))
-    return rows.select("request_id", "idx", "position", *[_sent(family, F.col("idx"), f).alias(f) for f in fields])
+    """request_id, idx (as in the keys), position, and a column for each field: a row for
+    each index whose ``anchor`` was sent, in their order; where there is none, for 0 to
+    the ``count_key`` less one (one if absent or no number).
+
+    Keys are grouped by request and index, so a request may have any number of them; a
+    count makes its rows in steps of ``STEP``.  Of a repeated key the first counts, as in
+    :func:`forms`."""
+    cells = _family(kv, family, fields, anchor, count_key)
+    sent = cells.groupBy("request_id", "idx").agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("sent"))
+    by_request = Window.partitionBy("request_id")
+    named = F.map_contains_key("sent", F.lit("#"))
+    placed = sent.withColumns({
+        "anchors": F.max(named).over(by_request),
+        "count": F.max(F.try_element_at("sent", F.lit("?"))).over(by_request),
+        "position": (F.row_number().over(by_request.orderBy((~named).cast("int"), "idx")) - 1).cast("int"),
+    })
+    columns = lambda df: df.select("request_id", "idx", "position", *[F.try_element_at("sent", F.lit(f)).alias(f) for f in fields])
+    n = F.coalesce(blank_to_null(F.col("count")).try_cast("int"), F.lit(1))
+    # what was sent for counted indices meets them by step, at most STEP of them in a row
+    steps = _steps(placed.where("position = 0 AND NOT anchors").select("request_id", n.alias("n"))).repartition("request_id", "step")
+    these = placed.where("idx >= 0 AND NOT anchors").groupBy(F.col("request_id").alias("of"), F.floor(F.col("idx") / STEP).cast("int").alias("at"))
+    these = these.agg(F.map_from_entries(F.collect_list(F.struct(F.col("idx") % STEP, "sent"))).alias("all"))
+    counted = steps.join(these, F.col("request_id").eqNullSafe(F.col("of")) & (F.col("step") == F.col("at")), "left")
+    counted = counted.select("request_id", "step", "all", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("i"))
+    idx = (F.col("step") * STEP + F.col("i")).cast("int")
+    counted = counted.select("request_id", idx.alias("idx"), idx.alias("position"), F.try_element_at("all", F.col("i")).alias("sent"))
+    return columns(placed.where(named)).unionByName(columns(counted))
 
 
 def flights(kv: DataFrame, spark: SparkSession, airports: DataFrame) -> DataFrame:
@@ -104,9 +162,9 @@ def _travellers(order: Column) -> Column:
     (:func:`_with_shared`); ``order`` has (position, at) of its flights."""
     own = lambda i, c, f: F.try_element_at("shared", F.concat(F.lit("pax_"), i.cast("string"), F.lit(f"_{c}_"), f["position"].cast("string")))
     cell = lambda i, c: lambda f: first_filled(own(i, c, f), _sent("flight", f["at"], c, "shared"), F.lit(DEFAULTS[c]))
-    names = {"ticket_no": "document_no"}
+    names = {dims.DOCUMENT_FIELD: "document_no"}
     return F.transform(indices("pax", "name", "pax_count"), lambda i, n: F.struct(
-        n.alias("pax"), i.alias("idx"), *[text(_sent("pax", i, f)).alias(names.get(f, f)) for f in TRAVELLER_FIELDS],
+        n.alias("pax"), i.alias("idx"), *[text(_sent("pax", i, f)).alias(names.get(f, f)) for f in dims.TRAVELLER_FIELDS],
         *[F.transform(order, cell(i, c)).alias(f"{c}_by_flight") for c in SHARED],
     ))
 
@@ -117,7 +175,8 @@ def travellers(kv: DataFrame, flights_: DataFrame, positional: bool = False) ->
     A cell takes the traveller's value for the flight, else the flight's, else a
     default.  Cells are the flights of the same request only, so the grid is as
     large as the booking.  ``positional`` looks the flight's value up under its
-    position instead of under the index in its keys."""
+    position instead of under the index in its keys.  Arrays hold a request's whole grid;
+    :func:`cells` has it as rows."""
     order = flights_.select("request_id", "position", F.col("position" if positional else "idx").alias("at"))
     order = order.groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct("position", "at"))).alias("order"))
     rows = _with_shared(forms(kv)).join(order, "request_id", "left")
@@ -125,6 +184,31 @@ def travellers(kv: DataFrame, flights_: DataFrame, positional: bool = False) ->
     return rows.select("request_id", F.explode(_travellers(F.coalesce("order", none))).alias("t")).select("request_id", "t.*")
 
 
+def cells(kv: DataFrame, positional: bool = False) -> DataFrame:
+    """request_id, pax (from 1), idx (as in the traveller's keys), position (the
+    flight's), seat, meal, checkin_bag, hand_bag: the grid of :func:`travellers` as rows.
+
+    Nothing is as large as a request here, so this is the form for requests of any size;
+    travellers and flights of a request meet in a join, which may be split where one
+    request has very many."""
+    people = wide(kv, "pax", dims.TRAVELLER_FIELDS, "name", "pax_count").select("request_id", "idx", (F.col("position") + 1).alias("pax"))
+    sent = wide(kv, "flight", FLIGHT_FIELDS, "flight_no", "flight_count").select("request_id", F.col("idx").alias("at"), "position", *[F.col(c).alias(f"flight_{c}") for c in SHARED])
+    if positional:
+        by_index = sent.select(F.col("request_id").alias("of"), F.col("at").alias("place"), *[f"flight_{c}" for c in SHARED])
+        sent = sent.select("request_id", "position").join(by_index, F.col("request_id").eqNullSafe(F.col("of")) & (F.col("position") == F.col("place")), "left")
+    pattern = rf"^pax_(\d+)_({'|'.join(SHARED)})_(\d+)$"
+    part = lambda i: F.regexp_extract("key", pattern, i)
+    number = lambda i: F.when(part(i) == part(i).try_cast("int").cast("string"), part(i)).try_cast("int")
+    first = ["ord", "value"] if "ord" in kv.columns else ["value"]
+    own = kv.where(F.col("key").rlike(pattern)).select("request_id", number(1).alias("of_pax"), number(3).alias("of_flight"), part(2).alias("field"), *first)
+    own = own.groupBy("request_id", "of_pax", "of_flight", "field").agg(F.min(F.struct(*first))["value"].alias("value"))
+    own = own.groupBy(F.col("request_id").alias("whose"), "of_pax", "of_flight").agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("own"))
+    grid = people.join(sent.withColumnRenamed("request_id", "flown"), F.col("request_id").eqNullSafe(F.col("flown")))
+    grid = grid.join(own, F.col("request_id").eqNullSafe(F.col("whose")) & (F.col("idx") == F.col("of_pax")) & (F.col("position") == F.col("of_flight")), "left")
+    cell = lambda c: first_filled(F.try_element_at("own", F.lit(c)), F.col(f"flight_{c}"), F.lit(DEFAULTS[c])).alias(c)
+    return grid.select("request_id", "pax", "idx", "position", *[cell(c) for c in SHARED])
+
+
 def route_summary(flights_: DataFrame) -> DataFrame:
     """request_id, route, flight_nos, segments."""
     in_order = F.sort_array(F.collect_list(F.struct("position", "from_code", "to_code", "flight_no")))

@@ -85,7 +85,7 @@ def append(spark: SparkSession, bookings: DataFrame, path: str, order: list[str]
     that fails is tried again under the same numbers."""
     names = [f.name for f in spark.createDataFrame([], LEDGER_SCHEMA).schema.fields]
     with Tables(spark, "ledger") as tables:
-        rows = numbered(real(bookings), order, put=tables.put).select(*names)
+        rows = numbered(real(bookings).drop("sno"), order, put=tables.put).select(*names)
         n = rows.count()
         if not n:
             return None

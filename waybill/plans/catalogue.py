@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from waybill.functions import scalars as S
-from waybill.operators import extract, fares, itinerary, ledger, lookups, search
+from waybill.operators import extract, fares, itinerary, keywords, ledger, lookups, place_index, search
 from waybill.session import shared_dir, spread
 from waybill.sources import dims, readers
 
@@ -163,10 +163,10 @@ def platform_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", lookups.first_keyword(F.upper("url"), _SITES).alias("platform"))
 
 
-@query(f"""SELECT doc_id, {' OR '.join(f"contains(u, '{w}')" for w in (*extract.RELEVANT, 'LICENSE'))} AS relevant
+@query(f"""SELECT doc_id, {' OR '.join(f"contains(u, '{w}')" for w in (*dims.RELEVANT, 'LICENSE'))} AS relevant
 FROM (SELECT doc_id, upper(text) AS u FROM documents)""")
 def relevance_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", S.contains_any(F.upper("text"), (*extract.RELEVANT, "LICENSE")).alias("relevant"))
+    return table(spark, sf_dir, "documents").select("doc_id", S.contains_any(F.upper("text"), (*dims.RELEVANT, "LICENSE")).alias("relevant"))
 
 
 @query("""SELECT 'c' || c_custkey AS code, c_name AS name, NULL::VARCHAR AS alias_of FROM customer
@@ -217,6 +217,16 @@ def allocation_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.select("request_id", "idx", "name", F.array_join("seat_by_flight", ",").alias("seats"), F.size("seat_by_flight").cast("long").alias("cells"))
 
 
+@query(f"""WITH {_LINES}, f AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY i) - 1 AS position FROM l)
+SELECT t.l_orderkey AS request_id, t.i AS idx, t.position + 1 AS pax, f.position,
+  CASE WHEN f.position = 0 AND t.i % 2 = 0 THEN 'W' || t.i WHEN f.s % 2 = 0 THEN (f.s % 30) || 'A' ELSE '' END AS seat, 'Not selected' AS meal
+FROM f t JOIN f ON f.l_orderkey = t.l_orderkey""")
+def seat_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same grid, a row for each traveller and flight."""
+    c = itinerary.cells(_form(spark, sf_dir))
+    return c.select("request_id", "idx", F.col("pax").cast("long").alias("pax"), F.col("position").cast("long").alias("position"), "seat", "meal")
+
+
 @query("""WITH e AS (SELECT user_id, event_id, ts, date_trunc('minute', ts) AS dep, date_trunc('minute', ts) + to_minutes((event_id * 7 % 240)::INT) AS arr FROM events),
 w AS (SELECT *, epoch(dep)::BIGINT - epoch(lag(arr) OVER u)::BIGINT AS sec, row_number() OVER u AS n FROM e WINDOW u AS (PARTITION BY user_id ORDER BY ts))
 SELECT user_id, event_id, CASE WHEN n > 1 AND event_id % 11 = 0 THEN 'Self transfer' WHEN sec > 0 THEN (sec // 3600) || 'h ' || (sec % 3600 // 60) || 'm (' || CASE WHEN sec >= 10800 THEN 'Long' ELSE 'Short' END || ' layover)' END AS layover FROM w""")
@@ -401,6 +411,25 @@ def next_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.next_booking_id(table(spark, sf_dir, "orders"), F.lit(" mmt-x "), F.lit("2026-05-06").cast("date"))
 
 
+@query(ORACLES["search_batch_all"])
+def search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same searches again, from a written index."""
+    folder = f"{shared_dir(spark)}/place-index-{uuid.uuid4().hex}"
+    place_index.write_index(_places(spark, sf_dir), folder)
+    return place_index.indexed_matches(spark, folder, _searches(spark, sf_dir))
+
+
+@query("""WITH k AS (SELECT CASE WHEN p_partkey % 2 = 0 THEN p_partkey::VARCHAR ELSE substr(p_name, 1, 3 + (p_partkey % 4)::INT) END AS keyword, p_partkey AS ord, p_brand AS label FROM part),
+f AS (SELECT keyword, min(ord) AS ord, arg_min(label, ord) AS label FROM k WHERE keyword <> '' GROUP BY keyword)
+SELECT doc_id, keyword, ord, label FROM (SELECT doc_id, keyword, ord, label, row_number() OVER (PARTITION BY doc_id ORDER BY ord) AS n FROM documents, f WHERE contains(text, keyword)) WHERE n = 1""")
+def keyword_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thousands of keywords, made of parts, in documents: the first of each."""
+    k = F.col("p_partkey")
+    word = F.when(k % 2 == 0, k.cast("string")).otherwise(F.substring(F.col("p_name"), F.lit(1), (3 + k % 4).cast("int")))
+    words = table(spark, sf_dir, "part").select(word.alias("keyword"), k.alias("ord"), F.col("p_brand").alias("label"))
+    return keywords.first_keywords(spread(table(spark, sf_dir, "documents")), words, "doc_id", "text")
+
+
 _HALVES = "SELECT o_orderkey, o_orderkey % 2 AS half, row_number() OVER (PARTITION BY o_orderkey % 2 ORDER BY o_orderkey) AS place, (SELECT count(*) FROM orders) AS numbers FROM orders"
 
 
@@ -471,7 +500,7 @@ def _trips(spark: SparkSession, sf_dir: str) -> DataFrame:
         flight("dep_time_raw", clock(p)), flight("arr_time_raw", clock(p + 2)), flight("dep_time", F.concat(clock(p), F.lit(" hrs"))),
         flight("layover", F.when(F.col("l_linenumber") == 5, "Self transfer")),
         put(("pax_", i, "_name"), F.when(F.col("l_linenumber") % 2 == 1, F.concat(F.lit("P"), s.cast("string")))),
-        put(("pax_", i, "_ticket_no"), F.concat(F.lit(" N"), s.cast("string"))),
+        put(("pax_", i, f"_{dims.DOCUMENT_FIELD}"), F.concat(F.lit(" N"), s.cast("string"))),
     )
     o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
     key = k.cast("string")
@@ -509,6 +538,14 @@ def booked_flights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("request_id", F.col("idx").cast("long").alias("idx"), F.col("position").cast("long").alias("position"), "flight_no", "airline_code", "airline", "from_full", "to_full", "date", "checkin_closing", "layover")
 
 
+@query(f"""WITH {_TRIPS} SELECT request_id, idx, position, nullif(flight_no, '') AS flight_no, CASE WHEN dep <> '' THEN dep || ' hrs' END AS dep_time, nullif(manual, '') AS layover FROM fl""")
+def submitted_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forms sent as url-encoded bodies, and their flights read from those."""
+    bodies = readers.form_body(_trips(spark, sf_dir), ["key", "value"])
+    w = itinerary.wide(readers.form_bodies(bodies), "flight", itinerary.FLIGHT_FIELDS, "flight_no", "flight_count")
+    return w.select("request_id", F.col("idx").cast("long").alias("idx"), F.col("position").cast("long").alias("position"), "flight_no", "dep_time", "layover")
+
+
 @query(f"""WITH {_TRIPS} SELECT request_id, segments, route, flight_nos, people, n_people, round(base + tax - disc, 2) AS total,
   'Base Fare=INR ' || format('{{:,.2f}}', base) || ';Airline Taxes & Fees=INR ' || format('{{:,.2f}}', tax) || CASE WHEN disc <> 0 THEN ';Discount=INR -5.00' ELSE '' END AS lines,
   request_id % 4 = 0 AS alert, first_airline AS airline, CASE WHEN request_id % 3 = 0 THEN 'Credit Card' ELSE 'UPI' END AS paid FROM nested JOIN money USING (request_id)""")

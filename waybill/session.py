@@ -5,6 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -98,10 +101,26 @@ def _written(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_SWEPT: ContextVar[str | None] = ContextVar("swept", default=None)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` into the shared folder and read it back: lineage ends here
     and a lost executor costs no recomputation of what came before."""
-    return _written(df, f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}")
+    return _written(df, f"{_SWEPT.get() or shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}")
+
+
+@contextmanager
+def swept(spark: SparkSession) -> Iterator[None]:
+    """Tables that :func:`stored` leaves for operators' results go when the block ends;
+    write what is to stay with :class:`Tables` made outside of it."""
+    folder = f"{shared_dir(spark)}/swept-{uuid.uuid4().hex}"
+    token = _SWEPT.set(folder)
+    try:
+        yield
+    finally:
+        _SWEPT.reset(token)
+        delete(spark, folder)
 
 
 class Tables:
@@ -111,6 +130,10 @@ class Tables:
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.folder, self.paths = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}", {}
 
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """A table that stays when the block ends."""
+        return _written(df, f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}")
+
     def __enter__(self) -> Tables:
         return self
 

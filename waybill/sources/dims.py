@@ -110,27 +110,188 @@ WB RwandAir
 
 # Three-letter airline codes and what they stand for.
 AIRLINE_ALIASES = """
-IGO=6E AIC=AI VTI=UK SEJ=SG GOW=G8 AKJ=QP IAD=I5 AIX=IX AXB=IX SDG=S5 UAE=EK ETD=EY QTR=QR FDB=FZ OMA=WY GFA=GF SVA=SV KAC=KU
-RJA=RJ MEA=ME ABY=G9 SIA=SQ THA=TG MAS=MH GIA=GA CPA=CX PAL=PR HVN=VN KAL=KE AAR=OZ ANA=NH JAL=JL CAL=CI EVA=BR CSN=CZ CES=MU
-CCA=CA CHH=HU JSA=3K TGW=TR AXM=AK AIQ=FD AWQ=QZ ALK=UL RNA=RA BBC=BG PIA=PK WJA=WS BAW=BA DLH=LH AFR=AF KLM=KL SWR=LX AUA=OS
-ITY=AZ IBE=IB SAS=SK FIN=AY THY=TK LOT=LO TAP=TP EIN=EI BEL=SN ROT=RO ASL=JU CTN=OU RYR=FR EZY=U2 WZZ=W6 VLG=VY NAX=DY AAL=AA
-UAL=UA DAL=DL SWA=WN JBU=B6 ASA=AS NKS=NK FFT=F9 HAL=HA ACA=AC AMX=AM LAN=LA AVA=AV CMP=CM GLO=G3 QFA=QF ANZ=NZ VOZ=VA JST=JQ
-ETH=ET SAA=SA MSR=MS KQA=KQ RAM=AT RWD=WB
+IGO 6E
+AIC AI
+VTI UK
+SEJ SG
+GOW G8
+AKJ QP
+IAD I5
+AIX IX
+AXB IX
+SDG S5
+UAE EK
+ETD EY
+QTR QR
+FDB FZ
+OMA WY
+GFA GF
+SVA SV
+KAC KU
+RJA RJ
+MEA ME
+ABY G9
+SIA SQ
+THA TG
+MAS MH
+GIA GA
+CPA CX
+PAL PR
+HVN VN
+KAL KE
+AAR OZ
+ANA NH
+JAL JL
+CAL CI
+EVA BR
+CSN CZ
+CES MU
+CCA CA
+CHH HU
+JSA 3K
+TGW TR
+AXM AK
+AIQ FD
+AWQ QZ
+ALK UL
+RNA RA
+BBC BG
+PIA PK
+WJA WS
+BAW BA
+DLH LH
+AFR AF
+KLM KL
+SWR LX
+AUA OS
+ITY AZ
+IBE IB
+SAS SK
+FIN AY
+THY TK
+LOT LO
+TAP TP
+EIN EI
+BEL SN
+ROT RO
+ASL JU
+CTN OU
+RYR FR
+EZY U2
+WZZ W6
+VLG VY
+NAX DY
+AAL AA
+UAL UA
+DAL DL
+SWA WN
+JBU B6
+ASA AS
+NKS NK
+FFT F9
+HAL HA
+ACA AC
+AMX AM
+LAN LA
+AVA AV
+CMP CM
+GLO G3
+QFA QF
+ANZ NZ
+VOZ VA
+JST JQ
+ETH ET
+SAA SA
+MSR MS
+KQA KQ
+RAM AT
+RWD WB
 """
 
 # Leading digits of document numbers by airline.
-NUMBER_PREFIXES = "6E=890 AI=098 UK=228 SG=902 EK=176 QR=157 QP=141 IX=018 SQ=618 BA=125 LH=220 EY=607"
+NUMBER_PREFIXES = """
+6E 890
+AI 098
+UK 228
+SG 902
+EK 176
+QR 157
+QP 141
+IX 018
+SQ 618
+BA 125
+LH 220
+EY 607
+"""
 
 # Three-letter words that are no airport codes, and some longer ones that are no names.
 STOPWORDS = """
-THE FOR AND ARE NOT YOU YOUR THIS THAT WAS WITH MAY JUN JUL AUG SEP OCT NOV DEC MON TUE WED
-THU FRI SAT SUN NON ANY OUT DUE AIR PNR GST BAG PAY REF TAX FEE NET SRV MRN HRS APP
-OLD NEW WAY MMT FTI HAS WON END
+THE
+FOR
+AND
+ARE
+NOT
+YOU
+YOUR
+THIS
+THAT
+WAS
+WITH
+MAY
+JUN
+JUL
+AUG
+SEP
+OCT
+NOV
+DEC
+MON
+TUE
+WED
+THU
+FRI
+SAT
+SUN
+NON
+ANY
+OUT
+DUE
+AIR
+PNR
+GST
+BAG
+PAY
+REF
+TAX
+FEE
+NET
+SRV
+MRN
+HRS
+APP
+OLD
+NEW
+WAY
+MMT
+FTI
+HAS
+WON
+END
 """
 
 # Words by which a text shows where it was booked, first match first.
 PLATFORMS = (("MAKEMYTRIP", "MakeMyTrip"), ("CLEARTRIP", "Cleartrip"), ("GOIBIBO", "Goibibo"), ("PAYTM", "Paytm"))
 
+# Words of travel papers that decide which texts and lines count.
+RELEVANT = ("BOOKING", "TICKET", "PNR", "TRAVELLER", "TRAVELER", "BOARDING")
+NO_NAME_LINE = ("IMPORTANT", "PLEASE", "CARRY", "SECURITY", "CHECK-IN", "BOOKING", "ITINERARY", "E-TICKET", "TRIP", "ROUTE", "SEGMENT", "FARE", "PAYMENT", "AMOUNT")
+HEAD_LINE = ("PASSENGER", "TRAVELLER", "TRAVELER", "GUEST")
+SEGMENT_LINE = ("FROM", "TO", "DEPART", "ARRIV", "FLIGHT", "SECTOR", "ROUTE", "PNR")
+
+# The fields of a traveller, as forms name them; the one of the document's number.
+DOCUMENT_FIELD = "ticket_no"
+TRAVELLER_FIELDS = ("name", DOCUMENT_FIELD, "passport", "dob", "doe", "seat", "meal", "checkin_bag", "hand_bag")
+
 AIRPORT_SCHEMA = "code string, city string, airport string, country string, ord int"
 
 
@@ -139,7 +300,7 @@ def airline_rows() -> list[tuple[str, str]]:
 
 
 def alias_rows() -> list[tuple[str, str]]:
-    return [tuple(x.split("=")) for x in AIRLINE_ALIASES.split()]
+    return [tuple(line.split()) for line in AIRLINE_ALIASES.strip().split("\n")]
 
 
 def airlines(spark: SparkSession) -> DataFrame:
@@ -153,7 +314,7 @@ def airline_aliases(spark: SparkSession) -> DataFrame:
 
 
 def prefix_rows() -> list[tuple[str, str]]:
-    return [tuple(x.split("=")) for x in NUMBER_PREFIXES.split()]
+    return [tuple(line.split()) for line in NUMBER_PREFIXES.strip().split("\n")]
 
 
 def number_prefixes(spark: SparkSession) -> DataFrame:

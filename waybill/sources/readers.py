@@ -43,6 +43,29 @@ def form_values(submissions: DataFrame) -> DataFrame:
     return submissions.select("request_id", F.posexplode("form").alias("ord", "key", "value"))
 
 
+def form_bodies(bodies: DataFrame) -> DataFrame:
+    """request_id, ord, key, value of (request_id, body), bodies as browsers submit them
+    (``a=1&b=x+y%20z``): split at ``&`` and the first ``=``, decoded as UTF-8.
+
+    A part without ``=`` has an empty value; empty parts are none; one whose escapes are
+    broken stays as it was sent, but for ``+``.  Repeated keys keep their order, of which
+    the first counts (:func:`waybill.operators.itinerary.forms`)."""
+    parts = bodies.select("request_id", F.posexplode(F.split("body", "&")).alias("ord", "part")).where("part <> ''")
+    at = F.locate("=", F.col("part"))
+    plain = lambda c: F.coalesce(F.try_url_decode(c), F.replace(c, F.lit("+"), F.lit(" ")))
+    key = F.when(at > 0, F.substring(F.col("part"), F.lit(1), at - 1)).otherwise(F.col("part"))
+    value = F.when(at > 0, F.substring(F.col("part"), at + 1, F.length("part"))).otherwise("")
+    return parts.select("request_id", "ord", plain(key).alias("key"), plain(value).alias("value"))
+
+
+def form_body(kv: DataFrame, order: list[str]) -> DataFrame:
+    """request_id, body of (request_id, key, value): a request's pairs as one body, in
+    their order.  A body is as large as its form; a null value is sent empty."""
+    pair = F.concat(F.url_encode("key"), F.lit("="), F.url_encode(F.coalesce("value", F.lit(""))))
+    pairs = kv.where("key IS NOT NULL").groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct(*order, pair.alias("pair")))).alias("pairs"))
+    return pairs.select("request_id", F.array_join("pairs.pair", "&").alias("body"))
+
+
 def settings(spark: SparkSession, path: str, environment: dict[str, str] | None = None) -> DataFrame:
     """key, value of a KEY=VALUE file: blank lines, # lines and lines without =
     are skipped, quotes go, and of equal keys the first counts.  What
