@@ -1,7 +1,8 @@
 """From raw documents to sampled pieces: five stages of the training-text operators.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes
-each result to the shared folder and reads it again as the next stage's input.
+each result to the shared folder and reads it again as the next stage's input, and
+deletes what it no longer needs.
 All stages but the last return the columns of ``documents``.
 
 1. language: documents without a letter, or nearly orthogonal to all learnt
@@ -19,13 +20,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from waybill.llm.common import read_table, stored
+from waybill.llm.common import read_table
 from waybill.llm.decontaminate import uncontaminated
 from waybill.llm.jaccard_join import representatives
 from waybill.llm.language_hd import identified
 from waybill.llm.piece_sampling import encoded
 from waybill.llm.secret_scan import redacted
-from waybill.session import prepared
+from waybill.session import Tables, prepared, swept
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,7 +67,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), f"stage-{name}")
-    return docs
+    """The last stage's rows; what the stages before have written is gone."""
+    with Tables(spark, "pipeline") as tables:
+        docs, written = read_table(spark, sf_dir, "documents"), None
+        for name, stage in STAGES:
+            with swept(spark):
+                docs = (tables.keep if name == STAGES[-1][0] else tables.put)(stage(spark, docs, sf_dir), name)
+            if written is not None:
+                tables.drop(written)
+            written = docs
+        return docs
