@@ -311,7 +311,8 @@ def test_equal_and_few_vectors(spark):
 
 def test_huge_components_stay_exact(spark):
     rows = some_vectors(3, 30)
-    rows += [(100, [3e38] * 64), (101, [-3e38, *[1.0] * 63]), (102, [2e5] * 64), (103, [1.5e9] * 64)]
+    large = float(np.float32(3e38))
+    rows += [(100, [large] * 64), (101, [-large, *[1.0] * 63]), (102, [2e5] * 64), (103, [1.5e9] * 64)]
     assert clusters_of(spark, rows) == brute_clusters(rows)
 
 
@@ -349,12 +350,9 @@ LEFT = {
 
 
 @pytest.fixture(scope="module")
-def own_folder(spark, tmp_path_factory):
-    """A shared folder that nothing else writes to."""
-    before, folder = spark.conf.get("spark.checkpoint.dir"), tmp_path_factory.mktemp("own")
-    spark.conf.set("spark.checkpoint.dir", f"file://{folder}")
-    yield folder
-    spark.conf.set("spark.checkpoint.dir", before)
+def own_folder(spark):
+    """The session's shared folder."""
+    return spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
 
 
 @pytest.mark.parametrize("name", sorted(LEFT))
