@@ -539,3 +539,36 @@ def test_cells_are_the_travellers_grid(spark, form):
         assert got == want and len(want) == 6
     big = spark.createDataFrame([("b", "flight_count", "100000"), ("b", "pax_count", "2"), ("b", "pax_1_seat_7", "1A")], "request_id string, key string, value string")
     assert [(r["seat"], r["n"]) for r in itinerary.cells(big).groupBy("seat").agg(F.count("*").alias("n")).orderBy("seat").collect()] == [("", 199_999), ("1A", 1)]
+
+
+def shuffled_rows(df):
+    """Rows that each exchange of a plan wrote when it was run; a reused one counts once."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    plan = plan.finalPhysicalPlan() if "Adaptive" in plan.nodeName() else plan
+    todo, found = [plan], []
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "Exchange":
+            found.append(node.metrics().apply("shuffleRecordsWritten").value())
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName().endswith("QueryStage"):
+            todo.append(node.plan())
+    return found
+
+
+def test_keys_meet_before_they_are_dealt(spark):
+    n, fields = 2000, ("flight_no", "date", "seat", "meal", "class")
+    keys = [F.struct(F.lit(f"flight_{i}_{f}").alias("key"), F.concat(F.lit(f), F.col("id")).alias("value")) for i in (0, 1) for f in fields]
+    kv = spark.range(n).repartition(2).select(F.col("id").alias("request_id"), F.explode(F.array(*keys)).alias("x")).select("request_id", "x.*")
+    w = itinerary.wide(kv, "flight", fields, "flight_no", "flight_count")
+    found = shuffled_rows(w)
+    assert found and max(found) <= 2 * n and w.count() == 2 * n
+    assert w.where("flight_no <> concat('flight_no', request_id) OR class <> concat('class', request_id) OR idx <> position").isEmpty()
+
+
+def test_a_request_with_only_an_odd_index_keeps_its_row(spark):
+    kv = spark.createDataFrame([("r", "flight_01_date", "d"), ("s", "flight_4_date", "e"), ("s", "flight_count", "6"), ("t", "flight_9_date", "f"), ("t", "flight_1_date", "g"), ("t", "flight_count", "3")], "request_id string, key string, value string")
+    w = itinerary.wide(kv, "flight", ("flight_no", "date"), "flight_no", "flight_count")
+    got = sorted((r["request_id"], r["idx"], r["position"], r["date"] or "") for r in w.collect())
+    assert got == [("r", 0, 0, ""), *(("s", i, i, "e" if i == 4 else "") for i in range(6)), *(("t", i, i, "g" if i == 1 else "") for i in range(3))]

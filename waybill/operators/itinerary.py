@@ -53,36 +53,39 @@ def indices(family: str, anchor: str, count_key: str) -> Column:
 STEP = 2048
 
 
-def _family(kv: DataFrame, family: str, fields: tuple[str, ...], anchor: str, count_key: str) -> DataFrame:
-    """request_id, idx, field, value of a family's keys, the first of a repeated key;
-    field is also ``#`` for an index that its anchor names (however it is spelt), and
-    ``?`` (idx -1) for what a request has besides, with its count.
-
-    A row of what is returned is one key: nothing here is as large as a request."""
-    pattern = rf"^{family}_(\d+)_({'|'.join(fields)})$"
+def _indexed(kv: DataFrame, family: str, fields: tuple[str, ...], anchor: str, count_key: str) -> DataFrame:
+    """request_id, idx, says, and a column for each field, of a family's keys, the first
+    of a repeated key: a row for each index that is sent, where ``says`` is not null if
+    its anchor names it (however it is spelt), and a row of index -1 for what a request
+    has besides, where ``says`` is its count.
+
+    Keys that lie together meet before they are dealt by request and index, and a field
+    that nobody reads is not made; nothing here is as large as a request."""
     key = F.col("key")
-    idx = F.regexp_extract(key, pattern, 1)
-    number = F.when(idx != "", idx).try_cast("int")
-    plain = idx == number.cast("string")  # 01 names index 1, and is no key of its own
-    none = F.lit(None).cast("string")
-    own = F.struct(F.when(plain, number).alias("idx"), F.regexp_extract(key, pattern, 2).alias("field"), F.col("value").alias("value"))
-    named = F.struct(F.when(key.endswith(f"_{anchor}"), number).alias("idx"), F.lit("#").alias("field"), none.alias("value"))
-    rest = F.struct(F.lit(-1).alias("idx"), F.lit("?").alias("field"), F.when(key == count_key, F.col("value")).alias("value"))
-    sent = F.when(number.isNull(), F.array(rest)).otherwise(F.filter(F.array(own, named), lambda x: x["idx"].isNotNull()))
-    first = ["ord"] if "ord" in kv.columns else []
-    rows = kv.select("request_id", *first, F.explode(sent).alias("x")).select("request_id", *first, "x.*").repartition("request_id", "idx")
-    # what is no count must not hide one
-    best = F.min(F.struct(((F.col("field") == "?") & F.col("value").isNull()).alias("none"), *first, "value"))["value"].alias("value")
-    return rows.groupBy("request_id", "idx", "field").agg(best)
-
-
-def _steps(requests: DataFrame) -> DataFrame:
-    """request_id, step, size: 0 to n - 1 of each request of (request_id, n), in steps of ``STEP``."""
-    rows = requests.where("n > 0").select("request_id", "n", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / (STEP * STEP)).cast("int"))).alias("a"))
+    head = f"{family}_"
+    after = F.when(F.startswith(key, F.lit(head)), F.substring(key, F.lit(len(head) + 1), F.length(key)))
+    digits = F.substring_index("after", "_", 1)
+    number = F.col("digits").try_cast("int")
+    plain = (number >= 0) & (number.cast("string") == F.col("digits"))  # 01 names index 1, and is no key of its own
+    rows = kv.withColumn("after", after).withColumn("digits", digits)
+    rows = rows.withColumns({"field": F.substring(F.col("after"), F.length("digits") + 2, F.length("after")), "plain": F.coalesce(plain, F.lit(False))})
+    named = F.col("field") == anchor
+    owned = (F.col("plain") & F.col("field").isin(*fields)) | (named & F.col("digits").rlike(r"^\d+$"))
+    rows = rows.withColumn("idx", F.coalesce(F.when(owned, number), F.lit(-1)))
+    first = [F.col(c) for c in (("ord", "value") if "ord" in kv.columns else ("value",))]
+    best = lambda condition: F.min(F.when(condition, F.struct(*first)))["value"]
+    own = {f: best((F.col("idx") >= 0) & F.col("plain") & (F.col("field") == f)).alias(f) for f in fields}
+    mark = F.when((F.col("idx") >= 0) & named, F.struct(*first[:-1], F.lit("").alias("value"))).when((key == count_key) & F.col("value").isNotNull(), F.struct(*first))
+    return rows.groupBy("request_id", "idx").agg(F.min(mark)["value"].alias("says"), *own.values())
+
+
+def _steps(requests: DataFrame, rest: list[str]) -> DataFrame:
+    """request_id, the columns of ``rest``, step, size: 0 to n - 1 of each row, in steps of ``STEP``."""
+    rows = requests.where("n > 0").select("request_id", *rest, "n", F.explode(F.sequence(F.lit(0), F.floor((F.col("n") - 1) / (STEP * STEP)).cast("int"))).alias("a"))
     left = rows.withColumn("left", F.col("n") - F.col("a") * STEP * STEP)
-    rows = left.select("request_id", "n", "a", F.explode(F.sequence(F.lit(0), F.least(F.lit(STEP - 1), F.floor((F.col("left") - 1) / STEP).cast("int")))).alias("b"))
+    rows = left.select("request_id", *rest, "n", "a", F.explode(F.sequence(F.lit(0), F.least(F.lit(STEP - 1), F.floor((F.col("left") - 1) / STEP).cast("int")))).alias("b"))
     rows = rows.withColumn("step", F.col("a") * STEP + F.col("b"))
-    return rows.select("request_id", "step", F.least(F.lit(STEP), F.col("n") - F.col("step") * STEP).cast("int").alias("size"))
+    return rows.select("request_id", *rest, "step", F.least(F.lit(STEP), F.col("n") - F.col("step") * STEP).cast("int").alias("size"))
 
 
 def wide(kv: DataFrame, family: str, fields: tuple[str, ...], anchor: str, count_key: str) -> DataFrame:
@@ -93,26 +96,24 @@ def wide(kv: DataFrame, family: str, fields: tuple[str, ...], anchor: str, count
     Keys are grouped by request and index, so a request may have any number of them; a
     count makes its rows in steps of ``STEP``.  Of a repeated key the first counts, as in
     :func:`forms`."""
-    cells = _family(kv, family, fields, anchor, count_key)
-    sent = cells.groupBy("request_id", "idx").agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("sent"))
-    by_request = Window.partitionBy("request_id")
-    named = F.map_contains_key("sent", F.lit("#"))
-    placed = sent.withColumns({
-        "anchors": F.max(named).over(by_request),
-        "count": F.max(F.try_element_at("sent", F.lit("?"))).over(by_request),
-        "position": (F.row_number().over(by_request.orderBy((~named).cast("int"), "idx")) - 1).cast("int"),
-    })
-    columns = lambda df: df.select("request_id", "idx", "position", *[F.try_element_at("sent", F.lit(f)).alias(f) for f in fields])
-    n = F.coalesce(blank_to_null(F.col("count")).try_cast("int"), F.lit(1))
-    # what was sent for counted indices meets them by step, at most STEP of them in a row
-    steps = _steps(placed.where("position = 0 AND NOT anchors").select("request_id", n.alias("n"))).repartition("request_id", "step")
-    these = placed.where("idx >= 0 AND NOT anchors").groupBy(F.col("request_id").alias("of"), F.floor(F.col("idx") / STEP).cast("int").alias("at"))
-    these = these.agg(F.map_from_entries(F.collect_list(F.struct(F.col("idx") % STEP, "sent"))).alias("all"))
-    counted = steps.join(these, F.col("request_id").eqNullSafe(F.col("of")) & (F.col("step") == F.col("at")), "left")
-    counted = counted.select("request_id", "step", "all", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("i"))
-    idx = (F.col("step") * STEP + F.col("i")).cast("int")
-    counted = counted.select("request_id", idx.alias("idx"), idx.alias("position"), F.try_element_at("all", F.col("i")).alias("sent"))
-    return columns(placed.where(named)).unionByName(columns(counted))
+    sent = _indexed(kv, family, fields, anchor, count_key)
+    in_order = Window.partitionBy("request_id").orderBy((~F.col("named")).cast("int"), "idx")
+    so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # named ones come first, then index -1, so the first row tells what a request has
+    placed = sent.withColumn("named", (F.col("idx") >= 0) & F.col("says").isNotNull())
+    placed = placed.withColumn("position", (F.row_number().over(in_order) - 1).cast("int"))
+    columns = ["request_id", "idx", "position", *fields]
+    n = F.coalesce(blank_to_null(F.first(F.when(F.col("idx") < 0, F.col("says"))).over(so_far)).try_cast("int"), F.lit(1))
+    until = F.lead("idx").over(in_order)
+    counted = placed.withColumns({"anchors": F.first("named").over(so_far), "n": n, "until": until}).where("NOT anchors")
+    # each row makes the indices from its own to the next one's; the first one from 0
+    start = F.when(F.col("position") == 0, F.lit(0)).otherwise(F.col("idx"))
+    counted = counted.withColumn("start", start).withColumn("n", F.least(F.coalesce("until", "n"), "n") - F.col("start"))
+    steps = _steps(counted, ["idx", "start", *fields]).repartition("request_id", "start", "step")
+    at = (F.col("start") + F.col("step") * STEP + F.col("i")).cast("int")
+    rows = steps.select("*", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("i")).withColumn("at", at)
+    made = rows.select("request_id", F.col("at").alias("idx"), F.col("at").alias("position"), *[F.when(F.col("at") == F.col("idx"), F.col(f)).alias(f) for f in fields])
+    return placed.where("named").select(*columns).unionByName(made)
 
 
 def flights(kv: DataFrame, spark: SparkSession, airports: DataFrame) -> DataFrame:
