@@ -6,9 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from waybill.functions.scalars import strip, text
+from waybill.session import Tables, dealt
 
 #: Characters of a query that find its candidates.
 GRAM = 3
+#: Places of a task: each lists as many grams as its name is long, three times over.
+PLACES = 1 << 15
 
 
 def priority(code: Column, city: Column, name: Column, query: Column) -> Column:
@@ -52,14 +55,18 @@ def batch_matches(places: DataFrame, queries: DataFrame, most: int = 15) -> Data
     those, as many as its name is long, and an equi-join finds the candidates,
     which are then ranked by the whole query."""
     asked = queries.select("query_id", F.upper(strip(text(F.col("query")))).alias("q")).where("q <> ''")
-    each = asked.select("q").distinct().withColumn("gram", F.substring("q", 1, GRAM))
     begins = lambda c: F.array(*[F.substring(c, 1, n) for n in range(1, GRAM + 1)])
     grams = lambda c, n: F.when(F.length(c) >= n, F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
     code, city, name = (F.coalesce(F.upper(c), F.lit("")) for c in ("code", "city", "airport"))
-    keyed = places.withColumn("gram", F.explode(F.array_distinct(F.concat(begins(code), begins(city), *[grams(name, n) for n in range(1, GRAM + 1)]))))
-    met = each.join(keyed, "gram").withColumn("priority", priority(F.col("code"), F.col("city"), F.col("airport"), F.col("q")))
+    keyed = dealt(places, PLACES).withColumn("gram", F.explode(F.array_distinct(F.concat(begins(code), begins(city), *[grams(name, n) for n in range(1, GRAM + 1)]))))
     best = Window.partitionBy("q").orderBy("priority", "ord")
-    met = met.where(F.col("priority").isNotNull()).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most)
+    with Tables(asked.sparkSession, "search") as tables:
+        # written, so that Spark knows their size and broadcasts them while they are small: then
+        # neither the places' grams nor the queries are dealt by a key that many of them share
+        each = tables.put(asked.select("q").distinct().withColumn("gram", F.substring("q", 1, GRAM)), "each")
+        met = each.join(keyed, "gram").withColumn("priority", priority(F.col("code"), F.col("city"), F.col("airport"), F.col("q")))
+        met = met.where(F.col("priority").isNotNull()).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= most)
+        met = tables.keep(met.select("q", "rank", "code", "city", "airport", "country", "priority"), "matches")
     return asked.join(met, "q").select("query_id", "rank", "code", "city", "airport", "country", "priority")
 
 
