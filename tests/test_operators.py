@@ -572,3 +572,23 @@ def test_a_request_with_only_an_odd_index_keeps_its_row(spark):
     w = itinerary.wide(kv, "flight", ("flight_no", "date"), "flight_no", "flight_count")
     got = sorted((r["request_id"], r["idx"], r["position"], r["date"] or "") for r in w.collect())
     assert got == [("r", 0, 0, ""), *(("s", i, i, "e" if i == 4 else "") for i in range(6)), *(("t", i, i, "g" if i == 1 else "") for i in range(3))]
+
+
+def test_searches_deal_no_grams_and_no_queries(spark):
+    """Nothing but each task's best places is dealt where queries are few, and no query is dealt."""
+    n = 3000
+    p = spark.range(n).select(F.concat(F.lit("BR"), (F.col("id") % 25).cast("string")).alias("code"), F.lit("large brushed tin").alias("city"), F.concat(F.lit("spring green "), F.col("id")).alias("airport"), F.lit("").alias("country"), F.col("id").alias("ord"))
+    asked = spark.range(4000).select(F.col("id").alias("query_id"), F.when(F.col("id") % 2 == 0, "ring").otherwise("br1").alias("query"))
+    found = search.batch_matches(p, asked)
+    assert sum(shuffled_rows(found)) == 0 and found.count() == 4000 * 15
+    one = [(r["code"], r["airport"], r["priority"]) for r in found.where("query_id = 1").orderBy("rank").collect()]
+    assert one == [(r["code"], r["airport"], r["priority"]) for r in search.top_matches(p, "br1").collect()]
+
+
+def test_places_are_dealt_by_rows(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(place_index, "PLACES", 100)
+    p = spark.range(0, 1000, 1, 1).select(F.lit("AB").alias("code"), F.lit("tin").alias("city"), F.lit("green").alias("airport"), F.lit("").alias("country"), F.col("id").alias("ord"))
+    made = []
+    monkeypatch.setattr(place_index, "dealt", lambda df, rows: made.append(session.dealt(df, rows)) or made[0])
+    place_index.write_index(p, str(tmp_path / "index"))
+    assert made[0].rdd.getNumPartitions() == 10 and max(made[0].groupBy(F.spark_partition_id()).count().toPandas()["count"]) <= 200

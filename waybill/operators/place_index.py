@@ -13,9 +13,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from waybill.functions.scalars import strip, text
-from waybill.operators.search import priority
+from waybill.operators.search import PLACES, priority
+from waybill.session import Tables, dealt
 
 GRAM, MOST, BLOCK = 3, 15, 4096
+#: Rows of postings that a task sorts and writes.
+WRITTEN = 1 << 20
 _PLACE = ("code", "city", "airport", "country", "ord")
 
 
@@ -34,7 +37,7 @@ def _ranked(df: DataFrame, by: str, query: str) -> DataFrame:
 def write_index(places: DataFrame, folder: str) -> None:
     """The index of (code, city, airport, country, ord) below ``folder``."""
     upper = [F.coalesce(F.upper(F.col(c)), F.lit("")) for c in ("code", "city", "airport")]
-    place = places.select(*_PLACE)
+    place = dealt(places.select(*_PLACE), PLACES)
     begins = [F.substring(c, 1, n) for c in upper[:2] for n in (1, 2)]
     short = place.withColumn("gram", F.explode(F.array_distinct(F.concat(F.array(*begins), _runs(upper[2], 1), _runs(upper[2], 2))))).where("gram <> ''")
     _ranked(short, "gram", "gram").select("gram", "rank", "code", "city", "airport", "country", "priority").write.mode("overwrite").parquet(f"{folder}/short")
@@ -43,8 +46,9 @@ def write_index(places: DataFrame, folder: str) -> None:
     listed = place.withColumn("gram", F.explode(F.array_distinct(F.concat(*[_runs(c, GRAM) for c in upper]))))
     listed.groupBy("gram").agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{folder}/counts")
     counts = listed.sparkSession.read.parquet(f"{folder}/counts")
-    dealt = listed.join(counts, "gram").withColumn("block", F.pmod(F.xxhash64("ord", "code"), F.floor(F.col("n") / BLOCK) + 1).cast("int"))
-    dealt.select("gram", "block", *_PLACE).repartition("gram", "block").sortWithinPartitions("gram").write.mode("overwrite").parquet(f"{folder}/postings")
+    parts = max(listed.sparkSession.sparkContext.defaultParallelism, -(-(counts.agg(F.sum("n")).first()[0] or 0) // WRITTEN))
+    blocks = listed.join(counts, "gram").withColumn("block", F.pmod(F.xxhash64("ord", "code"), F.floor(F.col("n") / BLOCK) + 1).cast("int"))
+    blocks.select("gram", "block", *_PLACE).repartition(parts, "gram", "block").sortWithinPartitions("gram").write.mode("overwrite").parquet(f"{folder}/postings")
 
 
 def indexed_matches(spark: SparkSession, folder: str, queries: DataFrame) -> DataFrame:
@@ -57,8 +61,13 @@ def indexed_matches(spark: SparkSession, folder: str, queries: DataFrame) -> Dat
     grams = each.where(F.length("q") >= GRAM).select("q", F.explode(F.array_distinct(_runs(F.col("q"), GRAM))).alias("gram"))
     known = grams.join(table("counts"), "gram", "left").groupBy("q").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("rarest"))
     wanted = known.where("rarest.n > 0").select("q", F.col("rarest.gram").alias("gram"), F.explode(F.sequence(F.lit(0), F.floor(F.col("rarest.n") / BLOCK).cast("int"))).alias("block"))
-    met = _ranked(wanted.join(table("postings"), ["gram", "block"]), "q", "q").select("q", "rank", "code", "city", "airport", "country", "priority")
-    return asked.join(met.unionByName(short.select(*met.columns)), "q").drop("q")
+    columns = ["q", "rank", "code", "city", "airport", "country", "priority"]
+    with Tables(spark, "searches") as tables:
+        # written, so that few queries are broadcast, and the index is not dealt anew for them
+        wanted = tables.put(wanted, "wanted")
+        met = _ranked(wanted.join(table("postings"), ["gram", "block"]), "q", "q").select(*columns)
+        met = tables.keep(met.unionByName(short.select(*columns)), "matches")
+    return asked.join(met, "q").drop("q")
 
 
 def write_lookup(places: DataFrame, path: str, rows_per_group: int = 20_000) -> None:
