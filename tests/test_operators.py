@@ -592,3 +592,26 @@ def test_places_are_dealt_by_rows(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(place_index, "dealt", lambda df, rows: made.append(session.dealt(df, rows)) or made[0])
     place_index.write_index(p, str(tmp_path / "index"))
     assert made[0].rdd.getNumPartitions() == 10 and max(made[0].groupBy(F.spark_partition_id()).count().toPandas()["count"]) <= 200
+
+
+def test_append_makes_its_rows_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def made(x):
+        seen.add(1)
+        return f"B{x:04d}"
+
+    fields = spark.createDataFrame([], readers.LEDGER_SCHEMA).schema.fields
+    rows = spark.range(0, 500, 1, 4).select(F.udf(made, "string")("id").alias("booking_id"), *[F.lit(None).cast(f.dataType).alias(f.name) for f in fields if f.name != "booking_id"])
+    assert ledger.append(spark, rows, str(tmp_path / "once"), ["booking_id"]) == 1
+    assert seen.value == 500 and readers.ledger(spark, str(tmp_path / "once")).where("booking_id <> format_string('B%04d', sno - 1)").isEmpty()
+
+
+def test_grids_need_no_map_of_a_whole_request(spark, form):
+    f = itinerary.flights(form, spark, dims.airports(spark))
+    for df in (itinerary.travellers(form, f), itinerary.bookings(form, spark, dims.airports(spark), F.current_timestamp())):
+        assert "map_filter" not in df._jdf.queryExecution().optimizedPlan().toString()
+    rows = [("r", "flight_0_flight_no", "A"), ("r", "flight_0_seat", "1A"), ("r", "pax_3_name", "N"), ("r", "pax_3_seat_0", ""), ("r", "pax_03_meal_0", "no"), ("r", "pax_3_meal_0", "VG")]
+    kv = spark.createDataFrame(rows, "request_id string, key string, value string")
+    t = itinerary.travellers(kv, itinerary.flights(kv, spark, dims.airports(spark))).first()
+    assert (t["pax"], t["idx"], t["name"], t["seat_by_flight"], t["meal_by_flight"]) == (0, 3, "N", ["1A"], ["VG"])

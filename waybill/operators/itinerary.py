@@ -21,34 +21,6 @@ SHARED = ("seat", "meal", "checkin_bag", "hand_bag")
 DEFAULTS = {"seat": "", "meal": "Not selected", "checkin_bag": "Airline Default", "hand_bag": "Airline Default"}
 
 
-def forms(kv: DataFrame) -> DataFrame:
-    """request_id, form: what was sent, as one map.  Of a repeated key the first
-    counts (by ``ord`` where the table has it, else the smallest value, so that
-    it never depends on how rows are dealt).
-
-    The only exchange of itineraries; a map is as large as one submitted form."""
-    order = ["key", "ord", "value"] if "ord" in kv.columns else ["key", "value"]
-    entries = F.sort_array(F.collect_list(F.when(F.col("key").isNotNull(), F.struct(*order))))
-    grouped = kv.groupBy("request_id").agg(entries.alias("e"))
-    first = F.filter("e", lambda x, i: (i == 0) | (F.get("e", i - 1)["key"] != x["key"]))
-    return grouped.select("request_id", F.map_from_entries(F.transform(first, lambda x: F.struct(x["key"], x["value"]))).alias("form"))
-
-
-def _sent(family: str, i: Column, field: str, form: str = "form") -> Column:
-    return F.try_element_at(form, F.concat(F.lit(f"{family}_"), i.cast("string"), F.lit(f"_{field}")))
-
-
-def indices(family: str, anchor: str, count_key: str) -> Column:
-    """Indices for which ``<family>_<idx>_<anchor>`` was sent, in order; where there
-    are none, 0 to the ``count_key`` less one (one if absent)."""
-    pattern = rf"^{family}_(\d+)_{anchor}$"
-    found = F.transform(F.filter(F.map_keys("form"), lambda k: k.rlike(pattern)), lambda k: F.regexp_extract(k, pattern, 1).try_cast("int"))
-    found = F.sort_array(F.array_distinct(F.filter(found, lambda i: i.isNotNull())))
-    n = F.coalesce(blank_to_null(F.try_element_at("form", F.lit(count_key))).try_cast("int"), F.lit(1))
-    counted = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    return F.when(F.size(found) > 0, found).otherwise(counted)
-
-
 #: Counted indices are made in steps of so many, so that no row holds them all.
 STEP = 2048
 
@@ -152,37 +124,54 @@ def layover(key: str = "request_id", order: str = "position") -> Column:
     return F.when(first, F.lit(None)).when(F.col("manual_layover") != "", F.col("manual_layover")).when(dep.isNotNull() & (wait > 0), span_text(wait))
 
 
-def _with_shared(rows: DataFrame) -> DataFrame:
-    """With the few keys that every cell of a grid looks up, as a map of their own."""
-    pattern = rf"_({'|'.join(SHARED)})(_\d+)?$"
-    return rows.withColumn("shared", F.map_filter("form", lambda k, v: k.rlike(pattern) & (v != "")))
+def _own_cells(kv: DataFrame) -> DataFrame:
+    """request_id, idx, own: what a traveller's keys say for a flight's position, as a
+    map by ``<field>_<position>``, without empty ones."""
+    key = F.col("key")
+    rest = F.substring(key, F.lit(5), F.length(key))
+    digits = F.substring_index(rest, "_", 1)
+    number = digits.try_cast("int")
+    cell = F.substring(rest, F.length(digits) + 2, F.length(rest))
+    plain = (number >= 0) & (number.cast("string") == digits)
+    rows = kv.where(F.startswith(key, F.lit("pax_")) & plain & cell.rlike(rf"^({'|'.join(SHARED)})_\d+$"))
+    first = F.min(F.struct("ord", "value") if "ord" in kv.columns else F.struct("value"))["value"].alias("value")
+    one = rows.select("request_id", number.alias("idx"), cell.alias("cell"), *[c for c in ("ord", "value") if c in kv.columns]).groupBy("request_id", "idx", "cell").agg(first)
+    return one.where("value <> ''").groupBy(F.col("request_id").alias("whose"), F.col("idx").alias("of_pax")).agg(F.map_from_entries(F.collect_list(F.struct("cell", "value"))).alias("own"))
+
+
+def _people(kv: DataFrame) -> DataFrame:
+    """request_id, pax (from 0), idx, the traveller's fields (a null one empty), own."""
+    names = {dims.DOCUMENT_FIELD: "document_no"}
+    people = wide(kv, "pax", dims.TRAVELLER_FIELDS, "name", "pax_count")
+    people = people.select("request_id", F.col("position").alias("pax"), "idx", *[text(F.col(f)).alias(names.get(f, f)) for f in dims.TRAVELLER_FIELDS])
+    both = people.join(_own_cells(kv), F.col("request_id").eqNullSafe(F.col("whose")) & (F.col("idx") == F.col("of_pax")), "left")
+    return both.drop("whose", "of_pax")
 
 
-def _travellers(order: Column) -> Column:
-    """Array of traveller structs of ``form`` and its ``shared`` keys
-    (:func:`_with_shared`); ``order`` has (position, at) of its flights."""
-    own = lambda i, c, f: F.try_element_at("shared", F.concat(F.lit("pax_"), i.cast("string"), F.lit(f"_{c}_"), f["position"].cast("string")))
-    cell = lambda i, c: lambda f: first_filled(own(i, c, f), _sent("flight", f["at"], c, "shared"), F.lit(DEFAULTS[c]))
-    names = {dims.DOCUMENT_FIELD: "document_no"}
-    return F.transform(indices("pax", "name", "pax_count"), lambda i, n: F.struct(
-        n.alias("pax"), i.alias("idx"), *[text(_sent("pax", i, f)).alias(names.get(f, f)) for f in dims.TRAVELLER_FIELDS],
-        *[F.transform(order, cell(i, c)).alias(f"{c}_by_flight") for c in SHARED],
-    ))
+def _grid(own: Column, flown: Column) -> list[Column]:
+    """<field>_by_flight of a traveller: their own value, else the flight's, else a default."""
+    default = lambda c: lambda f: first_filled(f[c], F.lit(DEFAULTS[c]))
+    cell = lambda c: lambda f: first_filled(F.try_element_at(own, F.concat(F.lit(f"{c}_"), f["position"].cast("string"))), f[c], F.lit(DEFAULTS[c]))
+    none = F.array().cast("array<string>")
+    return [F.coalesce(F.when(own.isNull(), F.transform(flown, default(c))).otherwise(F.transform(flown, cell(c))), none).alias(f"{c}_by_flight") for c in SHARED]
 
 
 def travellers(kv: DataFrame, flights_: DataFrame, positional: bool = False) -> DataFrame:
     """One row per traveller with arrays of seats, meals and bags by flight.
 
-    A cell takes the traveller's value for the flight, else the flight's, else a
-    default.  Cells are the flights of the same request only, so the grid is as
-    large as the booking.  ``positional`` looks the flight's value up under its
-    position instead of under the index in its keys.  Arrays hold a request's whole grid;
-    :func:`cells` has it as rows."""
-    order = flights_.select("request_id", "position", F.col("position" if positional else "idx").alias("at"))
-    order = order.groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct("position", "at"))).alias("order"))
-    rows = _with_shared(forms(kv)).join(order, "request_id", "left")
-    none = F.array().cast("array<struct<position:int,at:int>>")
-    return rows.select("request_id", F.explode(_travellers(F.coalesce("order", none))).alias("t")).select("request_id", "t.*")
+    A cell takes the traveller's value for the flight, else the flight's (of
+    ``flights_``), else a default.  Cells are the flights of the same request only, so
+    the grid is as large as the booking.  ``positional`` looks the flight's value up
+    under its position instead of under the index in its keys.  Arrays hold a request's
+    whole grid; :func:`cells` has it as rows."""
+    if positional:
+        sent = _indexed(kv, "flight", SHARED, "flight_no", "flight_count").where("idx >= 0").select(F.col("request_id").alias("of"), F.col("idx").alias("at"), *SHARED)
+        order = flights_.select("request_id", "position")
+        flights_ = order.join(sent, F.col("request_id").eqNullSafe(F.col("of")) & (F.col("position") == F.col("at")), "left")
+    flown = flights_.groupBy(F.col("request_id").alias("flown_by")).agg(F.sort_array(F.collect_list(F.struct("position", *SHARED))).alias("flown"))
+    both = _people(kv).join(flown, F.col("request_id").eqNullSafe(F.col("flown_by")), "left")
+    names = [c for c in both.columns if c not in ("own", "flown_by", "flown")]
+    return both.select(*names, *_grid(F.col("own"), F.col("flown")))
 
 
 def cells(kv: DataFrame, positional: bool = False) -> DataFrame:
@@ -230,14 +219,23 @@ def bookings(kv: DataFrame, spark: SparkSession, airports: DataFrame, as_of: Col
     A traveller without a document number gets one from the first flight's
     airline and a hash of request and place.  A request is one form, so its
     record is as large as what was sent for it."""
+    kv = kv.select("request_id", *(["ord"] if "ord" in kv.columns else []), "key", "value")
     f = flights(kv, spark, airports)
     rest = [c for c in f.columns if c not in ("request_id", "position")]
-    flown = f.groupBy("request_id").agg(F.sort_array(F.collect_list(F.struct("position", *rest))).alias("flights"))
-    form = _with_shared(forms(kv)).join(flown, "request_id", "left")
+    flown = f.groupBy(F.col("request_id").alias("flown_by")).agg(F.sort_array(F.collect_list(F.struct("position", *rest))).alias("flights"))
+    people = _people(kv)
+    person = [c for c in people.columns if c != "request_id"]
+    people = people.groupBy(F.col("request_id").alias("whose")).agg(F.array_sort(F.collect_list(F.struct(*person)), lambda x, y: x["pax"] - y["pax"]).alias("people"))
+    first = F.struct(*[c for c in kv.columns if c in ("ord", "value")])
+    one = lambda k: F.min(F.when(F.col("key") == k, first))["value"]
+    form = kv.groupBy("request_id").agg(*[one(k).alias(k) for k in (*FORM_FIELDS, *fares.PARTS)])
+    form = form.withColumns({k: F.coalesce(k, F.lit(v)) for k, v in FORM_FIELDS.items()})
+    form = form.join(flown, F.col("request_id").eqNullSafe(F.col("flown_by")), "left").join(people, F.col("request_id").eqNullSafe(F.col("whose")), "left")
     form = form.withColumn("flights", F.coalesce("flights", F.array().cast(flown.schema["flights"].dataType)))
-    order = F.transform("flights", lambda x: F.struct(x["position"].alias("position"), x["idx"].alias("at")))
-    one = lambda k: F.try_element_at("form", F.lit(k))
-    form = form.withColumns({**{k: F.coalesce(one(k), F.lit(v)) for k, v in FORM_FIELDS.items()}, **{k: one(k) for k in fares.PARTS}, "travellers": _travellers(order)}).drop("form", "shared")
+    form = form.withColumn("people", F.coalesce("people", F.array().cast(people.schema["people"].dataType)))
+    fields = [c for c in person if c != "own"]
+    made = F.transform("people", lambda p: F.struct(*[p[c].alias(c) for c in fields], *_grid(p["own"], F.col("flights"))))
+    form = form.withColumn("travellers", made).drop("people", "whose", "flown_by")
     form = form.withColumns({
         "customer_phone": strip(F.col("customer_phone")), "customer_email": strip(F.col("customer_email")), "is_dummy": F.col("is_dummy") == "true",
         "booking_date": booking_date_display(F.col("booking_date"), as_of), "refund_alert": no_refund(F.col("refund_status")),

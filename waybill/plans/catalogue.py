@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from waybill.functions import scalars as S
 from waybill.operators import extract, fares, itinerary, keywords, ledger, lookups, place_index, search
-from waybill.session import shared_dir, spread
+from waybill.session import shared_dir, spread, stored
 from waybill.sources import dims, readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -570,7 +570,7 @@ def ledger_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forms to ledger rows: nested, without dummies, numbered."""
     as_of = F.lit(_AS_OF).cast("timestamp")
     rows = ledger.ledger_rows(itinerary.bookings(_trips(spark, sf_dir), spark, dims.airports(spark), as_of), as_of)
-    rows = ledger.numbered(ledger.real(rows), ["booking_id"]).drop("is_dummy")
+    rows = ledger.numbered(stored(ledger.real(rows), "ledger-rows"), ["booking_id"]).drop("is_dummy")
     return rows.withColumns({"total_amount": F.round("total_amount", 2), "sno": F.col("sno").cast("long")})
 
 
