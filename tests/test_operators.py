@@ -615,3 +615,13 @@ def test_grids_need_no_map_of_a_whole_request(spark, form):
     kv = spark.createDataFrame(rows, "request_id string, key string, value string")
     t = itinerary.travellers(kv, itinerary.flights(kv, spark, dims.airports(spark))).first()
     assert (t["pax"], t["idx"], t["name"], t["seat_by_flight"], t["meal_by_flight"]) == (0, 3, "N", ["1A"], ["VG"])
+
+
+def test_named_and_counted_rows_share_an_aggregate(spark):
+    rows = [("a", "flight_1_flight_no", "X"), ("a", "flight_1_date", "d"), ("b", "flight_count", "2"), ("b", "flight_1_date", "e")]
+    kv = spark.createDataFrame(rows, "request_id string, key string, value string").repartition(3)
+    w = itinerary.wide(kv, "flight", ("flight_no", "date"), "flight_no", "flight_count")
+    assert sorted((r["request_id"], r["idx"], r["position"], r["flight_no"], r["date"]) for r in w.collect()) == [("a", 1, 0, "X", "d"), ("b", 0, 0, None, None), ("b", 1, 1, None, "e")]
+    w.collect()
+    plan = w._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "ReusedExchange" in plan and plan.count("functions=[partial_min(") == 1

@@ -68,16 +68,23 @@ def wide(kv: DataFrame, family: str, fields: tuple[str, ...], anchor: str, count
     Keys are grouped by request and index, so a request may have any number of them; a
     count makes its rows in steps of ``STEP``.  Of a repeated key the first counts, as in
     :func:`forms`."""
-    sent = _indexed(kv, family, fields, anchor, count_key)
-    in_order = Window.partitionBy("request_id").orderBy((~F.col("named")).cast("int"), "idx")
+    return _placed(_indexed(kv, family, fields, anchor, count_key), fields)
+
+
+def _placed(sent: DataFrame, fields: tuple[str, ...]) -> DataFrame:
+    """:func:`wide` of rows as :func:`_indexed` makes them.
+
+    Named rows and counted ones are told apart above the window and by the same columns,
+    so that one exchange, and one aggregate below it, serves both."""
+    is_named = lambda: (F.col("idx") >= 0) & F.col("says").isNotNull()
+    in_order = Window.partitionBy("request_id").orderBy((~is_named()).cast("int"), "idx")
     so_far = in_order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # named ones come first, then index -1, so the first row tells what a request has
-    placed = sent.withColumn("named", (F.col("idx") >= 0) & F.col("says").isNotNull())
-    placed = placed.withColumn("position", (F.row_number().over(in_order) - 1).cast("int"))
+    placed = sent.withColumn("position", (F.row_number().over(in_order) - 1).cast("int"))
     columns = ["request_id", "idx", "position", *fields]
     n = F.coalesce(blank_to_null(F.first(F.when(F.col("idx") < 0, F.col("says"))).over(so_far)).try_cast("int"), F.lit(1))
     until = F.lead("idx").over(in_order)
-    counted = placed.withColumns({"anchors": F.first("named").over(so_far), "n": n, "until": until}).where("NOT anchors")
+    counted = placed.withColumns({"anchors": F.first(is_named()).over(so_far), "n": n, "until": until}).where("NOT anchors")
     # each row makes the indices from its own to the next one's; the first one from 0
     start = F.when(F.col("position") == 0, F.lit(0)).otherwise(F.col("idx"))
     counted = counted.withColumn("start", start).withColumn("n", F.least(F.coalesce("until", "n"), "n") - F.col("start"))
@@ -85,7 +92,7 @@ def wide(kv: DataFrame, family: str, fields: tuple[str, ...], anchor: str, count
     at = (F.col("start") + F.col("step") * STEP + F.col("i")).cast("int")
     rows = steps.select("*", F.explode(F.sequence(F.lit(0), F.col("size") - 1)).alias("i")).withColumn("at", at)
     made = rows.select("request_id", F.col("at").alias("idx"), F.col("at").alias("position"), *[F.when(F.col("at") == F.col("idx"), F.col(f)).alias(f) for f in fields])
-    return placed.where("named").select(*columns).unionByName(made)
+    return placed.where(is_named()).select(*columns).unionByName(made)
 
 
 def flights(kv: DataFrame, spark: SparkSession, airports: DataFrame) -> DataFrame:
