@@ -433,3 +433,17 @@ def test_newton_steps_by_conjugate_gradients_are_the_plain_ones():
         hessian = dense.T @ (dense * (weight * p * (1 - p))[:, None]) + np.eye(size)
         w += np.linalg.solve(hessian, dense.T @ (weight * (y - p)) - w)
     assert np.allclose(pii_weak.fit_logistic(x, size, y, weight, rounds=60), w, atol=1e-4)
+
+
+def test_divergence_deals_terms_once(spark, monkeypatch):
+    plans, put = {}, source_divergence.Tables.put
+
+    def seen(self, df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return put(self, df, name)
+
+    monkeypatch.setattr(source_divergence.Tables, "put", seen)
+    rows = [(i, "aa bb aa", "en", f"s{i % 2}") for i in range(12)] + [(12, "aa cc", "en", "s0"), (13, None, "de", "s1")]
+    got = source_divergence.divergence(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert {r["item"] for r in got if r["part"] == "term"} <= {"aa", "bb"} and {r["source"] for r in got if r["part"] == "pair"} == {"s0", "s1"}
+    assert "counts" not in plans and plans["kept"].count("Exchange hashpartitioning") == 1

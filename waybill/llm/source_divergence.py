@@ -31,6 +31,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -42,19 +43,22 @@ MIN_DOCS, TOP, UNIT = 10, 10, 1_000_000_000
 _TERM = re.compile(rb"[a-z\x80-\xff]+")
 _MARK = re.compile(rb"[^a-z\x80-\xff]")
 #: Bytes of text read at a time, and terms that a task holds before it passes them on.
-PIECE, HELD, BATCH_BYTES = 1 << 20, 200_000, 1 << 22
-_DOC = 1 << 64
+PIECE, HELD, BATCH_BYTES = 1 << 20, 300_000, 1 << 22
 
 
-def terms_of(text: bytes) -> Counter:
-    """How often each term occurs."""
-    text, found, lo = text.lower(), Counter(), 0
+def term_lists(text: bytes) -> Iterator[list[bytes]]:
+    """The terms of each piece of a text, in order."""
+    text, lo = text.lower(), 0
     while lo < len(text):
         end = _MARK.search(text, lo + PIECE) if len(text) - lo > PIECE else None
         hi = end.start() if end else len(text)
-        found.update(_TERM.findall(text, lo, hi))
+        yield _TERM.findall(text, lo, hi)
         lo = hi
-    return found
+
+
+def terms_of(text: bytes) -> Counter:
+    """How often each term occurs."""
+    return Counter(chain.from_iterable(term_lists(text)))
 
 
 def term_counts(documents: DataFrame) -> DataFrame:
@@ -64,16 +68,19 @@ def term_counts(documents: DataFrame) -> DataFrame:
     rows = documents.select(blank("lang"), blank("source"), blank("text")).select("lang", "source", F.col("text").cast("binary").alias("text"))
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple, dict[bytes, int]] = {}
+        held: dict[tuple, tuple[Counter, Counter]] = {}  # of occurrences and of documents
         seen: set[tuple] = set()
         size = 0
 
         def passed_on() -> Iterator[pa.RecordBatch]:
-            for (lang, source), counts in held.items():
+            for (lang, source), (counts, docs) in held.items():
                 new, size = (lang, source) not in seen, len(counts)
                 seen.add((lang, source))
-                terms, values = [None] * new + list(counts), [0] * new + list(counts.values())
-                columns = [pa.array([lang] * (size + new), pa.string()), pa.array([source] * (size + new), pa.string()), pa.array(terms, pa.binary()), pa.array([x % _DOC for x in values], pa.int64()), pa.array([x // _DOC for x in values], pa.int64())]
+                none = [0] * new
+                columns = [
+                    pa.repeat(pa.scalar(lang, pa.string()), size + new), pa.repeat(pa.scalar(source, pa.string()), size + new), pa.array([None] * new + list(counts), pa.binary()),
+                    pa.array(none + list(counts.values()), pa.int64()), pa.array(none + [docs[t] for t in counts], pa.int64()),
+                ]
                 yield pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "n", "docs"])
             held.clear()
             if len(seen) > HELD:
@@ -81,10 +88,14 @@ def term_counts(documents: DataFrame) -> DataFrame:
 
         for b in small_batches(rows, "text", BATCH_BYTES):
             for lang, source, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                counts = held.setdefault((lang, source), {})
-                before = len(counts)
-                for term, n in terms_of(text).items():
-                    counts[term] = counts.get(term, 0) + n + _DOC
+                if (lang, source) not in held:
+                    held[lang, source] = Counter(), Counter()
+                counts, docs = held[lang, source]
+                before, own = len(counts), set()
+                for terms in term_lists(text):
+                    counts.update(terms)
+                    own.update(terms)
+                docs.update(own)
                 size += 1 + len(counts) - before
             if size > HELD:
                 yield from passed_on()
@@ -109,15 +120,17 @@ def gap(p: Column, q: Column) -> Column:
 def _kept_counts(documents: DataFrame, tables: Tables) -> tuple[DataFrame, DataFrame]:
     """(groups, kept): lang, source, total, terms of every group; lang, source, term, n
     and the vector's names d1, d2, wide, sum of every kept term."""
-    counts = term_counts(documents).groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    counts = tables.put(counts, "counts")
+    # tasks have added up their documents, so terms are dealt as they are, once: for the sums and for the window
+    counts = term_counts(documents).repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     column = Window.partitionBy("lang", "term")
     digest = lambda salt: F.bit_xor(F.xxhash64(F.lit(salt), "source", "n")).over(column)
-    kept = counts.where("term IS NOT NULL").withColumns({"d1": digest(1), "d2": digest(2), "wide": F.count("*").over(column), "sum": F.sum("n").over(column), "in_docs": F.sum("docs").over(column)})
-    kept = tables.put(kept.where(F.col("in_docs") >= MIN_DOCS).select("lang", "source", "term", "n", "d1", "d2", "wide", "sum"), "kept")
+    kept = counts.withColumns({"d1": digest(1), "d2": digest(2), "wide": F.count("*").over(column), "sum": F.sum("n").over(column), "in_docs": F.sum("docs").over(column)})
+    occurs = F.col("term").isNull()  # a group's own row
+    both = tables.put(kept.where((F.col("in_docs") >= MIN_DOCS) | occurs).select("lang", "source", "term", "n", "d1", "d2", "wide", "sum"), "kept")
+    kept = both.where(~occurs)
     totals = kept.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     terms = kept.select("lang", "term").distinct().groupBy("lang").agg(F.count("*").alias("terms"))
-    groups = counts.where("term IS NULL").select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(terms, "lang", "left")
+    groups = both.where(occurs).select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(terms, "lang", "left")
     return tables.put(groups.na.fill(0, ["total", "terms"]), "groups"), kept
 
 
