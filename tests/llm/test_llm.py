@@ -1074,3 +1074,9 @@ def test_pipeline_against_brute_force(spark, tmp_path):
         clean = secret_scan.redact(texts[d])
         assert got[d]["text"] == clean and piece_sampling.decode_ids(got[d]["pieces"], v.bytes) == clean
     assert "abcdefgh" not in got[36]["text"]
+
+
+def test_a_store_of_units_changes_no_piece(spark):
+    df = spark.createDataFrame([(i, f"some words {i} and {i * 7919} more, a line\nof them") for i in range(40)], "doc_id long, text string")
+    sums = lambda store: sorted((r["doc_id"], r["pieces_sha256"], r["lossless"]) for r in piece_sampling.round_trips(df, store=store).collect())
+    assert sums(1) == sums(piece_sampling.WIDE_STORE_UNITS) and all(ok for _, _, ok in sums(1))

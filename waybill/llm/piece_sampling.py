@@ -49,6 +49,8 @@ SEED = 17
 RANK_OFFSET = 20
 #: Units whose filtered lattices a task keeps (some 300 bytes each).
 STORE_UNITS = 100_000
+#: The same where a task does nothing else and its executor holds no other stage's tables.
+WIDE_STORE_UNITS = 250_000
 #: Positions of a unit that are filtered together with those of other units;
 #: the few longer units go on one position at a time.
 TOGETHER = 48
@@ -180,8 +182,8 @@ class Lattices:
     """Filtered lattices of units, stored flat: node n's edges begin at
     ``first[n]``; ``share`` cumulates their probabilities and ends at 1."""
 
-    def __init__(self, vocabulary: Vocabulary, alpha: float):
-        self.v, self.alpha = vocabulary, alpha
+    def __init__(self, vocabulary: Vocabulary, alpha: float, store: int = STORE_UNITS):
+        self.v, self.alpha, self.store = vocabulary, alpha, store
         self.clear()
 
     def clear(self) -> None:
@@ -339,7 +341,7 @@ def encode_batch(texts: list[str | None], keys: list[str], lattices: Lattices, s
     """(sampled piece ids of all texts, where each text's begin and end)."""
     units = [lattices.v.units.findall(" " + t) if t else [] for t in texts]
     sizes = np.array([len(u) for u in units], np.int64)
-    if len(lattices.units) > STORE_UNITS:
+    if len(lattices.units) > lattices.store:
         lattices.clear()
     ends = lattices.ends([x for u in units for x in u])
     place = np.arange(len(ends)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
@@ -386,9 +388,9 @@ def _schema(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
 
 
-def _sampled(rows: Iterator[pa.RecordBatch], v: Vocabulary, alpha: float, seed: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
+def _sampled(rows: Iterator[pa.RecordBatch], v: Vocabulary, alpha: float, seed: int, store: int = STORE_UNITS) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray]]:
     """Small batches of (text, key, ...) with their ids, where each row's begin, and which texts are not null."""
-    lattices = Lattices(v, alpha)
+    lattices = Lattices(v, alpha, store)
     for b in small_batches(rows, 0, BATCH_BYTES):
         texts = b.column(0).to_pylist()
         ids, at = encode_batch(texts, [x or "\0null" for x in b.column(1).to_pylist()], lattices, seed)
@@ -433,14 +435,15 @@ def decoded(pieces: DataFrame, model_file: str | None = None) -> DataFrame:
     return given.mapInArrow(batches, f"{_schema(pieces.select(*kept))}, decoded string")
 
 
-def round_trips(documents: DataFrame, key: str = "doc_id", alpha: float = ALPHA, seed: int = SEED, model_file: str | None = None) -> DataFrame:
+def round_trips(documents: DataFrame, key: str = "doc_id", alpha: float = ALPHA, seed: int = SEED, model_file: str | None = None, store: int = STORE_UNITS) -> DataFrame:
     """``key``, n_pieces, lossless, pieces_sha256 (of the ids as little-endian
     int32, null for a null text): each row encoded and decoded again where it is,
-    for checks that do not need the pieces themselves."""
+    for checks that do not need the pieces themselves.  ``store`` units are kept in a
+    task; it changes time and memory, not results."""
     vocabulary = Vocabulary(model_file or default_model())
 
     def batches(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b, ids, at, valid in _sampled(rows, vocabulary, alpha, seed):
+        for b, ids, at, valid in _sampled(rows, vocabulary, alpha, seed, store):
             back = decode_batch(ids, at, valid, vocabulary)
             same = pc.fill_null(pc.equal(back, b.column(0)), pa.scalar(False))
             same = pc.or_(same, pc.and_(pc.is_null(back), pc.is_null(b.column(0))))
@@ -452,7 +455,7 @@ def round_trips(documents: DataFrame, key: str = "doc_id", alpha: float = ALPHA,
 
 
 def op6_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return round_trips(dealt_table(spark, sf_dir, "documents"))
+    return round_trips(dealt_table(spark, sf_dir, "documents"), store=WIDE_STORE_UNITS)
 
 
 QUERIES = {"op6_piece_sampling": op6_piece_sampling}
