@@ -490,6 +490,41 @@ def test_grams_are_found_across_pieces(monkeypatch):
         assert sorted(whole()) == want
 
 
+def python_rows(df):
+    """Rows that Python functions of a plan gave back when it was run."""
+    df.collect()
+    todo, found = [df._jdf.queryExecution().executedPlan()], 0
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            node = node.finalPhysicalPlan()
+        if node.nodeName().endswith("QueryStage"):
+            node = node.plan()
+        if node.metrics().contains("pythonNumRowsReceived"):
+            found += node.metrics().apply("pythonNumRowsReceived").value()
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return found
+
+
+def test_short_keywords_meet_lists_of_texts(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(keywords, "stored", lambda df, label: [made.append(python_rows(df)), stored(df, label)][1])
+    texts = spark.range(200).select(F.col("id"), F.repeat(F.concat(F.lit("n "), F.col("id") % 2 + 123456, F.lit(" ")), 300).alias("t")).repartition(2)
+    numbers = spark.range(100_000, 130_000).select(F.col("id").cast("string").alias("keyword"), F.col("id").alias("ord"), F.lit("l").alias("label"))
+    got = keywords.first_keywords(texts, numbers, "id", "t")
+    assert {r["id"]: r["keyword"] for r in got.collect()} == {i: str(i % 2 + 123456) for i in range(200)}
+    assert 0 < made[0] < 50  # not a row for each place of a text
+
+
+def test_keywords_about_as_long_as_a_gram(spark):
+    data = ["abcdefgh", "abcdefghi", "xabcdefghij", "\x01abcdefg", "\x07\x01", "ééééé", "\0\0\0", "abcdefg\0"]
+    df = spark.createDataFrame(list(enumerate(data)), "id int, t string")
+    for words in (["abcdefgh", "abcdefghij", "bcdefghi", "\x01abcdefg", "abcdefg", "éééé", "ééééé", "\0", "\0\0\0\0", "abcdefg\0"], ["abcdefghi"]):
+        table = spark.createDataFrame([(w, -i, "") for i, w in enumerate(words)], "keyword string, ord int, label string")
+        want = {i: min((-n, w) for n, w in enumerate(words) if w in t) for i, t in enumerate(data) if any(w in t for w in words)}
+        assert {r["id"]: (r["ord"], r["keyword"]) for r in keywords.first_keywords(df, table, "id", "t").collect()} == want
+
+
 # --- bodies as submitted ---------------------------------------------------------
 
 
