@@ -53,6 +53,16 @@ def test_paytm_takes_the_last_token_after_the_heading(spark):
     assert record(spark, "paytm\nFlight PNR\nAI-123 ABC123 ZZ99ZZ\nmore")["pnr"] == "ZZ99ZZ"
 
 
+def test_lines_that_tell_no_segment_are_left_out_and_texts_read_once(spark):
+    r = record(spark, "PNR: AB1234\x1c\n \x1d FROM 1HYD, TO \u00c9DEL\r\nAI 201\x85 HYD 15:40\nsector 18.00 DEL\nROUTE QQQ-DEL\nto BOM \u2013 HYD x")
+    assert [(f["from_code"], f["to_code"], f["dep_time_raw"], f["arr_time_raw"], f["flight_no"]) for f in r["flights"]] == [("HYD", "DEL", None, None, "AI 201"), ("BOM", "HYD", None, None, None)]
+    df = extract.records(spark.createDataFrame([("t.pdf", PAPER)], "filename string, text string"), ["HYD", "DEL"])
+    spark.conf.set("spark.sql.maxPlanStringLength", str(1 << 22))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    spark.conf.unset("spark.sql.maxPlanStringLength")
+    assert plan.count(extract.BOOKING_DATE) <= 1 < len(plan)
+
+
 def test_repeated_segments_count_once(spark):
     r = record(spark, "PNR: AB1234\nRoute HYD-DEL\nRoute HYD-DEL\nRoute DEL-BOM\n")
     assert [(f["from_code"], f["to_code"]) for f in r["flights"]] == [("HYD", "DEL"), ("DEL", "BOM")]

@@ -55,7 +55,8 @@ def time_token(c: Column) -> Column:
     t = strip(F.replace(text(c), F.lit("."), F.lit(":")))
     shape = r"^(\d{1,9})\s*:\s*(\d{1,9})$"
     part = lambda i: F.when(t.rlike(shape), F.regexp_extract(t, shape, i)).try_cast("int")
-    return F.when((part(1) <= 23) & (part(2) <= 59), F.format_string("%02d:%02d", part(1), part(2))).otherwise("")
+    usual = t.rlike(r"^(?:[01][0-9]|2[0-3]):[0-5][0-9]$")
+    return F.when(usual, t).when((part(1) <= 23) & (part(2) <= 59), F.format_string("%02d:%02d", part(1), part(2))).otherwise("")
 
 
 def times_in(c: Column) -> Column:
@@ -66,17 +67,23 @@ def times_in(c: Column) -> Column:
 def date_iso(c: Column) -> Column:
     """First date of a text: day/month/year before ``D MON YYYY``.  The first
     kind that occurs decides, even if it is no real date; ISO is not read."""
-    t = strip(text(c))
-    upper = F.upper(t)
-    numeric, worded = t.rlike(NUMERIC_DATE), upper.rlike(WORD_DATE)
-    part = lambda i, other: F.when(numeric, F.regexp_extract(t, NUMERIC_DATE, i)).when(worded, other).try_cast("int")
-    word = lambda i: F.regexp_extract(upper, WORD_DATE, i)
-    month_no = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), word(2)).cast("string")
-    day, month, year = part(1, word(1)), part(2, month_no), part(3, word(3))
-    full = F.when(year < 100, year + 2000).otherwise(year)
-    real = month.between(1, 12) & day.between(1, 31)
-    made = F.when(real, F.try_to_date(F.format_string("%04d-%02d-%02d", full, month, day), "yyyy-MM-dd"))
-    return F.when(numeric | worded, text(F.date_format(made, "yyyy-MM-dd"))).otherwise("")
+    t = text(c)
+    # one-element arrays, so that each step's result has a name and is computed once
+    found = F.array(F.struct(F.regexp_extract(t, NUMERIC_DATE, 0).alias("numeric"), F.regexp_extract(F.upper(t), WORD_DATE, 0).alias("worded")))
+
+    def parts(x: Column) -> Column:
+        of = lambda i, other: F.when(x["numeric"] != "", F.regexp_extract(x["numeric"], NUMERIC_DATE, i)).when(x["worded"] != "", other).try_cast("int")
+        word = lambda i: F.regexp_extract(x["worded"], WORD_DATE, i)
+        month_no = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), word(2)).cast("string")
+        return F.struct(of(1, word(1)).alias("day"), of(2, month_no).alias("month"), of(3, word(3)).alias("year"))
+
+    def iso(d: Column) -> Column:
+        full = F.when(d["year"] < 100, d["year"] + 2000).otherwise(d["year"])
+        made = F.when(d["month"].between(1, 12) & d["day"].between(1, 31), F.try_to_date(F.format_string("%04d-%02d-%02d", full, d["month"], d["day"]), "yyyy-MM-dd"))
+        return text(F.date_format(made, "yyyy-MM-dd"))
+
+    some = F.filter(found, lambda x: (x["numeric"] != "") | (x["worded"] != ""))
+    return text(F.get(F.transform(F.transform(some, parts), iso), 0))
 
 
 def messaging_number(c: Column) -> Column:
