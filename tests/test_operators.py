@@ -1,6 +1,7 @@
 """Operators on small bookings, checked by hand."""
 
 import datetime
+import os
 import random
 from concurrent.futures import ThreadPoolExecutor
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from waybill import session
 from waybill.functions import scalars
 from waybill.operators import claims, extract, fares, itinerary, keywords, ledger, lookups, place_index, search
+from waybill.plans import catalogue
 from waybill.session import stored
 from waybill.sources import dims, heads, readers
 
@@ -670,3 +672,39 @@ def test_named_and_counted_rows_share_an_aggregate(spark):
     w.collect()
     plan = w._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert "ReusedExchange" in plan and plan.count("functions=[partial_min(") == 1
+
+
+def test_a_booking_is_made_where_its_keys_are(spark):
+    n = 2000
+    keys = [F.struct(F.lit(k).alias("key"), F.concat(F.lit(v), F.col("id")).alias("value")) for k, v in (("flight_0_flight_no", "AI "), ("flight_1_flight_no", "BA "), ("pax_0_name", "P"), ("pax_0_seat_1", "S"))]
+    kv = spark.range(0, n, 1, 3).select(F.col("id").alias("request_id"), F.explode(F.array(*keys)).alias("x")).select("request_id", "x.*")
+    b = itinerary.bookings(kv, spark, dims.airports(spark), F.current_timestamp())
+    assert [x for x in shuffled_rows(b) if x >= n] == [4 * n] and b.count() == n  # keys once; dimensions are small
+    assert b.where("size(flights) <> 2 OR flights[1].flight_no <> concat('BA ', request_id) OR travellers[0].seat_by_flight[1] <> concat('S', request_id)").isEmpty()
+
+
+def test_bookings_of_counted_and_repeated_keys(spark):
+    rows = [
+        ("c", 0, "flight_count", "3"), ("c", 1, "flight_1_date", "2026-05-21"), ("c", 2, "flight_7_date", "2026-05-22"), ("c", 3, "pax_count", "2"), ("c", 4, "pax_1_seat_2", "9Z"), ("c", 5, "pax_1_seat_2", "8Z"),
+        ("n", 0, "flight_2_flight_no", "B"), ("n", 1, "flight_2_flight_no", "A"), ("n", 2, "flight_01_flight_no", "X"), ("n", 3, "flight_1_seat", "1A"), ("n", 4, "pax_0_seat_0", ""), (None, 0, "junk", "x"), ("o", 0, "flight_5_seat", "5A"),
+    ]
+    kv = spark.createDataFrame(rows, "request_id string, ord int, key string, value string").repartition(3)
+    got = {r["request_id"]: r for r in itinerary.bookings(kv, spark, dims.airports(spark), F.current_timestamp()).collect()}
+    told = lambda k: [(f["position"], f["idx"], f["flight_no"], f["date_raw"], f["seat"]) for f in got[k]["flights"]]
+    assert told("c") == [(0, 0, "", "", ""), (1, 1, "", "2026-05-21", ""), (2, 2, "", "", "")]
+    assert told("n") == [(0, 1, "", "", "1A"), (1, 2, "B", "", "")] and told("o") == told(None) == [(0, 0, "", "", "")]
+    assert [(t["pax"], t["idx"], t["name"], t["seat_by_flight"]) for t in got["c"]["travellers"]] == [(0, 0, "", ["", "", ""]), (1, 1, "", ["", "", "9Z"])]
+    assert [t["seat_by_flight"] for t in got["n"]["travellers"]] == [["1A", ""]] and len(got) == 4
+
+
+@pytest.mark.parametrize("name", ["ledger_row"])
+def test_lines_are_dealt_not_their_keys(spark, name, monkeypatch):
+    """The rows that meet are lines and orders, once each; ledger rows are kept in one table."""
+    sf_dir, made = "/root/testdata/sf0.001", []
+    monkeypatch.setattr(itinerary, "bookings", lambda *a, real=itinerary.bookings: made.append(real(*a)) or made[0])
+    folder = session.shared_dir(spark).removeprefix("file://")
+    before = set(os.listdir(folder))
+    assert catalogue.QUERIES[name](spark, sf_dir).count() > 0
+    lines, orders = (spark.read.parquet(f"{sf_dir}/{t}.parquet").count() for t in ("lineitem", "orders"))
+    assert sum(shuffled_rows(made[0])) <= lines + orders + 1000
+    assert len(set(os.listdir(folder)) - before) == (name == "ledger_row")

@@ -17,6 +17,7 @@ FORM_FIELDS = {
     "booking_id": "", "booking_date": "", "pnr": "", "customer_phone": "", "customer_email": "", "refund_status": "Refundable",
     "fare_type": "REGULAR", "payment_method": "UPI", "card_last_4": "", "booking_platform": "Direct", "is_dummy": "",
 }
+RAW = ("class", "meal")
 SHARED = ("seat", "meal", "checkin_bag", "hand_bag")
 DEFAULTS = {"seat": "", "meal": "Not selected", "checkin_bag": "Airline Default", "hand_bag": "Airline Default"}
 
@@ -98,14 +99,19 @@ def _placed(sent: DataFrame, fields: tuple[str, ...]) -> DataFrame:
 def flights(kv: DataFrame, spark: SparkSession, airports: DataFrame) -> DataFrame:
     """One row per flight with its codes, names, display values and layover."""
     f = wide(kv, "flight", FLIGHT_FIELDS, "flight_no", "flight_count")
-    f = f.withColumns({c: text(F.col(c)) for c in FLIGHT_FIELDS if c not in ("class", "meal")})
+    f = f.withColumns({c: text(F.col(c)) for c in FLIGHT_FIELDS if c not in RAW})
+    return _described(f, spark, airports).withColumn("layover", layover())
+
+
+def _described(f: DataFrame, spark: SparkSession, airports: DataFrame) -> DataFrame:
+    """Flights with codes, names and display values, all but the wait before them."""
     f = f.withColumns({"class": F.coalesce("class", F.lit("Economy")), "meal": F.coalesce("meal", F.lit("Not selected"))})
     f = f.withColumns({"from_code": F.upper("from_code"), "to_code": F.upper("to_code"), "segment_pnr": strip(F.col("segment_pnr"))})
     f = with_airline_code(f, spark)
     f = fill_blank(f, "airline", "airline_code", dims.airlines(spark), "iata", "name")
     f = fill_blank(f, "from_city", "from_code", airports, "code", "city")
     f = fill_blank(f, "to_city", "to_code", airports, "code", "city")
-    f = f.withColumns({
+    return f.withColumns({
         "from_full": place(F.col("from_city"), F.col("from_code")),
         "to_full": place(F.col("to_city"), F.col("to_code")),
         "date_raw": F.col("date"),
@@ -113,7 +119,6 @@ def flights(kv: DataFrame, spark: SparkSession, airports: DataFrame) -> DataFram
         "checkin_closing": minutes_before(F.col("dep_time_raw")),
         "manual_layover": strip(F.col("layover")),
     })
-    return f.withColumn("layover", layover())
 
 
 def layover(key: str = "request_id", order: str = "position") -> Column:
@@ -121,14 +126,23 @@ def layover(key: str = "request_id", order: str = "position") -> Column:
     times, where arrival counts on the departure's day or, if it would be
     earlier, on the next; null where times are missing or the wait is not positive."""
     w = Window.partitionBy(key).orderBy(order)
-    stamp = lambda d, t: F.try_to_timestamp(F.concat(blank_to_null(d), F.lit(" "), blank_to_null(t)), F.lit("y-M-d H:m"))
-    dep = stamp(F.lag("date_raw").over(w), F.lag("dep_time_raw").over(w))
-    arr = stamp(F.lag("date_raw").over(w), F.lag("arr_time_raw").over(w))
-    arr = F.when(arr < dep, arr + F.expr("interval 1 day")).otherwise(arr)
-    here = stamp(F.col("date_raw"), F.col("dep_time_raw"))
-    wait = F.unix_seconds(here.cast("timestamp")) - F.unix_seconds(arr.cast("timestamp"))
+    before = _clock(*[F.lag(c).over(w) for c in ("date_raw", "dep_time_raw", "arr_time_raw")])
+    here = _clock(*[F.col(c) for c in ("date_raw", "dep_time_raw", "arr_time_raw")])
     first = F.row_number().over(w) == 1
-    return F.when(first, F.lit(None)).when(F.col("manual_layover") != "", F.col("manual_layover")).when(dep.isNotNull() & (wait > 0), span_text(wait))
+    return _wait(first, F.col("manual_layover"), before, here)
+
+
+def _clock(date: Column, departs: Column, arrives: Column) -> tuple[Column, Column]:
+    """Seconds at which a flight departs and arrives, null where they are not told."""
+    stamp = lambda t: F.try_to_timestamp(F.concat(blank_to_null(date), F.lit(" "), blank_to_null(t)), F.lit("y-M-d H:m"))
+    dep, arr = stamp(departs), stamp(arrives)
+    arr = F.when(arr < dep, arr + F.expr("interval 1 day")).otherwise(arr)
+    return F.unix_seconds(dep.cast("timestamp")), F.unix_seconds(arr.cast("timestamp"))
+
+
+def _wait(first: Column, manual: Column, before: tuple[Column, Column], here: tuple[Column, Column]) -> Column:
+    wait = here[0] - before[1]
+    return F.when(first, F.lit(None)).when(manual != "", manual).when(before[0].isNotNull() & (wait > 0), span_text(wait))
 
 
 def _own_cells(kv: DataFrame) -> DataFrame:
@@ -218,31 +232,101 @@ def route_summary(flights_: DataFrame) -> DataFrame:
     )
 
 
-def bookings(kv: DataFrame, spark: SparkSession, airports: DataFrame, as_of: Column) -> DataFrame:
+#: Kinds of a request's rows: a flight, a traveller, and the form's own fields.
+FLIGHT, PERSON, OWN = 0, 1, 2
+CELL = rf"^({'|'.join(SHARED)})_\d+$"
+COUNTS = {FLIGHT: "flight_count", PERSON: "pax_count"}
+
+
+def _sent(kv: DataFrame) -> DataFrame:
+    """request_id, kind, idx, got, says, has_cells: what is sent for each flight and
+    traveller as pairs and as a map by field, an anchor of an odd spelling (01) as an empty
+    one, a traveller's cells by ``<field>_<position>``; and a row of kind ``OWN`` for the
+    rest of a request, by key.  Of a repeated key the first counts.
+
+    All of it is one aggregate, so keys are made and read once."""
+    key, after, digits, field = F.col("key"), F.col("after"), F.col("digits"), F.col("field")
+    heads = ((FLIGHT, "flight_", FLIGHT_FIELDS, "flight_no"), (PERSON, "pax_", dims.TRAVELLER_FIELDS, "name"))
+    each = lambda of: F.when(F.col("family") == FLIGHT, of(*heads[0][2:])).when(F.col("family") == PERSON, of(*heads[1][2:]))
+    rows = kv.withColumn("family", F.when(F.startswith(key, F.lit("flight_")), FLIGHT).when(F.startswith(key, F.lit("pax_")), PERSON))
+    rows = rows.withColumn("after", F.when(F.col("family") == FLIGHT, F.substring(key, F.lit(8), F.length(key))).when(F.col("family") == PERSON, F.substring(key, F.lit(5), F.length(key))))
+    rows = rows.withColumn("digits", F.substring_index(after, "_", 1))
+    rows = rows.withColumns({"number": digits.try_cast("int"), "field": F.substring(after, F.length(digits) + 2, F.length(after))})
+    plain = F.coalesce((F.col("number") >= 0) & (F.col("number").cast("string") == digits), F.lit(False))  # 01 names index 1, and is no key of its own
+    rows = rows.withColumn("plain", plain)
+    cell = F.when((F.col("family") == PERSON) & F.col("plain") & ~field.isin(*dims.TRAVELLER_FIELDS), field.rlike(CELL))
+    rows = rows.withColumn("cell", F.coalesce(cell, F.lit(False)))
+    owned = F.coalesce(each(lambda fields, anchor: (F.col("plain") & field.isin(*fields)) | ((field == anchor) & digits.rlike(r"^\d+$"))), F.lit(False)) | F.col("cell")
+    rows = rows.withColumn("idx", F.coalesce(F.when(owned, F.col("number")), F.lit(-1)))
+    wanted = key.isin(*FORM_FIELDS, *fares.PARTS) | (key.isin(*COUNTS.values()) & F.col("value").isNotNull())
+    said = F.when(F.col("idx") < 0, F.when(wanted, key)).when(F.col("plain"), field).otherwise("")
+    rows = rows.select("request_id", F.when(F.col("idx") < 0, OWN).otherwise(F.col("family")).alias("kind"), "idx", "cell", said.alias("field"), *[c for c in ("ord", "value") if c in kv.columns])
+    entry = F.when(field.isNotNull(), F.struct("field", *[c for c in ("ord", "value") if c in kv.columns]))
+    rows = rows.select("request_id", "kind", "idx", "cell", entry.alias("entry"))  # aggregates would make it without generated code
+    sent = rows.groupBy("request_id", "kind", "idx").agg(F.collect_list("entry").alias("got"), F.max("cell").alias("has_cells"))
+    repeated = F.size("got") > F.size(F.array_distinct("got.field"))
+    first = F.filter("ranked", lambda x, i: (i == 0) | (x["field"] != F.get("ranked", i - 1)["field"]))
+    sent = sent.withColumn("ranked", F.when(repeated, F.sort_array("got")))
+    sent = sent.withColumn("got", F.when(F.col("ranked").isNull(), F.col("got")).otherwise(first))
+    pairs = F.transform("got", lambda x: F.struct(x["field"], x["value"])) if "ord" in kv.columns else F.col("got")
+    return sent.withColumn("got", pairs).select("request_id", "kind", "idx", "got", F.map_from_entries("got").alias("says"), "has_cells")
+
+
+def _in_order(rows: str, count: Column, blanks: Column) -> Column:
+    """The array's named structs by index; where there is none, ``count`` of them (one if
+    absent or no number): what was sent for an index below it, else ``blanks``."""
+    by_index = lambda a: F.array_sort(a, lambda x, y: x["idx"] - y["idx"])
+    n = F.greatest(F.coalesce(blank_to_null(count).try_cast("int"), F.lit(1)), F.lit(0))
+    sent = by_index(F.filter(rows, lambda x: x["idx"] < n))
+    fill = lambda k: F.flatten(F.array_repeat(blanks, k.cast("int")))
+    until = lambda a, i: F.coalesce(F.get(a, i)["idx"], n)
+    after = lambda a: F.flatten(F.transform(a, lambda x, i: F.concat(F.array(x), fill(until(a, i + 1) - x["idx"] - 1))))
+    counted = F.when(F.size(sent) == 0, fill(n)).otherwise(F.concat(fill(until(sent, F.lit(0))), after(sent)))
+    return F.when(F.exists(rows, lambda x: x["named"]), by_index(F.filter(rows, lambda x: x["named"]))).otherwise(counted)
+
+
+def bookings(kv: DataFrame, spark: SparkSession, airports: DataFrame, as_of: Column, tasks: int | None = None) -> DataFrame:
     """One nested record for each request: the form's own fields, ``flights`` and
     ``travellers`` as arrays of structs in their order, ``route``, the fare parts
     with ``total_fare`` and ``fare_lines``: all that printing a booking needs.
 
     A traveller without a document number gets one from the first flight's
     airline and a hash of request and place.  A request is one form, so its
-    record is as large as what was sent for it."""
+    record is as large as what was sent for it.
+
+    Keys are dealt once, by request (into ``tasks``, if given), and everything after that
+    is made where they are; keys that are dealt so already are not moved."""
     kv = kv.select("request_id", *(["ord"] if "ord" in kv.columns else []), "key", "value")
-    f = flights(kv, spark, airports)
-    rest = [c for c in f.columns if c not in ("request_id", "position")]
-    flown = f.groupBy(F.col("request_id").alias("flown_by")).agg(F.sort_array(F.collect_list(F.struct("position", *rest))).alias("flights"))
-    people = _people(kv)
-    person = [c for c in people.columns if c != "request_id"]
-    people = people.groupBy(F.col("request_id").alias("whose")).agg(F.array_sort(F.collect_list(F.struct(*person)), lambda x, y: x["pax"] - y["pax"]).alias("people"))
-    first = F.struct(*[c for c in kv.columns if c in ("ord", "value")])
-    one = lambda k: F.min(F.when(F.col("key") == k, first))["value"]
-    form = kv.groupBy("request_id").agg(*[one(k).alias(k) for k in (*FORM_FIELDS, *fares.PARTS)])
-    form = form.withColumns({k: F.coalesce(k, F.lit(v)) for k, v in FORM_FIELDS.items()})
-    form = form.join(flown, F.col("request_id").eqNullSafe(F.col("flown_by")), "left").join(people, F.col("request_id").eqNullSafe(F.col("whose")), "left")
-    form = form.withColumn("flights", F.coalesce("flights", F.array().cast(flown.schema["flights"].dataType)))
-    form = form.withColumn("people", F.coalesce("people", F.array().cast(people.schema["people"].dataType)))
-    fields = [c for c in person if c != "own"]
-    made = F.transform("people", lambda p: F.struct(*[p[c].alias(c) for c in fields], *_grid(p["own"], F.col("flights"))))
-    form = form.withColumn("travellers", made).drop("people", "whose", "flown_by")
+    kv = kv.repartition(tasks, "request_id") if tasks else kv.repartition("request_id")
+    sent = _sent(kv)
+    says = lambda c: F.try_element_at("says", F.lit(c))
+    named = lambda anchor: (F.map_contains_key("says", F.lit(anchor)) | F.map_contains_key("says", F.lit(""))).alias("named")
+    is_flight = F.col("kind") == FLIGHT
+    names = {dims.DOCUMENT_FIELD: "document_no"}
+    fields = [names.get(c, c) for c in dims.TRAVELLER_FIELDS]
+    # made beside a lambda, fields are read by small methods, not by one that is too long to be compiled
+    own = F.map_from_entries(F.filter("got", lambda x: x["field"].rlike(CELL)))
+    person = F.struct("idx", named("name"), *[text(says(c)).alias(names.get(c, c)) for c in dims.TRAVELLER_FIELDS], F.when(F.col("has_cells"), own).alias("own"))
+    f = sent.select(
+        "request_id", "idx", "kind", *[F.when(is_flight, says(c) if c in RAW else text(says(c))).alias(c) for c in FLIGHT_FIELDS],
+        F.when(is_flight, named("flight_no")).alias("named"), F.when(F.col("kind") == PERSON, person).alias("person"), F.when(F.col("kind") == OWN, F.col("says")).alias("says"),
+    )
+    # rows of other kinds have no codes, so no airport joins them
+    f = _timed(_described(f, spark, airports))
+    blank = _timed(_described(spark.range(1).select(*[(F.lit(None).cast("string") if c in RAW else F.lit("")).alias(c) for c in FLIGHT_FIELDS]), spark, airports))
+    rest = [c for c in blank.columns if c != "at"]
+    f = f.select("request_id", F.when(is_flight, F.struct("idx", "named", "at", *rest)).alias("flight"), "person", "says")
+    form = f.groupBy("request_id").agg(F.collect_list("flight").alias("flown"), F.collect_list("person").alias("people"), F.first("says", ignorenulls=True).alias("says"))
+    nothing = F.struct(F.lit(None).cast("int").alias("idx"), F.lit(False).alias("named"), "at", *rest)
+    form = form.join(F.broadcast(blank.agg(F.collect_list(nothing).alias("no_flight"))))  # one row
+    nobody = F.array(F.struct(F.lit(None).cast("int").alias("idx"), F.lit(False).alias("named"), *[F.lit("").alias(c) for c in fields], F.lit(None).cast("map<string,string>").alias("own")))
+    form = form.withColumns({"flown": _in_order("flown", says(COUNTS[FLIGHT]), F.col("no_flight")), "people": _in_order("people", says(COUNTS[PERSON]), nobody)})
+    clock = lambda x: (x["at"]["departs"], x["at"]["arrives"])
+    wait = lambda x, i: _wait(i == 0, x["manual_layover"], clock(F.get("flown", i - 1)), clock(x))
+    flown = F.transform("flown", lambda x, i: F.struct(i.alias("position"), F.coalesce(x["idx"], i).alias("idx"), *[(wait(x, i) if c == "layover" else x[c]).alias(c) for c in rest]))
+    form = form.select("request_id", *[F.coalesce(says(k), F.lit(FORM_FIELDS.get(k))).alias(k) for k in (*FORM_FIELDS, *fares.PARTS)], flown.alias("flights"), "people")
+    made = F.transform("people", lambda p, i: F.struct(i.alias("pax"), F.coalesce(p["idx"], i).alias("idx"), *[p[c].alias(c) for c in fields], *_grid(p["own"], F.col("flights"))))
+    form = form.withColumn("travellers", made).drop("people")
     form = form.withColumns({
         "customer_phone": strip(F.col("customer_phone")), "customer_email": strip(F.col("customer_email")), "is_dummy": F.col("is_dummy") == "true",
         "booking_date": booking_date_display(F.col("booking_date"), as_of), "refund_alert": no_refund(F.col("refund_status")),
@@ -257,6 +341,11 @@ def bookings(kv: DataFrame, spark: SparkSession, airports: DataFrame, as_of: Col
     return out.withColumn("route", F.coalesce(F.concat(first, F.lit(" → "), last), F.lit("N/A")))
 
 
+def _timed(f: DataFrame) -> DataFrame:
+    """With seconds of departure and arrival."""
+    return f.withColumn("at", F.struct(*[c.alias(n) for n, c in zip(("departs", "arrives"), _clock(F.col("date_raw"), F.col("dep_time_raw"), F.col("arr_time_raw")), strict=True)]))
+
+
 def segment_pnrs(pnrs: Column) -> Column:
     """``Flight i: pnr`` for each that is given, joined by `` | ``."""
     lines = F.transform(pnrs, lambda x, i: F.when(text(x) != "", F.concat(F.lit("Flight "), (i + 1).cast("string"), F.lit(": "), x)))

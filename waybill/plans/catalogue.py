@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from waybill.functions import scalars as S
 from waybill.operators import extract, fares, itinerary, keywords, ledger, lookups, place_index, search
-from waybill.session import shared_dir, spread, stored
+from waybill.session import Tables, shared_dir, spread
 from waybill.sources import dims, readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -486,9 +486,20 @@ _HEADS = ("AI ", "6E-", "AIX ", "ZZ ", "BAW")
 _AS_OF = "2026-01-02 03:04:05"
 
 
-def _trips(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as submitted forms: their lines are flights, the odd ones travellers too."""
-    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"), F.min("l_shipdate").alias("d"), F.min("l_suppkey").alias("s"))
+#: A task makes the forms of so many lines: a line becomes ten keys, which files' bytes do not tell.
+LINES = 250_000
+
+
+def _tasks(spark: SparkSession, sf_dir: str) -> int:
+    return max(spark.sparkContext.defaultParallelism, -(-table(spark, sf_dir, "lineitem").count() // LINES))
+
+
+def _trips(spark: SparkSession, sf_dir: str, tasks: int | None = None) -> DataFrame:
+    """Orders as submitted forms: their lines are flights, the odd ones travellers too.
+    With ``tasks``, lines and orders are dealt into so many by order before they become
+    keys, which are several times as large, so the keys of a form lie together."""
+    dealt_by = lambda name, key: table(spark, sf_dir, name).repartition(tasks, key) if tasks else table(spark, sf_dir, name)
+    li = dealt_by("lineitem", "l_orderkey").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"), F.min("l_shipdate").alias("d"), F.min("l_suppkey").alias("s"))
     i, p, s = F.col("l_linenumber").cast("string"), F.col("p"), F.col("s")
     pick = lambda values, n: F.get(F.array(*[F.lit(v) for v in values]), (n % len(values)).cast("int"))
     put = lambda k, v: F.struct(F.concat(*[F.lit(x) if isinstance(x, str) else x for x in k]).alias("key"), v.cast("string").alias("value"))
@@ -502,7 +513,7 @@ def _trips(spark: SparkSession, sf_dir: str) -> DataFrame:
         put(("pax_", i, "_name"), F.when(F.col("l_linenumber") % 2 == 1, F.concat(F.lit("P"), s.cast("string")))),
         put(("pax_", i, f"_{dims.DOCUMENT_FIELD}"), F.concat(F.lit(" N"), s.cast("string"))),
     )
-    o, k = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    o, k = dealt_by("orders", "o_orderkey"), F.col("o_orderkey")
     key = k.cast("string")
     rest = F.array(
         put(("pnr",), F.concat(F.lit("P"), key)), put(("booking_id",), F.format_string("B%09d", k)), put(("customer_phone",), F.lit(" 123 ")),
@@ -568,9 +579,10 @@ def nested_bookings(spark: SparkSession, sf_dir: str) -> DataFrame:
   'Confirmed' AS flight_status, '' AS notes FROM nested JOIN money USING (request_id) WHERE request_id % 6 <> 0""")
 def ledger_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forms to ledger rows: nested, without dummies, numbered."""
-    as_of = F.lit(_AS_OF).cast("timestamp")
-    rows = ledger.ledger_rows(itinerary.bookings(_trips(spark, sf_dir), spark, dims.airports(spark), as_of), as_of)
-    rows = ledger.numbered(stored(ledger.real(rows), "ledger-rows"), ["booking_id"]).drop("is_dummy")
+    as_of, tasks = F.lit(_AS_OF).cast("timestamp"), _tasks(spark, sf_dir)
+    rows = ledger.ledger_rows(itinerary.bookings(_trips(spark, sf_dir, tasks), spark, dims.airports(spark), as_of, tasks), as_of)
+    with Tables(spark, "ledger-rows") as tables:
+        rows = ledger.numbered(tables.put(ledger.real(rows), "unnumbered"), ["booking_id"], put=tables.keep).drop("is_dummy")
     return rows.withColumns({"total_amount": F.round("total_amount", 2), "sno": F.col("sno").cast("long")})
 
 
