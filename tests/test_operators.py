@@ -697,7 +697,7 @@ def test_bookings_of_counted_and_repeated_keys(spark):
     assert [t["seat_by_flight"] for t in got["n"]["travellers"]] == [["1A", ""]] and len(got) == 4
 
 
-@pytest.mark.parametrize("name", ["ledger_row"])
+@pytest.mark.parametrize("name", ["nested_bookings", "ledger_row"])
 def test_lines_are_dealt_not_their_keys(spark, name, monkeypatch):
     """The rows that meet are lines and orders, once each; ledger rows are kept in one table."""
     sf_dir, made = "/root/testdata/sf0.001", []

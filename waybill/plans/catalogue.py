@@ -562,7 +562,8 @@ def submitted_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
   request_id % 4 = 0 AS alert, first_airline AS airline, CASE WHEN request_id % 3 = 0 THEN 'Credit Card' ELSE 'UPI' END AS paid FROM nested JOIN money USING (request_id)""")
 def nested_bookings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nested record of each form, written as JSON and partly read back."""
-    b = itinerary.bookings(_trips(spark, sf_dir), spark, dims.airports(spark), F.lit(_AS_OF).cast("timestamp"))
+    tasks = _tasks(spark, sf_dir)
+    b = itinerary.bookings(_trips(spark, sf_dir, tasks), spark, dims.airports(spark), F.lit(_AS_OF).cast("timestamp"), tasks)
     people = F.transform("travellers", lambda t: t["name"])
     b = b.withColumn("json", S.as_json("route", "flights", "travellers", "fare_lines"))
     return b.select(
