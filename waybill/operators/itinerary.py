@@ -108,7 +108,7 @@ def _described(f: DataFrame, spark: SparkSession, airports: DataFrame) -> DataFr
     f = f.withColumns({"class": F.coalesce("class", F.lit("Economy")), "meal": F.coalesce("meal", F.lit("Not selected"))})
     f = f.withColumns({"from_code": F.upper("from_code"), "to_code": F.upper("to_code"), "segment_pnr": strip(F.col("segment_pnr"))})
     f = with_airline_code(f, spark)
-    f = fill_blank(f, "airline", "airline_code", dims.airlines(spark), "iata", "name")
+    f = fill_blank(f, "airline", "airline_code", F.broadcast(dims.airlines(spark)), "iata", "name")  # a fixed table of under 200 rows
     f = fill_blank(f, "from_city", "from_code", airports, "code", "city")
     f = fill_blank(f, "to_city", "to_code", airports, "code", "city")
     return f.withColumns({

@@ -563,7 +563,8 @@ def submitted_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def nested_bookings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nested record of each form, written as JSON and partly read back."""
     tasks = _tasks(spark, sf_dir)
-    b = itinerary.bookings(_trips(spark, sf_dir, tasks), spark, dims.airports(spark), F.lit(_AS_OF).cast("timestamp"), tasks)
+    # ten airports, whose size Spark knows only when it has read them: until then their join would deal all flights
+    b = itinerary.bookings(_trips(spark, sf_dir, tasks), spark, F.broadcast(dims.airports(spark)), F.lit(_AS_OF).cast("timestamp"), tasks)
     people = F.transform("travellers", lambda t: t["name"])
     b = b.withColumn("json", S.as_json("route", "flights", "travellers", "fare_lines"))
     return b.select(
@@ -581,7 +582,7 @@ def nested_bookings(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ledger_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Forms to ledger rows: nested, without dummies, numbered."""
     as_of, tasks = F.lit(_AS_OF).cast("timestamp"), _tasks(spark, sf_dir)
-    rows = ledger.ledger_rows(itinerary.bookings(_trips(spark, sf_dir, tasks), spark, dims.airports(spark), as_of, tasks), as_of)
+    rows = ledger.ledger_rows(itinerary.bookings(_trips(spark, sf_dir, tasks), spark, F.broadcast(dims.airports(spark)), as_of, tasks), as_of)
     with Tables(spark, "ledger-rows") as tables:
         rows = ledger.numbered(tables.put(ledger.real(rows), "unnumbered"), ["booking_id"], put=tables.keep).drop("is_dummy")
     return rows.withColumns({"total_amount": F.round("total_amount", 2), "sno": F.col("sno").cast("long")})
