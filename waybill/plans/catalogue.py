@@ -486,8 +486,8 @@ _HEADS = ("AI ", "6E-", "AIX ", "ZZ ", "BAW")
 _AS_OF = "2026-01-02 03:04:05"
 
 
-#: A task makes the forms of so many lines: a line becomes ten keys, which files' bytes do not tell.
-LINES = 250_000
+#: A task makes the forms of so many lines: a line becomes ten keys, and files' bytes do not tell that.
+LINES = 60_000
 
 
 def _tasks(spark: SparkSession, sf_dir: str) -> int:
